@@ -1,0 +1 @@
+"""No operator of this library is a stream: its inputs are yearly panels and finished draws."""
