@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from driftmap.llm import substring_dedup, url_filter
+from driftmap.llm import bpe, near_dedup, quality_rules, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op4_repeated_phrases": substring_dedup.op4_repeated_phrases,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
+    "op7_forced_boundaries": bpe.op7_forced_boundaries,
 }
 ORACLES = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op4_repeated_phrases": substring_dedup.OP4_SQL,
+    "op5_quality_rules": quality_rules.OP5_SQL,
+    "op6_minhash_near_dedup": near_dedup.OP6_SQL,
 }
