@@ -159,7 +159,7 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
 
-def _digests(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], path: str | None, with_ids: bool) -> Iterator[pa.RecordBatch]:
     codec = load(path)
     for b in batches:
         for lo, hi, data, bounds in w.slices(b.column("text")):
@@ -168,7 +168,10 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa
             raw = ids.astype("<u4").tobytes()
             of_ids = [hashlib.sha256(raw[4 * a : 4 * z]).hexdigest() for a, z in zip(edge[:-1], edge[1:], strict=True)]
             of_text = [hashlib.sha256(t.encode()).hexdigest() for t in decode_slice(codec, ids, counts)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(counts), pa.array(of_ids), pa.array(of_text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            cols = {"doc_id": b.column("doc_id").slice(lo, hi - lo), "n_tokens": pa.array(counts), "ids_sha256": pa.array(of_ids), "decoded_sha256": pa.array(of_text)}
+            if with_ids:
+                cols["ids"] = w.list_array(pa.array(ids.astype(np.int32)), counts)
+            yield pa.RecordBatch.from_pydict(cols)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -181,9 +184,17 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(lambda it: _decode(it, path), "doc_id bigint, text string")
 
 
+_DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: what encode and then decode give, as digests, without the ids leaving their task."""
-    return _texts(docs).mapInArrow(lambda it: _digests(it, path), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return _texts(docs).mapInArrow(lambda it: _digests(it, path, False), _DIGESTS)
+
+
+def encode_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """round_trip's columns and ids, in one pass."""
+    return _texts(docs).mapInArrow(lambda it: _digests(it, path, True), _DIGESTS + ", ids array<int>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
