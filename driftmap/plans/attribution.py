@@ -48,7 +48,7 @@ for _name, _expr, _f in (
     ("population_at_risk_factual", "population * p_fact", a.population_at_risk_factual),
     ("population_at_risk_attributable", "population * greatest(p_fact - p_cf, 0e0)", a.population_at_risk_attributable),
 ):
-    query(_name, _DRAWS + f", m AS (SELECT draw, p.year, CAST(sum({_expr}) AS DOUBLE) AS n FROM p JOIN fx_panel_year y ON p.geo = y.geo AND p.year = y.year GROUP BY 1, 2)---SELECT year, {_Q('n', 'pop')} FROM m GROUP BY 1", "pop_mean pop_lwr pop_upr")(lambda v, f=_f: f(paired(v), v.panel_year))
+    query(_name, _DRAWS + f", m AS (SELECT draw, p.year, CAST(sum({_expr}) AS DOUBLE) AS n FROM p JOIN fx_panel_year y ON p.geo = y.geo AND p.year = y.year GROUP BY 1, 2)---SELECT year, {_Q('n', 'pop')} FROM m GROUP BY 1", "pop_mean pop_lwr pop_upr", digits=2)(lambda v, f=_f: f(paired(v), v.panel_year))
 
 _OBS = "o AS (SELECT r.year, CAST(sum(CASE WHEN presence = 1 THEN population ELSE 0 END) AS BIGINT) AS pop_observed FROM fx_presence r JOIN fx_panel_year y ON r.geo = y.geo AND r.year = y.year GROUP BY 1)"
 query("observed_population_exposed", _OBS + "---SELECT * FROM o")(lambda v: a.observed_population_exposed(v.presence, v.panel_year))
