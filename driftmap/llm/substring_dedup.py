@@ -34,7 +34,7 @@ from driftmap.llm.tables import discard, documents, row_key, settle
 WINDOW = 13
 ANCHOR = 5
 #: Anchors of a shard, on average, and words of a part of one.
-SHARD_ANCHORS = 40_000
+SHARD_ANCHORS = 6_000
 PART_WORDS = 250_000
 _KEY = "_key struct<a: bigint, b: bigint>"
 
