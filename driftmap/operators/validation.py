@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftmap.operators.lineage import cut
+
 EDGE = 1e-10
 METRICS = ("accuracy", "sensitivity", "specificity", "precision", "f1")
 
@@ -84,7 +86,7 @@ def contiguous_folds(regions: DataFrame, edges: DataFrame, seeds: DataFrame, rou
         d = reach.join(spots, "geo").join(F.broadcast(s), "fold").withColumn("d", F.round((F.col("longitude") - F.col("sx")) ** 2 + (F.col("latitude") - F.col("sy")) ** 2, 6))
         one = d.withColumn("r", F.row_number().over(Window.partitionBy("geo").orderBy("d", "fold"))).filter("r = 1")
         fit = one.join(F.broadcast(size), "fold").withColumn("q", F.row_number().over(Window.partitionBy("fold").orderBy("d", "geo"))).filter(F.col("size") + F.col("q") <= share)
-        grown = taken.unionByName(fit.select("geo", "fold")).checkpoint()
+        grown = cut(taken.unionByName(fit.select("geo", "fold")))
         if grown.count() == taken.count():
             break
         taken = grown
