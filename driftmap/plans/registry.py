@@ -37,5 +37,5 @@ def query(name: str, sql: str | None = None, floats: str = "", digits: int = DIG
     return add
 
 
-for _m in ("attribution", "climate", "landpop", "mobility", "panel", "binning", "validation", "graph", "grid"):
+for _m in ("attribution", "climate", "landpop", "mobility", "panel", "binning", "validation", "graph", "grid", "model"):
     importlib.import_module(f"driftmap.plans.{_m}")
