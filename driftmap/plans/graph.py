@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftmap.operators import graph as g
 from driftmap.operators import mobility as m
+from driftmap.operators import validation
 from driftmap.plans.fixtures import Views
 from driftmap.plans.registry import query
 
@@ -52,3 +53,11 @@ _INH = "px AS (SELECT geo, year_idx, population % 97 / 9.7e1 AS x FROM fx_panel_
 query("inherit_outer_proximity", _INH + "---SELECT a.geo, a.year_idx, CASE WHEN o.geo IS NOT NULL AND a.was = 0 AND o.was = 0 THEN o.x ELSE a.x END AS x FROM pw a LEFT JOIN pw o ON o.year_idx = a.year_idx AND o.geo = CASE a.geo WHEN 'G1' THEN 'G2' WHEN 'G7' THEN 'G8' END", "x")(lambda v: g.inherit_outer_proximity(v.sql("SELECT geo, year_idx, population % 97 / 9.7e1 AS x FROM fx_panel_year"), v.presence, g.surrounded_regions(v.region, [("G1", "G2"), ("G7", "G8")]), "x"))
 query("proximity_from_draws")(lambda v: g.proximity_from_draws(v.draws.filter("year <= 1996").select("geo", "year_idx", F.col("p_fact").alias("p")), _q(v), g.surrounded_regions(v.region, [("G1", "G2")]), rounds=6))
 query("proximity_map_table", _INH + "---SELECT geo, year_idx, CASE WHEN was <> 1 THEN x END AS x FROM pw WHERE year_idx = 3", "x")(lambda v: g.proximity_map_table(v.sql("SELECT geo, year_idx, population % 97 / 9.7e1 AS x FROM fx_panel_year"), v.presence, "x", 3))
+
+
+def _folds(v: Views):
+    return v.region.filter("grid_col < 3").select("geo", F.when(F.col("grid_row") < 4, 1).otherwise(2).alias("fold"))
+
+
+query("buffer_regions", "f AS (SELECT geo, grid_row, grid_col, CAST(CASE WHEN grid_row < 4 THEN 1 ELSE 2 END AS INT) AS fold FROM fx_region WHERE grid_col < 3)---SELECT DISTINCT f.fold, b.geo FROM f JOIN fx_region b ON abs(f.grid_row - b.grid_row) <= 1 AND abs(f.grid_col - b.grid_col) <= 1 WHERE NOT EXISTS (SELECT 1 FROM f x WHERE x.geo = b.geo AND x.fold = f.fold)")(lambda v: validation.buffer_regions(squares(v), _folds(v), 35.0))
+query("contiguous_folds")(lambda v: validation.contiguous_folds(squares(v).withColumn("longitude", F.col("grid_col").cast("double")).withColumn("latitude", F.col("grid_row").cast("double")), v.edges, v.spark.createDataFrame([(1, "G0"), (2, "G9"), (3, "G55")], "seed int, geo string"), 8))
