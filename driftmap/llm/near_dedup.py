@@ -6,10 +6,12 @@ pi((sigma(x) + k * step) mod 2^32). Bands of the signature give candidates; link
 confirmed on the full shingle sets.
 
 Copies with equal sets are one class. In each bucket every class is held against the
-least one first; components of those links follow. Buckets that still hold several
-components are gone through again, classes outside a bucket's largest component against
-all others in blocks of bounded size, so that no link across components is lost and none
-inside one is looked at again.
+least one first; components of those links follow. In buckets that still hold several,
+classes outside the largest component are held against one of its members, which hashing
+picks. What is left is gone through in full: classes outside a bucket's largest component
+against all others, in blocks of bounded size that carry the sets and give one confirmed
+link for each class and component it meets. So no link across components is lost, and
+none inside one is looked at again.
 """
 
 from __future__ import annotations
@@ -117,19 +119,33 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _near(block: pa.Table) -> pa.Table:
-    """Pairs of one block that lie in different components and whose signatures agree enough."""
-    ids, comp, role = (block.column(c).to_numpy() for c in ("id", "component", "role"))
+def _links(block: pa.Table) -> pa.Table:
+    """Confirmed links across components of one block: one for each asking class and component.
+
+    A pair is looked at in the first band that it shares, so once in all.
+    """
+    ids, comp, role, band = (block.column(c).to_numpy() for c in ("id", "component", "role", "band"))
     sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-    rest = np.flatnonzero(role == 1)
+    lists = block.column("shingles").combine_chunks()
+    edge, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+    told = np.flatnonzero(role == 1)
     us, vs = [], []
     for i in np.flatnonzero(role == 0):
-        agree = (sig[rest] == sig[i]).sum(1) >= LEAST_AGREEING
-        j = rest[agree & (comp[rest] != comp[i])]
-        us.append(np.full(len(j), ids[i]))
-        vs.append(ids[j])
+        rest = told[comp[told] != comp[i]]
+        same = sig[rest] == sig[i]
+        first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[i]
+        rest = rest[first & (same.sum(1) >= LEAST_AGREEING)]
+        if not len(rest):
+            continue
+        mine, size = values[edge[i] : edge[i + 1]], edge[rest + 1] - edge[rest]
+        shared = np.isin(w.ragged(values, edge[rest], size), mine)
+        both = np.add.reduceat(shared, np.cumsum(size) - size, dtype=np.int64)
+        near = rest[100 * both >= PERCENT * (size + len(mine) - both)]
+        near = near[np.unique(comp[near], return_index=True)[1]]
+        us.append(np.full(len(near), ids[i]))
+        vs.append(ids[near])
     u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
-    return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def _similar(a: Column, b: Column) -> Column:
@@ -143,6 +159,16 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(_similar(F.col("su"), F.col("sv"))).select("u", "v").distinct()
 
 
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets with several components, with their component, the bucket's largest one (main), and its blocks."""
+    labels = found.withColumnRenamed("node", "id")
+    placed = members.select("key", "band", "id").distinct().join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
+    of = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+    of = of.select("key", F.col("top.component").alias("main"), F.ceil((F.col("m") - F.col("top.m")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("m") / BLOCK).cast("int").alias("cols"))
+    return placed.join(of, "key")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
@@ -155,30 +181,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linkable = scan.filter("n > 0 and doc_id is not null")
     classes = linkable.groupBy("a", "c").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = settle(classes, "classes")
-    buckets = classes.select("id", "n", F.explode("bands").alias("key"))
+    buckets = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
     members = settle(buckets.join(shared.select("key", "hub"), "key"), "members")
     pairs = members.filter("id <> hub.id").filter(f"100 * least(n, hub.n) >= {PERCENT} * greatest(n, hub.n)").select(F.col("hub.id").alias("u"), F.col("id").alias("v")).distinct()
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     sets = settle(base.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets, "id bigint, shingles array<bigint>, sig binary"), "sets")
     first = settle(_confirm(pairs, sets), "links")
-    found = components(first)
-    placed = settle(members.select("key", "id").distinct().join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = mixed.select("key", F.col("top.component").alias("main"), F.ceil((F.col("m") - F.col("top.m")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("m") / BLOCK).cast("int").alias("cols"))
-    inside = placed.join(mixed, "key")
-    number = F.xxhash64("id")
-    asks = inside.filter("component <> main").select("key", "id", "component", F.lit(0).alias("role"), F.pmod(number, F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
-    told = inside.select("key", "id", "component", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(number, F.col("cols")).cast("int").alias("j"))
-    blocks = asks.unionByName(told).join(sets.select("id", "sig"), "id")
-    left = blocks.groupBy("key", "i", "j").applyInArrow(_near, "u bigint, v bigint").distinct()
-    second = settle(first.unionByName(_confirm(settle(left, "rest"), sets)), "links")
-    found = components(second)
+    inside = settle(_mixed(members, components(first)), "mixed")
+    hub = inside.filter("component = main").groupBy("key").agg(F.min_by("id", F.xxhash64("key", "id")).alias("u"))
+    tried = inside.filter("component <> main").join(hub, "key").select("u", F.col("id").alias("v")).distinct()
+    second = settle(first.unionByName(_confirm(tried, sets)), "links")
+    inside = settle(_mixed(members, components(second)), "mixed")
+    number, cells = F.xxhash64("id"), ("key", "band", "id", "component")
+    asks = inside.filter("component <> main").select(*cells, F.lit(0).alias("role"), F.pmod(number, F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
+    told = inside.select(*cells, F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(number, F.col("cols")).cast("int").alias("j"))
+    blocks = asks.unionByName(told).join(sets, "id")
+    found = components(second.unionByName(blocks.groupBy("key", "i", "j").applyInArrow(_links, "u bigint, v bigint")))
     by_class = classes.select("a", "c", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("a", "c", F.coalesce("component", "id").alias("component_id"))
     linked = linkable.select("doc_id", "n", "a", "c").join(by_class, ["a", "c"], "left")
     alone = scan.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    discard(members, sets, placed)
+    discard(members, sets, first, second, inside)
     out = linked.select("doc_id", "n", "component_id").unionByName(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
