@@ -39,7 +39,7 @@ def record_id(*parts: Column) -> Column:
 
 def html_text(html: Column) -> Column:
     for pattern, new in TO_TEXT:
-        html = F.regexp_replace(html, pattern, new)
+        html = F.replace(html, F.lit(pattern), F.lit(new)) if pattern.startswith("&") else F.regexp_replace(html, pattern, new)
     return html
 
 
@@ -67,11 +67,11 @@ def derivatives(found: DataFrame) -> DataFrame:
     links = F.regexp_count("payload", F.lit(r"(?i)<a\b[^>]*\bhref\s*="))
     base = found.withColumn("text", text).withColumn("title", title).withColumn("links", links)
     fields = F.concat(F.lit("title: "), "title", F.lit("\r\noutlinks: "), F.col("links").cast("string"), F.lit("\r\ntext-bytes: "), F.octet_length("text").cast("string"), F.lit("\r\nsource-content-type: "), F.regexp_extract("http", r"(?i)content-type: ([^\r\n]*)", 1), F.lit("\r\n"))
-    kinds = F.array(
-        F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
-    )
-    out = base.select("page_id", F.col("record_id").alias("refers_to"), F.col("target_uri").alias("refers_to_target_uri"), F.col("date").alias("refers_to_date"), F.col("payload_digest").alias("source_digest"), F.inline(kinds))
+    # the kinds come from an explode above the text, which is so computed once for both
+    kind = F.explode(F.array(F.lit("metadata"), F.lit("conversion"))).alias("record_type")
+    out = base.withColumn("fields", fields).select("page_id", F.col("record_id").alias("refers_to"), F.col("target_uri").alias("refers_to_target_uri"), F.col("date").alias("refers_to_date"), F.col("payload_digest").alias("source_digest"), "fields", "text", kind)
+    meta = F.col("record_type") == "metadata"
+    out = out.withColumn("block", F.when(meta, F.col("fields")).otherwise(F.col("text"))).withColumn("content_type", F.when(meta, "application/warc-fields").otherwise("text/plain; charset=utf-8"))
     out = out.withColumn("record_id", record_id(F.col("record_type"), F.col("refers_to"))).withColumn("block_digest", _sha(F.col("block"))).withColumn("content_length", F.octet_length("block").cast("long"))
     line = lambda name, c: F.concat(F.lit(f"{name}: "), F.col(c).cast("string"))
     head = F.concat_ws("\r\n", F.lit("WARC/1.1"), line("WARC-Type", "record_type"), line("WARC-Record-ID", "record_id"), line("WARC-Refers-To", "refers_to"), line("WARC-Target-URI", "refers_to_target_uri"), line("WARC-Date", "refers_to_date"), line("WARC-Source-Payload-Digest", "source_digest"), line("WARC-Block-Digest", "block_digest"), line("Content-Type", "content_type"), line("Content-Length", "content_length"), F.lit("\r\n"))
