@@ -52,14 +52,14 @@ def from_wav(media: bytes) -> bytes:
 
 
 def cut_points(media: bytes) -> list[int]:
-    """Ends of the chunks of a file; its header is a chunk of its own."""
+    """Ends of the chunks of a file; its header begins the first one."""
     b = np.frombuffer(media, np.uint8)
     h = _GEAR[b]
     for k in (1, 2, 4, 8, 16):  # h[i] = sum of gear[b[i - j]] << j over 32 bytes
         h[k:] = h[k:] + (h[:-k] << np.uint32(k))
     marks = np.flatnonzero(h >> np.uint32(32 - MASK_BITS) == 0) + 1
-    ends, last, n = [HEADER], HEADER, len(media)
-    for m in marks[marks >= HEADER + MIN_CHUNK].tolist():
+    ends, last, n = [], 0, len(media)
+    for m in marks[marks >= MIN_CHUNK].tolist():
         while m - last > MAX_CHUNK:
             last += MAX_CHUNK
             ends.append(last)
