@@ -181,7 +181,8 @@ def stored_media(docs: DataFrame) -> DataFrame:
     # a chunk that a row repeats stays with that row, whichever its places are
     given = owners.select(F.struct("owner.a", "owner.b").alias("_key"), F.col("owner.ord").alias("ord"), F.lit(1).alias("gives"))
     needs = refs.unionByName(given).groupBy("_key").agg(F.collect_set(F.when(F.col("gives") == 0, F.col("ord"))).alias("refs"), F.collect_set(F.when(F.col("gives") == 1, F.col("ord"))).alias("gives"))
-    needs = settle(needs, "needs").withColumnRenamed("_key", "_k")
+    # no bound holds for its size: never broadcast, the same plan at every size
+    needs = settle(needs, "needs").withColumnRenamed("_key", "_k").hint("merge")
     packed = base.mapInArrow(_squeeze, f"doc_id bigint, {_KEY}, packed binary")
     joined = packed.join(needs, (F.col("_key.a") == F.col("_k.a")) & (F.col("_key.b") == F.col("_k.b")), "left").drop("_k")
     part = "struct<ord: int, digest: binary, data: binary>"
