@@ -24,19 +24,20 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftmap.llm import words as w
-from driftmap.llm.tables import discard, documents, row_key, settle
+from driftmap.llm.tables import discard, settle
 
 WINDOW = 13
 ANCHOR = 5
 #: Anchors of a shard, on average, and words of a part of one.
 SHARD_ANCHORS = 6_000
 PART_WORDS = 250_000
-_KEY = "_key struct<a: bigint, b: bigint>"
+#: Tells rows of one doc_id apart by their texts.
+_KEY = "_key bigint"
 
 
 def anchors(x: w.Words, h: np.ndarray, window: int = WINDOW, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,10 +174,14 @@ def _locate(parts: pa.Table, confirmed: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids[list(rows)] if rows else [], pa.int64()), "_key": keys.take(take), "begin": pa.array(begins, pa.int32()), "end": pa.array(ends, pa.int32())})
 
 
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).withColumn("_key", F.xxhash64("text"))
+
+
 def locate_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, _key, spans: the word ranges [begin, end) to remove of each document that has some."""
     spark = docs.sparkSession
-    base = documents(docs).filter("doc_id is not null and text is not null")
+    base = _keyed(docs).filter("doc_id is not null and text is not null")
     once = base.select("doc_id", "text").mapInArrow(lambda it: _anchor_rows(it, False), "anchor bigint, doc_id bigint")
     seen = once.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("anchor", "least")
     seen = settle(seen, "anchors")
@@ -184,9 +189,10 @@ def locate_repeats(docs: DataFrame) -> DataFrame:
     placed = base.mapInArrow(lambda it: _anchor_rows(it, True), f"anchor bigint, doc_id bigint, {_KEY}, at int")
     here = placed.join(seen, "anchor").select("doc_id", "_key", F.struct("at", F.pmod(F.xxhash64("least"), F.lit(shards)).alias("shard")).alias("p"))
     by_doc = here.groupBy("doc_id", "_key").agg(F.array_sort(F.collect_set("p")).alias("p"))
-    by_doc = by_doc.select("doc_id", "_key", F.col("p.at").alias("places"), F.col("p.shard").alias("shards"))
+    by_doc = settle(by_doc.select("doc_id", "_key", F.col("p.at").alias("places"), F.col("p.shard").alias("shards")), "places")
     cut = base.join(by_doc, ["doc_id", "_key"]).mapInArrow(_stretches, f"doc_id bigint, {_KEY}, shard bigint, start int, text string")
     cut = settle(cut, "stretches")
+    discard(seen, by_doc)
     windows = cut.select("doc_id", "shard", "text").mapInArrow(_windows, "shard bigint, passage bigint, doc_id bigint")
     confirmed = windows.groupBy("shard", "passage").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
     confirmed = settle(confirmed, "passages")
@@ -196,7 +202,7 @@ def locate_repeats(docs: DataFrame) -> DataFrame:
     copied = confirmed.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     found = dealt.groupBy("shard", "part").cogroup(copied.groupBy("shard", "part")).applyInArrow(_locate, f"doc_id bigint, {_KEY}, begin int, end int")
     spans = settle(found.groupBy("doc_id", "_key").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans")), "spans")
-    discard(seen, cut, confirmed, parts)
+    discard(cut, confirmed, parts)
     return spans
 
 
@@ -236,7 +242,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     other than doc_id and text are ignored.
     """
     spans = locate_repeats(docs)
-    joined = documents(docs).join(spans.withColumnRenamed("doc_id", "_id").withColumnRenamed("_key", "_k"), (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k")), "left").select("doc_id", "text", "spans")
+    joined = _keyed(docs).join(spans.withColumnRenamed("doc_id", "_id").withColumnRenamed("_key", "_k"), (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k")), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(lambda it: _cut(it, False), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
@@ -249,8 +255,7 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
     spans = locate_repeats(docs).withColumnRenamed("doc_id", "_id").withColumnRenamed("_key", "_k")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     more = [F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest")] if rest else []
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).withColumn("_key", row_key("doc_id", "text"))
-    joined = base.join(spans, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k")), "left").drop("_id", "_k", "_key")
+    joined = _keyed(docs, *more).join(spans, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k")), "left").drop("_id", "_k", "_key")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
     if rest:
         schema = T._parse_datatype_string(schema).add("_rest", joined.schema["_rest"].dataType)

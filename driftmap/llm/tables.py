@@ -48,16 +48,7 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """doc_id, text and _key, which is equal for rows of equal doc_id and text only."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_key", row_key("doc_id", "text"))
-
-
 def row_key(*names: str) -> Column:
     """A 128-bit key of the named columns, nulls told apart from empty strings."""
     cols = [x for n in names for x in (F.col(n).isNull(), F.col(n))]
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(71), *reversed(cols)).alias("b"))
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
