@@ -2,10 +2,9 @@
 
 A text's UTF-8 bytes, padded with zeros, are the samples of a mono WAV file. The file is cut
 where a rolling gear hash of the last 32 bytes has its top bits zero, so equal passages give
-equal chunks wherever they stand. Chunk digests are deduplicated by Spark joins: the first
-row that has a chunk keeps its bytes, others keep a reference. A file is put together again
-from its ordered list of chunks, its own and the joined ones, and is verified by its digest
-before samples are read back from it.
+equal chunks wherever they stand. Each distinct chunk is stored once, each file as the ordered
+list of its chunks' digests. A file is put together again from both tables by a join, and is
+verified by its digest before samples are read back from it.
 """
 
 from __future__ import annotations
@@ -17,20 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmap.llm import words as w
-from driftmap.llm.tables import row_key, settle
+from driftmap.llm.tables import settle
 
 HEADER = 44
 UNIT = 64
 RATE = 8000
 MIN_CHUNK, MAX_CHUNK = 512, 16_384
 MASK_BITS = 11
+#: References that one copy of a stored chunk serves, and how many chunks are copied at most.
+COPY_ROWS, MAX_HOT = 256, 10_000
 _GEAR = (w.BYTE_VALUE >> np.uint64(32)).astype(np.uint32)
-_KEY = "_key struct<a: bigint, b: bigint>"
 _RESULT = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 _FIELDS = [x.split()[0] for x in _RESULT.split(", ")]
 
@@ -94,107 +93,85 @@ def read_back(media: bytes, n_bytes: int, expected: bytes) -> tuple:
     return n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), expected.hex(), feature
 
 
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    z = zstandard.ZstdCompressor(level=3)
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        packed = [z.compress((t.as_py() or "").encode()) for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_key"), pa.array(packed, pa.binary())], ["doc_id", "_key", "packed"])
+        sizes, wholes, lists = [], [], []
+        for t in b.column("text"):
+            text = (t.as_py() or "").encode()
+            media = to_wav(payload_of(text))
+            sizes.append(len(text))
+            wholes.append(hashlib.sha256(media).digest())
+            lists.append([digest(c) for c in chunks_of(media)])
+        cols = [pa.array(sizes, pa.int64()), pa.array(wholes, pa.binary()), pa.array(lists, pa.list_(pa.binary()))]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *cols], ["doc_id", "row", "n_bytes", "whole", "digests"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of a partition, each once."""
+    seen = set()
+    for b in batches:
+        new = {}
+        for t in b.column("text"):
+            for c in chunks_of(to_wav(payload_of((t.as_py() or "").encode()))):
+                d = digest(c)
+                if d not in seen:
+                    seen.add(d)
+                    new[d] = c
+        yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], ["digest", "data"])
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for b in batches:
-        row, order, names = [], [], []
-        for i, t in enumerate(b.column("text")):
-            for j, c in enumerate(chunks_of(to_wav(payload_of((t.as_py() or "").encode())))):
-                row.append(i)
-                order.append(j)
-                names.append(digest(c))
-        yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(row, pa.int64())), pa.array(order, pa.int32()), pa.array(names, pa.binary())], ["_key", "ord", "digest"])
+        results = []
+        for n, whole, parts in zip(*(b.column(c) for c in ("n_bytes", "whole", "parts")), strict=True):
+            there = sorted((p["ord"], p["data"]) for p in parts.as_py() or ())
+            results.append(read_back(b"".join(data for _, data in there), n.as_py(), whole.as_py()))
+        cols = zip(*results, strict=True) if results else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", *_FIELDS])
 
 
-def _store(batches: Iterator[pa.RecordBatch], pending: bool) -> Iterator[pa.RecordBatch]:
-    """Cut each file into its own chunks and references.
+def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """files, lists and chunks of docs, as tables in the shared folder.
 
-    pending False: rows without a reference, put together from their chunks and read back.
-    pending True: the others' chunks, and chunks that others refer to.
+    files: doc_id, row, n_bytes, whole (the file's digest), one for each row of docs. lists:
+    row, ord, digest, the chunks of each file in order. chunks: digest, data, each distinct
+    chunk once.
     """
-    z = zstandard.ZstdDecompressor()
-    shut = zstandard.ZstdCompressor(level=3)
-    for b in batches:
-        ids, keys = b.column("doc_id"), b.column("_key")
-        rows, results, held = [], [], {k: [] for k in ("n_bytes", "whole", "own", "shared")}
-        for i, (p, refs, gives) in enumerate(zip(b.column("packed"), b.column("refs"), b.column("gives"), strict=True)):
-            foreign = set(refs.as_py() or ()) if refs.is_valid else set()
-            given = set(gives.as_py() or ()) if gives.is_valid else set()
-            if (not pending and foreign) or (pending and not foreign and not given):
-                continue
-            text = z.decompress(p.as_py())
-            media = to_wav(payload_of(text))
-            parts = chunks_of(media)
-            rows.append(i)
-            if pending:
-                own = [{"ord": j, "digest": digest(c), "data": None if j in foreign else shut.compress(c)} for j, c in enumerate(parts)] if foreign else []
-                held["n_bytes"].append(len(text))
-                held["whole"].append(hashlib.sha256(media).digest())
-                held["own"].append(own)
-                held["shared"].append([{"digest": digest(parts[j]), "data": shut.compress(parts[j])} for j in sorted(given)])
-            else:
-                results.append(read_back(b"".join(parts), len(text), hashlib.sha256(media).digest()))
-        take = pa.array(rows, pa.int64())
-        if pending:
-            part = [("ord", pa.int32()), ("digest", pa.binary()), ("data", pa.binary())]
-            cols = [pa.array(held["n_bytes"], pa.int64()), pa.array(held["whole"], pa.binary()), pa.array(held["own"], pa.list_(pa.struct(part))), pa.array(held["shared"], pa.list_(pa.struct(part[1:])))]
-            yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), *cols], ["doc_id", "_key", *held])
-        else:
-            yield _result(ids.take(take), results)
-
-
-def _result(ids: pa.Array, results: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    cols = zip(*results, strict=True) if results else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", *_FIELDS])
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    entries = base.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_entries, "doc_id bigint, row bigint, n_bytes bigint, whole binary, digests array<binary>")
+    entries = settle(entries, "entries")
+    chunks = base.select("text").mapInArrow(_chunks, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
+    lists = entries.select("row", F.posexplode("digests").alias("ord", "digest"))
+    return entries.drop("digests"), lists, settle(chunks, "chunks")
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    z = zstandard.ZstdDecompressor()
-    for b in batches:
-        results = []
-        for n, whole, own, joined in zip(*(b.column(c) for c in ("n_bytes", "whole", "own", "joined")), strict=True):
-            there = {p["ord"]: p["data"] for p in joined.as_py()}
-            media = b"".join(z.decompress(p["data"] if p["data"] is not None else there[p["ord"]]) for p in own.as_py())
-            results.append(read_back(media, n.as_py(), whole.as_py()))
-        yield _result(b.column("doc_id"), results)
+def rebuild_media(files: DataFrame, lists: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The columns of stored_media, for files put together from the chunks of their lists.
+
+    A chunk that many files have is given in several copies, so that its references are
+    dealt over tasks; at most MAX_HOT chunks are.
+    """
+    counts = lists.groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") > COPY_ROWS)
+    total = files.sparkSession.createDataFrame([(lists.count(),)], "total long")
+    hot = counts.crossJoin(F.broadcast(total)).filter(F.col("n") * MAX_HOT > F.col("total")).select("digest", F.ceil(F.col("n") / COPY_ROWS).cast("int").alias("copies"))
+    hot = settle(hot, "hot")
+    copies = F.coalesce("copies", F.lit(1))
+    asked = lists.join(F.broadcast(hot), "digest", "left").select("row", "ord", "digest", F.pmod(F.xxhash64("row"), copies).cast("int").alias("copy"))
+    given = chunks.join(F.broadcast(hot), "digest", "left").select("digest", "data", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    # no bound holds for the size of either: never broadcast, the same plan at every size
+    found = asked.join(given.hint("merge"), ["digest", "copy"]).select("row", "ord", "data")
+    parts = found.groupBy("row").agg(F.collect_list(F.struct("ord", "data")).alias("parts"))
+    return files.join(parts.hint("merge"), "row", "left").select("doc_id", "n_bytes", "whole", "parts").mapInArrow(_rebuild, f"doc_id bigint, {_RESULT}")
 
 
 def stored_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature for each row of docs.
 
-    A null text counts as empty. Repeated rows stay; rows of equal text have equal values.
-    Other columns are ignored.
+    Every file is stored by store_media and computed on as rebuild_media reads it back. A
+    null text counts as empty. Repeated rows stay. Other columns are ignored.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_key", row_key("doc_id", "text"))
-    lists = base.select("_key", "text").mapInArrow(_digests, f"{_KEY}, ord int, digest binary")
-    here = F.struct(F.col("_key.a").alias("a"), F.col("_key.b").alias("b"), "ord")
-    owners = lists.groupBy("digest").agg(F.min(here).alias("owner"), F.max(here).alias("other")).filter("owner <> other").select("digest", "owner")
-    owners = settle(owners, "owners")
-    refs = lists.join(owners, "digest").filter(~((F.col("owner.a") == F.col("_key.a")) & (F.col("owner.b") == F.col("_key.b")))).select("_key", "ord", F.lit(0).alias("gives"))
-    # a chunk that a row repeats stays with that row, whichever its places are
-    given = owners.select(F.struct("owner.a", "owner.b").alias("_key"), F.col("owner.ord").alias("ord"), F.lit(1).alias("gives"))
-    needs = refs.unionByName(given).groupBy("_key").agg(F.collect_set(F.when(F.col("gives") == 0, F.col("ord"))).alias("refs"), F.collect_set(F.when(F.col("gives") == 1, F.col("ord"))).alias("gives"))
-    # no bound holds for its size: never broadcast, the same plan at every size
-    needs = settle(needs, "needs").withColumnRenamed("_key", "_k").hint("merge")
-    packed = base.mapInArrow(_squeeze, f"doc_id bigint, {_KEY}, packed binary")
-    joined = packed.join(needs, (F.col("_key.a") == F.col("_k.a")) & (F.col("_key.b") == F.col("_k.b")), "left").drop("_k")
-    part = "struct<ord: int, digest: binary, data: binary>"
-    pending = joined.filter("refs is not null").mapInArrow(lambda it: _store(it, True), f"doc_id bigint, {_KEY}, n_bytes bigint, whole binary, own array<{part}>, shared array<struct<digest: binary, data: binary>>")
-    pending = settle(pending, "pending")
-    store = pending.select(F.explode("shared").alias("s")).select("s.digest", "s.data").groupBy("digest").agg(F.first("data").alias("data"))
-    incomplete = pending.filter(F.size("own") > 0)
-    asked = incomplete.select("_key", F.explode("own").alias("p")).filter("p.data is null").select("_key", "p.ord", "p.digest")
-    fetched = asked.join(store, "digest").groupBy("_key").agg(F.collect_set(F.struct("ord", "data")).alias("joined")).withColumnRenamed("_key", "_k")
-    whole = incomplete.join(fetched, (F.col("_key.a") == F.col("_k.a")) & (F.col("_key.b") == F.col("_k.b"))).select("doc_id", "n_bytes", "whole", "own", "joined")
-    schema = f"doc_id bigint, {_RESULT}"
-    return joined.mapInArrow(lambda it: _store(it, False), schema).unionByName(whole.mapInArrow(_rebuild, schema))
+    return rebuild_media(*store_media(docs))
 
 
 def op10_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
