@@ -1,10 +1,11 @@
 """Media columns: texts stored as 8-bit audio, cut into content-defined chunks.
 
-A text's UTF-8 bytes, padded with zeros, are the samples of a mono WAV file. The file is cut
+A text's UTF-8 bytes, padded with zeros, are the samples of a mono WAV file. The samples are cut
 where a rolling gear hash of the last 32 bytes has its top bits zero, so equal passages give
 equal chunks wherever they stand. Each distinct chunk is stored once, each file as the ordered
 list of its chunks' digests. A file is put together again from both tables by a join, and is
-verified by its digest before samples are read back from it.
+verified by its digest before samples are read back from it. The header holds the file's length,
+so it stays out of the chunks and is built anew.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,13 @@ from driftmap.llm.tables import settle
 HEADER = 44
 UNIT = 64
 RATE = 8000
-MIN_CHUNK, MAX_CHUNK = 512, 16_384
-MASK_BITS = 11
+#: A text is 1.5 KB long in the median; chunks are MIN_CHUNK + 2 ** MASK_BITS long on average.
+MIN_CHUNK, MAX_CHUNK = 64, 2_048
+MASK_BITS = 8
 #: References that one copy of a stored chunk serves, and how many chunks are copied at most.
 COPY_ROWS, MAX_HOT = 256, 10_000
+#: Parts in which chunks are written and files rebuilt, one after the other, so that a job's shuffle files are those of a part.
+WRITES, BUCKETS = 4, 8
 _GEAR = (w.BYTE_VALUE >> np.uint64(32)).astype(np.uint32)
 _RESULT = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 _FIELDS = [x.split()[0] for x in _RESULT.split(", ")]
@@ -50,14 +55,14 @@ def from_wav(media: bytes) -> bytes:
     return media[HEADER:]
 
 
-def cut_points(media: bytes) -> list[int]:
-    """Ends of the chunks of a file; its header begins the first one."""
-    b = np.frombuffer(media, np.uint8)
+def cut_points(samples: bytes) -> list[int]:
+    """Ends of the chunks of a file's samples."""
+    b = np.frombuffer(samples, np.uint8)
     h = _GEAR[b]
     for k in (1, 2, 4, 8, 16):  # h[i] = sum of gear[b[i - j]] << j over 32 bytes
         h[k:] = h[k:] + (h[:-k] << np.uint32(k))
     marks = np.flatnonzero(h >> np.uint32(32 - MASK_BITS) == 0) + 1
-    ends, last, n = [], 0, len(media)
+    ends, last, n = [], 0, len(samples)
     for m in marks[marks >= MIN_CHUNK].tolist():
         while m - last > MAX_CHUNK:
             last += MAX_CHUNK
@@ -73,9 +78,9 @@ def cut_points(media: bytes) -> list[int]:
     return ends
 
 
-def chunks_of(media: bytes) -> list[bytes]:
-    ends = cut_points(media)
-    return [media[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+def chunks_of(samples: bytes) -> list[bytes]:
+    ends = cut_points(samples)
+    return [samples[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def digest(chunk: bytes) -> bytes:
@@ -98,26 +103,28 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, wholes, lists = [], [], []
         for t in b.column("text"):
             text = (t.as_py() or "").encode()
-            media = to_wav(payload_of(text))
+            payload = payload_of(text)
             sizes.append(len(text))
-            wholes.append(hashlib.sha256(media).digest())
-            lists.append([digest(c) for c in chunks_of(media)])
+            wholes.append(hashlib.sha256(to_wav(payload)).digest())
+            lists.append([digest(c) for c in chunks_of(payload)])
         cols = [pa.array(sizes, pa.int64()), pa.array(wholes, pa.binary()), pa.array(lists, pa.list_(pa.binary()))]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *cols], ["doc_id", "row", "n_bytes", "whole", "digests"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), b.column("bucket"), *cols], ["doc_id", "row", "bucket", "n_bytes", "whole", "digests"])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of a partition, each once."""
+def _chunks(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of a part of the digests, each once for each bucket of its files in a partition."""
     seen = set()
     for b in batches:
-        new = {}
-        for t in b.column("text"):
-            for c in chunks_of(to_wav(payload_of((t.as_py() or "").encode()))):
+        digests, buckets, data = [], [], []
+        for t, bucket in zip(b.column("text"), b.column("bucket").to_pylist(), strict=True):
+            for c in chunks_of(payload_of((t.as_py() or "").encode())):
                 d = digest(c)
-                if d not in seen:
-                    seen.add(d)
-                    new[d] = c
-        yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], ["digest", "data"])
+                if d[0] % WRITES == part and (d, bucket) not in seen:
+                    seen.add((d, bucket))
+                    digests.append(d)
+                    buckets.append(1 << bucket)
+                    data.append(c)
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(buckets, pa.int32()), pa.array(data, pa.binary())], ["digest", "buckets", "data"])
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +133,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         results = []
         for n, whole, parts in zip(*(b.column(c) for c in ("n_bytes", "whole", "parts")), strict=True):
             there = sorted((p["ord"], p["data"]) for p in parts.as_py() or ())
-            results.append(read_back(b"".join(data for _, data in there), n.as_py(), whole.as_py()))
+            results.append(read_back(to_wav(b"".join(data for _, data in there)), n.as_py(), whole.as_py()))
         cols = zip(*results, strict=True) if results else [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", *_FIELDS])
 
@@ -134,16 +141,22 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """files, lists and chunks of docs, as tables in the shared folder.
 
-    files: doc_id, row, n_bytes, whole (the file's digest), one for each row of docs. lists:
-    row, ord, digest, the chunks of each file in order. chunks: digest, data, each distinct
-    chunk once.
+    files: doc_id, row, bucket, n_bytes, whole (the file's digest), one for each row of docs.
+    lists: row, bucket, ord, digest, the chunks of each file in order. chunks: digest, buckets
+    (a bit for each bucket whose files have it), data, each distinct chunk once. Files are
+    kept as their samples; the header follows from their number.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    entries = base.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_entries, "doc_id bigint, row bigint, n_bytes bigint, whole binary, digests array<binary>")
+    base = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(BUCKETS)).cast("int"))
+    entries = base.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_entries, "doc_id bigint, row bigint, bucket int, n_bytes bigint, whole binary, digests array<binary>")
     entries = settle(entries, "entries")
-    chunks = base.select("text").mapInArrow(_chunks, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
-    lists = entries.select("row", F.posexplode("digests").alias("ord", "digest"))
-    return entries.drop("digests"), lists, settle(chunks, "chunks")
+    chunks = None
+    for k in range(WRITES):
+        found = base.select("text", "bucket").mapInArrow(partial(_chunks, part=k), "digest binary, buckets int, data binary")
+        one = settle(found.groupBy("digest").agg(F.bit_or("buckets").alias("buckets"), F.first("data").alias("data")), "chunks")
+        chunks = one if chunks is None else chunks.unionByName(one)
+    lists = entries.select("row", "bucket", F.posexplode("digests").alias("ord", "digest"))
+    return entries.drop("digests"), lists, chunks
 
 
 def rebuild_media(files: DataFrame, lists: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -157,12 +170,17 @@ def rebuild_media(files: DataFrame, lists: DataFrame, chunks: DataFrame) -> Data
     hot = counts.crossJoin(F.broadcast(total)).filter(F.col("n") * MAX_HOT > F.col("total")).select("digest", F.ceil(F.col("n") / COPY_ROWS).cast("int").alias("copies"))
     hot = settle(hot, "hot")
     copies = F.coalesce("copies", F.lit(1))
-    asked = lists.join(F.broadcast(hot), "digest", "left").select("row", "ord", "digest", F.pmod(F.xxhash64("row"), copies).cast("int").alias("copy"))
-    given = chunks.join(F.broadcast(hot), "digest", "left").select("digest", "data", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
-    # no bound holds for the size of either: never broadcast, the same plan at every size
-    found = asked.join(given.hint("merge"), ["digest", "copy"]).select("row", "ord", "data")
-    parts = found.groupBy("row").agg(F.collect_list(F.struct("ord", "data")).alias("parts"))
-    return files.join(parts.hint("merge"), "row", "left").select("doc_id", "n_bytes", "whole", "parts").mapInArrow(_rebuild, f"doc_id bigint, {_RESULT}")
+    out = None
+    for k in range(BUCKETS):
+        asked = lists.filter(F.col("bucket") == k).join(F.broadcast(hot), "digest", "left").select("row", "ord", "digest", F.pmod(F.xxhash64("row"), copies).cast("int").alias("copy"))
+        given = chunks.filter(F.col("buckets").bitwiseAND(1 << k) != 0).join(F.broadcast(hot), "digest", "left").select("digest", "data", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+        # no bound holds for the size of either: never broadcast, the same plan at every size
+        found = asked.join(given.hint("merge"), ["digest", "copy"]).select("row", "ord", "data")
+        parts = found.groupBy("row").agg(F.collect_list(F.struct("ord", "data")).alias("parts"))
+        there = files.filter(F.col("bucket") == k).join(parts.hint("merge"), "row", "left").select("doc_id", "n_bytes", "whole", "parts")
+        one = settle(there.mapInArrow(_rebuild, f"doc_id bigint, {_RESULT}"), "media")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def stored_media(docs: DataFrame) -> DataFrame:

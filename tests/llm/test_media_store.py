@@ -1,5 +1,7 @@
 """Chunk tables of media: what is stored, and that every file comes from it."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,3 +26,12 @@ def test_files_of_a_very_common_chunk_come_back(spark, monkeypatch):
     same = spark.createDataFrame([(i % 30, "the same text") for i in range(40)], "doc_id bigint, text string")
     got = media_chunks.stored_media(same).collect()
     assert len(got) == 40 and len({r.media_sha256 for r in got}) == 1
+
+
+def test_starts_of_texts_of_other_length_share_chunks(spark):
+    rng = random.Random(2)
+    start = "".join(rng.choice("abcdefgh ") for _ in range(1500))
+    docs = spark.createDataFrame([(1, start), (2, start + "x" * 400)], "doc_id bigint, text string")
+    _, lists, _ = media_chunks.store_media(docs)
+    first, other = ([bytes(r.digest) for r in rows] for rows in (lists.filter(F.col("row") == k.row).orderBy("ord").collect() for k in lists.select("row").distinct().collect()))
+    assert first[0] == other[0] and len(set(first) & set(other)) >= 2
