@@ -131,12 +131,13 @@ def _times(q: DataFrame, x: DataFrame, exponent: int, shift: float) -> DataFrame
     return y.unionByName(x.select("key", "node", (F.col("v") * shift).alias("v"))).groupBy("key", "node").agg(F.sum("v").alias("v"))
 
 
-def harmonic_fill(q: DataFrame, known: DataFrame, exponent: int = 1, shift: float = 0.0, rounds: int = 40, tolerance: float = 1e-10) -> DataFrame:
+def harmonic_fill(q: DataFrame, known: DataFrame, exponent: int = 1, shift: float = 0.0, rounds: int = 1000, tolerance: float = 1e-10) -> DataFrame:
     """key, node, x: x is 1 where known is 1; elsewhere M_AA x_A = -M_AB 1 with M = Q ** exponent + shift I.
 
     known: key, node, presence (0 or 1). A key without a 1 is 0 everywhere. All keys are
     solved together by conjugate gradients, one exponent of joins and two aggregates a
-    round; residuals, one number for each key, decide when to stop.
+    round, until each key's squared residual is under the tolerance. A ValueError is raised
+    if that takes more than the given rounds.
     """
     if exponent < 1 or exponent != int(exponent):
         raise ValueError("exponent must be a positive integer")
@@ -144,7 +145,12 @@ def harmonic_fill(q: DataFrame, known: DataFrame, exponent: int = 1, shift: floa
     free = known.filter("presence <> 1").select("key", "node").join(ones.select("key").distinct(), "key", "left_semi")
     b = _times(q, ones, exponent, 0.0).join(free, ["key", "node"], "right").select("key", "node", F.coalesce(-F.col("v"), F.lit(0.0)).alias("r"))
     state = cut(b.select("key", "node", F.lit(0.0).alias("x"), "r", F.col("r").alias("p")))
-    for _ in range(rounds):
+    left = state.groupBy("key").agg(F.sum(F.col("r") * F.col("r")).alias("rn")).agg(F.max("rn")).first()[0] or 0.0
+    done = 0
+    while not left < tolerance:
+        if done == rounds:
+            raise ValueError(f"a squared residual of {left} is left after {rounds} rounds")
+        done += 1
         ap = _times(q, state.select("key", "node", F.col("p").alias("v")), exponent, shift).withColumnRenamed("v", "ap")
         s = state.join(ap, ["key", "node"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
         sums = s.groupBy("key").agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("p") * F.col("ap")).alias("pap"))
@@ -154,8 +160,7 @@ def harmonic_fill(q: DataFrame, known: DataFrame, exponent: int = 1, shift: floa
         new = s.groupBy("key").agg(F.sum(F.col("r") * F.col("r")).alias("rn"))
         s = s.join(new, "key")
         state = cut(s.select("key", "node", "x", "r", (F.col("r") + F.when(F.col("rr") > 0, F.col("rn") / F.col("rr")).otherwise(0.0) * F.col("p")).alias("p"), "rn"))
-        if (state.agg(F.max("rn")).first()[0] or 0.0) < tolerance:
-            break
+        left = state.agg(F.max("rn")).first()[0] or 0.0
         state = state.drop("rn")
     solved = state.select("key", "node", "x")
     return known.select("key", "node", "presence").join(solved, ["key", "node"], "left").select("key", "node", F.when(F.col("presence") == 1, 1.0).otherwise(F.coalesce("x", F.lit(0.0))).alias("x"))
@@ -165,7 +170,7 @@ def presence_or_zero(presence: DataFrame) -> DataFrame:
     return presence.withColumn("presence", F.coalesce(F.when(F.col("presence") == 1, 1), F.lit(0)))
 
 
-def proximity_by_year(q: DataFrame, presence: DataFrame, exponents: Sequence[int], shift: float = 0.0, rounds: int = 40) -> DataFrame:
+def proximity_by_year(q: DataFrame, presence: DataFrame, exponents: Sequence[int], shift: float = 0.0, rounds: int = 1000) -> DataFrame:
     """geo, year_idx, y_proximity_exp<e>00: each year's fill stands in the next year; zeros in the first."""
     known = presence_or_zero(presence).select(F.col("year_idx").alias("key"), F.col("geo").alias("node"), "presence")
     out = None
@@ -192,7 +197,7 @@ def inherit_outer_proximity(proximity: DataFrame, presence: DataFrame, pairs: Da
     return j.withColumn(column, F.when(take, F.col("_o")).otherwise(F.col(column))).select(*proximity.columns)
 
 
-def proximity_from_draws(draws: DataFrame, q: DataFrame, pairs: DataFrame, exponent: int = 1, shift: float = 0.0, rounds: int = 40) -> DataFrame:
+def proximity_from_draws(draws: DataFrame, q: DataFrame, pairs: DataFrame, exponent: int = 1, shift: float = 0.0, rounds: int = 1000) -> DataFrame:
     """Next year's proximity from draws: presence where the mean probability is at least one half."""
     mean = draws.groupBy("geo", "year_idx").agg(F.avg("p").alias("m")).withColumn("presence", (F.col("m") >= 0.5).cast("int"))
     name = f"y_proximity_exp{exponent}00"

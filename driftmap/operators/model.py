@@ -89,7 +89,7 @@ def score_draws(design: DataFrame, draws: DataFrame, keys: Sequence[str] = ("geo
     return j.groupBy(*keys, "draw").agg(inverse_logit(F.sum(F.col("value") * F.col("coefficient"))).alias("p"))
 
 
-def recurrent_prediction(panel: DataFrame, q: DataFrame, start: DataFrame, coefficient_draws: DataFrame, fixed: Sequence[str], years: Sequence[int], spec: DataFrame | None = None, rounds: int = 20) -> DataFrame:
+def recurrent_prediction(panel: DataFrame, q: DataFrame, start: DataFrame, coefficient_draws: DataFrame, fixed: Sequence[str], years: Sequence[int], spec: DataFrame | None = None, rounds: int = 1000) -> DataFrame:
     """geo, year_idx, draw, p year by year: proximity of a year comes from the mean draws of the year before, the first year's from start.
 
     start: geo, y_proximity_exp100. With a bin spec of that column its bins enter the

@@ -29,7 +29,7 @@ def _q(v: Views):
 
 
 def _proximity(v: Views, exponents=(1,)):
-    return g.proximity_by_year(_q(v), v.presence.filter("year <= 1997"), exponents, rounds=8)
+    return g.proximity_by_year(_q(v), v.presence, exponents)
 
 
 query("polygon_neighbours", _QUEEN)(lambda v: g.polygon_neighbours(squares(v)))
@@ -46,12 +46,12 @@ _CEN = "d AS (SELECT src, dst, 2 * 6371.0088e0 * asin(sqrt(least(pow(sin(radians
 query("laplacian_centroid_weights", _CEN + "---SELECT src AS i, dst AS j, -exp(-l) / (1 - exp(-2 * l)) AS value FROM e UNION ALL SELECT src, src, sum(5e-1 + exp(-2 * l) / (1 - exp(-2 * l))) + CASE WHEN count(*) = 1 THEN 5e-1 ELSE 0e0 END FROM e GROUP BY src", "value")(lambda v: g.laplacian_centroid_weights(v.region, v.edges.join(m.pairwise_distance(v.region), (F.col("src") == F.col("i")) & (F.col("dst") == F.col("j"))).select("src", "dst", "dist")))
 query("links_to_laplacian", "k AS (SELECT a.geo AS i, b.geo AS j, CAST((a.region_id + b.region_id) % 7 + 1 AS DOUBLE) AS w FROM fx_edges JOIN fx_region a ON a.geo = src JOIN fx_region b ON b.geo = dst WHERE src < dst), b2 AS (SELECT i, j, w FROM k UNION ALL SELECT j, i, w FROM k)---SELECT i, j, -w AS value FROM b2 UNION ALL SELECT i, i, sum(w) FROM b2 GROUP BY i", "value")(lambda v: g.links_to_laplacian(v.sql("SELECT a.geo AS i, b.geo AS j, CAST((a.region_id + b.region_id) % 7 + 1 AS DOUBLE) AS weight FROM fx_edges JOIN fx_region a ON a.geo = src JOIN fx_region b ON b.geo = dst WHERE src < dst")))
 query("presence_or_zero", "SELECT geo, year, year_idx, CAST(coalesce(presence, 0) AS INT) AS presence FROM fx_presence")(lambda v: g.presence_or_zero(v.presence))
-query("harmonic_fill")(lambda v: g.harmonic_fill(_q(v), g.presence_or_zero(v.presence.filter("year <= 1996")).select(F.col("year_idx").alias("key"), F.col("geo").alias("node"), "presence"), 1, rounds=8))
+query("harmonic_fill")(lambda v: g.harmonic_fill(_q(v), g.presence_or_zero(v.presence).select(F.col("year_idx").alias("key"), F.col("geo").alias("node"), "presence"), 1))
 query("proximity_by_year")(_proximity)
 query("surrounded_regions", "SELECT 'G1' AS \"inner\", 'G2' AS \"outer\" UNION ALL SELECT 'G7', 'G8'")(lambda v: g.surrounded_regions(v.region, [("G1", "G2"), ("G7", "G8"), ("G1", "G2")]))
 _INH = "px AS (SELECT geo, year_idx, population % 97 / 9.7e1 AS x FROM fx_panel_year), bf AS (SELECT geo, year_idx + 1 AS year_idx, coalesce(presence, 0) AS was FROM fx_presence), pw AS (SELECT px.*, coalesce(was, 0) AS was FROM px LEFT JOIN bf ON px.geo = bf.geo AND px.year_idx = bf.year_idx)"
 query("inherit_outer_proximity", _INH + "---SELECT a.geo, a.year_idx, CASE WHEN o.geo IS NOT NULL AND a.was = 0 AND o.was = 0 THEN o.x ELSE a.x END AS x FROM pw a LEFT JOIN pw o ON o.year_idx = a.year_idx AND o.geo = CASE a.geo WHEN 'G1' THEN 'G2' WHEN 'G7' THEN 'G8' END", "x")(lambda v: g.inherit_outer_proximity(v.sql("SELECT geo, year_idx, population % 97 / 9.7e1 AS x FROM fx_panel_year"), v.presence, g.surrounded_regions(v.region, [("G1", "G2"), ("G7", "G8")]), "x"))
-query("proximity_from_draws")(lambda v: g.proximity_from_draws(v.draws.filter("year <= 1996").select("geo", "year_idx", F.col("p_fact").alias("p")), _q(v), g.surrounded_regions(v.region, [("G1", "G2")]), rounds=6))
+query("proximity_from_draws")(lambda v: g.proximity_from_draws(v.draws.select("geo", "year_idx", F.col("p_fact").alias("p")), _q(v), g.surrounded_regions(v.region, [("G1", "G2")])))
 query("proximity_map_table", _INH + "---SELECT geo, year_idx, CASE WHEN was <> 1 THEN x END AS x FROM pw WHERE year_idx = 3", "x")(lambda v: g.proximity_map_table(v.sql("SELECT geo, year_idx, population % 97 / 9.7e1 AS x FROM fx_panel_year"), v.presence, "x", 3))
 
 
