@@ -43,42 +43,56 @@ def neighbour_counts(regions: DataFrame, edges: DataFrame) -> DataFrame:
     return regions.select("geo").join(n, "geo", "left").select("geo", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"), F.coalesce("neighbours", F.array().cast("array<string>")).alias("neighbours"), F.col("degree").isNotNull().alias("has_neighbour"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """geo, component, size: components numbered from the largest down (ties by least geo).
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
-    Least labels spread along edges, and each label is replaced by its own label's label,
-    until none changes.
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """geo, label of every node with an edge to another one: the least node reachable, edges taken both ways.
+
+    Large-star and small-star steps alternate until no edge changes.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    label = cut(nodes.select("geo").distinct().withColumn("label", F.col("geo")))
-    for _ in range(rounds):
-        near = both.join(label, both["dst"] == label["geo"]).groupBy(F.col("src").alias("geo")).agg(F.min("label").alias("m"))
-        step = label.join(near, "geo", "left").select("geo", F.least("label", "m").alias("label"))
-        hop = step.select(F.col("geo").alias("label"), F.col("label").alias("up"))
-        new = cut(step.join(hop, "label", "left").select("geo", F.least("label", "up").alias("label")))
-        moved = new.join(label.withColumnRenamed("label", "old"), "geo").filter("label <> old").limit(1).count()
-        label = new
-        if not moved:
+    stars = cut(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    before = None
+    while True:
+        state = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if state == before or not state["n"]:
             break
+        before = state
+        stars = cut(_small_star(_large_star(stars)))
+    return stars.select(F.col("u").alias("geo"), F.col("v").alias("label")).unionByName(stars.select(F.col("v").alias("geo"), F.col("v").alias("label")).distinct())
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """geo, component, size: components numbered from the largest down (ties by least geo).
+
+    Edges with an end outside nodes are left out.
+    """
+    all_nodes = nodes.select("geo").distinct()
+    inside = edges.join(all_nodes, edges["src"] == all_nodes["geo"], "left_semi").join(all_nodes, edges["dst"] == all_nodes["geo"], "left_semi")
+    label = cut(all_nodes.join(_labels(inside), "geo", "left").select("geo", F.coalesce("label", "geo").alias("label")))
     size = label.groupBy("label").agg(F.count("*").alias("size"))
     rank = size.withColumn("component", F.row_number().over(Window.orderBy(F.desc("size"), "label")))
     return label.join(rank, "label").select("geo", "component", "size")
 
 
-def component_of(edges: DataFrame, start: str | None = None, rounds: int = 200) -> DataFrame:
-    """geo of the component of one node, by default that of the largest degree: breadth first, a join for each hop."""
+def component_of(edges: DataFrame, start: str | None = None) -> DataFrame:
+    """geo of the component of one node, by default that of the largest degree; edges go both ways."""
     spark = edges.sparkSession
     if start is None:
         top = edges.groupBy("src").count().orderBy(F.desc("count"), "src").first()
         start = top["src"]
-    seen = spark.createDataFrame([(start,)], "geo string")
-    edge = seen
-    for _ in range(rounds):
-        edge = cut(edge.join(edges, edge["geo"] == edges["src"]).select(F.col("dst").alias("geo")).distinct().join(seen, "geo", "left_anti"))
-        if edge.isEmpty():
-            break
-        seen = cut(seen.unionByName(edge))
-    return seen
+    label = cut(_labels(edges))
+    own = label.filter(F.col("geo") == start).select("label")
+    return label.join(own, "label", "left_semi").select("geo").unionByName(spark.createDataFrame([(start,)], "geo string")).distinct()
 
 
 def grid_and_chain_graph(nodes: DataFrame, removed_nodes: Sequence[int] = (), removed: Sequence[tuple[int, int]] = (), clique: Sequence[int] = ()) -> DataFrame:

@@ -85,3 +85,15 @@ def test_an_unfinished_fill_raises(spark):
     known = nodes.select(F.lit(1).alias("key"), F.col("geo").alias("node"), (F.col("geo") == "n0").cast("int").alias("presence"))
     with pytest.raises(ValueError, match="after 2 rounds"):
         graph.harmonic_fill(graph.laplacian_edges(nodes, edges, 0.9), known, rounds=2)
+
+
+def test_components_of_a_long_region_map(spark):
+    """The queries' map of 10 columns at 2,500 regions, which is over 200 hops long."""
+    at = {f"G{k}": (k // 10, k % 10) for k in range(1, 2501) if k % 10 != 3}
+    there = {p: n for n, p in at.items()}
+    links = [(n, there[i + a, j + b]) for n, (i, j) in at.items() for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)) if (i + a, j + b) in there]
+    nodes, edges = spark.createDataFrame([(n,) for n in at], "geo string"), spark.createDataFrame(links, "src string, dst string")
+    east = {n for n, (_, j) in at.items() if j > 3}
+    assert sorted(r.geo for r in graph.component_of(edges, "G4").collect()) == sorted(east)
+    got = {r.geo: (r.component, r.size) for r in graph.connected_components(nodes, edges).collect()}
+    assert got == {n: (1, len(east)) if n in east else (2, len(at) - len(east)) for n in at}
