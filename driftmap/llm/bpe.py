@@ -1,10 +1,11 @@
 """Byte-level BPE by forced boundaries.
 
-A byte pair that stands inside no token of the vocabulary can't be merged, so a cut there
-never splits a token. A cut is used where the pre-tokenizer is certain to cut too: before
-ASCII white space that follows none, and between ASCII letters, digits and other signs
-(apostrophes, which begin contractions, left out). The fragments are encoded each on its
-own, equal ones once, and their ids are put together again.
+A byte pair that stands inside no token of the vocabulary is a forced boundary: no merge can
+cross it, wherever it stands (in words, punctuation or characters of several bytes), and
+merges on its two sides don't touch each other. Every such pair of a text is cut. The
+pre-tokenizer's bounds, found from the classes of the whole text's characters before
+anything is cut, are kept as well, so that fragments need no context: each is encoded on its
+own by the vocabulary's merges alone, equal ones once, and the ids are put together again.
 """
 
 from __future__ import annotations
@@ -13,27 +14,40 @@ import functools
 import hashlib
 import itertools
 import json
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
+import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers.models import BPE
 
 from driftmap.llm import words as w
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Encoded fragments that a task remembers.
 REMEMBERED = 200_000
-#: The byte-level pre-tokenizer of the vocabulary (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Options of a tokenizer file that this encoder has; it refuses files with other ones.
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+_BEFORE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
 
-_KIND = np.zeros(256, np.int8)
-_KIND[33:127] = 3
-_KIND[48:58] = 2
-_KIND[65:91] = _KIND[97:123] = 1
-_KIND[0x27] = 0
+_LETTER, _NUMBER, _OTHER, _BLANK = range(4)
+#: Endings after an apostrophe that the byte-level pre-tokenizer keeps together (fixed values).
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """The class of each code point in the byte-level pre-tokenizer."""
+    every = "".join(map(chr, itertools.chain(range(0xD800), range(0xE000, 0x110000))))
+    out = np.full(0x110000, _OTHER, np.int8)
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_BLANK, r"[\t-\r\x85\p{Z}]+")):
+        for m in regex.finditer(pattern, every):
+            out[[*map(ord, m[0])]] = kind
+    return out
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -44,13 +58,19 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class Codec(NamedTuple):
-    merges: tiktoken.Encoding
+    merges: BPE
+    letters: dict[int, str]
     forced: np.ndarray
     special: dict[bytes, int]
     data: np.ndarray
     offset: np.ndarray
     known: dict[int, list[int]]
 
+    def fragment(self, piece: bytes) -> list[int]:
+        if piece in self.special:
+            return [self.special[piece]]
+        return [t.id for t in self.merges.tokenize(piece.decode("latin-1").translate(self.letters))]
+
 
 @functools.lru_cache(maxsize=2)
 def load(path: str | None = None) -> Codec:
@@ -61,53 +81,79 @@ def load(path: str | None = None) -> Codec:
         path = public_tokenizers.path(VOCABULARY)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    chars, vocab = _byte_of_char(), spec["model"]["vocab"]
-    merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
-    if merged != sorted(set(merged)) or spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel":
-        raise ValueError(f"{path} isn't a byte-level BPE whose ids follow its merges")
+    model, before, added = spec["model"], spec["pre_tokenizer"] or {}, spec["added_tokens"]
+    plain = not spec["normalizer"] and (spec["decoder"] or {}).get("type") == "ByteLevel"
+    for got, wanted in ((model, _MODEL), (before, _BEFORE), *((x, _ADDED) for x in added)):
+        plain = plain and all(got.get(k, v) == v for k, v in wanted.items())
+    if not plain:
+        raise ValueError(f"{path} isn't a plain byte-level BPE")
+    chars, vocab = _byte_of_char(), model["vocab"]
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
     tokens = {i: bytes(chars[c] for c in t) for t, i in vocab.items()}
-    merges = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks={t: i for i, t in tokens.items()}, special_tokens={})
     inside = np.zeros(65536, bool)
     for t in tokens.values():
         b = np.frombuffer(t, np.uint8).astype(np.int64)
         inside[b[:-1] * 256 + b[1:]] = True
-    special = {x["content"].encode(): x["id"] for x in spec["added_tokens"]}
+    special = {x["content"].encode(): x["id"] for x in added}
     tokens |= {i: t for t, i in special.items()}
     size = np.zeros(max(tokens) + 1, np.int64)
     for i, t in tokens.items():
         size[i] = len(t)
     data = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(len(size))), np.uint8)
-    return Codec(merges, ~inside, special, data, np.concatenate([[0], np.cumsum(size)]), {})
+    letters = {b: c for c, b in chars.items()}
+    return Codec(BPE(vocab, merges), letters, ~inside, special, data, np.concatenate([[0], np.cumsum(size)]), {})
+
+
+def pretoken_starts(chars: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """Where the byte-level pre-tokenizer begins a new piece. chars: code points; opens: where texts begin.
+
+    A piece is a run of one class. Of white space before something else the last character
+    stands alone; if it is a space, it goes with what follows. An apostrophe that begins a
+    piece and one of the endings are a piece.
+    """
+    n, kind = len(chars), _classes()[chars]
+    new = opens.copy()
+    new[1:] |= kind[1:] != kind[:-1]
+    last = np.flatnonzero((kind[:-1] == _BLANK) & (kind[1:] != _BLANK) & ~opens[1:])
+    new[last] = True
+    new[last[chars[last] == 0x20] + 1] = False
+    mark = np.flatnonzero((chars == 0x27) & new)
+    padded, bound = np.append(chars, [0, 0, 0]), np.append(opens, [True, True, True])
+    for ending in _ENDINGS:
+        fits = np.ones(len(mark), bool)
+        for j, c in enumerate(ending, 1):
+            fits &= (padded[mark + j] == ord(c)) & ~bound[mark + j]
+        there = mark[fits]
+        new[there + 1] = False
+        after = there + 1 + len(ending)
+        new[after[after < n]] = True
+    return new
 
 
 def cuts(codec: Codec, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Starts of all fragments."""
+    """Starts of all fragments: document bounds, special tokens, forced pairs, pieces of the pre-tokenizer."""
     n = len(data)
-    cut = np.zeros(n + 1, bool)
-    if n > 1:
-        left, right = data[:-1], data[1:]
-        forced = codec.forced[left.astype(np.int64) * 256 + right]
-        a, b = _KIND[left], _KIND[right]
-        by_kind = (a != b) & (a > 0) & (b > 0)
-        by_space = w.SPACE[right] & (left > 32) & (left != 127)
-        wide = np.zeros(n - 1, bool)  # the left character may be white space of several bytes
-        wide[1:] |= (data[:-2] == 0xC2) & ((left[1:] == 0x85) | (left[1:] == 0xA0))
-        wide[2:] |= (data[:-3] >= 0xE1) & (data[:-3] <= 0xE3) & np.isin(data[1:-2], (0x80, 0x81, 0x9A, 0xA0))
-        cut[1:n] = forced & (by_kind | (by_space & ~wide))
-    raw = None
-    for s in codec.special:
-        raw = data.tobytes() if raw is None else raw
-        p = raw.find(s)
-        while p >= 0:
-            z = p + len(s)
-            if np.searchsorted(bounds, p, "right") == np.searchsorted(bounds, z - 1, "right"):
-                cut[p + 1 : z] = False
-                cut[p] = cut[z] = True
-                p = raw.find(s, z)
-            else:
-                p = raw.find(s, p + 1)
-    cut[bounds] = True
-    return np.flatnonzero(cut[:n])
+    if not n:
+        return np.zeros(0, np.int64)
+    raw = data.tobytes()
+    opens, solid = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    opens[bounds] = True
+    if codec.special:
+        longest = sorted(codec.special, key=len, reverse=True)
+        wanted, p = re.compile(b"|".join(map(re.escape, longest))), 0
+        while m := wanted.search(raw, p):
+            a, p = m.span()
+            if opens[a + 1 : p].any():  # parts of two documents
+                p = a + 1
+                continue
+            opens[a] = opens[p] = True
+            solid[a + 1 : p] = True
+    cut = opens[:n].copy()
+    cut[1:] |= codec.forced[data[:-1].astype(np.int64) * 256 + data[1:]]
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    chars = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
+    cut[first[pretoken_starts(chars, opens[first])]] = True
+    return np.flatnonzero(cut & ~solid[:n])
 
 
 def encode_slice(codec: Codec, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,15 +163,14 @@ def encode_slice(codec: Codec, data: np.ndarray, bounds: np.ndarray) -> tuple[np
         return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
     end = np.append(start[1:], len(data))
     names, sample, which = np.unique(w.run_hash(w.BYTE_VALUE[data], start, end), return_index=True, return_inverse=True)
-    raw, known, one = data.tobytes(), codec.known, codec.merges.encode_ordinary
+    raw, known = data.tobytes(), codec.known
     if len(known) + len(names) > REMEMBERED:
         known.clear()
     found = []
     for h, a, z in zip(names.tolist(), start[sample].tolist(), end[sample].tolist(), strict=True):
         ids = known.get(h)
         if ids is None:
-            piece = raw[a:z]
-            ids = known[h] = [codec.special[piece]] if piece in codec.special else one(piece.decode("utf-8"))
+            ids = known[h] = codec.fragment(raw[a:z])
         found.append(ids)
     counts = np.fromiter(map(len, found), np.int64, len(found))
     ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(counts.sum()))
