@@ -1,127 +1,129 @@
 """Mixing sources to target weights, by blocks of words.
 
 Each source's documents, in a pseudorandom order, are one stream of words that is packed
-into blocks of BLOCK_WORDS. A source's target gives its number of slots: full passes over
-its blocks, then a part of one more. Each output shard draws its source counts from a
-multinomial; slots that a source drew beyond its number go, in order, to sources that drew
-too few, so that totals are those of the targets. A source's j-th slot takes the block at
-place j of the pass's pseudorandom permutation, and blocks are joined by that index.
+into blocks of BLOCK_WORDS; the last block of a stream may be shorter. Every output shard
+draws how many blocks it takes of each source: the whole part of a source's expected number
+is given to each shard, the rest of the shard's slots are a multinomial draw by the
+fractions that are left. Over all shards a source's draws are numbered; the j-th takes the
+block at place j of a pseudorandom permutation of the source's blocks, a new one for each
+pass over them, and blocks are joined by that index. So the draws alone decide what is
+taken: a source with fraction r in each of K shards is off its target by a standard
+deviation of at most sqrt(K * r) blocks, and by one block at its last, partial pass. A draw
+beyond a source's third pass is void, so that no document is taken more than three times.
+
+Sources, shards and slots are tables; the driver holds sums over them and at most
+shard_slots source numbers.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftmap.llm import words as w
-from driftmap.llm.tables import row_key, settle
+from driftmap.llm.tables import discard, numbered, row_key, settle, sums_before
 
-BLOCK_WORDS = 512
+BLOCK_WORDS = 128
 SHARD_SLOTS = 1024
 #: Documents of a part of a stream, on average.
-PART_DOCUMENTS = 10_000
+PART_DOCUMENTS = 1_000
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_PASSES = 3
-#: Weights and counts of this many sources, no more, are sent to tasks.
-MAX_SOURCES = 100_000
 SEED = 20240229
+#: Fractions of slots are counted in this unit.
+_UNIT = 1 << 30
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A pseudorandom permutation of range(n): a Feistel network on the least even number of bits, walked until it lands below n."""
-    if n < 2:
-        return index.astype(np.int64)
-    half = max(1, ((n - 1).bit_length() + 1) // 2)
-    low, keys = np.uint64((1 << half) - 1), [np.uint64(int.from_bytes(hashlib.blake2b(f"{key}:{r}".encode(), digest_size=8).digest(), "little")) for r in range(4)]
-    out = index.astype(np.uint64)
-    todo = np.arange(len(out))
+def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The place of each index in a pseudorandom permutation of range(n) that key picks: a Feistel network on an even number of bits, walked until it lands below n."""
+    half = np.maximum(1, (np.frexp((n - 1).astype(float))[1] + 1) // 2).astype(np.uint64)
+    low, top = (np.uint64(1) << half) - np.uint64(1), n.astype(np.uint64)
+    keys = [w.mix(key.astype(np.uint64) + r) for r in w._BASE * np.arange(1, 5, dtype=np.uint64)]
+    out, todo = index.astype(np.uint64), np.arange(len(index))
     while len(todo):
-        x = out[todo]
-        a, b = x >> np.uint64(half), x & low
+        x, h, m = out[todo], half[todo], low[todo]
+        a, b = x >> h, x & m
         for k in keys:
-            a, b = b, a ^ (w.mix(b ^ k) & low)
-        x = (a << np.uint64(half)) | b
-        out[todo] = x
-        todo = todo[x >= np.uint64(n)]
+            a, b = b, a ^ (w.mix(b ^ k[todo]) & m)
+        out[todo] = x = (a << h) | b
+        todo = todo[x >= top[todo]]
     return out.astype(np.int64)
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_PASSES) -> DataFrame:
-    """source, no, documents, source_size, target of each source; its windows go over one row for each source.
+    """source, no, documents, source_size, target of each source.
 
-    Sources are numbered by code point, null last. Targets share the total by weight; where
-    one would be above most times its source's size it stops there and the others share the
-    excess: in order of limit by weight, a source stops if its limit is within its share of
-    what the ones before it left.
+    Sources are numbered by code point, null last. Targets share the total by weight; those
+    above most times their source's size stop there and the others share what is left, by
+    weight, until none is above. Each round is one aggregate over the sources.
     """
     by = sized.groupBy("source").agg(F.count("*").alias("documents"), F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    by = numbered(by, F.col("source").asc_nulls_last(), "no")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("no"), F.lit(len(weights))) + 1).cast("int"))
-    by = by.withColumn("no", F.row_number().over(order) - 1).withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(float(most)))
-    up = Window.orderBy(F.col("_cap") / F.col("_w"), "no")
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(whole) - F.coalesce(F.sum("_cap").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    by = by.withColumn("_level", left / F.sum("_w").over(up.rowsBetween(0, Window.unboundedFollowing)))
-    by = by.withColumn("_stops", F.col("_cap") <= F.col("_w") * F.col("_level"))
-    level = F.max(F.when(~F.col("_stops"), F.struct(-F.col("_cap") / F.col("_w"), -F.col("no"), F.col("_level").alias("v")))).over(whole)
-    target = F.when(F.col("_stops"), F.col("_cap")).otherwise(F.col("_w") * level["v"])
+    by = settle(by.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(float(most))), "sources")
+    level, before = 0.0, -1
+    while True:
+        stops = F.col("_cap") <= F.col("_w") * F.lit(level)
+        sums = (F.count_if(stops), F.sum(F.when(stops, F.col("_cap"))), F.sum(F.when(~stops, F.col("_w"))), F.sum("source_size"))
+        stopped, capped, open_weight, total = by.agg(*sums).first()
+        if stopped == before or not open_weight:
+            break
+        before, level = stopped, (total - (capped or 0.0)) / open_weight
+    target = F.when(F.col("_cap") <= F.col("_w") * F.lit(level), F.col("_cap")).otherwise(F.col("_w") * F.lit(level))
     return by.select("source", "no", "documents", "source_size", target.alias("target"))
 
 
-class _Plan:
-    """Slots of all sources, by source number. Holds a few numbers for each source."""
-
-    def __init__(self, rows: list, block: int):
-        size = np.array([r["source_size"] for r in rows], np.int64)
-        words = np.minimum(np.rint([r["target"] for r in rows]).astype(np.int64), MOST_PASSES * size)
-        safe = np.maximum(size, 1)
-        self.block, self.full, self.tail = block, size // block, size % block
-        self.each = self.full + (self.tail > 0)
-        passes, rest = words // safe, words % safe
-        self.cut = rest % block
-        self.slots = passes * self.each + rest // block + (self.cut > 0)
-        self.total = int(self.slots.sum())
-
-    def dealt(self, drawn: np.ndarray) -> None:
-        over, short = np.maximum(drawn - self.slots, 0), np.maximum(self.slots - drawn, 0)
-        self.drawn, self.over_from, self.short_to = drawn, np.cumsum(over) - over, np.cumsum(short)
-
-    def take(self, no: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Source, pass, block and words of the j-th slots that sources no drew."""
-        no, j = no.copy(), j.copy()
-        extra = j >= self.slots[no]
-        r = self.over_from[no[extra]] + j[extra] - self.slots[no[extra]]
-        other = np.searchsorted(self.short_to, r, "right")
-        before = self.short_to[other] - np.maximum(self.slots[other] - self.drawn[other], 0)
-        no[extra], j[extra] = other, self.drawn[other] + r - before
-        turn, k = j // self.each[no], j % self.each[no]
-        at, size = k.copy(), np.full(len(k), self.block, np.int64)
-        for s in np.unique(no):
-            for t in np.unique(turn[no == s]):
-                here = np.flatnonzero((no == s) & (turn == t) & (k < self.full[no]))
-                at[here] = permute(k[here], int(self.full[s]), SEED * 1_000_003 + int(s) * 10 + int(t))
-        tail = k >= self.full[no]
-        size[tail] = self.tail[no[tail]]
-        last = (j == self.slots[no] - 1) & (self.cut[no] > 0)
-        size[last] = self.cut[no[last]]
-        return no, turn, at, size
-
-
-def _placed(sized: DataFrame, sources: DataFrame, documents: int) -> DataFrame:
+def draw_shards(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """shard, no, n: how many slots of each shard a source gets. sources: no, slots (expected over all shards)."""
+    spark = sources.sparkSession
+    total = round(sources.agg(F.sum("slots")).first()[0] or 0)
+    if not total:
+        return spark.createDataFrame([], "shard bigint, no bigint, n bigint")
+    shards = -(-total // shard_slots)
+    mean = F.col("slots") / F.lit(shards)
+    left = F.floor((mean - F.floor(mean)) * _UNIT).cast("long")
+    by = settle(sources.select("no", F.floor(mean).cast("long").alias("n"), left.alias("left")), "shares")
+    sure = [(r.no, r.n) for r in by.filter("n > 0").collect()]  # their sum is shard_slots at most
+    given = sum(n for _, n in sure)
+    ids = spark.range(shards).withColumnRenamed("id", "shard")
+    drawn = ids.select("shard", F.explode(F.array(*(F.struct(F.lit(no).alias("no"), F.lit(n).alias("n")) for no, n in sure))).alias("s")).select("shard", "s.no", "s.n") if sure else None
+    some = by.filter("left > 0")
+    mass, count = some.agg(F.sum("left"), F.count("*")).first()
+    if mass:
+        # each free slot falls on a point of a line that sources divide; lookups meet by cells of the line
+        width = -(-mass // count)
+        line = sums_before(some.select("no", "left"), "left", "no").withColumn("end", F.col("before") + F.col("left"))
+        line = line.select("no", "before", "end", F.explode(F.sequence(F.floor(F.col("before") / width), F.floor((F.col("end") - 1) / width))).alias("cell"))
+        free = F.lit(total // shards - given) + (F.col("shard") < total % shards).cast("int")
+        point = F.pmod(F.xxhash64(F.lit(seed), "shard", "i"), F.lit(mass))
+        points = ids.withColumn("free", free).filter("free > 0").select("shard", F.explode(F.sequence(F.lit(1), F.col("free"))).alias("i"))
+        points = points.withColumn("point", point).withColumn("cell", F.floor(F.col("point") / width))
+        rest = points.join(line, "cell").filter("before <= point and point < end").select("shard", "no", F.lit(1).cast("long").alias("n"))
+        drawn = rest if drawn is None else drawn.unionByName(rest)
+    return drawn.groupBy("shard", "no").agg(F.sum("n").alias("n"))
+
+
+def _fill(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    """The block of each slot, by the permutation of its source and pass."""
+    for b in batches:
+        shard, no, j, n = (b.column(c).to_numpy() for c in ("shard", "no", "j", "blocks"))
+        turn, k = j // n, j % n
+        key = w.mix(no.astype(np.uint64) * np.uint64(MOST_PASSES) + turn.astype(np.uint64) + w.mix(np.array([seed], np.uint64)))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shard, no, j, turn, permute(k, n, key))], ["shard", "no", "j", "turn", "block"])
+
+
+def _placed(sized: DataFrame, sources: DataFrame, documents: int, seed: int) -> DataFrame:
     """Each row's place in its source's stream: sums of parts first, then sums in each part."""
     parts = max(1, -(-documents // PART_DOCUMENTS))
     rows = sized.join(sources.select(F.col("source").alias("_source"), "no"), F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "_key", "no")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(SEED), "_key"), F.lit(parts)))
-    sums = rows.groupBy("no", "part").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("no", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "_key"), F.lit(parts)))
+    sums = sums_before(rows.groupBy("no", "part").agg(F.sum("size").alias("n")), "n", "part", ("no",)).select("no", "part", F.col("before").alias("base"))
     inner = Window.partitionBy("no", "part").orderBy(F.xxhash64("_key"), "_key").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     return rows.join(sums, ["no", "part"]).select("doc_id", "size", "_key", "no", (F.col("start") + F.col("base")).alias("start"))
@@ -133,79 +135,61 @@ def _sized(docs: DataFrame) -> DataFrame:
     return base.select("doc_id", "source", "_key", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size"))
 
 
-def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables of the mix: sources, slots, pieces.
+def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Four tables of the mix: sources, slots, placed, pieces.
 
-    sources: source, no, documents, source_size, target.
-    slots: shard, no, turn, block, words: what each output shard holds.
-    pieces: a row for each document and slot that takes words of it: doc_id, _key, no,
-    start (of the document in its stream; unique for documents of a source that have
-    words), size, turn, begin, words.
-    A null text has no words; null sources are one source, the last.
+    sources: source, no, documents, source_size, target, blocks, slots (expected).
+    slots: shard, no, j, turn, block: what each output shard holds.
+    placed: doc_id, _key, size, no, start: where each row stands in its source's stream;
+    start is unique for rows of a source that have words.
+    pieces: shard, no, j, turn, block, _key, start, size, begin, words: the words of a slot
+    that come from one document. A null text has no words; null sources are one source, the
+    last.
     """
-    spark = docs.sparkSession
     sized = settle(_sized(docs), "sizes")
-    sources = settle(source_targets(sized), "sources")
-    found = sources.count()
-    if found > MAX_SOURCES:
-        raise ValueError(f"{found} sources; at most {MAX_SOURCES}")
-    rows = sources.orderBy("no").collect()
-    plan = _Plan(rows, block)
-    shards = -(-plan.total // shard_slots)
-    share = plan.slots / max(1, plan.total)
-    total = plan.total
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for shard in b["id"]:
-                n = np.random.default_rng([SEED, int(shard)]).multinomial(min(shard_slots, total - int(shard) * shard_slots), share)
-                no = np.flatnonzero(n)
-                yield pd.DataFrame({"shard": shard, "no": no, "n": n[no]})
-
-    drawn = settle(spark.range(shards).mapInPandas(draw, "shard bigint, no bigint, n bigint"), "draws")
-    counts = np.zeros(len(rows), np.int64)
-    for r in drawn.groupBy("no").agg(F.sum("n").alias("n")).collect():
-        counts[r["no"]] = r["n"]
-    plan.dealt(counts)
-    before = Window.partitionBy("no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    begun = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shard, no, n, first = (b.column(c).to_numpy() for c in ("shard", "no", "n", "first"))
-            each = np.repeat(np.arange(len(n)), n)
-            j = first[each] + np.arange(len(each)) - (np.cumsum(n) - n)[each]
-            s, turn, at, size = plan.take(no[each], j)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shard[each], s, turn, at, size)], ["shard", "no", "turn", "block", "words"])
-
-    slots = settle(begun.mapInArrow(fill, "shard bigint, no bigint, turn bigint, block bigint, words bigint"), "slots")
-    placed = settle(_placed(sized, sources, sum(r["documents"] for r in rows)), "placed")
+    targets = source_targets(sized)
+    blocks = F.ceil(F.col("source_size") / block).cast("long")
+    expected = F.when(F.col("source_size") > 0, F.col("target") * blocks / F.col("source_size")).otherwise(0.0)
+    sources = settle(targets.withColumn("blocks", blocks).withColumn("slots", expected), "sources")
+    drawn = settle(draw_shards(sources, shard_slots, seed), "draws")
+    dealt = sums_before(drawn, "n", "shard", ("no",)).withColumn("j", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)))
+    dealt = dealt.join(sources.select("no", "blocks"), "no").filter(F.col("j") < MOST_PASSES * F.col("blocks")).select("shard", "no", "j", "blocks")
+    slots = settle(dealt.mapInArrow(partial(_fill, seed=seed), "shard bigint, no bigint, j bigint, turn bigint, block bigint"), "slots")
+    placed = settle(_placed(sized, sources, sources.agg(F.sum("documents")).first()[0] or 0, seed), "placed")
+    discard(sized, drawn)
     b = F.lit(block)
     spread = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
     begin = F.greatest(F.col("block") * b - F.col("start"), F.lit(0))
     end = F.least((F.col("block") + 1) * b - F.col("start"), F.col("size"))
-    spread = spread.withColumn("begin", begin).withColumn("end", end)
-    joined = spread.join(slots.drop("shard"), ["no", "block"])
-    got = F.least(F.col("end"), F.col("block") * b + F.col("words") - F.col("start")) - F.col("begin")
-    pieces = joined.select("doc_id", "_key", "no", "start", "size", "turn", "begin", got.alias("words")).filter("words > 0")
-    return sources, slots, _with_rest(pieces, placed)
+    spread = spread.select("_key", "no", "start", "size", "block", begin.alias("begin"), (end - begin).alias("words"))
+    return sources, slots, placed, spread.join(slots, ["no", "block"])
 
 
-def _with_rest(pieces: DataFrame, placed: DataFrame) -> DataFrame:
-    """Rows that no slot takes words of are there once, with null turn and begin and 0 words."""
-    key = ["no", "start", "size"]
-    taken = pieces.select(*(F.col(c).alias(f"_{c}") for c in key)).distinct()
-    rest = placed.join(taken, [placed[c] == taken[f"_{c}"] for c in key], "left_anti")
-    none = F.lit(None).cast("long")
-    return pieces.unionByName(rest.select("doc_id", "_key", "no", "start", "size", none.alias("turn"), none.alias("begin"), F.lit(0).cast("long").alias("words")))
+def mixed_sizes(docs: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken of each row of docs; see mix for nulls. Repeated rows stay and may differ in what is taken of them."""
+    sources, _, placed, pieces = mix(docs, block, shard_slots, seed)
+    taken = pieces.groupBy("no", F.col("start").alias("_start")).agg(F.sum("words").alias("taken"))
+    place = F.when(F.col("size") > 0, F.col("start"))
+    rows = placed.withColumn("_start", place).join(taken, ["no", "_start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+    return rows.join(sources.select("no", "source_size", "target"), "no").select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each row of docs; see mix for nulls. Repeated rows stay and may differ in what is taken of them."""
-    sources, _, pieces = mix(docs)
-    some = pieces.filter("size > 0").groupBy("no", "start", "doc_id", "size").agg(F.sum("words").alias("taken"))
-    none = pieces.filter("size = 0").select("no", "start", "doc_id", "size", F.col("words").alias("taken"))
-    return some.unionByName(none).join(F.broadcast(sources.select("no", "source_size", "target")), "no").select("doc_id", "size", "source_size", "target", "taken")
+def mixed_blocks(docs: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """shard, slot, source, turn, block, doc_ids, text: the blocks of each output shard, in a pseudorandom order from slot 0.
+
+    A block's words are joined by one space; doc_ids are its documents in order.
+    """
+    sources, _, _, pieces = mix(docs, block, shard_slots, seed)
+    own = pieces.groupBy("_key", "no", "start").agg(F.collect_list(F.struct("shard", "j", "turn", "block", "begin", "words")).alias("_pieces"))
+    keyed = docs.select("doc_id", "text", row_key("doc_id", "source", "text").alias("_k")).dropDuplicates(["_k"])
+    each = own.join(keyed, F.col("_key") == F.col("_k")).withColumn("_words", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))
+    each = each.select("doc_id", "no", "start", "_words", F.explode("_pieces").alias("p"))
+    part = F.array_join(F.slice("_words", (F.col("p.begin") + 1).cast("int"), F.col("p.words").cast("int")), " ")
+    each = each.select("no", "p.shard", "p.j", "p.turn", "p.block", F.struct("start", "doc_id", part.alias("text")).alias("part"))
+    whole = each.groupBy("shard", "no", "j", "turn", "block").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    slot = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "no", "j"), "no", "j")) - 1
+    whole = whole.withColumn("slot", slot).join(sources.select("no", "source"), "no")
+    return whole.select("shard", "slot", "source", "turn", "block", F.col("parts.doc_id").alias("doc_ids"), F.array_join("parts.text", " ").alias("text"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -214,8 +198,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Words are joined by one space; a text that is taken whole and once stays as it is.
     Rows of equal doc_id, source and text are told apart by what is taken of them only.
     """
-    _, _, pieces = mix(docs)
-    lists = pieces.filter("words > 0").groupBy("_key", "no", "start", "size").agg(F.sort_array(F.collect_list(F.struct("turn", "begin", "words"))).alias("_pieces"))
+    _, _, _, pieces = mix(docs)
+    lists = pieces.groupBy("_key", "no", "start", "size").agg(F.sort_array(F.collect_list(F.struct("turn", "begin", "words"))).alias("_pieces"))
     lists = lists.select(F.col("_key").alias("_k"), F.col("size").alias("_size"), "_pieces")
     keyed = docs.withColumn("_key", row_key("doc_id", "source", "text")).dropDuplicates(["_key"])
     joined = keyed.join(lists, F.col("_key") == F.col("_k"))

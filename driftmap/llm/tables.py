@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _CLEAN = "spark.sql.shuffleDependency.fileCleanup.enabled"
@@ -52,3 +52,27 @@ def row_key(*names: str) -> Column:
     """A 128-bit key of the named columns, nulls told apart from empty strings."""
     cols = [x for n in names for x in (F.col(n).isNull(), F.col(n))]
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(71), *reversed(cols)).alias("b"))
+
+
+def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """df with its place in the order given, from 0. Ranges are sorted each in its task; only their sizes are summed in one."""
+    ranges = settle(df.sort(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
+    base = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return ranges.withColumn("_in", inside).join(base, "_range").withColumn(name, F.col("_in") + F.col("_base")).drop("_range", "_in", "_base")
+
+
+def sums_before(df: DataFrame, value: str, place: str, by: tuple[str, ...] = (), width: int = 10_000) -> DataFrame:
+    """df with column before: the sum of value over the rows of equal by that have a smaller place.
+
+    place is a whole number, unique for by. Runs of width places are summed first, so that a
+    task holds a run, or one row for each run, and not all rows of a key.
+    """
+    rows = df.withColumn("_run", F.floor(F.col(place) / width))
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    runs = rows.groupBy(*by, "_run").agg(F.sum(value).alias("_sum"))
+    runs = runs.select(*by, "_run", F.coalesce(F.sum("_sum").over(ahead(Window.partitionBy(*by).orderBy("_run"))), zero).alias("_base"))
+    rows = rows.withColumn("_in", F.coalesce(F.sum(value).over(ahead(Window.partitionBy(*by, "_run").orderBy(place))), zero))
+    return rows.join(runs, [*by, "_run"]).withColumn("before", F.col("_in") + F.col("_base")).drop("_run", "_in", "_base")

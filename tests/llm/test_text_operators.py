@@ -99,52 +99,6 @@ def test_bpe_is_the_library(docs, rows):
     assert back == {i: t.decode(ids[i], skip_special_tokens=False) for i in ids}
 
 
-def test_mix_meets_targets(docs, rows):
-    got = mixing.mixed_sizes(docs).collect()
-    size, taken, target = Counter(), Counter(), {}
-    source = {i: s for i, _, _, s, _ in rows}
-    for r in got:
-        assert r.size == len(words(next(t for i, t, *_ in rows if i == r.doc_id)))
-        assert r.taken <= 3 * r.size
-        size[source[r.doc_id]] += r.size
-        taken[source[r.doc_id]] += r.taken
-        target[source[r.doc_id]] = r.target
-    order = sorted(size, key=lambda s: (s is None, s or ""))
-    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}
-    left, total, want = set(order), float(sum(size.values())), {}
-    while True:
-        share = {s: total * weight[s] / sum(weight[x] for x in left) for s in left}
-        over = {s for s in left if share[s] > 3 * size[s]}
-        if not over:
-            want |= share
-            break
-        for s in over:
-            want[s] = 3.0 * size[s]
-            total -= want[s]
-            left.discard(s)
-    for s in order:
-        assert abs(target[s] - want[s]) < 1e-6 * max(1, want[s])
-        assert abs(taken[s] - target[s]) <= 1
-    assert sorted(map(tuple, mixing.mixed_sizes(docs).collect())) == sorted(map(tuple, got))
-
-
-def test_mix_permutation_is_one():
-    import numpy as np
-
-    for n in (1, 2, 3, 17, 256, 1000):
-        assert sorted(mixing.permute(np.arange(n), n, 5).tolist()) == list(range(n))
-
-
-def test_mixed_texts_have_the_words_taken(docs):
-    sizes = Counter()
-    for r in mixing.mixed_sizes(docs).collect():
-        sizes[r.doc_id] += r.taken
-    texts = Counter()
-    for r in mixing.mixed_documents(docs).collect():
-        texts[r.doc_id] += len(words(r.text))
-    assert {k: v for k, v in sizes.items() if v} == dict(texts)
-
-
 def test_media_come_back(docs, rows):
     for r in media_chunks.stored_media(docs).collect():
         text = (next(t for i, t, *_ in rows if i == r.doc_id) or "").encode()
