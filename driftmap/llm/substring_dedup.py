@@ -4,16 +4,21 @@ A window is 13 consecutive words. A word goes if a window that covers it also st
 document with a smaller doc_id. Steps, each a Spark job over all documents:
 
 1. Anchors. Of the nine 5-word runs in a window the one of the least hash is its anchor, so
-   equal windows have equal anchors. Anchors found under one doc_id only are left out.
-2. Stretches. Words that windows of the other anchors cover are cut out of the texts; a
-   stretch's shard follows from the doc_id where its anchors were first seen, which keeps
-   copies of one text together.
-3. Confirmed passages: 64-bit hashes of the windows of stretches with their least doc_id,
-   for those in two documents or more, by a plain aggregate.
-4. Automata. Each shard's stretches are dealt in parts of bounded size; a part compiles the
-   shard's confirmed passages that it holds into an automaton over its words, and streams
-   the stretches through it to locate every occurrence.
-5. The located words are cut from the whole texts.
+   equal windows have equal anchors. Windows of anchors that only one document has can't
+   recur and go no further.
+2. Confirmed passages. The other windows are counted by their 64-bit hashes; each that two
+   documents have belongs to the first of them, its holder. Runs of windows that a document
+   holds are its passages, kept as words.
+3. Routes. Passages are dealt to shards by holder. A document goes, with its whole text, to
+   the shards whose holders it shares a window with; no other shard can find anything in it.
+4. Automata. A shard's passages are compiled into an automaton of the 7-word blocks that
+   tile them: every window holds one whole block. The documents' words are streamed through
+   it; each place where a block is found is compared word by word with the passage, and
+   where 13 words or more in a row agree is a place to remove. A shard that many documents
+   go to is dealt in parts of bounded size, each with the shard's passages.
+5. The words found are cut from the whole texts.
+
+The memory of a task follows the part size, the slice size and its longest document.
 """
 
 from __future__ import annotations
@@ -33,9 +38,13 @@ from driftmap.llm.tables import discard, settle
 
 WINDOW = 13
 ANCHOR = 5
-#: Anchors of a shard, on average, and words of a part of one.
-SHARD_ANCHORS = 6_000
-PART_WORDS = 250_000
+#: Words of a pattern: a window of 13 holds a whole one of the blocks that tile a passage.
+PATTERN = 7
+#: Windows of a shard's passages, on average, and bytes of a part of its documents.
+SHARD_WINDOWS = 50_000
+PART_BYTES = 4 << 20
+#: Words that are compared at once.
+COMPARED = 1 << 22
 #: Tells rows of one doc_id apart by their texts.
 _KEY = "_key bigint"
 
@@ -77,132 +86,178 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], places: bool) -> Iterator[pa
                 yield pa.RecordBatch.from_arrays([pa.array(w.signed(g)), ids.take(pa.array(doc + lo))], ["anchor", "doc_id"])
 
 
-def _words(t: pa.Table | pa.RecordBatch) -> pa.Array:
-    c = t.column("text")
-    return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document's windows with one of its kept anchors, the first of each hash."""
+    for b in batches:
+        places = b.column("places")
+        for lo, hi, x in w.batches(b.column("text")):
+            h = x.hashes()
+            at, _, of = anchors(x, h)
+            own = places.slice(lo, hi - lo)
+            kept = own.flatten().to_numpy() + np.repeat(x.first[:-1], np.diff(own.offsets.to_numpy()))
+            start, g = w.grams(h, x.doc, WINDOW)
+            some = np.isin(at, kept)[of]
+            start, g = start[some], g[some]
+            doc = x.doc[start]
+            order = np.lexsort((start, g, doc))
+            new = np.ones(len(order), bool)
+            new[1:] = (g[order][1:] != g[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+            first = order[new]
+            take = pa.array(doc[first] + lo)
+            yield pa.RecordBatch.from_arrays([pa.array(w.signed(g[first])), b.column("doc_id").take(take), b.column("_key").take(take), pa.array((start[first] - x.first[doc[first]]).astype(np.int32))], ["passage", "doc_id", "_key", "at"])
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each run of windows that a document holds."""
+    for b in batches:
+        ids, texts, own = b.column("doc_id").to_numpy(), [], b.column("own")
+        rows = []
+        for lo, hi, x in w.batches(b.column("text")):
+            for i in range(lo, hi):
+                at = np.sort(own[i].values.to_numpy()) + x.first[i - lo]
+                breaks = np.flatnonzero(np.diff(at) != 1)
+                for a, z in zip(at[np.append(0, breaks + 1)], at[np.append(breaks, len(at) - 1)] + WINDOW - 1, strict=True):
+                    rows.append(i)
+                    texts.append(x.data[x.start[a] : x.end[z]].tobytes().decode("utf-8", "replace"))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut the stretches out: all windows of a run of kept anchors of one shard."""
-    for b in batches:
-        places, shards = b.column("places"), b.column("shards")
-        rows = {k: [] for k in ("row", "shard", "start", "text")}
-        for lo, _, x in w.batches(b.column("text")):
-            at, _, of = anchors(x, x.hashes())
-            if not len(at):
-                continue
-            shard = np.full(len(at), -1, np.int64)
-            first = np.searchsorted(at, x.first)
-            for i in range(len(x.first) - 1):
-                p = places[lo + i].values
-                if p is None or not len(p):
-                    continue
-                p, s = p.to_numpy(zero_copy_only=False), shards[lo + i].values.to_numpy(zero_copy_only=False)
-                here = at[first[i] : first[i + 1]] - x.first[i]
-                j = np.searchsorted(here, p)
-                shard[first[i] + j] = s
-            starts = np.flatnonzero(x.doc[: len(x.doc) - WINDOW + 1] == x.doc[WINDOW - 1 :])
-            own = shard[of]
-            new = np.ones(len(starts), bool)
-            new[1:] = (np.diff(starts) != 1) | (own[1:] != own[:-1])
-            opens = np.flatnonzero(new)
-            closes = np.append(opens[1:], len(starts)) - 1
-            for o, c in zip(opens, closes, strict=True):
-                if own[o] < 0:
-                    continue
-                a, z = starts[o], starts[c] + WINDOW
-                d = x.doc[a]
-                rows["row"].append(lo + d)
-                rows["shard"].append(own[o])
-                rows["start"].append(a - x.first[d])
-                rows["text"].append(x.data[x.start[a] : x.end[z - 1]].tobytes().decode("utf-8", "replace"))
-        if rows["row"]:
-            take = pa.array(rows["row"])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("_key").take(take), pa.array(rows["shard"], pa.int64()), pa.array(rows["start"], pa.int32()), pa.array(rows["text"], pa.string())], ["doc_id", "_key", "shard", "start", "text"])
+def _text(t: pa.Table) -> pa.Array:
+    c = t.column("text")
+    return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, shards = b.column("doc_id").to_numpy(), b.column("shard").to_numpy()
-        for lo, _, x in w.batches(b.column("text")):
-            at, g = w.grams(x.hashes(), x.doc, WINDOW)
-            d = x.doc[at] + lo
-            yield pa.RecordBatch.from_arrays([pa.array(shards[d]), pa.array(w.signed(g)), pa.array(ids[d])], ["shard", "passage", "doc_id"])
-
-
-def _locate(parts: pa.Table, confirmed: pa.Table) -> pa.Table:
-    """Compile the confirmed passages of a part of a shard; stream its stretches through the automaton."""
-    text, ids, start = _words(parts), parts.column("doc_id").to_numpy(), parts.column("start").to_numpy()
-    known, least = confirmed.column("passage").to_numpy(), confirmed.column("least").to_numpy()
-    order = np.argsort(known)
-    known, least = known[order], least[order]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    number: dict[bytes, int] = {}
-    seen: set[int] = set()
-    streams = []
-    for lo, _, x in w.batches(text):
-        raw, edges = x.data.tobytes(), zip(x.start.tolist(), x.end.tolist(), strict=True)
-        symbols = [number.setdefault(raw[a:z], len(number) + 1) for a, z in edges]
-        at, g = w.grams(x.hashes(), x.doc, WINDOW)
-        if len(known):
-            g = w.signed(g)
-            j = np.minimum(np.searchsorted(known, g), len(known) - 1)
-            found = np.flatnonzero(known[j] == g)
-            for p, k in zip(at[found].tolist(), j[found].tolist(), strict=True):
-                if k not in seen:
-                    seen.add(k)
-                    automaton.add_word(tuple(symbols[p : p + WINDOW]), k)
-        streams.append((lo, x.first, symbols))
-    out: list[tuple[int, int, int]] = []
-    if len(automaton):
-        automaton.make_automaton()
-        for lo, first, symbols in streams:
-            for i in range(len(first) - 1):
-                row = lo + i
-                mine, base, end, begin = ids[row], int(start[row]), -1, 0
-                for last, k in automaton.iter(tuple(symbols[first[i] : first[i + 1]])):
-                    if least[k] < mine:
-                        if last - WINDOW + 1 > end:
-                            if end > 0:
-                                out.append((row, base + begin, base + end))
-                            begin = last - WINDOW + 1
-                        end = last + 1
-                if end > 0:
-                    out.append((row, base + begin, base + end))
-    rows, begins, ends = zip(*out, strict=True) if out else ((), (), ())
-    keys, take = parts.column("_key").combine_chunks(), pa.array(rows, pa.int64())
-    return pa.table({"doc_id": pa.array(ids[list(rows)] if rows else [], pa.int64()), "_key": keys.take(take), "begin": pa.array(begins, pa.int32()), "end": pa.array(ends, pa.int32())})
+def _symbols(h: np.ndarray) -> str:
+    """Three characters for each word, of 64 each: their alphabets differ, so that words meet whole words only."""
+    at = np.stack([(h >> np.uint64(6 * k)) & np.uint64(63) for k in range(3)], 1) + np.array([0x100, 0x140, 0x180], np.uint64)
+    return at.astype("<u4").tobytes().decode("utf-32-le")
+
+
+class Automaton:
+    """The blocks that tile the passages of a shard, compiled, with the passages' words and holders."""
+
+    def __init__(self, texts: pa.Array, holders: np.ndarray):
+        data, bounds = w.as_bytes(texts)
+        self.words = x = w.split(data[bounds[0] : bounds[-1]], bounds - bounds[0])
+        self.hashes, self.holders = x.hashes(), holders
+        length = np.diff(x.first)
+        tiles = np.maximum(length // PATTERN, 0)
+        place = np.repeat(x.first[:-1], tiles) + (np.arange(tiles.sum()) - np.repeat(np.cumsum(tiles) - tiles, tiles)) * PATTERN
+        symbols, number = _symbols(self.hashes), {}
+        which = np.fromiter((number.setdefault(symbols[3 * p : 3 * (p + PATTERN)], len(number)) for p in place.tolist()), np.int64, len(place))
+        self.machine = ahocorasick.Automaton()
+        for block, k in number.items():
+            self.machine.add_word(block, k)
+        self.machine.make_automaton()
+        self.places = place[np.argsort(which, kind="stable")]
+        self.edge = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(number)))]).astype(np.int64)
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word places where a block begins, and the places of equal blocks in the passages."""
+        if not len(self.machine):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = np.array(list(self.machine.iter(_symbols(h))), np.int64).reshape(-1, 2)
+        size = self.edge[found[:, 1] + 1] - self.edge[found[:, 1]]
+        return np.repeat((found[:, 0] + 1) // 3 - PATTERN, size), w.ragged(self.places, self.edge[found[:, 1]], size)
+
+    def locate(self, x: w.Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, first and last + 1 word of each stretch that a passage of an earlier document has."""
+        h, y = x.hashes(), self.words
+        p, q = self.hits(h)
+        inside = x.doc[p] == x.doc[np.minimum(p + PATTERN - 1, len(x.doc) - 1)] if len(p) else np.zeros(0, bool)
+        p, q = p[inside], q[inside]
+        later = ids[x.doc[p]] > self.holders[y.doc[q]]
+        p, q = p[later], q[later]
+        # a passage meets a document on a diagonal, p - q: each is compared once, from end to end
+        doc, held = x.doc[p], y.doc[q]
+        key = ((p - q) * len(y.first) + held) * len(x.first) + doc
+        at = np.unique(key, return_index=True)[1]
+        doc, held, shift = doc[at], held[at], (p - q)[at]
+        low, high = np.maximum(y.first[held], x.first[doc] - shift), np.minimum(y.first[held + 1], x.first[doc + 1] - shift)
+        size = high - low
+        found = []
+        chunk = np.cumsum(size) // COMPARED
+        for c in np.unique(chunk):
+            part = np.flatnonzero(chunk == c)
+            n = size[part]
+            j = w.ragged(np.arange(len(y.doc)), low[part], n)
+            i = j + np.repeat(shift[part], n)
+            same = h[i] == self.hashes[j]
+            same[same] = _equal(x, i[same], y, j[same])
+            begin, end = w._runs(same, np.concatenate([[0], np.cumsum(n)]))
+            long = end - begin >= WINDOW
+            first = i[begin[long]]
+            found.append((x.doc[first], first - x.first[x.doc[first]], (end - begin)[long]))
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        doc, begin, size = (np.concatenate(z) for z in zip(*found, strict=True))
+        return doc, begin, begin + size
+
+
+def _equal(x: w.Words, i: np.ndarray, y: w.Words, j: np.ndarray) -> np.ndarray:
+    """Whether words i of x and j of y are the same bytes."""
+    size = x.end[i] - x.start[i]
+    same = size == y.end[j] - y.start[j]
+    i, j, size = i[same], j[same], size[same]
+    differ = w.ragged(x.data, x.start[i], size) != w.ragged(y.data, y.start[j], size)
+    if len(size):
+        same[same] = np.add.reduceat(differ, np.cumsum(size) - size) == 0
+    return same
+
+
+def _locate(parts: pa.Table, passages: pa.Table) -> pa.Table:
+    """Stream the documents of a part of a shard through the shard's automaton."""
+    machine = Automaton(_text(passages), passages.column("doc_id").to_numpy())
+    ids, keys, rows, begins, ends = parts.column("doc_id").to_numpy(), parts.column("_key").to_numpy(), [], [], []
+    for lo, hi, x in w.batches(_text(parts)):
+        doc, begin, end = machine.locate(x, ids[lo:hi])
+        rows.append(doc + lo)
+        begins.append(begin)
+        ends.append(end)
+    rows, begins, ends = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (rows, begins, ends))
+    return pa.table({"doc_id": pa.array(ids[rows], pa.int64()), "_key": pa.array(keys[rows], pa.int64()), "begin": pa.array(begins.astype(np.int32)), "end": pa.array(ends.astype(np.int32))})
 
 
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).withColumn("_key", F.xxhash64("text"))
 
 
-def locate_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, _key, spans: the word ranges [begin, end) to remove of each document that has some."""
-    spark = docs.sparkSession
-    base = _keyed(docs).filter("doc_id is not null and text is not null")
+def confirmed_windows(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """windows (passage, doc_id, _key, at) that may recur, and confirmed (passage, least): those that two documents have."""
     once = base.select("doc_id", "text").mapInArrow(lambda it: _anchor_rows(it, False), "anchor bigint, doc_id bigint")
-    seen = once.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("anchor", "least")
+    seen = once.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("anchor")
     seen = settle(seen, "anchors")
-    shards = max(1, -(-seen.count() // SHARD_ANCHORS))
     placed = base.mapInArrow(lambda it: _anchor_rows(it, True), f"anchor bigint, doc_id bigint, {_KEY}, at int")
-    here = placed.join(seen, "anchor").select("doc_id", "_key", F.struct("at", F.pmod(F.xxhash64("least"), F.lit(shards)).alias("shard")).alias("p"))
-    by_doc = here.groupBy("doc_id", "_key").agg(F.array_sort(F.collect_set("p")).alias("p"))
-    by_doc = settle(by_doc.select("doc_id", "_key", F.col("p.at").alias("places"), F.col("p.shard").alias("shards")), "places")
-    cut = base.join(by_doc, ["doc_id", "_key"]).mapInArrow(_stretches, f"doc_id bigint, {_KEY}, shard bigint, start int, text string")
-    cut = settle(cut, "stretches")
+    by_doc = placed.join(seen, "anchor").groupBy("doc_id", "_key").agg(F.collect_set("at").alias("places"))
+    by_doc = settle(by_doc, "places")
+    windows = base.join(by_doc, ["doc_id", "_key"]).select("doc_id", "_key", "text", "places")
+    windows = settle(windows.mapInArrow(_windows, f"passage bigint, doc_id bigint, {_KEY}, at int"), "windows")
     discard(seen, by_doc)
-    windows = cut.select("doc_id", "shard", "text").mapInArrow(_windows, "shard bigint, passage bigint, doc_id bigint")
-    confirmed = windows.groupBy("shard", "passage").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    confirmed = settle(confirmed, "passages")
-    size = F.size(F.split("text", r"[\x20\x09-\x0D]+"))
-    parts = settle(cut.groupBy("shard").agg(F.sum(size).alias("n")).select("shard", F.greatest(F.lit(1), F.ceil(F.col("n") / PART_WORDS)).cast("int").alias("parts")), "parts")
-    dealt = cut.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")).cast("int")).drop("parts")
-    copied = confirmed.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    confirmed = windows.groupBy("passage").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("passage", "least")
+    return windows, settle(confirmed, "confirmed")
+
+
+def locate_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, _key, spans: the word ranges [begin, end) to remove of each document that has some."""
+    base = _keyed(docs).filter("doc_id is not null and text is not null")
+    windows, confirmed = confirmed_windows(base)
+    shards = F.lit(max(1, -(-confirmed.count() // SHARD_WINDOWS)))
+    shard_of = lambda c: F.pmod(F.xxhash64(c), shards).cast("int")
+    holds, later = F.col("doc_id") == F.col("least"), F.col("doc_id") > F.col("least")
+    roles = windows.join(confirmed, "passage").groupBy("doc_id", "_key")
+    roles = roles.agg(F.collect_set(F.when(holds, F.col("at"))).alias("own"), F.collect_set(F.when(later, shard_of("least"))).alias("shards"))
+    met = settle(base.join(roles, ["doc_id", "_key"]).select("doc_id", "_key", "text", "own", "shards"), "met")
+    discard(windows, confirmed)
+    held = met.filter(F.size("own") > 0).select("doc_id", "text", "own").mapInArrow(_passages, "doc_id bigint, text string")
+    passages = held.withColumn("shard", shard_of("doc_id"))
+    routed = met.select("doc_id", "_key", "text", F.explode("shards").alias("shard"))
+    size = F.octet_length("text").cast("long")
+    parts = settle(routed.groupBy("shard").agg(F.ceil(F.sum(size) / PART_BYTES).cast("int").alias("parts")), "parts")
+    dealt = routed.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "_key"), F.col("parts")).cast("int")).drop("parts")
+    copied = passages.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     found = dealt.groupBy("shard", "part").cogroup(copied.groupBy("shard", "part")).applyInArrow(_locate, f"doc_id bigint, {_KEY}, begin int, end int")
     spans = settle(found.groupBy("doc_id", "_key").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans")), "spans")
-    discard(cut, confirmed, parts)
+    discard(met, parts)
     return spans
 
 
