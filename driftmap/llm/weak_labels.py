@@ -1,11 +1,12 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote good, bad or nothing on each document. Documents are counted by
-their votes, at most 3 ** labellers rows, and expectation-maximisation over these counts,
-which cover all documents, estimates how often each labeller is right on good and on bad
-ones. The posterior of a document's votes is its label. A logistic scorer on hashed words
-and word shapes is trained on a bounded sample of posterior labels, then scores every
-document.
+Overlapping heuristic labellers vote good, bad or nothing on each document. Documents are
+counted by their votes, at most 3 ** labellers rows, and expectation-maximisation over these
+counts, which cover all documents, estimates the share of good documents and how often each
+labeller gives each vote on good and on bad ones; nothing is set by hand but a first guess,
+the majority of a document's votes. The posterior of a document's votes is its label. A
+logistic scorer on hashed words and word shapes is trained on a bounded sample of posterior
+labels, in an order that follows from the texts, then scores every document.
 """
 
 from __future__ import annotations
@@ -21,13 +22,12 @@ from driftmap.llm import words as w
 from driftmap.llm.quality_rules import text_counts
 from driftmap.llm.tables import settle
 
-LABELLERS = ("symbols", "repeats", "capitals", "bars", "length", "word_length", "shouts", "lines")
+LABELLERS = ("symbols", "plain", "repeats", "echoes", "capitals", "shouts", "bars", "lines", "length", "word_length", "stops")
 #: About this many documents, by hash, train the scorer.
 TRAIN_DOCUMENTS = 8_000
 DIMENSIONS = 1 << 14
-EM_ROUNDS = 60
-#: A labeller is taken to call at most this share of good documents bad.
-MAX_FALSE_ALARM = 0.002
+#: EM ends when no posterior moves by more than this.
+TOLERANCE = 1e-9
 EPOCHS = 6
 KEEP_SCORE = 0.5
 GOOD, BAD, NONE = 1, 0, 2
@@ -39,25 +39,39 @@ _CLASS[97:123] = 97
 _CLASS[128:] = 97
 
 
+def _above(value: np.ndarray, bad: float, good: float) -> np.ndarray:
+    """Bad above the one limit, good below the other, no vote between them."""
+    return np.where(value > bad, BAD, np.where(value < good, GOOD, NONE))
+
+
 def votes(x: w.Words) -> np.ndarray:
     """A row of votes for each document, by the order of LABELLERS."""
     c = text_counts(x)
     n = np.maximum(c["n_words"], 1)
     per = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[x.bounds])
     by_word = lambda flags: np.bincount(x.doc[flags], minlength=len(n)) / n
-    letters = per((x.data >= 65) & (x.data <= 90)) + per((x.data >= 97) & (x.data <= 122))
-    capitals = per((x.data >= 65) & (x.data <= 90)) / np.maximum(letters, 1)
-    ends = x.data[x.end - 1] if len(x.end) else np.zeros(0, np.uint8)
-    bars = by_word((x.end - x.start == 1) & (ends == 0x7C))
-    shouts = by_word(ends == 0x21)
-    symbols, repeats, chars = c["n_symbols"] / n, c["n_repeat_words"] / n, c["word_chars"] / n
-    dup = c["n_dup_lines"] / np.maximum(per(x.data == 10) + 1, 1)
-    never = np.zeros(len(n), bool)
-    rules = (
-        (symbols > 0.3, never), (repeats > 0.3, never), (capitals > 0.4, capitals < 0.15), (bars > 0.15, never),
-        (never, c["n_words"] >= 30), ((chars < 2) | (chars > 16), (chars > 3.5) & (chars < 9)), (shouts > 0.15, never), (dup > 0.5, never),
+    upper, lower = (x.data >= 65) & (x.data <= 90), (x.data >= 97) & (x.data <= 122)
+    letters = np.concatenate([[0], np.cumsum(upper | lower | (x.data >= 128))])
+    size, ends = x.end - x.start, x.data[x.end - 1] if len(x.end) else np.zeros(0, np.uint8)
+    stop = (ends == 0x2E) | (ends == 0x2C)
+    h = x.hashes(w.LOWER_VALUE)
+    echo = np.zeros(len(h), bool)
+    echo[1:] = (h[1:] == h[:-1]) & (x.doc[1:] == x.doc[:-1])
+    chars = c["word_chars"] / n
+    rows = (
+        _above(c["n_symbols"] / n, 0.3, 0.05),
+        _above(1 - by_word(letters[x.end] - letters[x.start] + stop == size), 0.4, 0.2),
+        _above(c["n_repeat_words"] / n, 0.3, 0.1),
+        _above(by_word(echo), 0.3, 0.1),
+        _above(per(upper) / np.maximum(per(upper) + per(lower), 1), 0.4, 0.15),
+        _above(by_word(ends == 0x21), 0.15, 0.05),
+        _above(by_word((size == 1) & (ends == 0x7C)), 0.15, 0.05),
+        _above(c["n_dup_lines"] / np.maximum(per(x.data == 10) + 1, 1), 0.5, 0.2),
+        np.where(c["n_words"] < 30, BAD, GOOD),
+        np.where((chars < 2) | (chars > 16), BAD, np.where((chars > 3.5) & (chars < 9), GOOD, NONE)),
+        _above(-by_word(stop), -0.02, -0.04),
     )
-    return np.stack([np.where(bad, BAD, np.where(good, GOOD, NONE)) for bad, good in rules], 1)
+    return np.stack(rows, 1)
 
 
 def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,22 +82,21 @@ def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EM over vote patterns: the posterior of good for each, and rates[labeller, class, vote]."""
-    k = patterns.shape[1]
-    post = np.where((patterns == BAD).any(1), 0.05, 0.95)
+    """EM over vote patterns: the posterior of good for each, and rates[labeller, class, vote].
+
+    One document is added to each vote of each labeller and class, and to each class, so
+    that no rate is 0; nothing else holds the estimates.
+    """
+    post = np.where((patterns == GOOD).sum(1) > (patterns == BAD).sum(1), 0.9, 0.1)
     hot = np.stack([patterns == v for v in (BAD, GOOD, NONE)], 2).astype(float)
-    rates = np.full((k, 2, 3), 1 / 3)
-    for _ in range(EM_ROUNDS):
-        prior = np.clip((post * counts).sum() / max(counts.sum(), 1), 0.02, 0.98)
-        for y, p in ((0, 1 - post), (1, post)):
-            n = np.einsum("p,pkv->kv", p * counts, hot) + 1.0
-            rates[:, y] = n / n.sum(1, keepdims=True)
-        false = rates[:, GOOD, BAD].copy()
-        rates[:, GOOD, BAD] = np.minimum(false, MAX_FALSE_ALARM)
-        rates[:, GOOD, 1:] *= ((1 - rates[:, GOOD, BAD]) / (1 - false))[:, None]
+    while True:
+        prior = ((post * counts).sum() + 1) / (counts.sum() + 2)
+        rates = np.stack([np.einsum("p,pkv->kv", p * counts, hot) + 1 for p in (1 - post, post)], 1)
+        rates /= rates.sum(2, keepdims=True)
         logs = np.einsum("pkv,kyv->py", hot, np.log(rates)) + np.log([1 - prior, prior])
-        post = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
-    return post, rates
+        before, post = post, 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
+        if np.abs(post - before).max(initial=0) <= TOLERANCE:
+            return post, rates
 
 
 def features(x: w.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,28 +119,33 @@ def features(x: w.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, key % DIMENSIONS, weight / norm[doc]
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    docs, labels, done = [], [], 0
-    for b in batches:
-        p = b.column("posterior").to_numpy()
-        for lo, hi, x in w.batches(b.column("text")):
-            d, i, v = features(x)
-            docs += [(i[d == k], v[d == k]) for k in range(hi - lo)]
-            labels.append(p[lo:hi])
-            done += hi - lo
+def train(texts: pa.Array, posterior: np.ndarray) -> np.ndarray:
+    """Weights of the scorer, by stochastic gradient steps over distinct texts in the order of their hashes."""
+    docs, names = [], []
+    for _, _, x in w.batches(texts):
+        d, i, v = features(x)
+        edge = np.searchsorted(d, np.arange(len(x.bounds)))
+        docs += [(i[a:z], v[a:z]) for a, z in zip(edge[:-1], edge[1:], strict=True)]
+        names.append(w.run_hash(w.BYTE_VALUE[x.data], x.bounds[:-1], x.bounds[1:]))
     weights = np.zeros(DIMENSIONS + 1)
-    if done:
-        y = np.concatenate(labels)
-        share = np.clip(y.mean(), 0.02, 0.98)
-        cost = np.where(y >= 0.5, 0.5 / share, 0.5 / (1 - share))
+    if docs:
+        order = np.argsort(np.concatenate(names))
+        share = np.clip(posterior[order].mean(), 0.02, 0.98)
+        cost = np.where(posterior >= 0.5, 0.5 / share, 0.5 / (1 - share))
         rng = np.random.default_rng(7)
         for epoch in range(EPOCHS):
-            for k in rng.permutation(done):
+            for k in order[rng.permutation(len(order))]:
                 i, v = docs[k]
                 p = 1 / (1 + np.exp(-np.clip(weights[i] @ v + weights[-1], -30, 30)))
-                g = 0.5 / (1 + epoch) * cost[k] * (y[k] - p)
+                g = 0.5 / (1 + epoch) * cost[k] * (posterior[k] - p)
                 weights[i] += g * v
                 weights[-1] += 0.2 * g
+    return weights
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("posterior", pa.float64())]))  # TRAIN_DOCUMENTS, about
+    weights = train(rows["text"].combine_chunks(), rows["posterior"].to_numpy())
     yield pa.RecordBatch.from_arrays([pa.array([weights.tolist()], pa.list_(pa.float64()))], ["weights"])
 
 
@@ -153,11 +171,11 @@ def classify(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, posterior, score, kept for each row of docs.
 
     Null, empty and blank texts have score 0 and aren't kept. Repeated rows stay; rows of
-    equal text have equal scores. Other columns are ignored.
+    equal text have equal scores, however the rows are dealt. Other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     voted = base.mapInArrow(_vote_rows, "doc_id bigint, votes bigint")
-    rows = voted.groupBy("votes").count().collect()  # at most 3 ** len(LABELLERS)
+    rows = sorted(voted.groupBy("votes").count().collect())  # at most 3 ** len(LABELLERS)
     codes = np.array([r["votes"] for r in rows], np.int64)
     counts = np.array([r["count"] for r in rows], float)
     patterns = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3

@@ -156,28 +156,6 @@ def test_warc(spark):
     assert got[2, "conversion"].block == "" and "Target-URI" not in got[2, "conversion"].head
 
 
-def test_weak_labels_on_held_out_labels(spark):
-    import os
-
-    folder = "/root/testdata/sf0.01"
-    if not os.path.isdir(folder):
-        return
-    got = weak_labels.classify(spark.read.parquet(f"{folder}/documents.parquet"))
-    known = got.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
-    right = sum(r.kept == (r.quality == 1) for r in known) / len(known)
-    clean = [r.kept for r in known if r.quality == 1]
-    assert right >= 0.9 and sum(clean) / len(clean) >= 0.95
-
-
-def test_em_finds_who_is_right():
-    import numpy as np
-
-    patterns = np.array([[0, 2, 2], [2, 1, 1], [0, 1, 2], [2, 1, 2]])
-    post, rates = weak_labels.estimate(patterns, np.array([50.0, 800.0, 30.0, 100.0]))
-    assert post[0] < 0.5 < post[1]
-    assert rates.shape == (3, 2, 3)
-
-
 ODD = {
     "dedup": substring_dedup.remove_repeats,
     "texts": substring_dedup.dedup_texts,
