@@ -104,7 +104,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = (g[order][1:] != g[order][:-1]) | (doc[order][1:] != doc[order][:-1])
             first = order[new]
             take = pa.array(doc[first] + lo)
-            yield pa.RecordBatch.from_arrays([pa.array(w.signed(g[first])), b.column("doc_id").take(take), b.column("_key").take(take), pa.array((start[first] - x.first[doc[first]]).astype(np.int32))], ["passage", "doc_id", "_key", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(w.signed(g[first])), b.column("doc_id").take(take), b.column("row").take(take), pa.array((start[first] - x.first[doc[first]]).astype(np.int32))], ["passage", "doc_id", "row", "at"])
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,32 +222,34 @@ def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).withColumn("_key", F.xxhash64("text"))
 
 
-def confirmed_windows(base: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """windows (passage, doc_id, _key, at) that may recur, and confirmed (passage, least): those that two documents have."""
+def confirmed_windows(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows (row, doc_id, _key) of documents with windows (passage, doc_id, row, at) that may recur, and confirmed (passage, least): those that two documents have."""
     once = base.select("doc_id", "text").mapInArrow(lambda it: _anchor_rows(it, False), "anchor bigint, doc_id bigint")
     seen = once.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("anchor")
     seen = settle(seen, "anchors")
     placed = base.mapInArrow(lambda it: _anchor_rows(it, True), f"anchor bigint, doc_id bigint, {_KEY}, at int")
     by_doc = placed.join(seen, "anchor").groupBy("doc_id", "_key").agg(F.collect_set("at").alias("places"))
-    by_doc = settle(by_doc, "places")
-    windows = base.join(by_doc, ["doc_id", "_key"]).select("doc_id", "_key", "text", "places")
-    windows = settle(windows.mapInArrow(_windows, f"passage bigint, doc_id bigint, {_KEY}, at int"), "windows")
-    discard(seen, by_doc)
+    by_doc = settle(by_doc.withColumn("row", F.monotonically_increasing_id()), "places")
+    windows = base.join(by_doc, ["doc_id", "_key"]).select("doc_id", "row", "text", "places")
+    windows = settle(windows.mapInArrow(_windows, "passage bigint, doc_id bigint, row bigint, at int"), "windows")
+    discard(seen)
     confirmed = windows.groupBy("passage").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("passage", "least")
-    return windows, settle(confirmed, "confirmed")
+    return by_doc, windows, settle(confirmed, "confirmed")
 
 
 def locate_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, _key, spans: the word ranges [begin, end) to remove of each document that has some."""
     base = _keyed(docs).filter("doc_id is not null and text is not null")
-    windows, confirmed = confirmed_windows(base)
+    rows, windows, confirmed = confirmed_windows(base)
     shards = F.lit(max(1, -(-confirmed.count() // SHARD_WINDOWS)))
     shard_of = lambda c: F.pmod(F.xxhash64(c), shards).cast("int")
     holds, later = F.col("doc_id") == F.col("least"), F.col("doc_id") > F.col("least")
-    roles = windows.join(confirmed, "passage").groupBy("doc_id", "_key")
+    roles = windows.join(confirmed, "passage").groupBy("row")
     roles = roles.agg(F.collect_set(F.when(holds, F.col("at"))).alias("own"), F.collect_set(F.when(later, shard_of("least"))).alias("shards"))
+    roles = settle(roles.join(rows.select("row", "doc_id", "_key"), "row").drop("row"), "roles")
+    discard(windows, confirmed, rows)
     met = settle(base.join(roles, ["doc_id", "_key"]).select("doc_id", "_key", "text", "own", "shards"), "met")
-    discard(windows, confirmed)
+    discard(roles)
     held = met.filter(F.size("own") > 0).select("doc_id", "text", "own").mapInArrow(_passages, "doc_id bigint, text string")
     passages = held.withColumn("shard", shard_of("doc_id"))
     routed = met.select("doc_id", "_key", "text", F.explode("shards").alias("shard"))
