@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmap.llm.tables import settle
+
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 #: Parts of host names that put a page's URL on the list of op1.
@@ -22,7 +24,8 @@ WORDS_PER_BLOCK = 4
 BLOCK_BYTES = 64
 #: Largest filter that is sent to every executor; a larger one is joined by block number.
 BROADCAST_BYTES = 8 << 20
-MAX_RULES = 1000
+#: Rules that are one expression; more of them are joined as a table.
+EXPRESSION_RULES = 200
 _SALTS = (0x47B6137B, 0x44974D91, 0x5824AD5B, 0x62B7289D)
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -43,9 +46,7 @@ def canonical(host: Column, path: Column) -> Column:
 
 
 def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
-    """The longest fitting rule and its verdict, null where none fits. At most MAX_RULES rules."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES}")
+    """The longest fitting rule and its verdict, null where none fits, as one expression."""
     name = verdict = F.lit(None).cast("string")
     for what, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -53,6 +54,17 @@ def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
     return name, verdict
 
 
+def match_rules(base: DataFrame, rules: DataFrame) -> DataFrame:
+    """base, distinct hosts and paths, with columns rule and _verdict, by a join of every end of a host with the rules. rules: verdict, host, path."""
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
+    asked = base.filter("host <> ''").select("host", "path", F.explode(ends).alias("_end"))
+    rules = rules.select("verdict", F.col("host").alias("_end"), F.col("path").alias("_begin"), F.concat("host", "path").alias("rule"))
+    fits = asked.join(rules, "_end").filter(F.col("path").startswith(F.col("_begin")))
+    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
+    return base.join(best, ["host", "path"], "left").select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("_verdict"))
+
+
 def _block(h: Column, blocks: int) -> Column:
     return F.shiftrightunsigned(h, 32) % F.lit(blocks)
 
@@ -80,25 +92,32 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     rule fits them and the empty canonical form is never listed. Other columns are ignored.
     """
     host, path = url_parts(F.col("url"))
-    base = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("canonical", canonical(F.col("host"), F.col("path")))
-    name, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    base = base.withColumn("rule", name).withColumn("_verdict", verdict).withColumn("_h", F.xxhash64("canonical"))
-    listed = listed.select("canonical").filter("canonical is not null and canonical <> ''").distinct()
+    base = pages.select("page_id", host.alias("host"), path.alias("path"))
+    if len(rules) <= EXPRESSION_RULES:
+        name, verdict = match_rule(F.col("host"), F.col("path"), rules)
+        base = base.withColumn("rule", name).withColumn("_verdict", verdict)
+    else:
+        table = pages.sparkSession.createDataFrame(list(rules), "verdict string, host string, path string")
+        base = base.join(match_rules(base.select("host", "path").distinct(), table), ["host", "path"])
+    base = base.withColumn("canonical", canonical(F.col("host"), F.col("path")))
+    keep = ["page_id", "host", "path", "canonical", "rule", "_verdict"]
+    # the host decides first: URLs without one, which share one key, are on no list
+    none, asked = base.filter("host = ''"), base.filter("host <> ''").withColumn("_h", F.xxhash64("canonical"))
+    listed = settle(listed.select("canonical").filter("canonical is not null and canonical <> ''").distinct(), "listed")
     count = listed.count()
     blocks = max(1, 1 << (max(1, count * BITS_PER_URL // (64 * WORDS_PER_BLOCK)) - 1).bit_length())
     bloom = bloom_table(listed, blocks)
     if blocks * BLOCK_BYTES <= BROADCAST_BYTES:
         bloom = F.broadcast(bloom)
-    probed = base.withColumn("_block", _block(F.col("_h"), blocks)).join(bloom, "_block", "left")
+    probed = asked.withColumn("_block", _block(F.col("_h"), blocks)).join(bloom, "_block", "left")
     passes = F.lit(True)
     for i, m in enumerate(_masks(F.col("_h"))):
         passes = passes & (F.coalesce(F.col(f"_w{i}"), F.lit(0).cast("long")).bitwiseAND(m) == m)
     probed = probed.withColumn("_maybe", passes)
-    keep = ["page_id", "host", "path", "canonical", "rule", "_verdict"]
     out = probed.filter(~F.col("_maybe")).select(*keep, F.lit(False).alias("listed"))
     hits = probed.filter("_maybe").select(*keep)
     exact = hits.join(listed.withColumn("_in", F.lit(True)), "canonical", "left").select(*keep, F.coalesce("_in", F.lit(False)).alias("listed"))
-    out = out.unionByName(exact)
+    out = out.unionByName(exact).unionByName(none.select(*keep, F.lit(False).alias("listed")))
     return out.select("page_id", "host", "path", "canonical", "rule", "listed", F.coalesce("_verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
 
@@ -122,13 +141,13 @@ WITH parts AS (
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
   FROM pages),
 c AS (SELECT *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html|/)$', '') AS canonical FROM parts),
-l AS (SELECT DISTINCT canonical FROM c WHERE canonical <> '' AND list_has_any(string_split(host, '.'), ['cheap-pills', 'free-bets', 'adult-x'])),
+l AS (SELECT DISTINCT canonical FROM c WHERE host <> '' AND canonical <> '' AND list_has_any(string_split(host, '.'), ['cheap-pills', 'free-bets', 'adult-x'])),
 r AS (SELECT c.*, l.canonical IS NOT NULL AS listed,
   CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
        WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
        WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
        WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
-  FROM c LEFT JOIN l ON c.canonical = l.canonical)
+  FROM c LEFT JOIN l ON c.host <> '' AND c.canonical = l.canonical)
 SELECT page_id, host, path, canonical, rule, listed,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
             WHEN listed THEN 'block' ELSE 'allow' END AS verdict

@@ -145,6 +145,28 @@ def test_bloom_passes_every_listed_url(spark):
     assert {r["verdict"]: r["count"] for r in got} == {"block": 3000, "allow": 3000}
 
 
+def test_urls_by_the_large_ways(spark, monkeypatch):
+    """Rules as a joined table, and a filter that is joined by block number."""
+    rng = random.Random(9)
+    hosts = ["net", "a.net", "example.net", "x.example.net", "example.com", "y.example.com", "a.org", "org", "spam.com", "www.spam.com", ""]
+    rows = [(i, rng.choice([f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/en/x', '/de/1', '/fr/', '/a.html'])}", None, "x"])) for i in range(300)]
+    pages, listed = spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame([("spam.com/a",), ("a.org",)], "canonical string")
+    want = sorted(map(tuple, url_filter.filter_urls(pages, listed).collect()), key=str)
+    assert {r[4] for r in want} == {None, "net/", "example.net/en/", "example.com/de/", "org/fr/"} and any(r[5] for r in want)
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, url_filter.filter_urls(pages, listed).collect()), key=str) == want
+    monkeypatch.setattr(url_filter, "EXPRESSION_RULES", 0)
+    assert sorted(map(tuple, url_filter.filter_urls(pages, listed).collect()), key=str) == want
+
+
+def test_odd_pages(spark):
+    rows = [(None, "http://a.net/x", "<p>x"), (1, None, None), (1, None, None), (2, "", ""), (3, "http://b/", "<p>" + "long " * 50_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'q' as host", "'r' as rule", "1 as text", "2 as block", "3 as payload", "'h' as http")
+    listed = spark.createDataFrame([], "canonical string")
+    assert url_filter.filter_urls(pages, listed).count() == 5 and url_filter.filter_urls(pages.limit(0), listed).count() == 0
+    assert warc.derivatives(warc.responses(pages)).count() == 10 and warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+
+
 def test_warc(spark):
     rows = [(1, "http://a/", "<html><head><title>T &amp; x</title></head><body><script>var a='<p>';</script><p>One  two</p><p>A &lt; b</p><a href='/x'>l</a></body></html>"), (2, None, None)]
     got = {(r.page_id, r.record_type): r for r in warc.derivatives(warc.responses(spark.createDataFrame(rows, "page_id bigint, url string, html string"))).collect()}
