@@ -19,9 +19,9 @@ from pyspark.sql import types as T
 from driftmap.llm import words as w
 from driftmap.llm.tables import row_key, settle
 
-MIN_DOCUMENTS = 20
+MIN_DOCUMENTS = 4
 HOST_PERCENT = 5
-LEFT_PERCENT = 30
+LEFT_PERCENT = 50
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 REPEAT_WINDOW = 5
@@ -97,7 +97,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _base(docs: DataFrame) -> DataFrame:
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source")]
-    return docs.select(*cols).withColumn("_key", row_key("doc_id", "source", "text")).withColumn("host", F.coalesce("source", F.lit("\0"))).drop("source")
+    return docs.select(*cols).withColumn("_key", row_key("doc_id", "source", "text")).withColumn("host", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))).drop("source")
 
 
 def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -165,8 +165,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-OP5_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce('+' || source, '-') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 ln AS (SELECT doc_id, host, l, array_to_string(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS h,
        len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n
        FROM (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS l FROM d) q WHERE len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) > 0),
@@ -176,13 +176,13 @@ tw AS (SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1),
 rp AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT g.doc_id, unnest(range(g.i, g.i + 5)) AS j FROM g JOIN tw ON g.doc_id = tw.doc_id AND g.g = tw.g) q GROUP BY doc_id),
 ho AS (SELECT host, count(DISTINCT doc_id) AS documents FROM d GROUP BY host),
 sp AS (SELECT host, h, count(DISTINCT doc_id) AS spread FROM ln GROUP BY host, h),
-ab AS (SELECT sp.host, sp.h FROM sp JOIN ho ON sp.host = ho.host WHERE spread > 20 AND 100 * spread > 5 * documents),
+ab AS (SELECT sp.host, sp.h FROM sp JOIN ho ON sp.host = ho.host WHERE spread > {MIN_DOCUMENTS} AND 100 * spread > {HOST_PERCENT} * documents),
 gn AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS gone FROM ln JOIN ab ON ln.host = ab.host AND ln.h = ab.h GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
       CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
       coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(gone, 0) AS n_removed_words
       FROM d LEFT JOIN du ON d.doc_id = du.doc_id LEFT JOIN rp ON d.doc_id = rp.doc_id LEFT JOIN gn ON d.doc_id = gn.doc_id)
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_removed_words > 0 AND 100 * (n_words - n_removed_words) < 30 * n_words) AS kept
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_removed_words > 0 AND 100 * (n_words - n_removed_words) < {LEFT_PERCENT} * n_words) AS kept
 FROM m
 """
