@@ -31,8 +31,6 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 PERCENT = 75
-#: Pairs whose signatures agree in fewer coordinates than this are not near 0.75: over five standard deviations.
-LEAST_AGREEING = 70
 #: Classes of one side of a block.
 BLOCK = 256
 _STEP = np.uint32(0x9E3779B1)
@@ -134,7 +132,7 @@ def _links(block: pa.Table) -> pa.Table:
         rest = told[comp[told] != comp[i]]
         same = sig[rest] == sig[i]
         first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[i]
-        rest = rest[first & (same.sum(1) >= LEAST_AGREEING)]
+        rest = rest[first]
         if not len(rest):
             continue
         mine, size = values[edge[i] : edge[i + 1]], edge[rest + 1] - edge[rest]
