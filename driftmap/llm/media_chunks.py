@@ -33,7 +33,7 @@ MASK_BITS = 8
 #: References that one copy of a stored chunk serves, and how many chunks are copied at most.
 COPY_ROWS, MAX_HOT = 256, 10_000
 #: Parts in which chunks are written and files rebuilt, one after the other, so that a job's shuffle files are those of a part.
-WRITES, BUCKETS = 4, 8
+WRITES, BUCKETS = 4, 16
 _GEAR = (w.BYTE_VALUE >> np.uint64(32)).astype(np.uint32)
 _RESULT = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 _FIELDS = [x.split()[0] for x in _RESULT.split(", ")]
@@ -165,9 +165,9 @@ def rebuild_media(files: DataFrame, lists: DataFrame, chunks: DataFrame) -> Data
     A chunk that many files have is given in several copies, so that its references are
     dealt over tasks; at most MAX_HOT chunks are.
     """
-    counts = lists.groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") > COPY_ROWS)
-    total = files.sparkSession.createDataFrame([(lists.count(),)], "total long")
-    hot = counts.crossJoin(F.broadcast(total)).filter(F.col("n") * MAX_HOT > F.col("total")).select("digest", F.ceil(F.col("n") / COPY_ROWS).cast("int").alias("copies"))
+    total = lists.count()
+    counts = lists.groupBy("digest").agg(F.count("*").alias("n")).filter((F.col("n") > COPY_ROWS) & (F.col("n") * MAX_HOT > total))
+    hot = counts.select("digest", F.ceil(F.col("n") / COPY_ROWS).cast("int").alias("copies"))
     hot = settle(hot, "hot")
     copies = F.coalesce("copies", F.lit(1))
     out = None
