@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; one temporary folder where none is set, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="driftmap-"))
+        base = _own[0]
+    return base.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the cluster's spark.checkpoint.dir; a temporary folder where none is set, as in tests."""
+    """checkpoint() in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="driftmap-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,12 +196,18 @@ def cpo_logscore(df: DataFrame, digits: int = 4) -> DataFrame:
 def calibration_curve(df: DataFrame, levels: Sequence[float], half: float, n_min: int, steps: int = 60, widen: float = 1.05) -> DataFrame:
     """Observed rate in windows around levels of p, each widened by a factor until it holds n_min rows.
 
-    Every level and step is one range of a short table; counts of all come from one pass.
+    Rows are counted once by the edges of all windows; windows are then sums over those
+    counts, whose number follows from the levels and steps.
     """
     w = [(float(c), k, max(0.0, c - half * widen**k), min(1.0, c + half * widen**k)) for c in levels for k in range(steps)]
-    windows = df.sparkSession.createDataFrame(w, "level double, step int, p_lower double, p_upper double")
-    hits = df.filter("presence is not null").select("p", "presence").join(F.broadcast(windows), F.col("p").between(F.col("p_lower"), F.col("p_upper")))
-    g = hits.groupBy("level", "step", "p_lower", "p_upper").agg(F.count("*").alias("n"), F.avg("presence").alias("empirical")).filter(F.col("n") >= n_min)
+    windows = df.sparkSession.createDataFrame([(*x, math.nextafter(x[3], math.inf)) for x in w], "level double, step int, p_lower double, p_upper double, end double")
+    edges = sorted({x for _, _, lo, hi in w for x in (lo, math.nextafter(hi, math.inf))})
+    rows = df.filter("presence is not null and p is not null and not isnan(p)").select(F.col("p").cast("double").alias("p"), "presence")
+    cells = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="p", outputCol="cell").transform(rows)
+    start = F.element_at(F.array(*map(F.lit, [-math.inf, *edges])), (F.col("cell") + 1).cast("int"))
+    counts = cells.groupBy("cell").agg(F.count("*").alias("m"), F.sum("presence").alias("ones")).select(start.alias("start"), "m", "ones")
+    hits = windows.join(counts, (F.col("start") >= F.col("p_lower")) & (F.col("start") < F.col("end")))
+    g = hits.groupBy("level", "step", "p_lower", "p_upper").agg(F.sum("m").alias("n"), (F.sum("ones") / F.sum("m")).alias("empirical")).filter(F.col("n") >= n_min)
     return g.groupBy("level").agg(F.min_by(F.struct("p_lower", "p_upper", "n", "empirical"), "step").alias("x")).select("level", "x.*")
 
 

@@ -9,7 +9,7 @@ from driftmap.plans.fixtures import Views
 from driftmap.plans.graph import squares
 from driftmap.plans.registry import query
 
-_CELL_SQL = "SELECT CAST(2 * grid_row + b AS INT) AS cell_row, CAST(2 * grid_col + a AS INT) AS cell_col, grid_col + 25e-2 + a * 5e-1 AS lon, grid_row + 25e-2 + b * 5e-1 AS lat, d.date, CASE WHEN (region_id + a + b) % 11 = 0 THEN NULL ELSE temperature + a * 1e0 - b * 5e-1 END AS value, d.geo FROM fx_daily d JOIN fx_region r ON d.geo = r.geo CROSS JOIN (SELECT 0 AS a UNION ALL SELECT 1) x CROSS JOIN (SELECT 0 AS b UNION ALL SELECT 1) y WHERE d.year = 1996 AND d.month = 1"
+_CELL_SQL = "SELECT CAST(2 * grid_row + b AS INT) AS cell_row, CAST(2 * grid_col + a AS INT) AS cell_col, grid_col + 25e-2 + a * 5e-1 AS lon, grid_row + 25e-2 + b * 5e-1 AS lat, d.date, CASE WHEN (region_id + a + b) % 11 = 0 THEN NULL ELSE temperature + a * 1e0 - b * 5e-1 END AS value, d.geo FROM fx_daily d JOIN fx_region r ON d.geo = r.geo CROSS JOIN (SELECT 0 AS a UNION ALL SELECT 1) x CROSS JOIN (SELECT 0 AS b UNION ALL SELECT 1) y"
 _CELLS = f"cl AS ({_CELL_SQL})"
 _AREA = "(6371.0088e0 * 6371.0088e0 * radians(5e-1) * (sin(radians(lat + 25e-2)) - sin(radians(lat - 25e-2))))"
 _DAYS = [f"1996-01-0{d}" for d in range(1, 6)]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from driftmap.operators import binning, graph
 from driftmap.operators import model as m
+from driftmap.operators.lineage import shared_folder
 from driftmap.plans.fixtures import Views
 from driftmap.plans.registry import query
 from driftmap.sources import tables as s
@@ -47,8 +47,7 @@ def _bin_effects(v: Views):
 
 
 def _folder(v: Views) -> str:
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="driftmap-")
-    return f"{base}/driftmap-io/{uuid.uuid4().hex}"
+    return f"{shared_folder(v.spark)}/driftmap-io/{uuid.uuid4().hex}"
 
 
 query("model_design", "SELECT geo, year, 'intercept' AS term, 1e0 AS value FROM fx_panel UNION ALL SELECT geo, year, 'temperature', temperature FROM fx_panel UNION ALL SELECT geo, year, 'precipitation', precipitation FROM fx_panel UNION ALL SELECT geo, year, 'land=' || CASE WHEN urban_land > 5e-1 THEN 2 ELSE 1 END, 1e0 FROM fx_panel", "value")(lambda v: m.model_design(_panel(v), FIXED, ("land",)))
@@ -70,34 +69,46 @@ query("fixed_effect_table", "SELECT 'Total Flux In' AS label, avg(temperature) A
 query("stdev_of_effect", "SELECT stddev_samp(temperature) AS stdev FROM fx_panel", "stdev")(lambda v: m.stdev_of_effect(v.panel.withColumnRenamed("temperature", "effect")))
 
 
-def _csv(v: Views):
-    days = [f"1996-01-0{d}" for d in range(1, 4)]
-    wide = v.daily.filter("year = 1996 and month = 1").groupBy("geo").pivot("date", days).agg(F.first("temperature")).withColumnRenamed("geo", "Location")
-    return wide, days
+def _by_year(v: Views, one):
+    """The union of what one gives for each year: its wide table of all days, the days, and a file of that year."""
+    out = None
+    for year, days in v.daily.groupBy("year").agg(F.sort_array(F.collect_set(F.col("date").cast("string"))).alias("d")).orderBy("year").collect():
+        wide = v.daily.filter(F.col("year") == year).groupBy("geo").pivot("date", days).agg(F.first("temperature")).withColumnRenamed("geo", "Location")
+        found = one(wide, days, f"{_folder(v)}/tas_mean_{year}.csv")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-_LONG = "SELECT geo AS location, date, temperature AS value FROM fx_daily WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-01-03'"
-_FULL = f"g AS (SELECT DISTINCT geo FROM fx_daily WHERE year = 1996 AND month = 1), dd AS (SELECT CAST(unnest(['1996-01-01', '1996-01-02', '1996-01-03']) AS DATE) AS date), lo AS ({_LONG})"
+_LONG = """
+ge AS (SELECT DISTINCT geo, year FROM fx_daily), dd AS (SELECT DISTINCT year, date FROM fx_daily),
+lo AS (SELECT ge.geo AS location, dd.date, d.temperature AS value FROM ge JOIN dd ON ge.year = dd.year LEFT JOIN fx_daily d ON d.geo = ge.geo AND d.date = dd.date)---
+SELECT * FROM lo"""
 
 
-def _write_read_csv(v: Views):
-    wide, _ = _csv(v)
-    path = _folder(v) + "/tas_mean_1996.csv"
-    s.write_csv(wide, path)
-    return s.read_daily_csv(v.spark, path).drop("file_year")
+def _read_csv(v: Views):
+    def one(wide, days, path):
+        s.write_csv(wide, path)
+        return s.read_daily_csv(v.spark, path).drop("file_year")
+
+    return _by_year(v, one)
 
 
 def _headerless(v: Views):
-    wide, days = _csv(v)
-    path = _folder(v) + "/tas_mean_1996.csv"
-    s.write_csv(wide, path)
-    return s.read_daily_csv_headerless(v.spark, path, ["Location", *days]).select("Location", F.col(days[0]).alias("first_day"))
+    def one(wide, days, path):
+        s.write_csv(wide, path)
+        return s.wide_to_long_daily(s.read_daily_csv_headerless(v.spark, path, ["Location", *days]), days)
+
+    return _by_year(v, one)
 
 
 def _annual(v: Views):
-    path = _folder(v) + "/population_1997.csv"
-    s.write_csv(v.panel_year.filter("year = 1997").select(F.col("geo").alias("Location"), F.col("population").alias("total population")), path)
-    return s.read_annual_csv(v.spark, path, {"Location": "geo", "total population": "population"}).select("geo", "population")
+    out = None
+    for year in [r.year for r in v.panel_year.select("year").distinct().orderBy("year").collect()]:
+        path = f"{_folder(v)}/population_{year}.csv"
+        s.write_csv(v.panel_year.filter(F.col("year") == year).select(F.col("geo").alias("Location"), F.col("population").alias("total population")), path)
+        one = s.read_annual_csv(v.spark, path, {"Location": "geo", "total population": "population"}).select("geo", "year", "population")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _scenarios(v: Views, only=None):
@@ -118,11 +129,11 @@ def _read_panel(v: Views):
     return s.read_panel(v.spark, path)
 
 
-_FILES = "SELECT concat('model', CAST(model AS STRING)) AS folder, concat('tas_', CASE WHEN year % 3 = 0 THEN 'ssp370_' ELSE 'hist_' END, CAST(year AS STRING), '.nc') AS path FROM fx_model_year WHERE geo IN ('G1', 'G2')"
-query("read_daily_csv", _FULL + "---SELECT g.geo AS location, dd.date, lo.value FROM g CROSS JOIN dd LEFT JOIN lo ON lo.location = g.geo AND lo.date = dd.date", "value")(_write_read_csv)
-query("wide_to_long_daily", _FULL + "---SELECT g.geo AS location, dd.date, lo.value FROM g CROSS JOIN dd LEFT JOIN lo ON lo.location = g.geo AND lo.date = dd.date", "value")(lambda v: s.wide_to_long_daily(*_csv(v)))
-query("read_daily_csv_headerless", _FULL + "---SELECT g.geo AS \"Location\", lo.value AS first_day FROM g LEFT JOIN lo ON lo.location = g.geo AND lo.date = DATE '1996-01-01'", "first_day")(_headerless)
-query("read_annual_csv", "SELECT geo, CAST(population AS DOUBLE) AS population FROM fx_panel_year WHERE year = 1997", "population")(_annual)
+_FILES = "SELECT concat('model', CAST(model AS STRING)) AS folder, concat('tas_', CASE WHEN year % 3 = 0 THEN 'ssp370_' ELSE 'hist_' END, CAST(year AS STRING), '.nc') AS path FROM fx_model_year"
+query("read_daily_csv", _LONG, "value")(_read_csv)
+query("wide_to_long_daily", _LONG, "value")(lambda v: _by_year(v, lambda wide, days, path: s.wide_to_long_daily(wide, days)))
+query("read_daily_csv_headerless", _LONG, "value")(_headerless)
+query("read_annual_csv", "SELECT geo, year, CAST(population AS DOUBLE) AS population FROM fx_panel_year", "population")(_annual)
 query("read_panel", "SELECT * FROM fx_panel", "temperature precipitation relative_humidity population primary_forested_area pasture_land urban_land")(_read_panel)
 query("find_input_by_pattern", _FILES.replace("STRING", "VARCHAR").join(("fl AS (", ")")) + "---SELECT folder, path, CAST(CASE WHEN regexp_matches(path, 'ssp370') THEN 0 ELSE 1 END AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY CASE WHEN regexp_matches(path, 'ssp370') THEN 0 ELSE 1 END, path) AS n FROM (SELECT DISTINCT * FROM fl) x) q WHERE n = 1")(lambda v: s.find_input_by_pattern(v.sql(_FILES).distinct(), ["ssp370", "hist"]))
 query("read_scenario_models", "SELECT geo, year, model, 'S1' AS scenario, temperature FROM fx_model_year WHERE year % 2 = 1", "temperature")(lambda v: _scenarios(v, ["S1"]))
