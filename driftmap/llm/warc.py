@@ -1,111 +1,187 @@
 """WARC derivatives: each response gives a metadata and a plain-text conversion record.
 
-Both refer to the response by its record id and carry its target URI, date and payload
-digest. Text extraction is by built-in regular expressions, in one pass over the responses
-and without a shuffle.
+Both refer to the response by its record id, target URI and date. The metadata block
+carries what the source record has: its payload digest and every line of its HTTP header.
+Records are made one response at a time inside Spark tasks, in one pass and without a
+shuffle; they can be written as WARC/1.1 files and read back.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import html
+import re
+import uuid
+from collections.abc import Iterator
+from html.entities import html5
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Of pages, which hold no capture time and no header of their own.
 CAPTURED = "2024-01-01T00:00:00Z"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
-#: What is replaced, in this order, to turn HTML into text.
-TO_TEXT = (
-    (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->", " "),
-    (r"(?i)<(?:br|/?(?:p|div|li|ul|ol|tr|table|nav|article|section|header|footer|h[1-6]|body|html|blockquote|pre))\b[^>]*>", "\n"),
-    (r"<[^>]*>", ""),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
-    (r"[ \t\r\f\x0B]+", " "),
-    (r" ?\n[ \n]*", "\n"),
-    (r"^[ \n]+|[ \n]+$", ""),
+_SKIPPED = r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->"
+_BLOCKS = r"(?i)<(?:br|/?(?:p|div|li|ul|ol|tr|table|nav|article|section|header|footer|h[1-6]|body|html|blockquote|pre))\b[^>]*>"
+_TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
+_LINK = r"(?i)<a\b[^>]*\bhref\s*="
+_skipped, _blocks, _title, _link, _tag = (re.compile(p) for p in (_SKIPPED, _BLOCKS, _TITLE, _LINK, r"<[^>]*>"))
+_run, _lines = re.compile(r"[ \t\r\f\x0B]+"), re.compile(r" ?\n[ \n]*")
+_SCHEMA = (
+    "page_id {page}, record_type string, record_id string, refers_to string, refers_to_target_uri string, refers_to_date string, "
+    "source_digest string, content_type string, content_length bigint, block_digest string, block string, head string"
 )
+_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
+
+
+def record_id(*parts: str | None) -> str:
+    """A <urn:uuid:...> that follows from the parts; nulls count as empty."""
+    return f"<{uuid.UUID(hashlib.md5(chr(10).join(p or '' for p in parts).encode()).hexdigest()).urn}>"
+
+
+def digest(block: bytes) -> str:
+    return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+
+
+def html_text(page: str) -> str:
+    """The text of a page: scripts, styles, the head and comments go, blocks become lines, references become characters."""
+    text = _tag.sub("", _blocks.sub("\n", _skipped.sub(" ", page)))
+    return _lines.sub("\n", _run.sub(" ", html.unescape(text).replace("\xa0", " "))).strip(" \n")
+
+
+def metadata_block(payload: str, text: str, source_digest: str, http: str | None) -> str:
+    """The fields of a metadata record: what was found in the payload, and the source's digest and header lines."""
+    found = _title.search(payload)
+    fields = [
+        ("title", re.sub(r"[ \t\r\n\f\x0B]+", " ", html.unescape(found[1]) if found else "")),
+        ("outlinks", len(_link.findall(payload))),
+        ("text-bytes", len(text.encode())),
+        ("source-payload-digest", source_digest),
+    ]
+    status, *lines = [x for x in (http or "").split("\r\n") if x] or [""]
+    fields += [("source-status", status), *(("source-header", x) for x in lines)]
+    return "".join(f"{name}: {value}\r\n" for name, value in fields)
 
 
-def record_id(*parts: Column) -> Column:
-    """A urn:uuid that follows from the parts; nulls count as empty."""
-    h = F.md5(F.concat_ws("\n", *(F.coalesce(p, F.lit("")) for p in parts)))
-    cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *cut))
+def record_head(kind: str, ident: str, refers_to: str, uri: str | None, date: str | None, content_type: str, block: bytes) -> str:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {ident}", f"WARC-Refers-To: {refers_to}"]
+    if uri is not None:
+        lines += [f"WARC-Target-URI: {uri}", f"WARC-Refers-To-Target-URI: {uri}"]
+    if date is not None:
+        lines += [f"WARC-Date: {date}", f"WARC-Refers-To-Date: {date}"]
+    lines += [f"WARC-Block-Digest: {digest(block)}", f"Content-Type: {content_type}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines) + "\r\n\r\n"
 
 
-def html_text(html: Column) -> Column:
-    for pattern, new in TO_TEXT:
-        html = F.replace(html, F.lit(pattern), F.lit(new)) if pattern.startswith("&") else F.regexp_replace(html, pattern, new)
-    return html
+def _derive(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    types = [kind, *[pa.string()] * 7, pa.int64(), *[pa.string()] * 3]
+    for b in batches:
+        rows = []
+        for page, source, uri, date, http, payload in zip(*(b.column(c).to_pylist() for c in ("page_id", "record_id", "target_uri", "date", "http", "payload")), strict=True):
+            payload = payload or ""
+            text, of_source = html_text(payload), digest(payload.encode())
+            for name, content_type, block in (("metadata", "application/warc-fields", metadata_block(payload, text, of_source, http)), ("conversion", "text/plain; charset=utf-8", text)):
+                ident, raw = record_id(name, source), block.encode()
+                rows.append((page, name, ident, source, uri, date, of_source, content_type, len(raw), digest(raw), block, record_head(name, ident, source, uri, date, content_type, raw)))
+        cols = zip(*rows, strict=True) if rows else [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], _NAMES)
 
 
-def _sha(c: Column) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(c, 256))
+def responses(pages: DataFrame, captured: str = CAPTURED, http: str = HTTP_HEAD) -> DataFrame:
+    """Response records of pages: page_id, record_id, target_uri, date, http, payload. A null html is an empty payload."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    ident = _uuid(F.md5(F.concat_ws("\n", F.lit("response"), text("page_id"), text("url"))))
+    return pages.select("page_id", ident.alias("record_id"), F.col("url").alias("target_uri"), F.lit(captured).alias("date"), F.lit(http).alias("http"), text("html").alias("payload"))
 
 
-def responses(pages: DataFrame, captured: str = CAPTURED) -> DataFrame:
-    """Response records of pages: page_id, record_id, target_uri, date, http, payload, payload_digest. A null html is an empty payload."""
-    payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    ident = record_id(F.lit("response"), F.col("page_id").cast("string"), F.col("url"))
-    return pages.select(F.col("page_id"), ident.alias("record_id"), F.col("url").alias("target_uri"), F.lit(captured).alias("date"), F.lit(HTTP_HEAD).alias("http"), payload.alias("payload"), _sha(payload).alias("payload_digest"))
+def _uuid(h: Column) -> Column:
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
 def derivatives(found: DataFrame) -> DataFrame:
     """Two records for each response: metadata and conversion.
 
-    page_id, record_type, record_id, refers_to, refers_to_target_uri, refers_to_date,
-    source_digest, content_type, content_length, block_digest, block, head. content_length
-    is in bytes. A payload without text has an empty conversion block, a null target URI
-    leaves its header out. Repeated responses give repeated records.
+    found: page_id, record_id, target_uri, date, http (status and header lines), payload;
+    other columns are ignored. The result: page_id, record_type, record_id, refers_to,
+    refers_to_target_uri, refers_to_date, source_digest (of the payload), content_type,
+    content_length (in bytes), block_digest, block, head. A null or empty payload, or one
+    without text, has an empty conversion block; a null URI or date leaves its headers out.
+    Repeated responses give repeated records. A task holds one batch of responses.
     """
-    text = html_text(F.col("payload"))
-    title = F.regexp_replace(F.regexp_extract("payload", r"(?is)<title\b[^>]*>(.*?)</title", 1), r"[ \t\r\n\f\x0B]+", " ")
-    links = F.regexp_count("payload", F.lit(r"(?i)<a\b[^>]*\bhref\s*="))
-    base = found.withColumn("text", text).withColumn("title", title).withColumn("links", links)
-    fields = F.concat(F.lit("title: "), "title", F.lit("\r\noutlinks: "), F.col("links").cast("string"), F.lit("\r\ntext-bytes: "), F.octet_length("text").cast("string"), F.lit("\r\nsource-content-type: "), F.regexp_extract("http", r"(?i)content-type: ([^\r\n]*)", 1), F.lit("\r\n"))
-    # the kinds come from an explode above the text, which is so computed once for both
-    kind = F.explode(F.array(F.lit("metadata"), F.lit("conversion"))).alias("record_type")
-    out = base.withColumn("fields", fields).select("page_id", F.col("record_id").alias("refers_to"), F.col("target_uri").alias("refers_to_target_uri"), F.col("date").alias("refers_to_date"), F.col("payload_digest").alias("source_digest"), "fields", "text", kind)
-    meta = F.col("record_type") == "metadata"
-    out = out.withColumn("block", F.when(meta, F.col("fields")).otherwise(F.col("text"))).withColumn("content_type", F.when(meta, "application/warc-fields").otherwise("text/plain; charset=utf-8"))
-    out = out.withColumn("record_id", record_id(F.col("record_type"), F.col("refers_to"))).withColumn("block_digest", _sha(F.col("block"))).withColumn("content_length", F.octet_length("block").cast("long"))
-    line = lambda name, c: F.concat(F.lit(f"{name}: "), F.col(c).cast("string"))
-    head = F.concat_ws("\r\n", F.lit("WARC/1.1"), line("WARC-Type", "record_type"), line("WARC-Record-ID", "record_id"), line("WARC-Refers-To", "refers_to"), line("WARC-Target-URI", "refers_to_target_uri"), line("WARC-Date", "refers_to_date"), line("WARC-Source-Payload-Digest", "source_digest"), line("WARC-Block-Digest", "block_digest"), line("Content-Type", "content_type"), line("Content-Length", "content_length"), F.lit("\r\n"))
-    return out.withColumn("head", head).select("page_id", "record_type", "record_id", "refers_to", "refers_to_target_uri", "refers_to_date", "source_digest", "content_type", "content_length", "block_digest", "block", "head")
+    page = found.schema["page_id"].dataType
+    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[page.simpleString()]
+    cols = ["page_id", *(F.col(c).cast("string").alias(c) for c in ("record_id", "target_uri", "date", "http", "payload"))]
+    return found.select(*cols).mapInArrow(lambda it: _derive(it, kind), _SCHEMA.format(page=page.simpleString()))
+
+
+def write_warc(records: DataFrame, path: str) -> None:
+    """Write records (columns head and block) as WARC/1.1 files, one for each partition."""
+    records.select(F.concat("head", "block")).write.option("lineSep", "\r\n\r\n").text(path)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """headers (a map), block of the records of WARC/1.1 files; files are split at record starts. An error is raised where a block isn't as long as its header says."""
+    raw = spark.read.option("lineSep", "WARC/1.1\r\n").text(path).filter("value <> ''")
+    split = F.split("value", "\r\n\r\n", 2)
+    pairs = F.transform(F.split(split[0], "\r\n"), lambda x: F.struct(F.substring_index(x, ": ", 1).alias("k"), F.regexp_replace(x, "^[^:]*: ?", "").alias("v")))
+    found = raw.select(F.map_from_entries(pairs).alias("headers"), F.regexp_replace(split[1], r"\r\n\r\n\z", "").alias("block"))
+    whole = F.octet_length("block") == F.col("headers")["Content-Length"].cast("long")
+    return found.withColumn("block", F.when(whole, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("a record is cut off: "), F.to_json("headers")))))
 
 
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
-def _sql_text(x: str) -> str:
-    for pattern, new in TO_TEXT:
-        quote = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-        x = f"regexp_replace({x}, {quote(pattern)}, {quote(new)}, 'g')"
-    return x
+def _quoted(t: str) -> str:
+    return "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _sql_references(x: str) -> str:
+    """Character references by the table of the standard library; numbers by code point, those of 128 to 159 by that table too."""
+    table = dict(html5) | {f"#{n};": html.unescape(f"&#{n};") for n in range(128, 160)}
+    names = f"map([{', '.join(map(_quoted, table))}], [{', '.join(map(_quoted, table.values()))}])"
+    short = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+    name = r"regexp_extract(p, '^(#[0-9]+;?|[^ <&#;\t\n\f]{1,32};?)')"
+    start = f"regexp_extract(p, '^({short})')"
+    one = (
+        f"CASE WHEN {name} <> '' AND len(refs[{name}]) > 0 THEN refs[{name}] || substr(p, len({name}) + 1)"
+        f" WHEN regexp_matches(p, '^#[0-9]+') THEN chr(CAST(regexp_extract(p, '^#([0-9]+)', 1) AS INTEGER)) || regexp_replace(p, '^#[0-9]+;?', '')"
+        f" WHEN {start} <> '' THEN refs[{start}] || substr(p, len({start}) + 1) ELSE '&' || p END"
+    )
+    pieces = f"string_split({x}, '&')"
+    return f"(SELECT {pieces}[1] || coalesce(array_to_string(list_transform({pieces}[2:], lambda p: {one}), ''), '') FROM (SELECT {names} AS refs) names)"
+
+
+def _sql_digest(x: str) -> str:
+    bits = f"CAST(('0x' || substr(sha1({x}), 1 + 5 * (i // 4), 5)) AS INTEGER)"
+    return f"'sha1:' || array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({bits} >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1, 1)), '')"
 
 
 def _sql_id(*parts: str) -> str:
     h = "md5(" + " || chr(10) || ".join(parts) + ")"
-    return "'urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
 
 
+_TAGS = r"<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->"
+_PLAIN = f"regexp_replace(regexp_replace(regexp_replace(p, '(?is){_TAGS}', ' ', 'g'), '{_BLOCKS}', chr(10), 'g'), '<[^>]*>', '', 'g')"
 OP3_SQL = rf"""
 WITH r AS (SELECT page_id, {_sql_id("'response'", "CAST(page_id AS VARCHAR)", "coalesce(url, '')")} AS refers_to, url, coalesce(html, '') AS p FROM pages),
-t AS (SELECT *, {_sql_text('p')} AS text, regexp_replace(regexp_extract(p, '(?is)<title\b[^>]*>(.*?)</title', 1), '[ \t\r\n\f\x0B]+', ' ', 'g') AS title,
-      len(regexp_extract_all(p, '(?i)<a\b[^>]*\bhref\s*=')) AS links FROM r),
-b AS (SELECT page_id, refers_to, url, p, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
-      'title: ' || title || chr(13) || chr(10) || 'outlinks: ' || links || chr(13) || chr(10) || 'text-bytes: ' || strlen(text) || chr(13) || chr(10)
-      || 'source-content-type: text/html; charset=utf-8' || chr(13) || chr(10) AS block FROM t
-      UNION ALL SELECT page_id, refers_to, url, p, 'conversion', 'text/plain; charset=utf-8', text FROM t),
+u AS (SELECT *, {_sql_references(_PLAIN)} AS plain, {_sql_references(f"coalesce(regexp_extract(p, '{_TITLE}', 1), '')")} AS title FROM r),
+t AS (SELECT page_id, refers_to, url, p, regexp_replace(title, '[ \t\r\n\f\x0B]+', ' ', 'g') AS title, {_sql_digest("p")} AS source_digest,
+      trim(regexp_replace(regexp_replace(replace(plain, chr(160), ' '), '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS text,
+      len(regexp_extract_all(p, '{_LINK}')) AS links FROM u),
+b AS (SELECT page_id, refers_to, url, source_digest, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+      concat('title: ', title, chr(13), chr(10), 'outlinks: ', links, chr(13), chr(10), 'text-bytes: ', strlen(text), chr(13), chr(10), 'source-payload-digest: ', source_digest, chr(13), chr(10),
+      'source-status: HTTP/1.1 200 OK', chr(13), chr(10), 'source-header: Content-Type: text/html; charset=utf-8', chr(13), chr(10)) AS block FROM t
+      UNION ALL SELECT page_id, refers_to, url, source_digest, 'conversion', 'text/plain; charset=utf-8', text FROM t),
 o AS (SELECT page_id, record_type, {_sql_id('record_type', 'refers_to')} AS record_id, refers_to, url AS refers_to_target_uri, '{CAPTURED}' AS refers_to_date,
-      'sha256:' || sha256(p) AS source_digest, content_type, strlen(block) AS content_length, 'sha256:' || sha256(block) AS block_digest, block FROM b)
+      source_digest, content_type, strlen(block) AS content_length, {_sql_digest("block")} AS block_digest, block FROM b)
 SELECT *, concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: ' || record_type, 'WARC-Record-ID: ' || record_id, 'WARC-Refers-To: ' || refers_to,
-       'WARC-Target-URI: ' || refers_to_target_uri, 'WARC-Date: ' || refers_to_date, 'WARC-Source-Payload-Digest: ' || source_digest,
+       'WARC-Target-URI: ' || refers_to_target_uri, 'WARC-Refers-To-Target-URI: ' || refers_to_target_uri, 'WARC-Date: ' || refers_to_date, 'WARC-Refers-To-Date: ' || refers_to_date,
        'WARC-Block-Digest: ' || block_digest, 'Content-Type: ' || content_type, 'Content-Length: ' || content_length, chr(13) || chr(10)) AS head
 FROM o
 """

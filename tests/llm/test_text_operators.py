@@ -167,17 +167,6 @@ def test_odd_pages(spark):
     assert warc.derivatives(warc.responses(pages)).count() == 10 and warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
-def test_warc(spark):
-    rows = [(1, "http://a/", "<html><head><title>T &amp; x</title></head><body><script>var a='<p>';</script><p>One  two</p><p>A &lt; b</p><a href='/x'>l</a></body></html>"), (2, None, None)]
-    got = {(r.page_id, r.record_type): r for r in warc.derivatives(warc.responses(spark.createDataFrame(rows, "page_id bigint, url string, html string"))).collect()}
-    c, m = got[1, "conversion"], got[1, "metadata"]
-    assert c.block == "One two\nA < b\nl"
-    assert c.refers_to == m.refers_to and c.record_id != m.record_id
-    assert c.source_digest == "sha256:" + hashlib.sha256(rows[0][2].encode()).hexdigest()
-    assert "outlinks: 1" in m.block and f"WARC-Refers-To: {m.refers_to}" in m.head
-    assert got[2, "conversion"].block == "" and "Target-URI" not in got[2, "conversion"].head
-
-
 ODD = {
     "dedup": substring_dedup.remove_repeats,
     "texts": substring_dedup.dedup_texts,
