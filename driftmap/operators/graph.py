@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -145,36 +146,84 @@ def _times(q: DataFrame, x: DataFrame, exponent: int, shift: float) -> DataFrame
     return y.unionByName(x.select("key", "node", (F.col("v") * shift).alias("v"))).groupBy("key", "node").agg(F.sum("v").alias("v"))
 
 
-def harmonic_fill(q: DataFrame, known: DataFrame, exponent: int = 1, shift: float = 0.0, rounds: int = 1000, tolerance: float = 1e-10) -> DataFrame:
+def _root_terms(low: float, high: float, accuracy: float) -> tuple[list[tuple[int, float, float]], float, float]:
+    """sqrt(v) as c0 + c1 v + sum of w v / (v + t) over (k, w, t), for v from low to high: the trapezoidal rule on the logarithm of Balakrishnan's integral."""
+    spread = -math.log(accuracy)
+    step = math.pi**2 / spread
+    begin, end = math.log(low) / 2 - spread / 3, math.log(high) / 2 + spread / 3
+    n = math.ceil((end - begin) / step)
+    at = [begin + step * (k + 0.5) for k in range(n)]
+    terms = [(k, 2 / math.pi * step * math.exp(u), math.exp(2 * u)) for k, u in enumerate(at, 1)]
+    return terms, 2 / math.pi * math.exp(begin), 2 / math.pi * math.exp(-begin - n * step)
+
+
+def _root_graph(q: DataFrame, known: DataFrame, accuracy: float) -> tuple[DataFrame, DataFrame]:
+    """A larger graph in which the fill by Q is the fill by the root of Q.
+
+    x' w Q (Q + t)^-1 x is the least value over z of (w / t) z' Q z + w |x - z|^2, so each
+    term of the root adds a copy of the graph whose nodes are tied to those of x. Nodes are
+    structs of the node and the number of its copy, 0 for x. The bounds of Q's eigenvalues
+    are those of its rows; one that isn't above 0 counts as a ten-thousandth of the largest.
+    """
+    rows = q.groupBy("i").agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("value"))).alias("d"), F.sum(F.when(F.col("i") != F.col("j"), F.abs("value"))).alias("o"))
+    low, high = rows.select(F.min(F.col("d") - F.coalesce("o", F.lit(0.0))), F.max(F.col("d") + F.coalesce("o", F.lit(0.0)))).first()
+    terms, c0, c1 = _root_terms(low if low > high * 1e-4 else high * 1e-4, high, accuracy)
+    term = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w).alias("w"), F.lit(t).alias("t")) for k, w, t in terms))).alias("c")
+    node = lambda c, k: F.struct(F.col(c).alias("node"), (F.lit(k) if isinstance(k, int) else k).alias("copy"))
+    edge = lambda df, i, j, value: df.select(i.alias("i"), j.alias("j"), value.alias("value"))
+    copies, nodes = q.select("i", "j", "value", term), rows.select("i", term)
+    k, w = F.col("c.k"), F.col("c.w")
+    larger = edge(q, node("i", 0), node("j", 0), F.col("value") * c1)
+    larger = larger.unionByName(edge(rows, node("i", 0), node("i", 0), F.lit(c0 + sum(w for _, w, _ in terms))))
+    larger = larger.unionByName(edge(copies, node("i", k), node("j", k), F.col("value") * w / F.col("c.t")))
+    for i, j, sign in ((node("i", k), node("i", k), 1), (node("i", 0), node("i", k), -1), (node("i", k), node("i", 0), -1)):
+        larger = larger.unionByName(edge(nodes, i, j, sign * w))
+    free = nodes.select(node("i", k).alias("node")).crossJoin(known.select("key").distinct()).select("key", "node", F.lit(0).alias("presence"))
+    return cut(larger), known.select("key", node("node", 0).alias("node"), F.col("presence").cast("int").alias("presence")).unionByName(free)
+
+
+def harmonic_fill(q: DataFrame, known: DataFrame, exponent: float = 1, shift: float = 0.0, rounds: int = 1000, tolerance: float = 1e-14, accuracy: float = 1e-6) -> DataFrame:
     """key, node, x: x is 1 where known is 1; elsewhere M_AA x_A = -M_AB 1 with M = Q ** exponent + shift I.
 
-    known: key, node, presence (0 or 1). A key without a 1 is 0 everywhere. All keys are
-    solved together by conjugate gradients, one exponent of joins and two aggregates a
-    round, until each key's squared residual is under the tolerance. A ValueError is raised
-    if that takes more than the given rounds.
+    exponent: one half or a whole number; accuracy is that of the root of Q. known: key,
+    node, presence (0 or 1). A key without a 1 is 0 everywhere. All keys are solved together
+    by conjugate gradients, one exponent of joins and two aggregates a round, until each
+    key's squared residual is under the tolerance times that of the right-hand side. A
+    ValueError is raised if that takes more than the given rounds.
     """
+    if exponent == 0.5:
+        larger, all_known = _root_graph(q, known, accuracy)
+        if shift:
+            larger = larger.unionByName(larger.select("i").filter("i.copy = 0").distinct().select("i", F.col("i").alias("j"), F.lit(float(shift)).alias("value")))
+        return harmonic_fill(larger, all_known, 1, 0.0, rounds, tolerance).filter("node.copy = 0").select("key", F.col("node.node").alias("node"), "x")
     if exponent < 1 or exponent != int(exponent):
-        raise ValueError("exponent must be a positive integer")
+        raise ValueError("exponent must be one half or a positive integer")
     ones = known.filter("presence = 1").select("key", "node", F.lit(1.0).alias("v"))
     free = known.filter("presence <> 1").select("key", "node").join(ones.select("key").distinct(), "key", "left_semi")
-    b = _times(q, ones, exponent, 0.0).join(free, ["key", "node"], "right").select("key", "node", F.coalesce(-F.col("v"), F.lit(0.0)).alias("r"))
-    state = cut(b.select("key", "node", F.lit(0.0).alias("x"), "r", F.col("r").alias("p")))
-    left = state.groupBy("key").agg(F.sum(F.col("r") * F.col("r")).alias("rn")).agg(F.max("rn")).first()[0] or 0.0
-    done = 0
+    b = _times(q, ones, int(exponent), 0.0).join(free, ["key", "node"], "right").select("key", "node", F.coalesce(-F.col("v"), F.lit(0.0)).alias("r"))
+    if exponent == 1:  # preconditioned by the diagonal
+        diagonal = q.filter(F.col("i") == F.col("j")).groupBy("i").agg((1 / (F.sum("value") + shift)).alias("d"))
+        b = b.join(diagonal, b["node"] == diagonal["i"], "left").select("key", "node", "r", F.coalesce("d", F.lit(1.0)).alias("d"))
+    else:
+        b = b.withColumn("d", F.lit(1.0))
+    state = cut(b.select("key", "node", F.lit(0.0).alias("x"), "r", (F.col("r") * F.col("d")).alias("p"), "d"))
+    size = cut(state.groupBy("key").agg(F.sum(F.col("r") * F.col("r")).alias("bb")))
+    left, done = (1.0 if size.filter("bb > 0").head(1) else 0.0), 0
     while not left < tolerance:
         if done == rounds:
-            raise ValueError(f"a squared residual of {left} is left after {rounds} rounds")
+            raise ValueError(f"a squared residual of {left} times the right-hand side is left after {rounds} rounds")
         done += 1
-        ap = _times(q, state.select("key", "node", F.col("p").alias("v")), exponent, shift).withColumnRenamed("v", "ap")
+        ap = _times(q, state.select("key", "node", F.col("p").alias("v")), int(exponent), shift).withColumnRenamed("v", "ap")
         s = state.join(ap, ["key", "node"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
-        sums = s.groupBy("key").agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("p") * F.col("ap")).alias("pap"))
-        step = F.when(F.col("pap") > 0, F.col("rr") / F.col("pap")).otherwise(0.0)
+        sums = s.groupBy("key").agg(F.sum(F.col("r") * F.col("d") * F.col("r")).alias("rz"), F.sum(F.col("p") * F.col("ap")).alias("pap"))
+        step = F.when(F.col("pap") > 0, F.col("rz") / F.col("pap")).otherwise(0.0)
         s = s.join(sums, "key").withColumn("al", step)
-        s = s.select("key", "node", (F.col("x") + F.col("al") * F.col("p")).alias("x"), (F.col("r") - F.col("al") * F.col("ap")).alias("r"), "p", "rr")
-        new = s.groupBy("key").agg(F.sum(F.col("r") * F.col("r")).alias("rn"))
+        s = s.select("key", "node", (F.col("x") + F.col("al") * F.col("p")).alias("x"), (F.col("r") - F.col("al") * F.col("ap")).alias("r"), "p", "d", "rz")
+        new = s.groupBy("key").agg(F.sum(F.col("r") * F.col("d") * F.col("r")).alias("zn"), F.sum(F.col("r") * F.col("r")).alias("rn"))
         s = s.join(new, "key")
-        state = cut(s.select("key", "node", "x", "r", (F.col("r") + F.when(F.col("rr") > 0, F.col("rn") / F.col("rr")).otherwise(0.0) * F.col("p")).alias("p"), "rn"))
-        left = state.agg(F.max("rn")).first()[0] or 0.0
+        turn = F.when(F.col("rz") > 0, F.col("zn") / F.col("rz")).otherwise(0.0)
+        state = cut(s.select("key", "node", "x", "r", (F.col("r") * F.col("d") + turn * F.col("p")).alias("p"), "d", "rn"))
+        left = state.groupBy("key").agg(F.max("rn").alias("rn")).join(size, "key").agg(F.max(F.when(F.col("bb") > 0, F.col("rn") / F.col("bb")).otherwise(0.0))).first()[0] or 0.0
         state = state.drop("rn")
     solved = state.select("key", "node", "x")
     return known.select("key", "node", "presence").join(solved, ["key", "node"], "left").select("key", "node", F.when(F.col("presence") == 1, 1.0).otherwise(F.coalesce("x", F.lit(0.0))).alias("x"))
@@ -184,13 +233,13 @@ def presence_or_zero(presence: DataFrame) -> DataFrame:
     return presence.withColumn("presence", F.coalesce(F.when(F.col("presence") == 1, 1), F.lit(0)))
 
 
-def proximity_by_year(q: DataFrame, presence: DataFrame, exponents: Sequence[int], shift: float = 0.0, rounds: int = 1000) -> DataFrame:
-    """geo, year_idx, y_proximity_exp<e>00: each year's fill stands in the next year; zeros in the first."""
+def proximity_by_year(q: DataFrame, presence: DataFrame, exponents: Sequence[float], shift: float = 0.0, rounds: int = 1000) -> DataFrame:
+    """geo, year_idx, y_proximity_exp<e>, in hundredths (050 for one half): each year's fill stands in the next year; zeros in the first."""
     known = presence_or_zero(presence).select(F.col("year_idx").alias("key"), F.col("geo").alias("node"), "presence")
     out = None
     for e in exponents:
-        x = harmonic_fill(q, known, e, shift, rounds).select(F.col("node").alias("geo"), (F.col("key") + 1).cast("int").alias("year_idx"), F.col("x").alias(f"y_proximity_exp{e}00"))
-        zero = presence.select("geo").distinct().crossJoin(presence.agg(F.min("year_idx").cast("int").alias("year_idx"))).withColumn(f"y_proximity_exp{e}00", F.lit(0.0))
+        x = harmonic_fill(q, known, e, shift, rounds).select(F.col("node").alias("geo"), (F.col("key") + 1).cast("int").alias("year_idx"), F.col("x").alias(f"y_proximity_exp{round(100 * e):03d}"))
+        zero = presence.select("geo").distinct().crossJoin(presence.agg(F.min("year_idx").cast("int").alias("year_idx"))).withColumn(f"y_proximity_exp{round(100 * e):03d}", F.lit(0.0))
         one = zero.unionByName(x.select(*zero.columns))
         out = one if out is None else out.join(one, ["geo", "year_idx"])
     return out
@@ -211,10 +260,10 @@ def inherit_outer_proximity(proximity: DataFrame, presence: DataFrame, pairs: Da
     return j.withColumn(column, F.when(take, F.col("_o")).otherwise(F.col(column))).select(*proximity.columns)
 
 
-def proximity_from_draws(draws: DataFrame, q: DataFrame, pairs: DataFrame, exponent: int = 1, shift: float = 0.0, rounds: int = 1000) -> DataFrame:
+def proximity_from_draws(draws: DataFrame, q: DataFrame, pairs: DataFrame, exponent: float = 1, shift: float = 0.0, rounds: int = 1000) -> DataFrame:
     """Next year's proximity from draws: presence where the mean probability is at least one half."""
     mean = draws.groupBy("geo", "year_idx").agg(F.avg("p").alias("m")).withColumn("presence", (F.col("m") >= 0.5).cast("int"))
-    name = f"y_proximity_exp{exponent}00"
+    name = f"y_proximity_exp{round(100 * exponent):03d}"
     last = mean.agg(F.max("year_idx").alias("last"))
     x = proximity_by_year(q, mean, [exponent], shift, rounds).crossJoin(F.broadcast(last)).filter("year_idx = last + 1").drop("last")
     return inherit_outer_proximity(x, mean, pairs, name)

@@ -97,3 +97,19 @@ def test_components_of_a_long_region_map(spark):
     assert sorted(r.geo for r in graph.component_of(edges, "G4").collect()) == sorted(east)
     got = {r.geo: (r.component, r.size) for r in graph.connected_components(nodes, edges).collect()}
     assert got == {n: (1, len(east)) if n in east else (2, len(at) - len(east)) for n in at}
+
+
+def test_fill_by_the_root_of_a_lattice(spark):
+    side, on = 3, np.array([k == 2 for k in range(9)])
+    at = {k: divmod(k, side) for k in range(side * side)}
+    links = [(f"n{a}", f"n{b}") for a in at for b in at if abs(at[a][0] - at[b][0]) + abs(at[a][1] - at[b][1]) == 1]
+    q = graph.laplacian_edges(spark.createDataFrame([(f"n{k}",) for k in at], "geo string"), spark.createDataFrame(links, "src string, dst string"), 0.9)
+    known = spark.createDataFrame([(1, f"n{k}", int(on[k])) for k in at], "key int, node string, presence int")
+    got = {r.node: r.x for r in graph.harmonic_fill(q, known, 0.5, tolerance=1e-12, accuracy=1e-4).collect()}
+    m = np.zeros((len(at), len(at)))
+    for r in q.collect():
+        m[int(r.i[1:]), int(r.j[1:])] += r.value
+    values, vectors = np.linalg.eigh(m)
+    power = (vectors * np.sqrt(values)) @ vectors.T
+    x = np.linalg.solve(power[np.ix_(~on, ~on)], -power[np.ix_(~on, on)].sum(1))
+    assert np.abs(x - [got[f"n{k}"] for k in at if not on[k]]).max() < 1e-3
