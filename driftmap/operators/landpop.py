@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LAND_CLASSES = {"primary foreseted area": "primary_forested_area", "primary non foreseted area": "primary_non_forested_area", "secondary foreseted area": "secondary_forested_area", "croplands": "croplands", "pasture land": "pasture_land", "rangelands": "rangelands", "urban land": "urban_land"}
-
 
 def land_use_classes(df: DataFrame, crops: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """croplands as the mean of the crop columns, null if any is null, and the other classes."""

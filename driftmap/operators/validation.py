@@ -31,7 +31,8 @@ def spatial_random_folds(df: DataFrame, folds: int = 5, seed: int = 42) -> DataF
 
 def row_random_folds(df: DataFrame, keys: Sequence[str] = ("geo", "year"), folds: int = 5, seed: int = 42) -> DataFrame:
     """Fold of each row with a known response, by a seeded hash of its key."""
-    return df.filter("presence is not null").withColumn("fold", (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(folds)) + 1).cast("int"))
+    name = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
+    return df.filter("presence is not null").withColumn("fold", (F.conv(F.substring(name, 1, 8), 16, 10).cast("long") % folds + 1).cast("int"))
 
 
 def fold_region_status(regions: DataFrame, folds: DataFrame, buffers: DataFrame) -> DataFrame:
@@ -71,18 +72,18 @@ def _square(s) -> Column:  # noqa: ANN001
     return (F.col("longitude") - s["longitude"]) ** 2 + (F.col("latitude") - s["latitude"]) ** 2
 
 
-def contiguous_folds(regions: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
+def contiguous_folds(regions: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """geo, fold: folds grow hop by hop from their seeds over neighbours, all at once, each up to its share of regions.
 
     A region that several folds reach goes to the one whose seed is nearest; leftovers join
-    the fold of the nearest seed. Each hop is a join of the frontier with the edges.
+    the fold of the nearest seed; seeds that are no regions don't count. Each hop is a join
+    of the frontier with the edges; it ends when no fold grows.
     """
     spots = regions.select("geo", "longitude", "latitude")
     s = seeds.join(spots, "geo").select(F.col("seed").alias("fold"), F.col("longitude").alias("sx"), F.col("latitude").alias("sy"))
-    n, k = regions.count(), seeds.count()
-    share = -(-n // k)
-    taken = seeds.select("geo", F.col("seed").alias("fold"))
-    for _ in range(rounds):
+    taken = cut(seeds.select("geo", F.col("seed").alias("fold")).join(spots.select("geo"), "geo", "left_semi"))
+    share = -(-regions.count() // max(1, taken.count()))
+    while True:
         size = taken.groupBy("fold").agg(F.count("*").alias("size"))
         reach = taken.join(edges, taken["geo"] == edges["src"]).select(F.col("dst").alias("geo"), "fold").distinct().join(taken.select("geo"), "geo", "left_anti")
         d = reach.join(spots, "geo").join(F.broadcast(s), "fold").withColumn("d", F.round((F.col("longitude") - F.col("sx")) ** 2 + (F.col("latitude") - F.col("sy")) ** 2, 6))
@@ -96,18 +97,38 @@ def contiguous_folds(regions: DataFrame, edges: DataFrame, seeds: DataFrame, rou
     return taken.unionByName(rest.groupBy("geo").agg(F.min_by("fold", F.struct("d", "fold")).alias("fold")))
 
 
-def buffer_regions(regions: DataFrame, folds: DataFrame, km: float = 35.0) -> DataFrame:
+def equal_area_km(lon: Column, lat: Column, center: tuple[float, float] = (10.0, 52.0)) -> tuple[Column, Column]:
+    """Kilometres east and north on Lambert's azimuthal equal-area projection of the sphere, by default centred on Europe."""
+    x, y, y0 = F.radians(lon - center[0]), F.radians(lat), math.radians(center[1])
+    k = 6371.0088 * F.sqrt(2 / (1 + math.sin(y0) * F.sin(y) + math.cos(y0) * F.cos(y) * F.cos(x)))
+    return k * F.cos(y) * F.sin(x), k * (math.cos(y0) * F.sin(y) - math.sin(y0) * F.cos(y) * F.cos(x))
+
+
+def buffer_regions(regions: DataFrame, folds: DataFrame, km: float = 35.0, center: tuple[float, float] = (10.0, 52.0)) -> DataFrame:
     """fold, geo: regions outside a fold within km of one of its regions.
 
-    By the least distance between the regions' rings, in kilometres on an equirectangular
-    projection; pairs come from a join of tiles as wide as the distance.
+    By the least distance from a vertex of one region to an edge of the other, in
+    kilometres on an equal-area projection about center. Pairs come from a join of tiles as
+    wide as the distance; an edge lies in all tiles of its box.
     """
-    ring = regions.select("geo", F.posexplode(F.flatten("geometry")).alias("n", "p")).select("geo", (F.col("p.lon") * 111.195 * F.cos(F.radians("p.lat"))).alias("x"), (F.col("p.lat") * 111.195).alias("y"))
-    tile = ring.withColumn("tx", F.floor(F.col("x") / km)).withColumn("ty", F.floor(F.col("y") / km))
-    near = tile.withColumn("ox", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("oy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    near = near.select(F.col("geo").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), (F.col("tx") + F.col("ox")).alias("tx"), (F.col("ty") + F.col("oy")).alias("ty"))
-    pairs = tile.join(near, ["tx", "ty"]).filter("geo <> other").filter((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 <= km * km).select("geo", "other").distinct()
-    hit = pairs.join(folds.select("geo", "fold"), "geo").select("fold", F.col("other").alias("geo")).distinct()
+    rings = regions.select("geo", F.posexplode("geometry").alias("ring", "points"))
+    points = rings.select("geo", "ring", F.posexplode("points").alias("n", "p"))
+    x, y = equal_area_km(F.col("p.lon"), F.col("p.lat"), center)
+    points = points.select("geo", "ring", "n", x.alias("x"), y.alias("y"))
+    order = Window.partitionBy("geo", "ring")
+    after = lambda c: F.coalesce(F.lead(c).over(order.orderBy("n")), F.first(c).over(order.orderBy("n")))
+    edges = points.select(F.col("geo").alias("other"), F.col("x").alias("x1"), F.col("y").alias("y1"), after("x").alias("x2"), after("y").alias("y2"))
+    tile = lambda c: F.floor(c / km)
+    spread = lambda a, b: F.explode(F.sequence(tile(F.least(F.col(a), F.col(b))) - 1, tile(F.greatest(F.col(a), F.col(b))) + 1))
+    edges = edges.withColumn("tx", spread("x1", "x2")).withColumn("ty", spread("y1", "y2"))
+    near = points.select("geo", "x", "y", tile(F.col("x")).alias("tx"), tile(F.col("y")).alias("ty")).join(edges, ["tx", "ty"]).filter("geo <> other")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    long = dx * dx + dy * dy
+    part = F.when(long > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / long))).otherwise(0.0)
+    square = (F.col("x") - F.col("x1") - part * dx) ** 2 + (F.col("y") - F.col("y1") - part * dy) ** 2
+    pairs = near.filter(square <= km * km).select("geo", "other").distinct()
+    both = pairs.unionByName(pairs.select(F.col("other").alias("geo"), F.col("geo").alias("other")))
+    hit = both.join(folds.select("geo", "fold"), "geo").select("fold", F.col("other").alias("geo")).distinct()
     return hit.join(folds.select("geo", "fold"), ["geo", "fold"], "left_anti")
 
 

@@ -60,4 +60,4 @@ def _folds(v: Views):
 
 
 query("buffer_regions", "f AS (SELECT geo, grid_row, grid_col, CAST(CASE WHEN grid_row < 4 THEN 1 ELSE 2 END AS INT) AS fold FROM fx_region WHERE grid_col < 3)---SELECT DISTINCT f.fold, b.geo FROM f JOIN fx_region b ON abs(f.grid_row - b.grid_row) <= 1 AND abs(f.grid_col - b.grid_col) <= 1 WHERE NOT EXISTS (SELECT 1 FROM f x WHERE x.geo = b.geo AND x.fold = f.fold)")(lambda v: validation.buffer_regions(squares(v), _folds(v), 35.0))
-query("contiguous_folds")(lambda v: validation.contiguous_folds(squares(v).withColumn("longitude", F.col("grid_col").cast("double")).withColumn("latitude", F.col("grid_row").cast("double")), v.edges, v.spark.createDataFrame([(1, "G0"), (2, "G9"), (3, "G55")], "seed int, geo string"), 8))
+query("contiguous_folds")(lambda v: validation.contiguous_folds(squares(v).withColumn("longitude", F.col("grid_col").cast("double")).withColumn("latitude", F.col("grid_row").cast("double")), v.edges, v.spark.createDataFrame([(1, "G0"), (2, "G9"), (3, "G55")], "seed int, geo string")))

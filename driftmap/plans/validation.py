@@ -31,12 +31,17 @@ def _corners(v: Views):
 
 query("temporal_folds", "SELECT geo, year, fold, year = fold AS test, presence AS y_orig, CASE WHEN year <> fold THEN presence END AS presence FROM fx_presence CROSS JOIN (SELECT DISTINCT year AS fold FROM fx_presence WHERE year >= 1999) f")(lambda v: o.temporal_folds(v.presence.select("geo", "year", "presence"), 3))
 query("spatial_random_folds", "SELECT CAST(range + 1 AS INT) AS fold, (SELECT count(*) FROM fx_region) // 5 + CASE WHEN range < (SELECT count(*) FROM fx_region) % 5 THEN 1 ELSE 0 END AS n_regions FROM range(0, 5)")(lambda v: o.spatial_random_folds(v.presence).groupBy("fold").agg(F.countDistinct("geo").alias("n_regions")))
-query("row_random_folds")(lambda v: o.row_random_folds(v.presence).select("geo", "year", "fold"))
+query("row_random_folds", "SELECT geo, year, CAST(CAST('0x' || substr(md5('42|' || geo || '|' || year), 1, 8) AS BIGINT) % 5 + 1 AS INT) AS fold FROM fx_presence WHERE presence IS NOT NULL")(lambda v: o.row_random_folds(v.presence).select("geo", "year", "fold"))
 query("fold_region_status", "SELECT geo, fold, CASE WHEN region_id % 5 + 1 = fold THEN 'Test' WHEN (region_id + 1) % 5 + 1 = fold AND region_id % 2 = 0 THEN 'Buffer' ELSE 'Train' END AS status FROM fx_region CROSS JOIN (SELECT CAST(range AS INT) AS fold FROM range(1, 6)) f")(lambda v: _status(v))
 query("spatial_buffered_folds", "st AS (SELECT geo, fold, CASE WHEN region_id % 5 + 1 = fold THEN 'Test' WHEN (region_id + 1) % 5 + 1 = fold AND region_id % 2 = 0 THEN 'Buffer' ELSE 'Train' END AS status FROM fx_region CROSS JOIN (SELECT CAST(range AS INT) AS fold FROM range(1, 6)) f)---SELECT r.geo, year, fold, status, presence AS y_orig, CASE WHEN status = 'Train' THEN presence END AS presence FROM fx_presence r JOIN st ON r.geo = st.geo WHERE status <> 'Buffer'")(lambda v: o.spatial_buffered_folds(v.presence.select("geo", "year", "presence"), _status(v)))
 _Z = "z AS (SELECT geo, (longitude - avg(longitude) OVER ()) / stddev(longitude) OVER () AS zx, (latitude - avg(latitude) OVER ()) / stddev(latitude) OVER () AS zy, pow((longitude - median(longitude) OVER ()) / stddev(longitude) OVER (), 2) + pow((latitude - median(latitude) OVER ()) / stddev(latitude) OVER (), 2) AS d FROM fx_region WHERE region_id < 50)"
 query("seed_regions_corners", _Z + "---" + " UNION ALL ".join(f"SELECT '{k}' AS seed, (SELECT geo FROM z ORDER BY round({e}, 9), geo LIMIT 1) AS geo" for k, e in (("SW", "zx + zy"), ("NW", "zx - zy"), ("NE", "-zx - zy"), ("SE", "zy - zx"), ("C", "d"))))(lambda v: o.seed_regions_corners(_corners(v)))
-query("seed_regions_farthest")(lambda v: o.seed_regions_farthest(v.region, 5, "G0"))
+_SEEDS = "s1 AS (SELECT 1 AS seed, geo, longitude, latitude FROM fx_region WHERE geo = 'G0')" + "".join(
+    f", n{k} AS (SELECT {k} AS seed, r.geo, r.longitude, r.latitude FROM fx_region r CROSS JOIN s{k - 1} s GROUP BY r.geo, r.longitude, r.latitude"
+    f" ORDER BY round(min(pow(r.longitude - s.longitude, 2) + pow(r.latitude - s.latitude, 2)), 6) DESC, r.geo LIMIT 1), s{k} AS (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM n{k})"
+    for k in range(2, 6)
+)
+query("seed_regions_farthest", _SEEDS + "---SELECT CAST(seed AS INT) AS seed, geo FROM s5")(lambda v: o.seed_regions_farthest(v.region, 5, "G0"))
 query("confusion_metrics", _M + "---SELECT * FROM mt", _MET)(lambda v: o.confusion_metrics(scores(v), ["fold"]))
 query("cohen_kappa", _C + "---SELECT fold, ((tp + tn) / n - pe) / (1 - pe) AS kappa FROM (SELECT *, CAST(tp + tn + fp + fn AS DOUBLE) AS n, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / pow(tp + tn + fp + fn, 2) AS pe FROM ct) q", "kappa")(lambda v: o.cohen_kappa(scores(v), ["fold"]))
 query("roc_curve", _S + ", g AS (SELECT fold, p, sum(CASE WHEN presence = 1 THEN 1e0 ELSE 0e0 END) AS a, sum(CASE WHEN presence = 0 THEN 1e0 ELSE 0e0 END) AS b FROM sc WHERE presence IS NOT NULL GROUP BY 1, 2)---SELECT fold, p AS threshold, sum(a) OVER w / sum(a) OVER (PARTITION BY fold) AS tpr, sum(b) OVER w / sum(b) OVER (PARTITION BY fold) AS fpr FROM g WINDOW w AS (PARTITION BY fold ORDER BY p DESC)", "threshold tpr fpr")(lambda v: o.roc_curve(scores(v), ["fold"]))

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Names under which tables hold a probability, first choice first (fixed values).
 PROBABILITY_COLUMNS = ("p", "p_pred", "prob", "p_mean")
 
 

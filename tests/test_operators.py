@@ -1,5 +1,7 @@
 """Operators on tiny frames worked out by hand, and against NumPy where SQL has no form."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -140,7 +142,7 @@ def test_contiguous_folds_cover_all_regions_once(spark):
     nodes, edges = lattice(spark, 6)
     regions = nodes.select("geo", F.substring("geo", 2, 1).cast("double").alias("longitude"), F.substring("geo", 3, 1).cast("double").alias("latitude"))
     seeds = spark.createDataFrame([(1, "n00"), (2, "n55"), (3, "n05")], "seed int, geo string")
-    got = validation.contiguous_folds(regions, edges, seeds, 6).collect()
+    got = validation.contiguous_folds(regions, edges, seeds).collect()
     assert sorted(r.geo for r in got) == sorted(r.geo for r in nodes.collect())
     assert {r.fold for r in got} == {1, 2, 3}
 
@@ -150,3 +152,28 @@ def test_presence_model_learns_a_sign(spark):
     df = spark.createDataFrame(rows, "geo string, year int, x double, presence int, b int")
     got = {r.term: r.coefficient for r in model.fit_presence_model(df, ["x"], ["b"]).collect()}
     assert got["x"] > 0.3 and "b=2" in got
+
+
+def test_buffer_measures_to_edges(spark):
+    """A long edge whose vertices are far away is still near."""
+    box = lambda a, b, c, d: [[(a, b), (c, b), (c, d), (a, d)]]
+    shapes = [("long", box(8.0, 50.0, 12.0, 50.2)), ("near", box(10.0, 50.4, 10.1, 50.5)), ("far", box(10.0, 51.0, 10.1, 51.1)), ("inside", box(9.9, 50.05, 10.0, 50.1))]
+    regions = spark.createDataFrame(shapes, "geo string, geometry array<array<struct<lon: double, lat: double>>>")
+    folds = spark.createDataFrame([("long", 1)], "geo string, fold int")
+    assert {r.geo for r in validation.buffer_regions(regions, folds, 35.0).collect()} == {"near", "inside"}
+
+
+def test_geodesic_distances(spark):
+    """Known geodesics on WGS84."""
+    rows = [(0.0, 0.0, 1.0, 0.0, 111.3195), (0.0, 0.0, 0.0, 1.0, 110.5744), (10.0, 52.0, 10.0, 52.0, 0.0), (2.3522, 48.8566, 13.405, 52.52, 879.70)]
+    df = spark.createDataFrame(rows, "x1 double, y1 double, x2 double, y2 double, km double")
+    for r in df.select("km", mobility.geodesic_km(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("d")).collect():
+        assert abs(r.d - r.km) < 0.1
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(6)
+    values = [rng.choice([rng.random(), 0.5, float(rng.randrange(5))]) for _ in range(3000)]
+    got = mobility.quantiles(spark.createDataFrame([(x,) for x in values], "w double").repartition(5), "w", [0.0, 0.2, 0.5, 0.99, 1.0])
+    assert np.allclose(got, np.quantile(values, [0.0, 0.2, 0.5, 0.99, 1.0]))
+    assert mobility.quantiles(spark.createDataFrame([], "w double"), "w", [0.5]) == [None]
