@@ -3,7 +3,9 @@
 quality_rules drops rejected documents and lines above their limit; near_dedup keeps one
 document of each group; substring_dedup cuts passages that an earlier document has;
 source_mix brings sources to their target weights, as one row for each document with the
-words that the mix takes; bpe encodes what is left. Where a text changes, n_chars follows.
+words that the mix takes; bpe encodes what is left. Where a text changes, n_chars follows. Null texts fail the first
+stage's rules; null ids and sources, ties, repeated rows and further columns go through as
+the operators' docstrings say; an empty table gives empty stages.
 """
 
 from __future__ import annotations
@@ -22,18 +24,22 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and aren't depleted, without lines above their host's limit."""
     return _counted(quality_rules.clean_documents(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least doc_id of each component of near duplicates."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of passages that a document of a smaller doc_id has; texts of which nothing is left go."""
     return _counted(substring_dedup.dedup_texts(docs))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document of which the mix takes words, with those words."""
     return _counted(mixing.mixed_documents(docs))
 
 
