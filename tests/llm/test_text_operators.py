@@ -200,18 +200,3 @@ def test_repeated_rows_have_one_result(odd):
     assert [r.n_removed for r in got] == [0, 0, 0]
     assert [r.n_removed for r in substring_dedup.remove_repeats(odd).collect() if r.doc_id == 6] == [15]
     assert Counter(r.component_id for r in near_dedup.near_duplicates(odd).collect() if r.doc_id == 6) == {5: 1}
-
-
-def test_pipeline_stages(spark, docs, tmp_path):
-    import corpus_pipeline
-
-    stages, at = corpus_pipeline.STAGES, docs
-    assert [n for n, _ in stages] == ["quality_rules", "near_dedup", "substring_dedup", "source_mix", "bpe"]
-    for k, (name, f) in enumerate(stages):
-        out = f(spark, at, "")
-        if k < 4:
-            assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes], name
-        out.write.parquet(f"{tmp_path}/{name}")
-        at = spark.read.parquet(f"{tmp_path}/{name}")
-    assert at.count() > 0
-    assert re.fullmatch("[0-9a-f]{64}", at.first().ids_sha256)
