@@ -30,8 +30,23 @@ query("regional_level_shift", _SH + "---SELECT geo, col AS column, shift FROM sh
 query("remove_level_shift", _SC + "---SELECT geo, year, scenario, " + ", ".join(f"scaled_{c}" for c in LAND) + " FROM sc", " ".join(f"scaled_{c}" for c in LAND))(lambda v: scaled(v).select("geo", "year", "scenario", *(f"scaled_{c}" for c in LAND)))
 query("keep_scaled_columns", _SC + "---SELECT geo, year, CAST(year - 1996 AS INT) AS year_idx, " + ", ".join(f"scaled_{c} AS {c}" for c in LAND) + " FROM sc WHERE year >= 1997", " ".join(LAND))(lambda v: o.keep_scaled_columns(scaled(v), 1997))
 query("area_weighted_year_mean", _SC + "---" + _AW(LAND, "", "raw") + " UNION ALL " + _AW(LAND, "scaled_", "scaled"), " ".join(LAND))(lambda v: o.area_weighted_year_mean(v.panel_year, v.region, LAND, "raw").unionByName(o.area_weighted_year_mean(o.keep_scaled_columns(scaled(v), 1995), v.region, LAND, "scaled")))
-query("fit_population_trend")(lambda v: o.fit_population_trend(v.panel_year).select("geo", "a", "b", "mean_year", "n"))
-query("extrapolate_next_year")(lambda v: o.extrapolate_next_year(o.fit_population_trend(v.panel_year), 2002))
+_TREND = """
+ps AS (SELECT geo, year, CAST(population AS DOUBLE) AS y FROM fx_panel_year WHERE population > 0),
+md AS (SELECT geo, avg(year) AS mean_year, count(*) AS n, avg(ln(y)) AS a FROM ps GROUP BY geo HAVING count(*) >= 3),
+da AS (SELECT ps.geo, year - mean_year AS x, y FROM ps JOIN md ON ps.geo = md.geo),
+r0 AS (SELECT geo, a, 0e0 AS b FROM md)""" + "".join(
+    f""",
+u{k} AS (SELECT da.geo, x, y, a, b, exp(a + b * x) AS mu FROM da JOIN r{k - 1} r ON da.geo = r.geo),
+g{k} AS (SELECT geo, sum(mu * mu) AS w0, sum(mu * mu * x) AS w1, sum(mu * mu * x * x) AS w2, sum(mu * mu * (a + b * x + (y - mu) / mu)) AS z0,
+         sum(mu * mu * x * (a + b * x + (y - mu) / mu)) AS z1, sum(pow(y - mu, 2)) AS rss, count(*) AS n FROM u{k} GROUP BY geo),
+r{k} AS (SELECT geo, (z0 * w2 - z1 * w1) / (w0 * w2 - w1 * w1) AS a, (w0 * z1 - w1 * z0) / (w0 * w2 - w1 * w1) AS b, w0, w1, w2, n, rss / greatest(n - 2, 1) AS s2 FROM g{k})"""
+    for k in range(1, 9)
+)
+_NEXT = """, ft AS (SELECT r8.*, mean_year, 2002 - mean_year AS x FROM r8 JOIN md ON r8.geo = md.geo),
+ex AS (SELECT geo, exp(a + b * x) AS population, 1.96e0 * sqrt(s2 * (w2 - 2 * x * w1 + x * x * w0) / (w0 * w2 - w1 * w1)) AS se, a + b * x AS eta FROM ft)---
+SELECT geo, CAST(2002 AS INT) AS year, population, exp(eta - se) AS lwr, exp(eta + se) AS upr, true AS is_extrapolated FROM ex"""
+query("fit_population_trend", _TREND + "---SELECT r8.geo, r8.a, r8.b, mean_year, r8.n FROM r8 JOIN md ON r8.geo = md.geo", "a b mean_year")(lambda v: o.fit_population_trend(v.panel_year).select("geo", "a", "b", "mean_year", "n"))
+query("extrapolate_next_year", _TREND + _NEXT, "population lwr upr", digits=2)(lambda v: o.extrapolate_next_year(o.fit_population_trend(v.panel_year), 2002))
 query("cap_growth", _CAP + "---SELECT * FROM cp", "population")(_capped)
 query("append_extrapolated", _CAP + "---SELECT geo, year, CAST(population AS DOUBLE) AS population, false AS is_extrapolated FROM fx_panel_year WHERE year <= 2000 UNION ALL SELECT geo, 2001, population, true FROM cp", "population")(lambda v: o.append_extrapolated(v.panel_year.filter("year <= 2000"), _capped(v), 2001))
 query("population_density", "SELECT y.geo, year, population, area_m2 / 1e6 AS area, population / (area_m2 / 1e6) AS population_density FROM fx_panel_year y LEFT JOIN fx_region r ON y.geo = r.geo", "area population_density")(lambda v: o.population_density(v.panel_year.select("geo", "year", "population"), v.region))
