@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import re
 from collections import Counter, defaultdict
 
 from driftmap.llm import bpe, license_scan, media_chunks, mixing, near_dedup, quality_rules, substring_dedup, url_filter, warc, weak_labels
