@@ -64,8 +64,11 @@ def merge_bins(numbered: DataFrame, groups: Sequence[tuple[int, int]]) -> DataFr
 
 
 def merge_spec_table(df: DataFrame, groups: Mapping[str, Sequence[tuple[int, int]]]) -> DataFrame:
-    rows = [(c, lo, hi) for c, g in groups.items() for lo, hi in g]
-    return df.sparkSession.createDataFrame(rows, "column string, lo int, hi int")
+    """column, lo, hi, n: the groups of bins to merge of each column that df has, with the number of its known values."""
+    rows = [(c, lo, hi) for c, g in groups.items() if c in df.columns for lo, hi in g]
+    table = df.sparkSession.createDataFrame(rows, "column string, lo int, hi int")
+    known = df.agg(*(F.count(c).alias(c) for c in dict.fromkeys(r[0] for r in rows))) if rows else df.agg(F.count("*").alias("_"))
+    return table.join(known.unpivot([], known.columns, "column", "n"), "column")
 
 
 def bin_map(df: DataFrame, spec: DataFrame, column: str, bins: int, groups: Sequence[tuple[int, int]] = ()) -> DataFrame:

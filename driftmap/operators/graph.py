@@ -246,8 +246,10 @@ def proximity_by_year(q: DataFrame, presence: DataFrame, exponents: Sequence[flo
 
 
 def surrounded_regions(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """inner, outer: a short list of regions that lie inside another one, each pair once."""
-    return df.sparkSession.createDataFrame(sorted(set(pairs)), "inner string, outer string")
+    """inner, outer: of a short list of regions that lie inside another one, each pair once whose regions are both in df."""
+    listed = df.sparkSession.createDataFrame(sorted(set(pairs)), "inner string, outer string")
+    there = df.select("geo").distinct()
+    return listed.join(there, listed["inner"] == there["geo"], "left_semi").join(there, listed["outer"] == there["geo"], "left_semi")
 
 
 def inherit_outer_proximity(proximity: DataFrame, presence: DataFrame, pairs: DataFrame, column: str) -> DataFrame:

@@ -44,7 +44,7 @@ query("assign_bins", _RAW + "---SELECT geo, year, raw AS precipitation_bin FROM
 query("empty_bin_remap", _MAP + '---SELECT bin, t AS "to" FROM rm')(lambda v: b.empty_bin_remap(b.assign_bins(_train(v), b.fit_equal_width_bins(_train(v), ["precipitation"], BINS), "precipitation"), "precipitation", BINS))
 query("compress_bins", _MAP + '---SELECT bin, t AS "to", bin_no FROM cm')(lambda v: _map(v).drop("merged_no"))
 query("merge_bins", _MAP + '---SELECT bin, t AS "to", bin_no, merged_no FROM mg')(_map)
-query("merge_spec_table", "SELECT 'precipitation' AS \"column\", CAST(2 AS INT) AS lo, CAST(4 AS INT) AS hi UNION ALL SELECT 'precipitation', 9, 11")(lambda v: b.merge_spec_table(v.panel, GROUPS))
+query("merge_spec_table", "SELECT 'precipitation' AS \"column\", lo, hi, (SELECT count(precipitation) FROM fx_panel) AS n FROM (SELECT CAST(2 AS INT) AS lo, CAST(4 AS INT) AS hi UNION ALL SELECT 9, 11) q")(lambda v: b.merge_spec_table(v.panel, GROUPS))
 query("bin_keys", _KEYS + "---SELECT bin, bin_min, bin_max, bin_mean, n FROM ky", "bin_min bin_max bin_mean")(lambda v: b.bin_keys(_applied(v).filter("year <= 1998"), "precipitation").drop("range"))
 query("attach_bins", _KEYS + "---SELECT geo, year, precipitation_bin, bin_mean AS precipitation_bin_mean FROM ap LEFT JOIN ky ON precipitation_bin = bin WHERE year > 1998", "precipitation_bin_mean")(lambda v: b.attach_bins(_train(v), v.panel.filter("year > 1998"), _spec(v), "precipitation")[1].select("geo", "year", "precipitation_bin", "precipitation_bin_mean"))
 query("write_back_bins", _MAP + "---SELECT geo, year_idx, precipitation_bin AS precipitation FROM ap")(lambda v: b.write_back_bins(v.panel.select("geo", "year_idx", "precipitation"), _applied(v).select("geo", "year_idx", F.col("precipitation_bin").alias("precipitation")), ["precipitation"]))

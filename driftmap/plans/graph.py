@@ -48,7 +48,7 @@ query("links_to_laplacian", "k AS (SELECT a.geo AS i, b.geo AS j, CAST((a.region
 query("presence_or_zero", "SELECT geo, year, year_idx, CAST(coalesce(presence, 0) AS INT) AS presence FROM fx_presence")(lambda v: g.presence_or_zero(v.presence))
 query("harmonic_fill")(lambda v: g.harmonic_fill(_q(v), g.presence_or_zero(v.presence).select(F.col("year_idx").alias("key"), F.col("geo").alias("node"), "presence"), 1))
 query("proximity_by_year")(_proximity)
-query("surrounded_regions", "SELECT 'G1' AS \"inner\", 'G2' AS \"outer\" UNION ALL SELECT 'G7', 'G8'")(lambda v: g.surrounded_regions(v.region, [("G1", "G2"), ("G7", "G8"), ("G1", "G2")]))
+query("surrounded_regions", "SELECT a.geo AS \"inner\", b.geo AS \"outer\" FROM fx_region a JOIN fx_region b ON (a.geo = 'G1' AND b.geo = 'G2') OR (a.geo = 'G7' AND b.geo = 'G8')")(lambda v: g.surrounded_regions(v.region, [("G1", "G2"), ("G7", "G8"), ("G1", "G2")]))
 _INH = "px AS (SELECT geo, year_idx, population % 97 / 9.7e1 AS x FROM fx_panel_year), bf AS (SELECT geo, year_idx + 1 AS year_idx, coalesce(presence, 0) AS was FROM fx_presence), pw AS (SELECT px.*, coalesce(was, 0) AS was FROM px LEFT JOIN bf ON px.geo = bf.geo AND px.year_idx = bf.year_idx)"
 query("inherit_outer_proximity", _INH + "---SELECT a.geo, a.year_idx, CASE WHEN o.geo IS NOT NULL AND a.was = 0 AND o.was = 0 THEN o.x ELSE a.x END AS x FROM pw a LEFT JOIN pw o ON o.year_idx = a.year_idx AND o.geo = CASE a.geo WHEN 'G1' THEN 'G2' WHEN 'G7' THEN 'G8' END", "x")(lambda v: g.inherit_outer_proximity(v.sql("SELECT geo, year_idx, population % 97 / 9.7e1 AS x FROM fx_panel_year"), v.presence, g.surrounded_regions(v.region, [("G1", "G2"), ("G7", "G8")]), "x"))
 query("proximity_from_draws")(lambda v: g.proximity_from_draws(v.draws.select("geo", "year_idx", F.col("p_fact").alias("p")), _q(v), g.surrounded_regions(v.region, [("G1", "G2")])))
