@@ -33,6 +33,8 @@ COORDINATES = BANDS * ROWS
 PERCENT = 75
 #: Classes of one side of a block.
 BLOCK = 256
+#: Pairs that one copy of a class's set serves, and how many classes are copied at most.
+COPY_PAIRS, MAX_HOT = 256, 10_000
 _STEP = np.uint32(0x9E3779B1)
 
 
@@ -152,9 +154,15 @@ def _similar(a: Column, b: Column) -> Column:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = pairs.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")), "v")
-    both = left.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u")
-    return both.filter(_similar(F.col("su"), F.col("sv"))).select("u", "v").distinct()
+    """The pairs u, v whose full sets are similar. The set of a class that many pairs have as u is given in several copies, for at most MAX_HOT classes."""
+    pairs = settle(pairs, "pairs")
+    many = pairs.groupBy("u").agg(F.count("*").alias("n")).filter((F.col("n") > COPY_PAIRS) & (F.col("n") * MAX_HOT > pairs.count()))
+    many = F.broadcast(settle(many.select("u", F.ceil(F.col("n") / COPY_PAIRS).cast("int").alias("copies")), "hot"))
+    copies = F.coalesce("copies", F.lit(1))
+    asked = pairs.join(many, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), copies).cast("int").alias("copy"))
+    left = asked.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")), "v")
+    given = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")).join(many, "u", "left").select("u", "su", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    return left.join(given, ["u", "copy"]).filter(_similar(F.col("su"), F.col("sv"))).select("u", "v").distinct()
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:

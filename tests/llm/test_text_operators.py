@@ -199,3 +199,27 @@ def test_repeated_rows_have_one_result(odd):
     assert [r.n_removed for r in got] == [0, 0, 0]
     assert [r.n_removed for r in substring_dedup.remove_repeats(odd).collect() if r.doc_id == 6] == [15]
     assert Counter(r.component_id for r in near_dedup.near_duplicates(odd).collect() if r.doc_id == 6) == {5: 1}
+
+
+def test_a_very_long_text_is_worked_on_whole(spark):
+    """Two copies of 150,000 words, the second with a changed first word, beside a short text."""
+    long = " ".join(f"w{k * 7919 % 50021}" for k in range(150_000))
+    table = spark.createDataFrame([(1, long, "en", "s", 1), (2, "x" + long, "en", "s", 1), (3, "short text", "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    dedup = {r.doc_id: r for r in substring_dedup.remove_repeats(table).collect()}
+    assert (dedup[1].n_removed, dedup[2].n_removed) == (0, 149_999)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.doc_id: r.n_words for r in quality_rules.quality_rules(table).collect()} == {1: 150_000, 2: 150_000, 3: 2}
+    back = {r.doc_id: r for r in bpe.round_trip(table).collect()}
+    assert back[1].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert {r.doc_id: r.n_bytes for r in media_chunks.stored_media(table).collect()}[2] == len(long) + 1
+    assert sum(r.size for r in mixing.mixed_sizes(table).collect()) == 300_002
+    assert {r.doc_id: r.n_words for r in license_scan.scan_licenses(table).collect()}[1] == 150_000
+    assert {r.doc_id: r.n_words for r in weak_labels.classify(table).collect()}[1] == 150_000
+
+
+def test_near_copies_of_one_document_are_dealt_in_copies(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "COPY_PAIRS", 4)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(i, " ".join(base[: i % 40 + 5] + [f"x{i}"] + base[i % 40 + 6 :])) for i in range(60)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.component_id for r in got} == {0}
