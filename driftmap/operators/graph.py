@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmap.operators.lineage import cut
+from driftmap.operators.lineage import cut, numbered
 
 
 def _vertices(regions: DataFrame, snap: float) -> DataFrame:
@@ -99,7 +99,8 @@ def component_of(edges: DataFrame, start: str | None = None) -> DataFrame:
 def grid_and_chain_graph(nodes: DataFrame, removed_nodes: Sequence[int] = (), removed: Sequence[tuple[int, int]] = (), clique: Sequence[int] = ()) -> DataFrame:
     """src, dst of a chain over nodes in order without some, without some links, with a clique added; both ways."""
     left = nodes.filter(~F.col("node").isin(*removed_nodes)) if removed_nodes else nodes
-    chain = left.select(F.col("node").alias("dst"), F.lag("node").over(Window.orderBy("node")).alias("src")).filter("src is not null").select("src", "dst")
+    places = numbered(left.select("node"), ("node",), "_n")
+    chain = places.select(F.col("node").alias("src"), (F.col("_n") + 1).alias("_n")).join(places.withColumnRenamed("node", "dst"), "_n").select("src", "dst")
     spark = nodes.sparkSession
     if removed:
         chain = chain.join(spark.createDataFrame(list(removed), "src long, dst long"), ["src", "dst"], "left_anti")

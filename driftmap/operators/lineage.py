@@ -1,10 +1,11 @@
-"""Cut the lineage of iterative jobs with files that outlive an executor."""
+"""Cut the lineage of iterative jobs with files that outlive an executor, and number rows without one task for all."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -25,3 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: tuple[str, ...], name: str) -> DataFrame:
+    """df with each row's place in the order of some columns, from 1: ranges are sorted each in its task, only their sizes in one."""
+    ranges = cut(df.sort(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
+    ahead = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_in", inside).join(ahead, "_range").withColumn(name, F.col("_in") + F.col("_ahead")).drop("_range", "_in", "_ahead")

@@ -9,7 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmap.operators.lineage import cut
+from driftmap.operators.lineage import cut, numbered
 
 EDGE = 1e-10
 METRICS = ("accuracy", "sensitivity", "specificity", "precision", "f1")
@@ -24,9 +24,9 @@ def temporal_folds(df: DataFrame, last_years: int) -> DataFrame:
 
 def spatial_random_folds(df: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
     """Each region's fold by its place in a seeded hash order: sizes differ by one at most."""
-    ids = df.select("geo").distinct()
-    n = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "geo"), "geo"))
-    return df.join(ids.withColumn("fold", (n - 1) % folds + 1), "geo")
+    ids = df.select("geo").distinct().withColumn("_h", F.xxhash64(F.lit(seed), "geo"))
+    places = numbered(ids, ("_h", "geo"), "_n")
+    return df.join(places.select("geo", ((F.col("_n") - 1) % folds + 1).cast("int").alias("fold")), "geo")
 
 
 def row_random_folds(df: DataFrame, keys: Sequence[str] = ("geo", "year"), folds: int = 5, seed: int = 42) -> DataFrame:
