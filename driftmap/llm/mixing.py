@@ -203,11 +203,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     lists = lists.select(F.col("_key").alias("_k"), F.col("size").alias("_size"), "_pieces")
     keyed = docs.withColumn("_key", row_key("doc_id", "source", "text")).dropDuplicates(["_key"])
     joined = keyed.join(lists, F.col("_key") == F.col("_k"))
-    parts = F.transform("_pieces", lambda p: F.slice(F.col("_words"), (p["begin"] + 1).cast("int"), p["words"].cast("int")))
     whole = (F.element_at("_pieces", -1)["turn"] == F.element_at("_pieces", 1)["turn"]) & (F.aggregate("_pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("_size"))
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.flatten(parts), " "))
-    joined = joined.withColumn("_words", F.when(~whole, F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))).withColumn("text", text)
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns))
+    cut = lambda words: F.transform("_pieces", lambda p: F.slice(words, (p["begin"] + 1).cast("int"), p["words"].cast("int")))
+    # as a lambda's argument the words are found once for a text, not once for each piece
+    taken = F.transform(F.array(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))), lambda words: F.array_join(F.flatten(cut(words)), " "))[0]
+    return joined.withColumn("text", F.when(whole, F.col("text")).otherwise(taken)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
