@@ -33,7 +33,7 @@ MASK_BITS = 8
 #: References that one copy of a stored chunk serves, and how many chunks are copied at most.
 COPY_ROWS, MAX_HOT = 256, 10_000
 #: Parts in which chunks are written and files rebuilt, one after the other, so that a job's shuffle files are those of a part.
-WRITES, BUCKETS = 2, 16
+WRITES, BUCKETS = 4, 12
 _GEAR = (w.BYTE_VALUE >> np.uint64(32)).astype(np.uint32)
 _RESULT = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 _FIELDS = [x.split()[0] for x in _RESULT.split(", ")]
