@@ -9,14 +9,14 @@ from driftmap.plans.fixtures import Views
 from driftmap.plans.registry import query
 
 YEARS = tuple(range(1995, 2002))
-_D = """
+DISTANCES = """
 ra AS (SELECT geo, radians(longitude) AS x, atan((1 - 1 / 2.98257223563e2) * tan(radians(latitude))) AS y FROM fx_region),
 an AS (SELECT a.geo AS i, b.geo AS j, (a.y + b.y) / 2 AS p, (b.y - a.y) / 2 AS q,
        2 * asin(sqrt(least(pow(sin((b.y - a.y) / 2), 2) + cos(a.y) * cos(b.y) * pow(sin((b.x - a.x) / 2), 2), 1e0))) AS s
        FROM ra a JOIN ra b ON a.geo <> b.geo),
 di AS (SELECT i, j, CASE WHEN s = 0 THEN 0e0 ELSE 6.378137e3 * (s - (1 / 2.98257223563e2) / 2 * ((s - sin(s)) * pow(sin(p) * cos(q), 2) / pow(cos(s / 2), 2)
        + (s + sin(s)) * pow(cos(p) * sin(q), 2) / pow(sin(s / 2), 2))) END AS dist FROM an)"""
-_F = _D + ", tt AS (SELECT year, CAST(sum(population) AS DOUBLE) AS total FROM fx_panel_year GROUP BY 1), ps AS (SELECT di.*, b.year, CAST(a.population AS DOUBLE) AS m, CAST(b.population AS DOUBLE) AS n, total FROM di JOIN fx_panel_year b ON b.geo = j JOIN fx_panel_year a ON a.geo = i AND a.year = b.year JOIN tt ON tt.year = b.year), ss AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY year, i ORDER BY round(dist, 9), j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS s FROM ps), fl AS (SELECT year, i, j, dist, m * n / ((m + s) * (m + n + s)) AS prob, m * n / ((m + s) * (m + n + s)) / (1 - m / total) AS prob_rescaled, 0.9e0 * m * (m * n / ((m + s) * (m + n + s))) AS flux FROM ss)"
+_F = DISTANCES + ", tt AS (SELECT year, CAST(sum(population) AS DOUBLE) AS total FROM fx_panel_year GROUP BY 1), ps AS (SELECT di.*, b.year, CAST(a.population AS DOUBLE) AS m, CAST(b.population AS DOUBLE) AS n, total FROM di JOIN fx_panel_year b ON b.geo = j JOIN fx_panel_year a ON a.geo = i AND a.year = b.year JOIN tt ON tt.year = b.year), ss AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY year, i ORDER BY round(dist, 9), j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS s FROM ps), fl AS (SELECT year, i, j, dist, m * n / ((m + s) * (m + n + s)) AS prob, m * n / ((m + s) * (m + n + s)) / (1 - m / total) AS prob_rescaled, 0.9e0 * m * (m * n / ((m + s) * (m + n + s))) AS flux FROM ss)"
 _T = _F + ", fo AS (SELECT year, i AS geo, sum(flux) AS total_flux_out FROM fl GROUP BY 1, 2), fi AS (SELECT year, j AS geo, sum(flux) AS total_flux_in FROM fl GROUP BY 1, 2), ft AS (SELECT fo.year, fo.geo, total_flux_out, total_flux_in, total_flux_out - total_flux_in AS net_flux_out FROM fo JOIN fi ON fo.year = fi.year AND fo.geo = fi.geo)"
 _U = _F + ", un AS (SELECT year, least(i, j) AS i, greatest(i, j) AS j, max(flux) AS flux FROM fl GROUP BY 1, 2, 3)"
 _TOP = "tp AS (SELECT geo, total_flux_in FROM ft WHERE year = 1995 ORDER BY total_flux_in DESC, geo LIMIT 10)"
@@ -40,8 +40,8 @@ def _wide(v: Views):
     return m.pivot_years_wide(t, m.top_k_regions(t, 1995), YEARS)
 
 
-query("pairwise_distance", _D + "---SELECT * FROM di", "dist")(lambda v: m.pairwise_distance(v.region))
-query("duplicate_centroid_check", _D + "---SELECT * FROM di WHERE dist = 0 OR dist IS NULL", "dist")(lambda v: m.duplicate_centroid_check(m.pairwise_distance(v.region)))
+query("pairwise_distance", DISTANCES + "---SELECT * FROM di", "dist")(lambda v: m.pairwise_distance(v.region))
+query("duplicate_centroid_check", DISTANCES + "---SELECT * FROM di WHERE dist = 0 OR dist IS NULL", "dist")(lambda v: m.duplicate_centroid_check(m.pairwise_distance(v.region)))
 query("radiation_flux", _F + "---SELECT year, i, j, flux FROM fl", "flux", digits=3)(lambda v: flux(v).select("year", "i", "j", "flux"))
 query("radiation_prob_rescaled", _F + "---SELECT year, i, j, prob, prob_rescaled FROM fl", "prob prob_rescaled")(lambda v: flux(v).select("year", "i", "j", "prob", "prob_rescaled"))
 query("flux_totals", _T + "---SELECT * FROM ft", "total_flux_out total_flux_in net_flux_out", digits=3)(totals)
