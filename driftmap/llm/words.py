@@ -118,8 +118,9 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
-def split(data: np.ndarray, bounds: np.ndarray) -> Words:
-    start, end = _runs(~SPACE[data], bounds)
+def split(data: np.ndarray, bounds: np.ndarray, inside: np.ndarray = ~SPACE) -> Words:
+    """The words of a slice: runs of the bytes for which inside holds."""
+    start, end = _runs(inside[data], bounds)
     first = np.searchsorted(start, bounds)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
     return Words(data, bounds, start, end, doc, first)
