@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftmap.llm import bpe, lexical_search, license_scan, media_chunks, mixing, near_dedup, quality_rules, substring_dedup, url_filter, warc, weak_labels
+from driftmap.llm import bpe, lexical_search, license_scan, media_chunks, mixing, near_dedup, quality_rules, substring_dedup, url_filter, warc, weak_labels, whitening
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_weak_labels": weak_labels.op8_weak_labels,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_chunked_media": media_chunks.op10_chunked_media,
+    "op11_lanczos_whitening": whitening.op11_lanczos_whitening,
     "op12_lexical_search": lexical_search.op12_lexical_search,
 }
 ORACLES = {
