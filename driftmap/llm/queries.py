@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftmap.llm import bpe, lexical_search, license_scan, media_chunks, mixing, near_dedup, quality_rules, substring_dedup, url_filter, warc, weak_labels, whitening
+from driftmap.llm import bpe, html_extraction, lexical_search, license_scan, media_chunks, mixing, near_dedup, quality_rules, substring_dedup, url_filter, warc, weak_labels, whitening
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chunked_media": media_chunks.op10_chunked_media,
     "op11_lanczos_whitening": whitening.op11_lanczos_whitening,
     "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_main_text": html_extraction.op13_main_text,
 }
 ORACLES = {
     "op1_url_filter": url_filter.OP1_SQL,
