@@ -84,13 +84,12 @@ def signatures(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def band_keys(sig: np.ndarray) -> np.ndarray:
     h = np.zeros((len(sig), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
     for r in range(ROWS):
-        h = w.mix(h ^ (sig.reshape(-1, BANDS, ROWS)[:, :, r].astype(np.uint64) + np.uint64(r + 1) * w._BASE))
+        h = w.mix(h ^ w.mix(sig.reshape(-1, BANDS, ROWS)[:, :, r].astype(np.uint64) + np.uint64(r + 1)))
     return h
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids = b.column("doc_id")
         for lo, hi, x in w.batches(b.column("text")):
             values, counts = shingle_sets(x)
             some = counts > 0
@@ -101,15 +100,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(signatures(values, counts))
             empty = ~some
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array(counts), pa.array(a, mask=empty), pa.array(c, mask=empty), w.list_array(pa.array(w.signed(keys.ravel())), np.where(some, BANDS, 0))],
-                ["doc_id", "n", "a", "c", "bands"],
+                [*(b.column(k).slice(lo, hi - lo) for k in ("doc_id", "ta", "tb")), pa.array(counts), pa.array(a, mask=empty), pa.array(c, mask=empty), w.list_array(pa.array(w.signed(keys.ravel())), np.where(some, BANDS, 0))],
+                ["doc_id", "ta", "tb", "n", "a", "c", "bands"],
             )
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids = b.column("doc_id")
-        for lo, hi, x in w.batches(b.column("text")):
+        ids = b.column("id")
+        for lo, _, x in w.batches(b.column("text")):
             values, counts = shingle_sets(x)
             sig = signatures(values, counts)
             where = np.flatnonzero(counts > 0)
@@ -175,47 +174,63 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(of, "key")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs.
-
-    Null, empty and blank texts have no shingles and are linked with nothing. Rows with a
-    null doc_id are linked with nothing and kept. Rows that share a doc_id are each judged
-    by their own text. Other columns are ignored.
-    """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scan = settle(base.mapInArrow(_scan, "doc_id bigint, n bigint, a bigint, c bigint, bands array<bigint>"), "sketches")
+def _judged(docs: DataFrame) -> DataFrame:
+    """near_duplicates, with the key of each row's text (ta, tb)."""
+    text = F.col("text").cast("string")
+    keys = [F.xxhash64(text).alias("ta"), F.xxhash64(F.lit(6), text, F.length(text)).alias("tb")]
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *keys)
+    scan = settle(base.mapInArrow(_scan, "doc_id bigint, ta bigint, tb bigint, n bigint, a bigint, c bigint, bands array<bigint>"), "sketches")
     linkable = scan.filter("n > 0 and doc_id is not null")
-    classes = linkable.groupBy("a", "c").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = settle(classes, "classes")
+    # a class is named by a number of its own, as rows of one doc_id may be of several classes
+    classes = linkable.groupBy("a", "c").agg(F.min(F.struct("doc_id", "ta", "tb")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = settle(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
     members = settle(buckets.join(shared.select("key", "hub"), "key"), "members")
     pairs = members.filter("id <> hub.id").filter(f"100 * least(n, hub.n) >= {PERCENT} * greatest(n, hub.n)").select(F.col("hub.id").alias("u"), F.col("id").alias("v")).distinct()
-    ids = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = settle(base.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets, "id bigint, shingles array<bigint>, sig binary"), "sets")
+    asked = classes.select("id", "row.doc_id", "row.ta", "row.tb").join(members.select("id").distinct(), "id", "left_semi")
+    texts = base.join(asked, ["doc_id", "ta", "tb"]).groupBy("id").agg(F.first("text").alias("text"))
+    sets = settle(texts.mapInArrow(_full_sets, "id bigint, shingles array<bigint>, sig binary"), "sets")
     first = settle(_confirm(pairs, sets), "links")
-    inside = settle(_mixed(members, components(first)), "mixed")
+    found = components(first)
+    inside = settle(_mixed(members, found), "mixed")
     hub = inside.filter("component = main").groupBy("key").agg(F.min_by("id", F.xxhash64("key", "id")).alias("u"))
     tried = inside.filter("component <> main").join(hub, "key").select("u", F.col("id").alias("v")).distinct()
     second = settle(first.unionByName(_confirm(tried, sets)), "links")
-    inside = settle(_mixed(members, components(second)), "mixed")
+    discard(inside, found)
+    found = components(second)
+    inside = settle(_mixed(members, found), "mixed")
     number, cells = F.xxhash64("id"), ("key", "band", "id", "component")
     asks = inside.filter("component <> main").select(*cells, F.lit(0).alias("role"), F.pmod(number, F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
     told = inside.select(*cells, F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(number, F.col("cols")).cast("int").alias("j"))
     blocks = asks.unionByName(told).join(sets, "id")
-    found = components(second.unionByName(blocks.groupBy("key", "i", "j").applyInArrow(_links, "u bigint, v bigint")))
-    by_class = classes.select("a", "c", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("a", "c", F.coalesce("component", "id").alias("component_id"))
-    linked = linkable.select("doc_id", "n", "a", "c").join(by_class, ["a", "c"], "left")
-    alone = scan.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    discard(members, sets, first, second, inside)
-    out = linked.select("doc_id", "n", "component_id").unionByName(alone)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    last = components(second.unionByName(blocks.groupBy("key", "i", "j").applyInArrow(_links, "u bigint, v bigint")))
+    placed = classes.select("a", "c", "id", F.col("row.doc_id").alias("least")).join(last.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_class = settle(placed.join(least, "component").select("a", "c", "component_id"), "placed")
+    discard(members, sets, first, second, inside, found, last, classes)
+    linked = linkable.select("doc_id", "ta", "tb", "n", "a", "c").join(by_class, ["a", "c"], "left")
+    alone = scan.filter("n = 0 or doc_id is null").select("doc_id", "ta", "tb", "n", F.col("doc_id").alias("component_id"))
+    out = linked.select("doc_id", "ta", "tb", "n", "component_id").unionByName(alone)
+    return out.select("doc_id", "ta", "tb", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs.
+
+    Null, empty and blank texts have no shingles and are linked with nothing. Rows with a
+    null doc_id are linked with nothing and kept. Rows that share a doc_id are each judged
+    by their own text, and may be of different components. Other columns are ignored.
+    """
+    return _judged(docs).drop("ta", "tb")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, one of each component; of rows that share its doc_id, all stay."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of docs that near_duplicates keeps, one of each component; of rows equal in doc_id and text, all stay."""
+    gone = _judged(docs).filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("ta").alias("_ta"), F.col("tb").alias("_tb")).distinct()
+    text = F.col("text").cast("string")
+    same = (docs["doc_id"] == gone["_gone"]) & (F.xxhash64(text) == gone["_ta"]) & (F.xxhash64(F.lit(6), text, F.length(text)) == gone["_tb"])
+    return docs.join(gone, same, "left_anti")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

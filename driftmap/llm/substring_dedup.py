@@ -13,9 +13,10 @@ document with a smaller doc_id. Steps, each a Spark job over all documents:
    the shards whose holders it shares a window with; no other shard can find anything in it.
 4. Automata. A shard's passages are compiled into an automaton of the 7-word blocks that
    tile them: every window holds one whole block. The documents' words are streamed through
-   it; each place where a block is found is compared word by word with the passage, and
-   where 13 words or more in a row agree is a place to remove. A shard that many documents
-   go to is dealt in parts of bounded size, each with the shard's passages.
+   it; the windows around each place where a block is found are looked up among the shard's
+   windows and compared word by word, so that work follows the words of the documents. A
+   shard that many documents go to is dealt in parts of bounded size, each with the shard's
+   passages.
 5. The words found are cut from the whole texts.
 
 The memory of a task follows the part size, the slice size and its longest document.
@@ -44,7 +45,7 @@ PATTERN = 7
 SHARD_WINDOWS = 50_000
 PART_BYTES = 4 << 20
 #: Words that are compared at once.
-COMPARED = 1 << 22
+COMPARED = 1 << 20
 #: Tells rows of one doc_id apart by their texts.
 _KEY = "_key bigint"
 
@@ -134,64 +135,60 @@ def _symbols(h: np.ndarray) -> str:
 
 
 class Automaton:
-    """The blocks that tile the passages of a shard, compiled, with the passages' words and holders."""
+    """The blocks that tile the passages of a shard, compiled, with the passages' words and their windows, each once, of the least holder."""
 
     def __init__(self, texts: pa.Array, holders: np.ndarray):
         data, bounds = w.as_bytes(texts)
         self.words = x = w.split(data[bounds[0] : bounds[-1]], bounds - bounds[0])
         self.hashes, self.holders = x.hashes(), holders
-        length = np.diff(x.first)
-        tiles = np.maximum(length // PATTERN, 0)
+        tiles = np.diff(x.first) // PATTERN
         place = np.repeat(x.first[:-1], tiles) + (np.arange(tiles.sum()) - np.repeat(np.cumsum(tiles) - tiles, tiles)) * PATTERN
-        symbols, number = _symbols(self.hashes), {}
-        which = np.fromiter((number.setdefault(symbols[3 * p : 3 * (p + PATTERN)], len(number)) for p in place.tolist()), np.int64, len(place))
+        symbols = _symbols(self.hashes)
         self.machine = ahocorasick.Automaton()
-        for block, k in number.items():
-            self.machine.add_word(block, k)
+        for block in {symbols[3 * p : 3 * (p + PATTERN)] for p in place.tolist()}:
+            self.machine.add_word(block, True)
         self.machine.make_automaton()
-        self.places = place[np.argsort(which, kind="stable")]
-        self.edge = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(number)))]).astype(np.int64)
-
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word places where a block begins, and the places of equal blocks in the passages."""
+        at, g = w.grams(self.hashes, x.doc, WINDOW)
+        order = np.lexsort((at, holders[x.doc[at]], g))
+        new = np.ones(len(order), bool)
+        new[1:] = g[order][1:] != g[order][:-1]
+        self.windows, self.places = g[order][new], at[order][new]
+
+    def hits(self, h: np.ndarray) -> np.ndarray:
+        """Word places where a block begins."""
         if not len(self.machine):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found = np.array(list(self.machine.iter(_symbols(h))), np.int64).reshape(-1, 2)
-        size = self.edge[found[:, 1] + 1] - self.edge[found[:, 1]]
-        return np.repeat((found[:, 0] + 1) // 3 - PATTERN, size), w.ragged(self.places, self.edge[found[:, 1]], size)
+            return np.zeros(0, np.int64)
+        return (np.fromiter((end for end, _ in self.machine.iter(_symbols(h))), np.int64) + 1) // 3 - PATTERN
 
     def locate(self, x: w.Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, first and last + 1 word of each stretch that a passage of an earlier document has."""
-        h, y = x.hashes(), self.words
-        p, q = self.hits(h)
-        inside = x.doc[p] == x.doc[np.minimum(p + PATTERN - 1, len(x.doc) - 1)] if len(p) else np.zeros(0, bool)
-        p, q = p[inside], q[inside]
-        later = ids[x.doc[p]] > self.holders[y.doc[q]]
-        p, q = p[later], q[later]
-        # a passage meets a document on a diagonal, p - q: each is compared once, from end to end
-        doc, held = x.doc[p], y.doc[q]
-        key = ((p - q) * len(y.first) + held) * len(x.first) + doc
-        at = np.unique(key, return_index=True)[1]
-        doc, held, shift = doc[at], held[at], (p - q)[at]
-        low, high = np.maximum(y.first[held], x.first[doc] - shift), np.minimum(y.first[held + 1], x.first[doc + 1] - shift)
-        size = high - low
-        found = []
-        chunk = np.cumsum(size) // COMPARED
-        for c in np.unique(chunk):
-            part = np.flatnonzero(chunk == c)
-            n = size[part]
-            j = w.ragged(np.arange(len(y.doc)), low[part], n)
-            i = j + np.repeat(shift[part], n)
-            same = h[i] == self.hashes[j]
-            same[same] = _equal(x, i[same], y, j[same])
-            begin, end = w._runs(same, np.concatenate([[0], np.cumsum(n)]))
-            long = end - begin >= WINDOW
-            first = i[begin[long]]
-            found.append((x.doc[first], first - x.first[x.doc[first]], (end - begin)[long]))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        doc, begin, size = (np.concatenate(z) for z in zip(*found, strict=True))
-        return doc, begin, begin + size
+        """Document, first and last + 1 word of each stretch that passages of earlier documents cover.
+
+        Every window holds a whole block, so only windows around a hit are looked at: each meets
+        the one equal window of the passages and is compared with it word by word.
+        """
+        h, y, none = x.hashes(), self.words, np.zeros(0, np.int64)
+        p = self.hits(h)
+        if not len(p) or not len(self.windows):
+            return none, none, none
+        near = np.zeros(len(h) + 1, np.int64)
+        np.add.at(near, np.maximum(p - (WINDOW - PATTERN), 0), 1)
+        np.add.at(near, p + 1, -1)
+        at, g = w.grams(h, x.doc, WINDOW)
+        some = np.cumsum(near)[at] > 0
+        at, g = at[some], g[some]
+        found = np.minimum(np.searchsorted(self.windows, g), len(self.windows) - 1)
+        q = self.places[found]
+        later = (self.windows[found] == g) & (ids[x.doc[at]] > self.holders[y.doc[q]])
+        at, q = at[later], q[later]
+        covered = np.zeros(len(h), bool)
+        for lo in range(0, len(at), COMPARED // WINDOW):
+            i = (at[lo : lo + COMPARED // WINDOW, None] + np.arange(WINDOW)).ravel()
+            j = (q[lo : lo + COMPARED // WINDOW, None] + np.arange(WINDOW)).ravel()
+            whole = _equal(x, i, y, j).reshape(-1, WINDOW).all(1)
+            covered[i.reshape(-1, WINDOW)[whole]] = True
+        begin, end = w._runs(covered, x.first)
+        doc = x.doc[begin]
+        return doc, begin - x.first[doc], end - x.first[doc]
 
 
 def _equal(x: w.Words, i: np.ndarray, y: w.Words, j: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Automata of repeated passages: what they find, and that nothing is found without them."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,20 @@ def test_repeated_words():
     assert covered.all()
 
 
+def test_work_follows_the_words_where_all_are_alike(spark):
+    """150,000 equal words in both texts, and a block of words that all passages share."""
+    began = time.time()
+    assert found([(9, "so " * 150_000)], [(1, "so " * 150_000)]) == [(9, 0, 150_000)]
+    common = "the very same words stand here again"
+    passages = [(1, f"p{k} {common} q{k} r{k} s{k} t{k} u{k} v{k}") for k in range(4000)]
+    docs = [(2, " ".join(f"x{k} {common} y{k}" for k in range(4000)) + " " + passages[7][1])]
+    assert [e - b for _, b, e in found(docs, passages)] == [14]
+    rows = [(i, "so " * 150_000) for i in (1, 2)]
+    got = {r.doc_id: r.n_removed for r in sd.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 0, 2: 150_000}
+    assert time.time() - began < 60
+
+
 def test_agrees_with_brute_force():
     rng = random.Random(8)
     docs = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(200)))) for i in range(2, 40)]
@@ -54,7 +69,7 @@ def test_agrees_with_brute_force():
 def test_without_the_automaton_nothing_is_found(monkeypatch):
     passage = " ".join(f"p{k}" for k in range(20))
     assert found([(2, passage)], [(1, passage)])
-    monkeypatch.setattr(sd.Automaton, "hits", lambda self, h: (np.zeros(0, np.int64),) * 2)
+    monkeypatch.setattr(sd.Automaton, "hits", lambda self, h: np.zeros(0, np.int64))
     assert not found([(2, passage)], [(1, passage)])
 
 

@@ -57,6 +57,16 @@ def test_near_dedup_links_a_chain_whose_least_member_is_far(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_near_dedup_keeps_a_row_of_every_component_where_ids_repeat(spark):
+    prose = [" ".join(f"{c}{k}" for k in range(60)) for c in "ab"]
+    edited = [t + " end" for t in prose]
+    rows = [(1, edited[0]), (5, prose[0]), (5, prose[1]), (6, edited[1]), (5, prose[0])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 1, False), (5, 5, True), (6, 5, False)]
+    assert sorted(map(tuple, near_dedup.drop_near_duplicates(df).collect())) == [(1, edited[0]), (5, prose[1])]
+
+
 def test_quality_counts(docs, rows):
     for r in quality_rules.quality_rules(docs).collect():
         text = next(t for i, t, *_ in rows if i == r.doc_id) or ""
