@@ -2,17 +2,15 @@
 
 Each source's documents, in a pseudorandom order, are one stream of words that is packed
 into blocks of BLOCK_WORDS; the last block of a stream may be shorter. Every output shard
-draws how many blocks it takes of each source: the whole part of a source's expected number
-is given to each shard, the rest of the shard's slots are a multinomial draw by the
-fractions that are left. Over all shards a source's draws are numbered; the j-th takes the
-block at place j of a pseudorandom permutation of the source's blocks, a new one for each
-pass over them, and blocks are joined by that index. So the draws alone decide what is
-taken: a source with fraction r in each of K shards is off its target by a standard
-deviation of at most sqrt(K * r) blocks, and by one block at its last, partial pass. A draw
-beyond a source's third pass is void, so that no document is taken more than three times.
-
-Sources, shards and slots are tables; the driver holds sums over them and at most
-shard_slots source numbers.
+draws how many blocks it takes of each source, a multinomial over all its slots. Over all
+shards a source's draws are numbered; the j-th takes the block at place j of a pseudorandom
+permutation of the source's blocks, a new one for each pass over them, and blocks are joined
+by that index. So the draws alone decide what is taken: a source that is due s slots is off
+its target by a standard deviation of at most sqrt(s) blocks, a share of 1 / sqrt(s), which
+is why blocks are short. A draw beyond a source's third pass is void, so that no document is
+taken more than three times.
+
+Sources, shards and slots are tables; the driver holds sums over them.
 """
 
 from __future__ import annotations
@@ -28,15 +26,17 @@ from pyspark.sql import functions as F
 from driftmap.llm import words as w
 from driftmap.llm.tables import discard, numbered, row_key, settle, sums_before
 
-BLOCK_WORDS = 128
-SHARD_SLOTS = 1024
+BLOCK_WORDS = 16
+SHARD_SLOTS = 8192
+#: Blocks of a run, in which slots meet documents.
+RUN_BLOCKS = 64
 #: Documents of a part of a stream, on average.
 PART_DOCUMENTS = 1_000
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_PASSES = 3
 SEED = 20240229
-#: Fractions of slots are counted in this unit.
-_UNIT = 1 << 30
+#: Slots are parts of a line in this unit.
+_UNIT = 1 << 20
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -80,33 +80,23 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 
 
 def draw_shards(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """shard, no, n: how many slots of each shard a source gets. sources: no, slots (expected over all shards)."""
+    """shard, no, n: how many slots of each shard a source gets, a multinomial draw over all slots of the shard. sources: no, slots (expected over all shards).
+
+    Every slot falls on a point of a line that the sources divide; the two meet by cells of
+    the line. A shard's slots are counted in the task that draws them.
+    """
     spark = sources.sparkSession
+    by = settle(sources.filter("slots > 0").select("no", F.greatest(F.floor(F.col("slots") * _UNIT), F.lit(1)).cast("long").alias("mass")), "shares")
+    mass, count = by.agg(F.sum("mass"), F.count("*")).first()
     total = round(sources.agg(F.sum("slots")).first()[0] or 0)
     if not total:
         return spark.createDataFrame([], "shard bigint, no bigint, n bigint")
-    shards = -(-total // shard_slots)
-    mean = F.col("slots") / F.lit(shards)
-    left = F.floor((mean - F.floor(mean)) * _UNIT).cast("long")
-    by = settle(sources.select("no", F.floor(mean).cast("long").alias("n"), left.alias("left")), "shares")
-    sure = [(r.no, r.n) for r in by.filter("n > 0").collect()]  # their sum is shard_slots at most
-    given = sum(n for _, n in sure)
-    ids = spark.range(shards).withColumnRenamed("id", "shard")
-    drawn = ids.select("shard", F.explode(F.array(*(F.struct(F.lit(no).alias("no"), F.lit(n).alias("n")) for no, n in sure))).alias("s")).select("shard", "s.no", "s.n") if sure else None
-    some = by.filter("left > 0")
-    mass, count = some.agg(F.sum("left"), F.count("*")).first()
-    if mass:
-        # each free slot falls on a point of a line that sources divide; lookups meet by cells of the line
-        width = -(-mass // count)
-        line = sums_before(some.select("no", "left"), "left", "no").withColumn("end", F.col("before") + F.col("left"))
-        line = line.select("no", "before", "end", F.explode(F.sequence(F.floor(F.col("before") / width), F.floor((F.col("end") - 1) / width))).alias("cell"))
-        free = F.lit(total // shards - given) + (F.col("shard") < total % shards).cast("int")
-        point = F.pmod(F.xxhash64(F.lit(seed), "shard", "i"), F.lit(mass))
-        points = ids.withColumn("free", free).filter("free > 0").select("shard", F.explode(F.sequence(F.lit(1), F.col("free"))).alias("i"))
-        points = points.withColumn("point", point).withColumn("cell", F.floor(F.col("point") / width))
-        rest = points.join(line, "cell").filter("before <= point and point < end").select("shard", "no", F.lit(1).cast("long").alias("n"))
-        drawn = rest if drawn is None else drawn.unionByName(rest)
-    return drawn.groupBy("shard", "no").agg(F.sum("n").alias("n"))
+    width = -(-mass // count)
+    line = sums_before(by, "mass", "no").withColumn("end", F.col("before") + F.col("mass"))
+    line = line.select("no", "before", "end", F.explode(F.sequence(F.floor(F.col("before") / width), F.floor((F.col("end") - 1) / width))).alias("cell"))
+    points = spark.range(total).withColumn("shard", F.floor(F.col("id") / shard_slots)).select("shard", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(mass)).alias("point"))
+    points = points.withColumn("cell", F.floor(F.col("point") / width))
+    return points.join(line, "cell").filter("before <= point and point < end").groupBy("shard", "no").agg(F.count("*").alias("n"))
 
 
 def _fill(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
@@ -157,12 +147,16 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOT
     slots = settle(dealt.mapInArrow(partial(_fill, seed=seed), "shard bigint, no bigint, j bigint, turn bigint, block bigint"), "slots")
     placed = settle(_placed(sized, sources, sources.agg(F.sum("documents")).first()[0] or 0, seed), "placed")
     discard(sized, drawn)
-    b = F.lit(block)
-    spread = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
+    # slots and documents meet by runs of blocks, each a row with its slots (at most MOST_PASSES for a block)
+    b, run = F.lit(block), F.lit(block * RUN_BLOCKS)
+    runs = slots.groupBy("no", F.floor(F.col("block") / RUN_BLOCKS).alias("run")).agg(F.collect_list(F.struct("block", "shard", "j", "turn")).alias("_slots"))
+    spread = placed.filter("size > 0").withColumn("run", F.explode(F.sequence(F.floor(F.col("start") / run), F.floor((F.col("start") + F.col("size") - 1) / run))))
+    spread = spread.select("_key", "no", "start", "size", "run", F.floor(F.col("start") / b).alias("_from"), F.floor((F.col("start") + F.col("size") - 1) / b).alias("_to"))
+    met = spread.join(runs, ["no", "run"]).withColumn("_slot", F.explode(F.filter("_slots", lambda s: (s["block"] >= F.col("_from")) & (s["block"] <= F.col("_to")))))
+    met = met.select("_key", "no", "start", "size", "_slot.*")
     begin = F.greatest(F.col("block") * b - F.col("start"), F.lit(0))
     end = F.least((F.col("block") + 1) * b - F.col("start"), F.col("size"))
-    spread = spread.select("_key", "no", "start", "size", "block", begin.alias("begin"), (end - begin).alias("words"))
-    return sources, slots, placed, spread.join(slots, ["no", "block"])
+    return sources, slots, placed, met.select("shard", "no", "j", "turn", "block", "_key", "start", "size", begin.alias("begin"), (end - begin).alias("words"))
 
 
 def mixed_sizes(docs: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
