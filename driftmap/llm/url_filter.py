@@ -46,22 +46,25 @@ def canonical(host: Column, path: Column) -> Column:
 
 
 def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
-    """The longest fitting rule and its verdict, null where none fits, as one expression."""
+    """The longest fitting rule and its verdict, null where none fits, as one expression.
+
+    Of rules of one length the last by code point decides, and of equal rules allow.
+    """
     name = verdict = F.lit(None).cast("string")
-    for what, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for what, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2], r[0] == "allow")):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         name, verdict = F.when(fits, F.lit(h + p)).otherwise(name), F.when(fits, F.lit(what)).otherwise(verdict)
     return name, verdict
 
 
 def match_rules(base: DataFrame, rules: DataFrame) -> DataFrame:
-    """base, distinct hosts and paths, with columns rule and _verdict, by a join of every end of a host with the rules. rules: verdict, host, path."""
+    """base, distinct hosts and paths, with columns rule and _verdict as match_rule gives them, by a join of every end of a host with the rules. rules: verdict, host, path. Hosts aren't empty."""
     labels = F.split("host", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    asked = base.filter("host <> ''").select("host", "path", F.explode(ends).alias("_end"))
+    asked = base.select("host", "path", F.explode(ends).alias("_end"))
     rules = rules.select("verdict", F.col("host").alias("_end"), F.col("path").alias("_begin"), F.concat("host", "path").alias("rule"))
     fits = asked.join(rules, "_end").filter(F.col("path").startswith(F.col("_begin")))
-    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
+    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", (F.col("verdict") == "allow").alias("allow"), "verdict")).alias("best"))
     return base.join(best, ["host", "path"], "left").select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("_verdict"))
 
 
@@ -92,17 +95,17 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     rule fits them and the empty canonical form is never listed. Other columns are ignored.
     """
     host, path = url_parts(F.col("url"))
-    base = pages.select("page_id", host.alias("host"), path.alias("path"))
+    base = pages.select("page_id", host.alias("host"), path.alias("path"), canonical(host, path).alias("canonical"))
+    # the host decides first: URLs without one, which share one key, fit no rule and are on no list
+    none, base = base.filter("host = ''").withColumn("rule", F.lit(None).cast("string")).withColumn("_verdict", F.lit(None).cast("string")), base.filter("host <> ''")
     if len(rules) <= EXPRESSION_RULES:
         name, verdict = match_rule(F.col("host"), F.col("path"), rules)
         base = base.withColumn("rule", name).withColumn("_verdict", verdict)
     else:
         table = pages.sparkSession.createDataFrame(list(rules), "verdict string, host string, path string")
         base = base.join(match_rules(base.select("host", "path").distinct(), table), ["host", "path"])
-    base = base.withColumn("canonical", canonical(F.col("host"), F.col("path")))
     keep = ["page_id", "host", "path", "canonical", "rule", "_verdict"]
-    # the host decides first: URLs without one, which share one key, are on no list
-    none, asked = base.filter("host = ''"), base.filter("host <> ''").withColumn("_h", F.xxhash64("canonical"))
+    asked = base.withColumn("_h", F.xxhash64("canonical"))
     listed = settle(listed.select("canonical").filter("canonical is not null and canonical <> ''").distinct(), "listed")
     count = listed.count()
     blocks = max(1, 1 << (max(1, count * BITS_PER_URL // (64 * WORDS_PER_BLOCK)) - 1).bit_length())

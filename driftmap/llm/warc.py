@@ -9,6 +9,7 @@ shuffle; they can be written as WARC/1.1 files and read back.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
 import re
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 CAPTURED = "2024-01-01T00:00:00Z"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
+#: Responses whose records are made at once, and records of a written file at most.
+SLICE, FILE_RECORDS = 64, 50_000
+
 _SKIPPED = r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->"
 _BLOCKS = r"(?i)<(?:br|/?(?:p|div|li|ul|ol|tr|table|nav|article|section|header|footer|h[1-6]|body|html|blockquote|pre))\b[^>]*>"
 _TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
@@ -76,18 +80,19 @@ def record_head(kind: str, ident: str, refers_to: str, uri: str | None, date: st
     return "\r\n".join(lines) + "\r\n\r\n"
 
 
-def _derive(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    types = [kind, *[pa.string()] * 7, pa.int64(), *[pa.string()] * 3]
-    for b in batches:
+def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [*[pa.string()] * 7, pa.int64(), *[pa.string()] * 3]
+    for b in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, len(whole), SLICE)):
         rows = []
-        for page, source, uri, date, http, payload in zip(*(b.column(c).to_pylist() for c in ("page_id", "record_id", "target_uri", "date", "http", "payload")), strict=True):
+        for source, uri, date, http, payload in zip(*(b.column(c).to_pylist() for c in ("record_id", "target_uri", "date", "http", "payload")), strict=True):
             payload = payload or ""
             text, of_source = html_text(payload), digest(payload.encode())
             for name, content_type, block in (("metadata", "application/warc-fields", metadata_block(payload, text, of_source, http)), ("conversion", "text/plain; charset=utf-8", text)):
                 ident, raw = record_id(name, source), block.encode()
-                rows.append((page, name, ident, source, uri, date, of_source, content_type, len(raw), digest(raw), block, record_head(name, ident, source, uri, date, content_type, raw)))
+                rows.append((name, ident, source, uri, date, of_source, content_type, len(raw), digest(raw), block, record_head(name, ident, source, uri, date, content_type, raw)))
         cols = zip(*rows, strict=True) if rows else [()] * len(types)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], _NAMES)
+        page = b.column("page_id").take(pa.array([i for i in range(len(b)) for _ in range(2)], pa.int64()))
+        yield pa.RecordBatch.from_arrays([page, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], _NAMES)
 
 
 def responses(pages: DataFrame, captured: str = CAPTURED, http: str = HTTP_HEAD) -> DataFrame:
@@ -109,27 +114,57 @@ def derivatives(found: DataFrame) -> DataFrame:
     refers_to_target_uri, refers_to_date, source_digest (of the payload), content_type,
     content_length (in bytes), block_digest, block, head. A null or empty payload, or one
     without text, has an empty conversion block; a null URI or date leaves its headers out.
-    Repeated responses give repeated records. A task holds one batch of responses.
+    Repeated responses give repeated records. page_id is of any type. A task holds the
+    records of SLICE responses.
     """
     page = found.schema["page_id"].dataType
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[page.simpleString()]
     cols = ["page_id", *(F.col(c).cast("string").alias(c) for c in ("record_id", "target_uri", "date", "http", "payload"))]
-    return found.select(*cols).mapInArrow(lambda it: _derive(it, kind), _SCHEMA.format(page=page.simpleString()))
+    return found.select(*cols).mapInArrow(_derive, _SCHEMA.format(page=page.simpleString()))
+
 
+def write_warc(records: DataFrame, path: str, most: int = FILE_RECORDS) -> None:
+    """Write records (columns head and block) as WARC/1.1 files of at most so many records."""
+    records.select(F.concat("head", "block")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(path)
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Write records (columns head and block) as WARC/1.1 files, one for each partition."""
-    records.select(F.concat("head", "block")).write.option("lineSep", "\r\n\r\n").text(path)
+
+def frames(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of a file, by the lengths that the headers give. A gzipped file is unpacked. Raises ValueError where a record is cut off."""
+    data, at = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content, 0
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at)
+        version, *lines = data[at : max(end, at)].decode("utf-8", "replace").split("\r\n")
+        if end < 0 or not version.startswith("WARC/"):
+            raise ValueError(f"no record begins at byte {at}, or its header is cut off")
+        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        size = next((v for k, v in headers.items() if k.lower() == "content-length"), "")
+        begin = end + 4
+        at = begin + int(size) + 4 if size.isdigit() else len(data) + 1
+        if at > len(data) or data[at - 4 : at] != b"\r\n\r\n":
+            raise ValueError(f"a record is cut off: {headers}")
+        yield headers, data[begin : at - 4]
+
+
+def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.map_(pa.string(), pa.string())
+    for b in batches:
+        for content in b.column("content"):
+            rows = []
+            for headers, block in frames(content.as_buffer().to_pybytes()):
+                rows.append((list(headers.items()), block.decode("utf-8", "replace"), block))
+                if len(rows) == SLICE:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], ["headers", "block", "content"])
+                    rows = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], ["headers", "block", "content"])
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """headers (a map), block of the records of WARC/1.1 files; files are split at record starts. An error is raised where a block isn't as long as its header says."""
-    raw = spark.read.option("lineSep", "WARC/1.1\r\n").text(path).filter("value <> ''")
-    split = F.split("value", "\r\n\r\n", 2)
-    pairs = F.transform(F.split(split[0], "\r\n"), lambda x: F.struct(F.substring_index(x, ": ", 1).alias("k"), F.regexp_replace(x, "^[^:]*: ?", "").alias("v")))
-    found = raw.select(F.map_from_entries(pairs).alias("headers"), F.regexp_replace(split[1], r"\r\n\r\n\z", "").alias("block"))
-    whole = F.octet_length("block") == F.col("headers")["Content-Length"].cast("long")
-    return found.withColumn("block", F.when(whole, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("a record is cut off: "), F.to_json("headers")))))
+    """headers (a map), block (as text; bytes that aren't UTF-8 are replaced), content (its bytes) of the records of WARC files, plain or gzipped.
+
+    Records are framed by Content-Length, so blocks may hold anything. An error is raised
+    where a record is cut off. A task holds one file.
+    """
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(_framed, "headers map<string,string>, block string, content binary")
 
 
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

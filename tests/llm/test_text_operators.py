@@ -57,6 +57,18 @@ def test_near_dedup_links_a_chain_whose_least_member_is_far(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_url_rules_of_one_length_are_judged_alike_in_both_ways(spark, monkeypatch):
+    rules = [("block", "b.com", "/aa"), ("allow", "a.b.com", "/"), ("block", "x.org", "/p"), ("allow", "x.org", "/p")] + [("block", f"r{k}.net", "/") for k in range(220)]
+    urls = ["http://a.b.com/aa", "http://b.com/aa", "http://x.org/pq", "http://r7.net/", "http://s.r7.net", "nothing", None, "http:///p"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    listed = spark.createDataFrame([("b.com/aa",)], "canonical string")
+    by_join = sorted(map(tuple, url_filter.filter_urls(pages, listed, rules).collect()))
+    monkeypatch.setattr(url_filter, "EXPRESSION_RULES", 1000)
+    assert by_join == sorted(map(tuple, url_filter.filter_urls(pages, listed, rules).collect()))
+    assert {r[0]: r[4] for r in by_join} == {0: "b.com/aa", 1: "b.com/aa", 2: "x.org/p", 3: "r7.net/", 4: None, 5: None, 6: None, 7: None}
+    assert {r[0]: r[6] for r in by_join}[2] == "allow"
+
+
 def test_near_dedup_keeps_a_row_of_every_component_where_ids_repeat(spark):
     prose = [" ".join(f"{c}{k}" for k in range(60)) for c in "ab"]
     edited = [t + " end" for t in prose]

@@ -1,10 +1,12 @@
 """WARC derivatives: texts, links between records, and files that come back."""
 
 import base64
+import gzip
 import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftmap.llm import warc
 
@@ -58,6 +60,33 @@ def test_a_record_that_is_cut_off_raises(spark, records, tmp_path):
         warc.read_warc(spark, f"{tmp_path}/bad").collect()
 
 
+def test_blocks_may_hold_what_begins_a_record(spark, tmp_path):
+    text = "<title>About WARC/1.1\r\nx</title>a\nWARC/1.1\r\nWARC-Type: metadata\r\n\r\nb"
+    pages = spark.createDataFrame([(1, "http://x", text), (2, None, "é\r\n\r\n")], "page_id smallint, url string, html string")
+    records = warc.derivatives(warc.responses(pages))
+    assert records.schema["page_id"].dataType.simpleString() == "smallint"
+    records = records.withColumn("block", F.concat("block", F.lit("\r\n\r\nWARC/1.1\r\nX: é\r\n\r\n"))).withColumn("head", F.regexp_replace("head", "Content-Length: .*", F.concat(F.lit("Content-Length: "), F.octet_length("block"))))
+    warc.write_warc(records, f"{tmp_path}/w", most=1)
+    want = {r.record_id: r.block for r in records.collect()}
+    assert {r.headers["WARC-Record-ID"]: r.block for r in warc.read_warc(spark, f"{tmp_path}/w").collect()} == want
+    assert len(list((tmp_path / "w").glob("part-*"))) >= 4
+
+
+def test_gzipped_members_and_bytes():
+    record = b"WARC/1.0\r\nWARC-Type: resource\r\ncontent-length: 4\r\n\r\n\xff\x00\r\n\r\n\r\n"
+    assert [b for _, b in warc.frames(gzip.compress(record) * 3)] == [b"\xff\x00\r\n"] * 3
+    for bad in (record[:-1], b"x" + record, record[:20], record.replace(b"content-length: 4", b"X: 1")):
+        with pytest.raises(ValueError):
+            list(warc.frames(bad))
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(10,2)", "date", "boolean"])
+def test_ids_of_any_type(spark, kind):
+    df = spark.sql(f"select cast(null as {kind}) as page_id, 'u' as url, 'x' as html")
+    got = warc.derivatives(warc.responses(df))
+    assert got.schema["page_id"].dataType.simpleString() == kind and got.count() == 2
+
+
 def test_sql_references():
     import duckdb
     import html
