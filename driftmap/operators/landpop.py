@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,28 +58,98 @@ def area_weighted_year_mean(df: DataFrame, regions: DataFrame, columns: Sequence
     return j.groupBy("year").agg(*((F.sum(F.col(c) * F.col("_a")) / F.sum("_a")).alias(c) for c in columns)).withColumn("series", F.lit(label))
 
 
-def fit_population_trend(df: DataFrame, rounds: int = 8, min_years: int = 3) -> DataFrame:
-    """Per region, a gaussian fit of exp(a + b x) to population by iteratively reweighted least squares, x = year less the region's mean year.
+#: Newton steps after which a region's trend counts as not found.
+TREND_STEPS = 500
+
 
-    Needs min_years positive years. Each round is one grouped sum; all regions go together.
-    Returns geo, a, b, mean_year, n, and the covariance parts s2, w0, w1, w2 of the last round.
+def _least_squares(x: np.ndarray, n: np.ndarray, sy: np.ndarray, syy: np.ndarray, key: np.ndarray, keys: int) -> tuple[np.ndarray, ...]:
+    """a, b, sums w0 to w2, rss and whether it was found, of the least-squares curve exp(a + b x) of each key.
+
+    Rows are sums over n values of y at one x. Newton steps, or Gauss-Newton ones where the
+    Hessian isn't positive, are halved until the sum of squares falls; keys that have arrived
+    leave the set that is worked on.
+    """
+    total = lambda v, k, m: np.bincount(k, v, m)
+    scale = np.maximum(np.sqrt(total(syy, key, keys) / total(n, key, keys)), 1e-300)
+    sy, syy = sy / scale[key], syy / scale[key] ** 2
+    a, b, found = np.log(total(sy, key, keys) / total(n, key, keys)), np.zeros(keys), np.zeros(keys, bool)
+    live = np.arange(keys)
+
+    def rss(a: np.ndarray, b: np.ndarray, rows: np.ndarray, k: np.ndarray) -> np.ndarray:
+        mu = np.exp(np.minimum(a[k] + b[k] * x[rows], 300))
+        return total(syy[rows] - 2 * mu * sy[rows] + n[rows] * mu * mu, k, len(a))
+
+    for _ in range(TREND_STEPS):
+        if not len(live):
+            break
+        place = np.full(keys, -1)
+        place[live] = np.arange(len(live))
+        rows = np.flatnonzero(place[key] >= 0)
+        k, m, xs = place[key[rows]], len(live), x[rows]
+        mu = np.exp(np.minimum(a[live][k] + b[live][k] * xs, 300))
+        down = mu * (sy[rows] - n[rows] * mu)
+        ga, gb = total(down, k, m), total(down * xs, k, m)
+        flat = n[rows] * mu * mu
+        full = [total((flat - down) * xs**i, k, m) for i in range(3)]
+        gauss = [total(flat * xs**i, k, m) for i in range(3)]
+        good = (full[0] > 0) & (full[0] * full[2] - full[1] ** 2 > 1e-14 * full[0] * np.abs(full[2]))
+        h0, h1, h2 = (np.where(good, f, g) for f, g in zip(full, gauss, strict=True))
+        with np.errstate(all="ignore"):
+            det = h0 * h2 - h1 * h1
+            da, db = (ga * h2 - gb * h1) / det, (h0 * gb - h1 * ga) / det
+        before = rss(a[live], b[live], rows, k)
+        step, ok = np.ones(m), np.isfinite(da) & np.isfinite(db)
+        da, db = np.where(ok, da, 0.0), np.where(ok, db, 0.0)
+        arrived = ok & good & (np.abs(da) + np.abs(db) < 1e-6)  # the last step, too small for sums of squares to tell
+        for _ in range(60):
+            after = rss(a[live] + step * da, b[live] + step * db, rows, k)
+            worse = ~(after <= before) & ~arrived
+            if not worse.any():
+                break
+            step[worse] /= 2
+        step[worse] = 0
+        a[live] += step * da
+        b[live] += step * db
+        found[live[arrived]] = True
+        live = live[ok & ~arrived & ~worse]
+    mu = np.exp(np.minimum(a[key] + b[key] * x, 300))
+    sums = [total(n * mu * mu * x**i, key, keys) * scale**2 for i in range(3)]
+    squares = np.maximum(total(syy - 2 * mu * sy + n * mu * mu, key, keys), 0) * scale**2
+    return a + np.log(scale), b, *sums, squares, found
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = [batch.column(c) for c in ("year", "n", "sy", "syy")]
+        year, n, sy, syy = (c.flatten().to_numpy().astype(float) for c in lists)
+        key = np.repeat(np.arange(len(batch)), np.diff(lists[0].offsets.to_numpy()))
+        count = np.bincount(key, n, len(batch))
+        mean = np.bincount(key, n * year, len(batch)) / count
+        a, b, w0, w1, w2, rss, found = _least_squares(year - mean[key], n, sy, syy, key, len(batch))
+        lost = lambda v: pa.array(v, mask=~found)
+        cols = [batch.column("geo"), lost(a), lost(b), lost(w0), lost(w1), lost(w2), pa.array(count.astype(np.int64)), lost(rss / np.maximum(count - 2, 1)), pa.array(mean), pa.array(found)]
+        yield pa.RecordBatch.from_arrays(cols, ["geo", "a", "b", "w0", "w1", "w2", "n", "s2", "mean_year", "converged"])
+
+
+def fit_population_trend(df: DataFrame, min_years: int = 3) -> DataFrame:
+    """Per region, the gaussian fit of exp(a + b x) to population, as a glm with log link gives it, x = year less the region's mean year.
+
+    Needs min_years different years with a positive population. Rows of a year are summed
+    first, so a region is as many rows as it has years, and all regions are fitted in the
+    tasks that hold them, each until it has converged. Returns geo, a, b, w0, w1, w2, s2
+    (parts of the covariance), n, mean_year, converged; where a fit doesn't converge within
+    TREND_STEPS steps its figures are null.
     """
     pos = df.filter("population > 0").select("geo", "year", F.col("population").cast("double").alias("y"))
-    mid = pos.groupBy("geo").agg(F.avg("year").alias("mean_year"), F.count("*").alias("n"), F.avg(F.log("y")).alias("a")).filter(F.col("n") >= min_years)
-    state = mid.withColumn("b", F.lit(0.0))
-    data = pos.join(mid.select("geo", "mean_year"), "geo").select("geo", (F.col("year") - F.col("mean_year")).alias("x"), "y")
-    for _ in range(rounds):
-        mu = F.exp(F.col("a") + F.col("b") * F.col("x"))
-        j = data.join(state.select("geo", "a", "b"), "geo").withColumn("mu", mu).withColumn("w", F.col("mu") * F.col("mu")).withColumn("z", F.col("a") + F.col("b") * F.col("x") + (F.col("y") - F.col("mu")) / F.col("mu"))
-        s = lambda e: F.sum(e)
-        g = j.groupBy("geo").agg(s(F.col("w")).alias("w0"), s(F.col("w") * F.col("x")).alias("w1"), s(F.col("w") * F.col("x") * F.col("x")).alias("w2"), s(F.col("w") * F.col("z")).alias("z0"), s(F.col("w") * F.col("x") * F.col("z")).alias("z1"), s((F.col("y") - F.col("mu")) ** 2).alias("rss"), F.count("*").alias("n"))
-        det = F.col("w0") * F.col("w2") - F.col("w1") * F.col("w1")
-        state = g.select("geo", ((F.col("z0") * F.col("w2") - F.col("z1") * F.col("w1")) / det).alias("a"), ((F.col("w0") * F.col("z1") - F.col("w1") * F.col("z0")) / det).alias("b"), "w0", "w1", "w2", "n", (F.col("rss") / F.greatest(F.col("n") - 2, F.lit(1))).alias("s2"))
-    return state.join(mid.select("geo", "mean_year"), "geo")
+    years = pos.groupBy("geo", "year").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
+    cells = years.groupBy("geo").agg(F.array_sort(F.collect_list(F.struct("year", "n", "sy", "syy"))).alias("c")).filter(F.size("c") >= min_years)
+    lists = cells.select("geo", *(F.col(f"c.{k}").cast("array<double>").alias(k) for k in ("year", "n", "sy", "syy")))
+    kind = df.schema["geo"].dataType.simpleString()
+    return lists.mapInArrow(_fitted, f"geo {kind}, a double, b double, w0 double, w1 double, w2 double, n bigint, s2 double, mean_year double, converged boolean")
 
 
 def extrapolate_next_year(fit: DataFrame, year: int, z: float = 1.96) -> DataFrame:
-    """Prediction for one year with bounds of z standard errors on the link scale."""
+    """Prediction for one year with bounds of z standard errors on the link scale; null where the trend is."""
     x = F.lit(float(year)) - F.col("mean_year")
     det = F.col("w0") * F.col("w2") - F.col("w1") * F.col("w1")
     var = F.col("s2") * (F.col("w2") - 2 * x * F.col("w1") + x * x * F.col("w0")) / det

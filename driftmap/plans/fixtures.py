@@ -83,4 +83,4 @@ def oracle(body: str, floats: str = "", digits: int = 6) -> str:
     shown = "*"
     if floats:
         shown = "* REPLACE (" + ", ".join(f"round({c} + {NUDGE}, {digits}) + 0e0 AS {c}" for c in floats.split()) + ")"
-    return f"WITH {views}{more}\nSELECT {shown} FROM ({last}) AS result"
+    return f"WITH {'RECURSIVE ' if '/*recursive*/' in more else ''}{views}{more}\nSELECT {shown} FROM ({last}) AS result"

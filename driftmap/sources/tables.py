@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Names under which tables hold a probability, first choice first (fixed values).
@@ -20,13 +20,33 @@ def wide_to_long_daily(wide: DataFrame, days: Sequence[str], key: str = "Locatio
     return long.select(F.col(key).alias("location"), F.to_date(F.regexp_replace("day", r"^X|\.", ""), pattern.replace("-", "")).alias("date") if days and days[0].startswith("X") else F.to_date("day", pattern).alias("date"), F.expr("try_cast(value as double)").alias("value"))
 
 
-def read_daily_csv(spark: SparkSession, path: str, key: str = "Location") -> DataFrame:
-    """Wide daily files <variable>_mean_<year>.csv in one read, long, with the year of the file's name. An index column X goes."""
-    wide = spark.read.csv(path, header=True).drop("X")
-    days = [c for c in wide.columns if c != key]
-    year = F.regexp_extract(F.input_file_name(), r"(\d{4})(?=[^/]*\.csv)", 1).cast("int")
-    long = wide.withColumn("_y", year).unpivot([key, "_y"], days, "day", "value")
-    return long.select(F.col(key).alias("location"), F.to_date("day").alias("date"), F.expr("try_cast(value as double)").alias("value"), F.col("_y").alias("file_year"))
+#: One field of a line of CSV, with the comma before it.
+_FIELD = r'(?:^|,)("(?:[^"]|"")*"|[^,"]*)'
+
+
+def _fields(line: Column) -> Column:
+    bare = lambda x: F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    return F.transform(F.regexp_extract_all(line, F.lit(_FIELD), F.lit(1)), bare)
+
+
+def read_daily_csv(spark: SparkSession, path: str | Sequence[str], key: str = "Location") -> DataFrame:
+    """location, date, value, file_year of wide daily files <variable>_mean_<year>.csv, any number in one read.
+
+    Each value takes the date that the header of its own file gives to its place, so files may
+    differ in days, leap years and the order of columns. A header is a line with a field that
+    is the key's name; where a file has none, an error is raised. Columns whose names are no
+    dates (an index X) give no rows, an empty or unreadable value is null. Fields may be
+    quoted, but not hold line breaks; blank lines are skipped.
+    """
+    text = spark.read.text(path).filter("trim(value) <> ''").select(F.col("_metadata.file_path").alias("file"), _fields(F.regexp_replace("value", "^\ufeff|\r$", "")).alias("fields"))
+    is_header = F.array_contains("fields", key)
+    heads = text.filter(is_header).groupBy("file").agg(F.first("fields").alias("names"))
+    rows = text.filter(~is_header).join(heads, "file", "left")
+    names = F.coalesce("names", F.raise_error(F.concat(F.lit("no header in "), F.col("file"))))
+    cells = rows.withColumn("names", names).select(F.element_at("fields", F.array_position("names", F.lit(key)).cast("int")).alias("location"), "file", F.explode(F.arrays_zip("names", "fields")).alias("cell"))
+    year = F.regexp_extract("file", r"(\d{4})(?=[^/]*\.csv)", 1).cast("int")
+    long = cells.select("location", F.regexp_extract(F.translate("cell.names", ".", "-"), r"^X?(\d{4}-\d{2}-\d{2})$", 1).alias("day"), F.col("cell.fields").alias("value"), year.alias("file_year"))
+    return long.filter("day <> ''").select("location", F.to_date("day").alias("date"), F.expr("try_cast(value as double)").alias("value"), "file_year")
 
 
 def read_daily_csv_headerless(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on tiny frames worked out by hand, and against NumPy where SQL has no form."""
 
+import datetime
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftmap.operators import attribution, binning, climate, graph, grid, landpop, mobility, model, panel, validation
+from driftmap.sources import tables
 
 
 def lattice(spark, n=4):
@@ -108,6 +110,71 @@ def test_population_trend_is_the_curve(spark):
     assert [r.geo for r in got] == ["g"] and abs(got[0].population - np.exp(3.6)) < 1e-6
 
 
+def test_population_trends_are_least_squares(spark):
+    """200 random series, some with jumps, copies of years and growth of all kinds, against a search over the slope."""
+    rng = np.random.default_rng(4)
+    rows, series = [], {}
+    for g in range(200):
+        years = np.sort(rng.choice(np.arange(1990, 2015), rng.integers(3, 12), replace=False))
+        y = np.exp(rng.uniform(0, 12) + rng.normal(0, 0.15) * (years - 2000) + rng.normal(0, rng.choice([0.01, 0.3, 1.0]), len(years)))
+        if g % 10 == 0:
+            y[len(y) // 2 :] *= 50
+        if g % 7 == 0:
+            years, y = np.append(years, years[0]), np.append(y, y[0] * 1.1)
+        series[f"g{g}"] = years, y
+        rows += [(f"g{g}", int(a), float(b)) for a, b in zip(years, y, strict=True)]
+    got = {r.geo: r for r in landpop.fit_population_trend(spark.createDataFrame(rows, "geo string, year int, population double").repartition(3)).collect()}
+    assert len(got) == 200 and sum(r.converged for r in got.values()) >= 198
+    for g, (years, y) in series.items():
+        r, x = got[g], years - years.mean()
+        if not r.converged:
+            assert r.a is None and r.b is None and r.s2 is None
+            continue
+        assert abs(r.mean_year - years.mean()) < 1e-9 and r.n == len(y)
+
+        def rss(b, x=x, y=y):
+            e = np.exp(np.outer(b, x))
+            return (y * y).sum() - ((e * y).sum(1) / np.sqrt((e * e).sum(1))) ** 2
+
+        mine = ((y - np.exp(r.a + r.b * x)) ** 2).sum()
+        near = rss(r.b + np.linspace(-0.05, 0.05, 201))
+        assert mine <= near.min() * (1 + 1e-9) + 1e-9 * (y * y).sum()  # a minimum
+        assert abs(r.s2 - mine / max(len(y) - 2, 1)) <= 1e-6 * r.s2 + 1e-12 * (y * y).sum()
+
+
+def test_trend_of_a_jump_is_found_or_flagged(spark):
+    rows = [("jump", 2000 + k, v) for k, v in enumerate([1.0, 1.0, 1.0, 1.0, 1000.0])] + [("last", 2000 + k, v) for k, v in enumerate([5.0, 5.0, 1e-3])]
+    got = {r.geo: r for r in landpop.fit_population_trend(spark.createDataFrame(rows, "geo string, year int, population double")).collect()}
+    for r in got.values():
+        assert r.converged == (r.a is not None)
+    r, x, y = got["jump"], np.arange(5) - 2.0, np.array([1, 1, 1, 1, 1000.0])
+    mu = np.exp(r.a + r.b * x)
+    assert abs((mu * (y - mu)).sum()) < 1e-4 and abs((x * mu * (y - mu)).sum()) < 1e-4
+    assert landpop.fit_population_trend(spark.createDataFrame([], "geo string, year int, population double")).collect() == []
+
+
+def _write(path, name, text):
+    path.mkdir(exist_ok=True)
+    (path / name).write_text(text)
+
+
+def test_daily_files_of_many_years_in_one_read(spark, tmp_path):
+    folder = tmp_path / "in"
+    _write(folder, "tas_mean_1995.csv", "X,Location,1995-01-01,1995-01-02\n1,A,1.5,2\n2,\"B, the \"\"b\"\"\",,x\n")
+    _write(folder, "tas_mean_1996.csv", '"Location","1996-02-29","1996-01-01"\n"A","3","4"\n')
+    _write(folder, "tas_mean_1997.csv", "X1997.01.01,Location\r\n7,C\r\n\r\n")
+    got = sorted(map(tuple, tables.read_daily_csv(spark, str(folder)).collect()), key=repr)
+    day = datetime.date
+    assert got == sorted(
+        [("A", day(1995, 1, 1), 1.5, 1995), ("A", day(1995, 1, 2), 2.0, 1995), ('B, the "b"', day(1995, 1, 1), None, 1995), ('B, the "b"', day(1995, 1, 2), None, 1995),
+         ("A", day(1996, 2, 29), 3.0, 1996), ("A", day(1996, 1, 1), 4.0, 1996), ("C", day(1997, 1, 1), 7.0, 1997)],
+        key=repr,
+    )
+    _write(tmp_path / "bad", "tas_mean_1995.csv", "A,1\n")
+    with pytest.raises(Exception, match="no header in"):
+        tables.read_daily_csv(spark, str(tmp_path / "bad")).collect()
+
+
 def test_prune_keeps_protected(spark):
     rows = [(float(i), float(i), float(i * 7 % 5)) for i in range(20)]
     df = spark.createDataFrame(rows, "a double, b double, c double")
