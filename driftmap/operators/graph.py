@@ -30,15 +30,6 @@ def duplicate_geometries(regions: DataFrame) -> DataFrame:
     return g.groupBy("shape").agg(F.sort_array(F.collect_list("geo")).alias("geos")).filter(F.size("geos") > 1).select("geos")
 
 
-def polygon_intersections(regions: DataFrame, tile: float = 1.0) -> DataFrame:
-    """geo, n_touching: how many other regions' bounding boxes each meets; pairs come from shared tiles."""
-    box = regions.select("geo", F.explode(F.flatten("geometry")).alias("p")).groupBy("geo").agg(F.min("p.lon").alias("w"), F.max("p.lon").alias("e"), F.min("p.lat").alias("s"), F.max("p.lat").alias("n"))
-    t = box.withColumn("tx", F.explode(F.sequence(F.floor(F.col("w") / tile), F.floor(F.col("e") / tile)))).withColumn("ty", F.explode(F.sequence(F.floor(F.col("s") / tile), F.floor(F.col("n") / tile))))
-    o = t.select(*(F.col(c).alias(f"o_{c}") for c in ("geo", "w", "e", "s", "n")), "tx", "ty")
-    hit = t.join(o, ["tx", "ty"]).filter("geo <> o_geo and w <= o_e and o_w <= e and s <= o_n and o_s <= n").select("geo", "o_geo").distinct()
-    return hit.groupBy("geo").agg(F.count("*").alias("n_touching"))
-
-
 def neighbour_counts(regions: DataFrame, edges: DataFrame) -> DataFrame:
     n = edges.groupBy(F.col("src").alias("geo")).agg(F.count("*").alias("degree"), F.sort_array(F.collect_set("dst")).alias("neighbours"))
     return regions.select("geo").join(n, "geo", "left").select("geo", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"), F.coalesce("neighbours", F.array().cast("array<string>")).alias("neighbours"), F.col("degree").isNotNull().alias("has_neighbour"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmap.operators.lineage import cut, numbered
+from driftmap.operators.polygons import region_relations
 
 EDGE = 1e-10
 METRICS = ("accuracy", "sensitivity", "specificity", "precision", "f1")
@@ -108,8 +109,9 @@ def buffer_regions(regions: DataFrame, folds: DataFrame, km: float = 35.0, cente
     """fold, geo: regions outside a fold within km of one of its regions.
 
     By the least distance from a vertex of one region to an edge of the other, in
-    kilometres on an equal-area projection about center. Pairs come from a join of tiles as
-    wide as the distance; an edge lies in all tiles of its box.
+    kilometres on an equal-area projection about center, and none where the regions cross
+    or one holds the other. Pairs come from a join of tiles as wide as the distance; an edge
+    lies in all tiles of its box.
     """
     rings = regions.select("geo", F.posexplode("geometry").alias("ring", "points"))
     points = rings.select("geo", "ring", F.posexplode("points").alias("n", "p"))
@@ -127,7 +129,9 @@ def buffer_regions(regions: DataFrame, folds: DataFrame, km: float = 35.0, cente
     part = F.when(long > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / long))).otherwise(0.0)
     square = (F.col("x") - F.col("x1") - part * dx) ** 2 + (F.col("y") - F.col("y1") - part * dy) ** 2
     pairs = near.filter(square <= km * km).select("geo", "other").distinct()
-    both = pairs.unionByName(pairs.select(F.col("other").alias("geo"), F.col("geo").alias("other")))
+    flat = points.groupBy("geo", "ring").agg(F.array_sort(F.collect_list(F.struct("n", "x", "y"))).alias("p")).groupBy("geo").agg(F.collect_list(F.transform("p", lambda q: F.struct(q["x"].alias("lon"), q["y"].alias("lat")))).alias("geometry"))
+    within = region_relations(flat, 4 * km).select(F.col("src").alias("geo"), F.col("dst").alias("other"))
+    both = pairs.unionByName(pairs.select(F.col("other").alias("geo"), F.col("geo").alias("other"))).unionByName(within).distinct()
     hit = both.join(folds.select("geo", "fold"), "geo").select("fold", F.col("other").alias("geo")).distinct()
     return hit.join(folds.select("geo", "fold"), ["geo", "fold"], "left_anti")
 

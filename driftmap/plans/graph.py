@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftmap.operators import graph as g
 from driftmap.operators import mobility as m
-from driftmap.operators import validation
+from driftmap.operators import polygons, validation
 from driftmap.plans.fixtures import Views
 from driftmap.plans.mobility import DISTANCES
 from driftmap.plans.registry import query
@@ -34,8 +34,9 @@ def _proximity(v: Views, exponents=(1,)):
 
 
 query("polygon_neighbours", _QUEEN)(lambda v: g.polygon_neighbours(squares(v)))
-query("touching_regions", "SELECT src, dst FROM fx_edges")(lambda v: g.polygon_neighbours(squares(v), queen=False))
-query("polygon_intersections", f"SELECT src AS geo, count(*) AS n_touching FROM ({_QUEEN}) q GROUP BY 1")(lambda v: g.polygon_intersections(squares(v)))
+query("touching_regions", _QUEEN)(lambda v: polygons.touching_regions(squares(v)))
+query("border_neighbours", "SELECT src, dst, 1e0 AS border FROM fx_edges", "border")(lambda v: polygons.border_neighbours(squares(v), snap=0.25))
+query("polygon_intersections", f"SELECT src AS geo, count(*) AS n_touching FROM ({_QUEEN}) q GROUP BY 1")(lambda v: polygons.polygon_intersections(squares(v)))
 query("neighbour_counts", _ISLAND + "---SELECT r.geo, coalesce(n, 0) AS degree, coalesce(l, []) AS neighbours, n IS NOT NULL AS has_neighbour FROM fx_region r LEFT JOIN (SELECT src, count(*) AS n, list_sort(list(dst)) AS l FROM fe GROUP BY 1) q ON r.geo = q.src")(lambda v: g.neighbour_counts(v.region, _cut_edges(v)))
 _COMP = "lb AS (SELECT geo, CASE WHEN region_id = 0 THEN 'a' WHEN grid_col = 3 THEN geo WHEN grid_col < 3 THEN 'w' ELSE 'e' END AS part FROM fx_region), cs AS (SELECT part, count(*) AS size, min(geo) AS g FROM lb GROUP BY 1), cr AS (SELECT part, size, CAST(row_number() OVER (ORDER BY size DESC, g) AS INT) AS component FROM cs)"
 query("connected_components", _COMP + "---SELECT geo, component, size FROM lb JOIN cr ON lb.part = cr.part")(lambda v: g.connected_components(v.region, _cut_edges(v)))
