@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmap.operators.lineage import cut, numbered
+from driftmap.operators.lineage import cut, drop, numbered
 
 
 def _vertices(regions: DataFrame, snap: float) -> DataFrame:
@@ -58,8 +58,9 @@ def _labels(edges: DataFrame) -> DataFrame:
         state = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before or not state["n"]:
             break
-        before = state
-        stars = cut(_small_star(_large_star(stars)))
+        before, old = state, stars
+        stars = cut(_small_star(_large_star(old)))
+        drop(old)
     return stars.select(F.col("u").alias("geo"), F.col("v").alias("label")).unionByName(stars.select(F.col("v").alias("geo"), F.col("v").alias("label")).distinct())
 
 
@@ -72,8 +73,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     inside = edges.join(all_nodes, edges["src"] == all_nodes["geo"], "left_semi").join(all_nodes, edges["dst"] == all_nodes["geo"], "left_semi")
     label = cut(all_nodes.join(_labels(inside), "geo", "left").select("geo", F.coalesce("label", "geo").alias("label")))
     size = label.groupBy("label").agg(F.count("*").alias("size"))
-    rank = size.withColumn("component", F.row_number().over(Window.orderBy(F.desc("size"), "label")))
-    return label.join(rank, "label").select("geo", "component", "size")
+    rank = numbered(size.withColumn("_less", -F.col("size")), ("_less", "label"), "component")
+    return label.join(rank, "label").select("geo", F.col("component").cast("int").alias("component"), "size")
 
 
 def component_of(edges: DataFrame, start: str | None = None) -> DataFrame:
@@ -82,7 +83,7 @@ def component_of(edges: DataFrame, start: str | None = None) -> DataFrame:
     if start is None:
         top = edges.groupBy("src").count().orderBy(F.desc("count"), "src").first()
         start = top["src"]
-    label = cut(_labels(edges))
+    label = _labels(edges)
     own = label.filter(F.col("geo") == start).select("label")
     return label.join(own, "label", "left_semi").select("geo").unionByName(spark.createDataFrame([(start,)], "geo string")).distinct()
 
@@ -214,9 +215,11 @@ def harmonic_fill(q: DataFrame, known: DataFrame, exponent: float = 1, shift: fl
         new = s.groupBy("key").agg(F.sum(F.col("r") * F.col("d") * F.col("r")).alias("zn"), F.sum(F.col("r") * F.col("r")).alias("rn"))
         s = s.join(new, "key")
         turn = F.when(F.col("rz") > 0, F.col("zn") / F.col("rz")).otherwise(0.0)
-        state = cut(s.select("key", "node", "x", "r", (F.col("r") * F.col("d") + turn * F.col("p")).alias("p"), "d", "rn"))
+        old, state = state, cut(s.select("key", "node", "x", "r", (F.col("r") * F.col("d") + turn * F.col("p")).alias("p"), "d", "rn"))
+        drop(old)
         left = state.groupBy("key").agg(F.max("rn").alias("rn")).join(size, "key").agg(F.max(F.when(F.col("bb") > 0, F.col("rn") / F.col("bb")).otherwise(0.0))).first()[0] or 0.0
         state = state.drop("rn")
+    drop(size)
     solved = state.select("key", "node", "x")
     return known.select("key", "node", "presence").join(solved, ["key", "node"], "left").select("key", "node", F.when(F.col("presence") == 1, 1.0).otherwise(F.coalesce("x", F.lit(0.0))).alias("x"))
 

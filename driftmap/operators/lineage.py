@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -21,11 +23,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df written as Parquet in the shared folder and read back, which survives a lost executor; see drop."""
+    path = f"{shared_folder(df.sparkSession)}/driftmap/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete cut tables that nothing reads any more: iterative jobs keep their last state only."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(df: DataFrame, order: tuple[str, ...], name: str) -> DataFrame:
@@ -35,3 +45,20 @@ def numbered(df: DataFrame, order: tuple[str, ...], name: str) -> DataFrame:
     ahead = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_ahead"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return ranges.withColumn("_in", inside).join(ahead, "_range").withColumn(name, F.col("_in") + F.col("_ahead")).drop("_range", "_in", "_ahead")
+
+
+def running(df: DataFrame, by: Sequence[str], order: Column, **sums: str) -> DataFrame:
+    """df with running sums of columns within by, in an order that no two rows of by share: new name = summed column.
+
+    Rows are sorted into ranges of (by, order) first. A group of any size lies in as many
+    ranges as it fills; a task holds a range, or one row for each range of a group.
+    """
+    ranges = cut(df.withColumn("_order", order).sort(*by, "_order").withColumn("_range", F.spark_partition_id()))
+    key = [F.struct(*by).alias("_by")] if by else [F.lit(0).alias("_by")]
+    parts = ranges.groupBy(*key, "_range").agg(*(F.sum(c).alias(f"_{k}") for k, c in sums.items()))
+    ahead = Window.partitionBy("_by").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select(F.col("_by").alias("_of"), F.col("_range").alias("_at"), *(F.coalesce(F.sum(f"_{k}").over(ahead), F.lit(0)).alias(f"_{k}") for k in sums))
+    inside = Window.partitionBy("_by", "_range").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranges.withColumns({"_by": key[0]}).withColumns({k: F.sum(c).over(inside) for k, c in sums.items()})
+    joined = rows.join(base, (F.col("_range") == F.col("_at")) & F.col("_by").eqNullSafe(F.col("_of")))
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns), *((F.col(k) + F.col(f"_{k}")).alias(k) for k in sums))

@@ -6,12 +6,14 @@ which is fixed, not the observations. Pairs are partitioned by year and origin.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmap.operators.lineage import cut
+from driftmap.operators.lineage import cut, running
 
 EARTH_KM = 6371.0088
 #: Equatorial radius and flattening (fixed values).
@@ -93,27 +95,29 @@ def flux_matrix_to_edges(flux: DataFrame, directed: bool = True) -> DataFrame:
 def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
     """Interpolated quantiles of a column, exactly, without its values in one task.
 
-    An approximate pass finds a narrow band around each; the band's values are counted by
-    value and only those at the ranks asked for come to the driver.
+    One approximate pass finds a narrow band around each; the values of all bands are counted
+    by value together, and only those at the ranks asked for come to the driver.
     """
-    values = cut(df.select(F.col(column).cast("double").alias("x")).filter("x is not null"))
-    n = values.count()
-    if not n:
+    x = df.select(F.col(column).cast("double").alias("x")).filter("x is not null")
+    around = [b for q in shares for b in (max(0.0, q - 0.01), min(1.0, q + 0.01))]
+    found = x.approxQuantile("x", around, 0.002)
+    if not found:
         return [None] * len(shares)
+    bands = list(zip(found[::2], found[1::2], strict=True))
+    n, *below = x.agg(F.count("*"), *(F.count_if(F.col("x") < low) for low, _ in bands)).first()
+    of = F.array(*(F.when(F.col("x").between(low, high), F.lit(k)) for k, (low, high) in enumerate(bands)))
+    counts = x.select("x", F.explode(F.filter(of, lambda k: k.isNotNull())).alias("band")).groupBy("band", "x").agg(F.count("*").alias("m"))
+    ranked = running(counts, ["band"], F.col("x"), upto="m").withColumn("last", F.col("upto") + F.element_at(F.array(*map(F.lit, below)), F.col("band") + 1) - 1)
+    ranked = ranked.withColumn("first", F.col("last") - F.col("m") + 1)
+    ranks = [((n - 1) * q, int((n - 1) * q), min(int((n - 1) * q) + 1, n - 1)) for q in shares]
+    wanted = F.lit(False)
+    for k, (_, lo, hi) in enumerate(ranks):
+        wanted = wanted | (F.col("band") == k) & (F.col("first") <= hi) & (F.col("last") >= lo)
+    rows = ranked.filter(wanted).select("band", "x", "first", "last").collect()
     out = []
-    for q in shares:
-        at = (n - 1) * q
-        low, high = values.approxQuantile("x", [max(0.0, q - 0.01), min(1.0, q + 0.01)], 0.002)
-        below = values.filter(F.col("x") < low).count()
-        counts = values.filter(F.col("x").between(low, high)).groupBy("x").agg(F.count("*").alias("m"))
-        ranges = counts.sort("x").withColumn("part", F.spark_partition_id())
-        sizes = ranges.groupBy("part").agg(F.sum("m").alias("s"))
-        ahead = sizes.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"))
-        upto = F.sum("m").over(Window.partitionBy("part").orderBy("x")) + F.col("before") + below
-        ranked = ranges.join(ahead, "part").select("x", (upto - F.col("m")).alias("first"), (upto - 1).alias("last"))
-        lo, hi = int(at), min(int(at) + 1, n - 1)
-        found = ranked.filter(((F.col("first") <= lo) & (F.col("last") >= lo)) | ((F.col("first") <= hi) & (F.col("last") >= hi))).orderBy("x").collect()
-        out.append(found[0]["x"] + (at - lo) * (found[-1]["x"] - found[0]["x"]))
+    for k, (at, lo, hi) in enumerate(ranks):
+        value = {r: next(row.x for row in rows if row.band == k and row.first <= r <= row.last) for r in (lo, hi)}
+        out.append(value[lo] + (at - lo) * (value[hi] - value[lo]))
     return out
 
 
@@ -124,12 +128,19 @@ def filter_links_quantile(links: DataFrame, weight: str, q: float, strict: bool
 
 
 def link_strength_percentile(links: DataFrame, weight: str, by: Sequence[str] = ("year",)) -> DataFrame:
-    return links.withColumn("strength", F.cume_dist().over(Window.partitionBy(*by).orderBy(F.abs(weight))))
+    """links with strength: the share of the group's links whose weight isn't larger, signs left out. Nulls come first, as Spark sorts them, and are counted."""
+    sized = links.withColumn("_size", F.abs(weight))
+    counts = sized.groupBy(*by, "_size").agg(F.count("*").alias("_m"))
+    upto = running(counts, by, F.col("_size"), _upto="_m")
+    whole = counts.groupBy(*by).agg(F.sum("_m").alias("_n"))
+    same = lambda a, b, names: functools.reduce(operator.and_, (a[c].eqNullSafe(b[c]) for c in names))
+    share = upto.join(whole, same(upto, whole, by)).select(*(upto[c] for c in by), "_size", (F.col("_upto") / F.col("_n")).alias("strength"))
+    return sized.join(share, same(sized, share, [*by, "_size"])).select(*(sized[c] for c in links.columns), "strength")
 
 
 def link_strength_class(links: DataFrame, weight: str, classes: int = 5) -> DataFrame:
-    """Quantile classes 1 to classes; the lowest weight belongs to the first."""
-    number = F.lit(1)
+    """Quantile classes 1 to classes; the lowest weight belongs to the first. The links are written once, as the limits and the result both read them."""
+    links, number = cut(links), F.lit(1)
     for limit in quantiles(links, weight, [k / classes for k in range(1, classes)]):
         number = number + (F.col(weight) > F.lit(limit)).cast("int")
     return links.withColumn("class", number)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftmap.operators.lineage import numbered
+
 KEYS = ("geo", "year_idx")
 
 
@@ -104,8 +106,8 @@ def snake_case_columns(df: DataFrame) -> DataFrame:
 
 def assign_region_id(df: DataFrame, regions: DataFrame) -> DataFrame:
     """Number the mapped regions by geo and join the number to data."""
-    ids = regions.select("geo").distinct().withColumn("region_no", F.row_number().over(Window.orderBy("geo")))
-    return df.join(ids, "geo", "left")
+    ids = numbered(regions.select("geo").distinct(), ("geo",), "region_no")
+    return df.join(ids.select("geo", F.col("region_no").cast("int").alias("region_no")), "geo", "left")
 
 
 def align_to_training_schema(df: DataFrame, schema: T.StructType, fill: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmap.operators.lineage import cut, numbered
+from driftmap.operators.lineage import cut, drop, numbered, running
 from driftmap.operators.polygons import region_relations
 
 EDGE = 1e-10
@@ -90,10 +90,12 @@ def contiguous_folds(regions: DataFrame, edges: DataFrame, seeds: DataFrame) ->
         d = reach.join(spots, "geo").join(F.broadcast(s), "fold").withColumn("d", F.round((F.col("longitude") - F.col("sx")) ** 2 + (F.col("latitude") - F.col("sy")) ** 2, 6))
         one = d.withColumn("r", F.row_number().over(Window.partitionBy("geo").orderBy("d", "fold"))).filter("r = 1")
         fit = one.join(F.broadcast(size), "fold").withColumn("q", F.row_number().over(Window.partitionBy("fold").orderBy("d", "geo"))).filter(F.col("size") + F.col("q") <= share)
-        grown = cut(taken.unionByName(fit.select("geo", "fold")))
-        if grown.count() == taken.count():
-            break
+        grown, before = cut(taken.unionByName(fit.select("geo", "fold"))), taken
         taken = grown
+        ended = grown.count() == before.count()
+        drop(before)
+        if ended:
+            break
     rest = spots.join(taken, "geo", "left_anti").crossJoin(F.broadcast(s)).withColumn("d", F.round((F.col("longitude") - F.col("sx")) ** 2 + (F.col("latitude") - F.col("sy")) ** 2, 6))
     return taken.unionByName(rest.groupBy("geo").agg(F.min_by("fold", F.struct("d", "fold")).alias("fold")))
 
@@ -165,16 +167,17 @@ def cohen_kappa(df: DataFrame, by: Sequence[str], threshold: float = 0.5) -> Dat
 def roc_curve(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """True and false positive rate at each distinct probability, from the highest down."""
     g = df.filter("presence is not null").groupBy(*by, "p").agg(F.sum((F.col("presence") == 1).cast("long")).alias("pos"), F.sum((F.col("presence") == 0).cast("long")).alias("neg"))
-    w, whole = Window.partitionBy(*by).orderBy(F.desc("p")), Window.partitionBy(*by)
-    return g.select(*by, F.col("p").alias("threshold"), _ratio(F.sum("pos").over(w), F.sum("pos").over(whole)).alias("tpr"), _ratio(F.sum("neg").over(w), F.sum("neg").over(whole)).alias("fpr"))
+    whole = g.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    r = running(g, by, -F.col("p"), tp="pos", fp="neg").join(whole, same)
+    return r.select(*by, F.col("p").alias("threshold"), _ratio(F.col("tp"), F.col("_pos")).alias("tpr"), _ratio(F.col("fp"), F.col("_neg")).alias("fpr"))
 
 
 def auc(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Area under the ROC curve by mean ranks; null for a group of one class."""
     known = df.filter("presence is not null and p is not null")
     ties = known.groupBy(*by, "p").agg(F.count("*").alias("m"), F.sum((F.col("presence") == 1).cast("long")).alias("pos"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = ties.withColumn("rank", before + (F.col("m") + 1) / 2)
+    r = running(ties, by, F.col("p"), upto="m").withColumn("rank", F.col("upto") - F.col("m") + (F.col("m") + 1) / 2)
     g = r.groupBy(*by).agg(F.sum(F.col("rank") * F.col("pos")).alias("s"), F.sum("pos").cast("double").alias("n1"), F.sum(F.col("m") - F.col("pos")).cast("double").alias("n0"))
     return g.select(*by, _ratio(F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0")).alias("auc"))
 
