@@ -99,20 +99,25 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float
     by value together, and only those at the ranks asked for come to the driver.
     """
     x = df.select(F.col(column).cast("double").alias("x")).filter("x is not null")
+    order = sorted(range(len(shares)), key=lambda i: shares[i])
+    if order != list(range(len(shares))):
+        by_share = quantiles(df, column, [shares[i] for i in order])
+        return [by_share[order.index(i)] for i in range(len(shares))]
     around = [b for q in shares for b in (max(0.0, q - 0.01), min(1.0, q + 0.01))]
     found = x.approxQuantile("x", around, 0.002)
     if not found:
         return [None] * len(shares)
-    bands = list(zip(found[::2], found[1::2], strict=True))
-    n, *below = x.agg(F.count("*"), *(F.count_if(F.col("x") < low) for low, _ in bands)).first()
-    of = F.array(*(F.when(F.col("x").between(low, high), F.lit(k)) for k, (low, high) in enumerate(bands)))
-    counts = x.select("x", F.explode(F.filter(of, lambda k: k.isNotNull())).alias("band")).groupBy("band", "x").agg(F.count("*").alias("m"))
-    ranked = running(counts, ["band"], F.col("x"), upto="m").withColumn("last", F.col("upto") + F.element_at(F.array(*map(F.lit, below)), F.col("band") + 1) - 1)
-    ranked = ranked.withColumn("first", F.col("last") - F.col("m") + 1)
+    lows, highs = (F.array(*map(F.lit, ends)) for ends in (found[::2], found[1::2]))
+    k = len(shares)
+    # lows grow with the shares, so those above a value are the last ones
+    above = {r["c"]: r["m"] for r in x.groupBy(F.size(F.filter(lows, lambda low: F.col("x") < low)).alias("c")).agg(F.count("*").alias("m")).collect()}
+    n, below = sum(above.values()), [sum(m for c, m in above.items() if c >= k - i) for i in range(k)]
+    of = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.col("x") >= F.get(lows, i)) & (F.col("x") <= F.get(highs, i)))
+    counts = x.select("x", F.explode(of).alias("band")).groupBy("band", "x").agg(F.count("*").alias("m"))
     ranks = [((n - 1) * q, int((n - 1) * q), min(int((n - 1) * q) + 1, n - 1)) for q in shares]
-    wanted = F.lit(False)
-    for k, (_, lo, hi) in enumerate(ranks):
-        wanted = wanted | (F.col("band") == k) & (F.col("first") <= hi) & (F.col("last") >= lo)
+    of_band = lambda values: F.get(F.array(*map(F.lit, values)), F.col("band"))
+    ranked = running(counts, ["band"], F.col("x"), upto="m").withColumn("last", F.col("upto") + of_band(below) - 1).withColumn("first", F.col("last") - F.col("m") + 1)
+    wanted = (F.col("first") <= of_band([hi for *_, hi in ranks])) & (F.col("last") >= of_band([lo for _, lo, _ in ranks]))
     rows = ranked.filter(wanted).select("band", "x", "first", "last").collect()
     out = []
     for k, (at, lo, hi) in enumerate(ranks):

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmap.operators.lineage import cut, drop, numbered, running
+from driftmap.operators.mobility import quantiles
 from driftmap.operators.polygons import region_relations
 
 EDGE = 1e-10
@@ -221,22 +224,104 @@ def cpo_logscore(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.agg(F.round(-F.avg(F.log("cpo")), digits).alias("logscore"))
 
 
-def calibration_curve(df: DataFrame, levels: Sequence[float], half: float, n_min: int, steps: int = 60, widen: float = 1.05) -> DataFrame:
+class _Counts:
+    """Rows of p counted once by the edges of windows; windows are then differences of sums up to their edges.
+
+    The number of edges follows from levels and steps, not from the rows, so their sums come to the driver.
+    """
+
+    def __init__(self, rows: DataFrame, edges: Sequence[float], **values: Column):
+        self.edges = sorted(set(edges))
+        cells = Bucketizer(splits=[-math.inf, *self.edges, math.inf], inputCol="p", outputCol="_cell").transform(rows)
+        sums = cells.groupBy("_cell").agg(F.count("*").alias("n"), *(F.sum(c).alias(k) for k, c in values.items()))
+        self.upto = {k: np.zeros(len(self.edges) + 2) for k in ("n", *values)}
+        for r in sums.collect():
+            for k, v in self.upto.items():
+                v[int(r["_cell"]) + 1] = r[k] or 0
+        self.upto = {k: v.cumsum() for k, v in self.upto.items()}
+
+    def below(self, edge: float, name: str = "n") -> float:
+        """The sum over rows with p below an edge."""
+        return float(self.upto[name][bisect.bisect_left(self.edges, edge) + 1])
+
+    def between(self, low: float, high: float, name: str = "n") -> float:
+        """The sum over rows with p from low to high, both included."""
+        return self.below(math.nextafter(high, math.inf), name) - self.below(low, name)
+
+
+def _known(df: DataFrame, *more: str) -> DataFrame:
+    return df.filter("p is not null and not isnan(p)").select(F.col("p").cast("double").alias("p"), "presence", *more)
+
+
+def _ends(windows: Iterable[tuple[float, float]]) -> list[float]:
+    return [e for low, high in windows for e in (low, math.nextafter(high, math.inf))]
+
+
+def calibration_curve(df: DataFrame, levels: Sequence[float], half: float, n_min: int, widen: float = 1.05) -> DataFrame:
     """Observed rate in windows around levels of p, each widened by a factor until it holds n_min rows.
 
-    Rows are counted once by the edges of all windows; windows are then sums over those
-    counts, whose number follows from the levels and steps.
+    Every level gives a row; where all of [0, 1] holds fewer than n_min rows, n says so.
+    Rows without p or presence aren't counted.
+    """
+    windows: dict[float, list[tuple[float, float]]] = {}
+    for c in map(float, levels):
+        windows[c], k = [], 0
+        while not windows[c] or windows[c][-1] != (0.0, 1.0):
+            windows[c].append((max(0.0, c - half * widen**k), min(1.0, c + half * widen**k)))
+            k += 1
+    counts = _Counts(_known(df).filter("presence is not null"), _ends(w for ws in windows.values() for w in ws), ones=F.col("presence"))
+    rows = []
+    for c, ws in windows.items():
+        low, high = next((w for w in ws if counts.between(*w) >= n_min), ws[-1])
+        n = int(counts.between(low, high))
+        rows.append((c, low, high, n, counts.between(low, high, "ones") / n if n else None))
+    return df.sparkSession.createDataFrame(rows, "level double, p_lower double, p_upper double, n bigint, empirical double")
+
+
+def calibration_levels(df: DataFrame, by_quantiles: bool = True, n_intervals: int = 100, n_min: int | None = None, min_range: float = 0.05, trials: float = 1.0, original: str | None = None, widen: float = 1.05) -> DataFrame:
+    """level, n, q_lower, q_upper, p_lower, p_upper, p_mean, empirical, empirical_original, reason of overlapping windows of p.
+
+    Windows lie between breaks a fifth of the quantiles apart (by_quantiles; n_min is 100) or
+    a twentieth of p (n_min is 500), n_intervals of them in steps. Both ends are moved apart
+    by a factor until a window has n_min rows, and then until it is min_range wide, as far as
+    [0, 1] goes. empirical is the share of ones of rows with a presence, of so many trials
+    each; original names a second response. Windows that come out equal are one level. A
+    window that can't grow further gives its row with the reason, and so do windows at 0,
+    which a factor doesn't move. Rows without p aren't counted; without any there are no levels.
     """
-    w = [(float(c), k, max(0.0, c - half * widen**k), min(1.0, c + half * widen**k)) for c in levels for k in range(steps)]
-    windows = df.sparkSession.createDataFrame([(*x, math.nextafter(x[3], math.inf)) for x in w], "level double, step int, p_lower double, p_upper double, end double")
-    edges = sorted({x for _, _, lo, hi in w for x in (lo, math.nextafter(hi, math.inf))})
-    rows = df.filter("presence is not null and p is not null and not isnan(p)").select(F.col("p").cast("double").alias("p"), "presence")
-    cells = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="p", outputCol="cell").transform(rows)
-    start = F.element_at(F.array(*map(F.lit, [-math.inf, *edges])), (F.col("cell") + 1).cast("int"))
-    counts = cells.groupBy("cell").agg(F.count("*").alias("m"), F.sum("presence").alias("ones")).select(start.alias("start"), "m", "ones")
-    hits = windows.join(counts, (F.col("start") >= F.col("p_lower")) & (F.col("start") < F.col("end")))
-    g = hits.groupBy("level", "step", "p_lower", "p_upper").agg(F.sum("m").alias("n"), (F.sum("ones") / F.sum("m")).alias("empirical")).filter(F.col("n") >= n_min)
-    return g.groupBy("level").agg(F.min_by(F.struct("p_lower", "p_upper", "n", "empirical"), "step").alias("x")).select("level", "x.*")
+    n_min = n_min if n_min is not None else 100 if by_quantiles else 500
+    rows = _known(df, *([original] if original else []))
+    smallest, least = rows.agg(F.min(F.when(F.col("p") > 0, F.col("p"))), F.min("p")).first()
+    spark, out = df.sparkSession, "level int, n bigint, q_lower double, q_upper double, p_lower double, p_upper double, p_mean double, empirical double, empirical_original double, reason string"
+    if least is None:
+        return spark.createDataFrame([], out)
+    breaks = [k / n_intervals for k in range(n_intervals + 1)]
+    wide = next(k for k, b in enumerate(breaks) if b >= (0.2 if by_quantiles else 0.05))
+    at = dict(zip(breaks, quantiles(rows, "p", breaks), strict=True)) if by_quantiles else {b: b for b in breaks}
+    starts = [(lo, hi, at[lo], at[hi]) for lo, hi in zip(breaks[: len(breaks) - wide], breaks[wide:], strict=True)]
+    grown = []
+    for *_, low, high in starts:
+        own = [(low, high)]
+        while high > 0 and (high < 1 or low > (smallest or 1)):
+            low, high = max(0.0, low / widen), min(1.0, high * widen)
+            own.append((low, high))
+        grown.append(own)
+    values = {"mass": F.col("p"), "known": F.col("presence").isNotNull().cast("int"), "ones": F.col("presence")}
+    if original:
+        values |= {"known2": F.col(original).isNotNull().cast("int"), "ones2": F.col(original)}
+    counts = _Counts(rows, [*_ends(w for own in grown for w in own), *(math.nextafter(b, math.inf) for b in breaks)], **values)
+    total, found = counts.below(math.inf), {}
+    for (q_low, q_high, *_), own in zip(starts, grown, strict=True):
+        first = next((k for k, w in enumerate(own) if counts.between(*w) >= n_min), None)
+        k = None if first is None else next((j for j in range(first, len(own)) if own[j][1] - own[j][0] >= min_range), None)
+        reason = "fewer rows than n_min" if first is None else "narrower than min_range" if k is None else None
+        low, high = own[-1 if k is None else k]
+        n = int(counts.between(low, high))
+        share = lambda ones, known, low=low, high=high: counts.between(low, high, ones) / (trials * m) if (m := counts.between(low, high, known)) else None
+        if not by_quantiles:
+            q_low, q_high = (counts.below(math.nextafter(q, math.inf)) / total for q in (q_low, q_high))
+        found.setdefault((n, q_low, q_high, low, high, counts.between(low, high, "mass") / n if n else None, share("ones", "known"), share("ones2", "known2") if original else None, reason))
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(found, 1)], out)
 
 
 def calibration_long(curve: DataFrame) -> DataFrame:

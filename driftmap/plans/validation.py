@@ -56,6 +56,23 @@ query("residual_summary", _S + f", e AS (SELECT *, abs(presence - {_Q}) AS e, {_
 query("cpo_logscore", _S + "---SELECT round(-avg(ln(p)), 4) AS logscore FROM sc WHERE p > 0", "logscore")(lambda v: o.cpo_logscore(scores(v).filter("p > 0").withColumnRenamed("p", "cpo")))
 _W = _S + ", w AS (SELECT l AS level, CAST(k AS INT) AS step, greatest(0e0, l - 1e-2 * pow(1.05e0, k)) AS p_lower, least(1e0, l + 1e-2 * pow(1.05e0, k)) AS p_upper FROM (SELECT unnest([2e-1, 3.5e-1, 5e-1, 6.5e-1, 8e-1]) AS l) a CROSS JOIN (SELECT range AS k FROM range(0, 60)) b), h AS (SELECT level, step, p_lower, p_upper, count(*) AS n, avg(presence) AS empirical FROM sc JOIN w ON p BETWEEN p_lower AND p_upper WHERE presence IS NOT NULL GROUP BY ALL HAVING count(*) >= 30), cc AS (SELECT level, p_lower, p_upper, n, empirical FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY step) AS r FROM h) q WHERE r = 1)"
 query("calibration_curve", _W + "---SELECT * FROM cc", "level p_lower p_upper empirical")(lambda v: o.calibration_curve(scores(v), LEVELS, 0.01, 30))
+_CALIBRATED = """
+ws AS (SELECT q_lower, q_upper, k, greatest(0e0, l / pow(1.05e0, k)) AS lo, least(1e0, h * pow(1.05e0, k)) AS hi FROM st CROSS JOIN (SELECT range AS k FROM range(0, 80)) s),
+ct AS (SELECT q_lower, q_upper, k, lo, hi, count(*) AS n, avg(p) AS p_mean, avg(presence) AS empirical FROM ws JOIN sc ON p BETWEEN lo AND hi GROUP BY ALL),
+f1 AS (SELECT q_lower, min(k) AS k1 FROM ct WHERE n >= {n_min} GROUP BY 1),
+f2 AS (SELECT q_lower, min(k) AS k2 FROM ct JOIN f1 USING (q_lower) WHERE k >= k1 AND hi - lo >= {least} GROUP BY 1),
+ds AS (SELECT DISTINCT n, q_lower, q_upper, lo AS p_lower, hi AS p_upper, p_mean, empirical FROM ct JOIN f2 USING (q_lower) WHERE k = k2)---
+SELECT CAST(row_number() OVER (ORDER BY q_lower, p_lower) AS INT) AS level, n, q_lower, q_upper, p_lower, p_upper, p_mean, empirical FROM ds"""
+_AT = "ps[CAST(floor({0}) AS INT) + 1] + ({0} - floor({0})) * (ps[CAST(ceil({0}) AS INT) + 1] - ps[CAST(floor({0}) AS INT) + 1])"
+_BY_QUANTILE = _S + f", lp AS (SELECT list(p ORDER BY p) AS ps FROM sc), st AS (SELECT range / 1e2 AS q_lower, (range + 20) / 1e2 AS q_upper, {_AT.format('((len(ps) - 1) * range / 1e2)')} AS l, {_AT.format('((len(ps) - 1) * (range + 20) / 1e2)')} AS h FROM lp CROSS JOIN range(0, 81)),"
+_LEVEL = "q_lower q_upper p_lower p_upper p_mean empirical"
+
+
+def _levels(v: Views, **more):
+    return o.calibration_levels(scores(v), **more).drop("empirical_original", "reason")
+
+
+query("calibration_levels", _BY_QUANTILE + _CALIBRATED.format(n_min=20, least="1.5e-1"), _LEVEL)(lambda v: _levels(v, n_min=20, min_range=0.15))
 query("calibration_long", _W + ", s AS (SELECT *, CASE WHEN max(n) OVER () > min(n) OVER () THEN (n - min(n) OVER ()) / CAST(max(n) OVER () - min(n) OVER () AS DOUBLE) ELSE 1e0 END AS size FROM cc)---" + " UNION ALL ".join(f"SELECT level, size, '{k}' AS kind, {k} AS value FROM s" for k in ("p_lower", "empirical", "p_upper")), "level size value")(lambda v: o.calibration_long(o.calibration_curve(scores(v), LEVELS, 0.01, 30)))
 
 

@@ -175,6 +175,87 @@ def test_daily_files_of_many_years_in_one_read(spark, tmp_path):
         tables.read_daily_csv(spark, str(tmp_path / "bad")).collect()
 
 
+def by_hand_levels(p, y, by_quantiles, n_intervals, n_min, min_range):
+    """Windows as they are widened one by one."""
+    p, y, out = np.array(p), np.array([np.nan if v is None else v for v in y]), []
+    breaks = [k / n_intervals for k in range(n_intervals + 1)]
+    wide = next(k for k, b in enumerate(breaks) if b >= (0.2 if by_quantiles else 0.05))
+    for a, z in zip(breaks[: len(breaks) - wide], breaks[wide:], strict=True):
+        low, high = (np.quantile(p, [a, z]) if by_quantiles else (a, z))
+        if not by_quantiles:
+            a, z = (p <= a).mean(), (p <= z).mean()
+        inside = lambda low, high: (p >= low) & (p <= high)
+        for done in (lambda low, high: inside(low, high).sum() >= n_min, lambda low, high: high - low >= min_range):
+            for _ in range(20_000):
+                if done(low, high):
+                    break
+                low, high = max(0.0, low / 1.05), min(1.0, high * 1.05)
+        i = inside(low, high)
+        out.append((i.sum(), a, z, low, high, p[i].mean(), np.nanmean(y[i])))
+    return out
+
+
+@pytest.mark.parametrize("by_quantiles, n_intervals, n_min, min_range", [(True, 20, 40, 0.1), (False, 40, 25, 0.05), (True, 10, 150, 0.5), (False, 20, 90, 0.3)])
+def test_calibration_levels(spark, by_quantiles, n_intervals, n_min, min_range):
+    rng = np.random.default_rng(9)
+    p = np.concatenate([rng.beta(0.5, 3, 250), np.repeat(0.25, 30), rng.random(20)]).tolist()
+    y = [None if k % 9 == 0 else int(rng.random() < v) for k, v in enumerate(p)]
+    df = spark.createDataFrame([*zip(p, y, strict=True), (None, 1), (float("nan"), 0)], "p double, presence int").repartition(4).withColumn("late", F.col("presence"))
+    got = [tuple(r)[1:8] for r in validation.calibration_levels(df, by_quantiles, n_intervals, n_min, min_range).collect()]
+    want = list(dict.fromkeys(by_hand_levels(p, y, by_quantiles, n_intervals, n_min, min_range)))
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[0] == w[0] and np.allclose(np.array(g[1:], float), np.array(w[1:], float), rtol=1e-12, atol=1e-12)
+    both = validation.calibration_levels(df, by_quantiles, n_intervals, n_min, min_range, original="late").collect()
+    assert all(r.empirical_original == r.empirical and r.reason is None for r in both)
+
+
+def test_calibration_says_what_it_cannot_do(spark):
+    few = spark.createDataFrame([(0.5, 1), (0.25, 0), (0.0, 0)], "p double, presence int")
+    assert {r.reason for r in validation.calibration_levels(few, False, 20).collect()} == {"fewer rows than n_min"}
+    zeros = spark.createDataFrame([(0.0, 0)] * 9 + [(0.3, 1)], "p double, presence int")
+    got = validation.calibration_levels(zeros, True, 10, n_min=2).collect()
+    assert [r.reason for r in got][0] == "narrower than min_range" and got[-1].reason is None
+    assert validation.calibration_levels(few.filter("false")).collect() == []
+    curve = validation.calibration_curve(few, [0.1, 0.9], 0.001, 2).collect()
+    assert [(r.level, r.n) for r in curve] == [(0.1, 2), (0.9, 2)]
+    assert [(r.p_lower, r.p_upper, r.n) for r in validation.calibration_curve(few, [0.5], 0.1, 9).collect()] == [(0.0, 1.0, 3)]
+
+
+def test_ranks_within_groups(spark):
+    """A group of nine tenths of the rows, ties, null groups and groups of one class."""
+    rng = random.Random(6)
+    rows = [(1, round(rng.random(), 2), rng.randrange(2)) for _ in range(900)] + [(2, 0.5, 1)] * 40 + [(None, rng.random(), rng.randrange(2)) for _ in range(60)] + [(3, 0.1, None)]
+    df = spark.createDataFrame(rows, "fold int, p double, presence int").repartition(5)
+    auc = {r.fold: r.auc for r in validation.auc(df, ["fold"]).collect()}
+    for f in (1, None):
+        one, zero = ([p for g, p, y in rows if g == f and y == k] for k in (1, 0))
+        want = sum((a > b) + (a == b) / 2 for a in one for b in zero) / (len(one) * len(zero))
+        assert abs(auc[f] - want) < 1e-12
+    assert auc[2] is None
+    roc = {(r.fold, r.threshold): (r.tpr, r.fpr) for r in validation.roc_curve(df, ["fold"]).collect()}
+    for f, t in [(1, 0.25), (1, 0.99), (2, 0.5)]:
+        want = [(lambda v: sum(p >= t for p in v) / len(v) if v else None)([p for g, p, y in rows if g == f and y == k]) for k in (1, 0)]
+        assert roc[f, t] == (pytest.approx(want[0]), want[1] and pytest.approx(want[1]))
+    strength = mobility.link_strength_percentile(df.withColumn("w", F.col("p") - 0.5), "w", ["fold"]).collect()
+    assert len(strength) == len(rows)
+    sizes = [abs(p - 0.5) for g, p, _ in rows if g == 1]
+    for r in strength[:50]:
+        if r.fold == 1:
+            assert abs(r.strength - sum(s <= abs(r.w) for s in sizes) / 900) < 1e-12
+    plan = validation.auc(df, ["fold"])._jdf.queryExecution().toString()
+    assert "windowspecdefinition(fold" not in plan
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(2)
+    values = [round(rng.gauss(0, 1), 1) for _ in range(3000)] + [5.0] * 2000
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(6)
+    shares = [0.0, 0.01, 0.2, 0.333, 0.5, 0.59, 0.6, 0.61, 0.99, 1.0]
+    assert np.allclose(mobility.quantiles(df, "x", shares), np.quantile(values, shares), atol=1e-12)
+    assert mobility.quantiles(df.filter("false"), "x", [0.5]) == [None]
+
+
 def test_prune_keeps_protected(spark):
     rows = [(float(i), float(i), float(i * 7 % 5)) for i in range(20)]
     df = spark.createDataFrame(rows, "a double, b double, c double")
