@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftmap.operators.polygons import segments
+
 EARTH_KM = 6371.0088
 
 
@@ -48,43 +49,39 @@ def cell_area(lat: Column, size: float) -> Column:
     return F.lit(EARTH_KM**2) * F.radians(F.lit(size)) * (F.sin(F.radians(lat + half)) - F.sin(F.radians(lat - half)))
 
 
-def _clip(ring: list[tuple[float, float]], w: float, e: float, s: float, n: float) -> float:
-    """Area of a ring inside a rectangle, by cutting along its four sides."""
-    for axis, limit, sign in ((0, w, 1), (0, e, -1), (1, s, 1), (1, n, -1)):
-        out = []
-        for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
-            da, db = sign * (a[axis] - limit), sign * (b[axis] - limit)
-            if da >= 0:
-                out.append(a)
-            if (da >= 0) != (db >= 0):
-                t = da / (da - db)
-                out.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
-        ring = out
-        if not ring:
-            return 0.0
-    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
+def _under(x: tuple[Column, Column], y: tuple[Column, Column], south: Column, north: Column) -> Column:
+    """The area under a segment from x[0] to x[1], between two latitudes; negative where it runs west."""
+    high = north - south
+    up = lambda v: F.greatest(F.lit(0.0), F.least(v - south, high))
+    # the antiderivative of up: its difference over the rise is the mean height of what is under the segment
+    whole = lambda v: up(v) * up(v) / 2 + high * F.greatest(F.lit(0.0), v - north)
+    rise = y[1] - y[0]
+    flat = F.abs(rise) < 1e-6 * high
+    return (x[1] - x[0]) * F.when(flat, up((y[0] + y[1]) / 2)).otherwise((whole(y[1]) - whole(y[0])) / F.when(~flat, rise))
 
 
 def cell_region_coverage(cells: DataFrame, regions: DataFrame, size: float) -> DataFrame:
-    """cell_row, cell_col, lat, geo, frac: the share of each cell that lies in each region. The first ring is the outline, others are holes.
+    """cell_row, cell_col, lat, geo, frac: the share of each cell that lies in each region, of those above 1e-12.
 
-    Pairs come from a join of the cells that a region's bounding box covers.
+    A region is the even-odd fill of its rings: an outline, holes, islands. Its area in a cell
+    is a sum over its segments, each with what is under it in the cell; segments meet the
+    cells of their columns, from the region's foot to their own height, in a join of tiles.
     """
-    box = regions.select("geo", "geometry", F.flatten("geometry").alias("p")).selectExpr("geo", "geometry", *_BOX)
+    segs = segments(regions).withColumn("sign", F.when(F.col("left"), -1).otherwise(1))
+    foot = segs.groupBy("geo").agg(F.min(F.least("y1", "y2")).alias("foot"))
+    edges = segs.filter("x1 <> x2").join(foot, "geo").select("geo", "x1", "y1", "x2", "y2", "sign", "foot")
+    half = size / 2
+    tiles = lambda low, high: F.explode(F.sequence(F.floor(low - half), F.floor(high + half)))
+    edges = edges.withColumn("tx", tiles(F.least("x1", "x2"), F.greatest("x1", "x2"))).withColumn("ty", tiles(F.col("foot"), F.greatest("y1", "y2")))
     one = cells.select("cell_row", "cell_col", "lon", "lat").distinct().withColumn("tx", F.floor("lon")).withColumn("ty", F.floor("lat"))
-    b = box.withColumn("tx", F.explode(F.sequence(F.floor(F.col("w") - size / 2), F.floor(F.col("e") + size / 2)))).withColumn("ty", F.explode(F.sequence(F.floor(F.col("s") - size / 2), F.floor(F.col("n") + size / 2))))
-    near = one.join(b, ["tx", "ty"]).filter((F.col("lon") + size / 2 > F.col("w")) & (F.col("lon") - size / 2 < F.col("e")) & (F.col("lat") + size / 2 > F.col("s")) & (F.col("lat") - size / 2 < F.col("n")))
-
-    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            frac = []
-            for lon, lat, rings in zip(d["lon"], d["lat"], d["geometry"], strict=True):
-                areas = [_clip([(p["lon"], p["lat"]) for p in r], lon - size / 2, lon + size / 2, lat - size / 2, lat + size / 2) for r in rings]
-                frac.append((areas[0] - sum(areas[1:])) / size**2 if areas else 0.0)
-            d = d.assign(frac=frac)
-            yield d.loc[d["frac"] > 0, ["cell_row", "cell_col", "lat", "geo", "frac"]]
-
-    return near.select("cell_row", "cell_col", "lon", "lat", "geo", "geometry").mapInPandas(cover, "cell_row int, cell_col int, lat double, geo string, frac double")
+    west, east, south, north = F.col("lon") - half, F.col("lon") + half, F.col("lat") - half, F.col("lat") + half
+    near = one.join(edges, ["tx", "ty"]).filter((F.least("x1", "x2") < east) & (F.greatest("x1", "x2") > west) & (F.greatest("y1", "y2") > south) & (F.col("foot") < north))
+    cut = lambda c: F.greatest(west, F.least(east, F.col(c)))
+    slope = (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))
+    at = lambda c: F.col("y1") + (cut(c) - F.col("x1")) * slope
+    part = F.col("sign") * _under((cut("x1"), cut("x2")), (at("x1"), at("x2")), south, north)
+    areas = near.groupBy("cell_row", "cell_col", "lat", "geo").agg((F.sum(part) / F.lit(size * size)).alias("frac"))
+    return areas.filter("frac > 1e-12").select("cell_row", "cell_col", "lat", "geo", "frac")
 
 
 def zonal_weighted_mean(cells: DataFrame, coverage: DataFrame, size: float, by: Sequence[str] = ("date",)) -> DataFrame:

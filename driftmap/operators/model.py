@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmap.operators import binning, graph
-from driftmap.operators.lineage import cut
+from driftmap.operators.lineage import cut, drop
 
 
 def logit(p: Column) -> Column:
@@ -89,23 +89,30 @@ def score_draws(design: DataFrame, draws: DataFrame, keys: Sequence[str] = ("geo
     return j.groupBy(*keys, "draw").agg(inverse_logit(F.sum(F.col("value") * F.col("coefficient"))).alias("p"))
 
 
-def recurrent_prediction(panel: DataFrame, q: DataFrame, start: DataFrame, coefficient_draws: DataFrame, fixed: Sequence[str], years: Sequence[int], spec: DataFrame | None = None, rounds: int = 1000) -> DataFrame:
-    """geo, year_idx, draw, p year by year: proximity of a year comes from the mean draws of the year before, the first year's from start.
+def recurrent_prediction(panel: DataFrame, q: DataFrame, start: DataFrame, coefficient_draws: DataFrame, fixed: Sequence[str], years: Sequence[int], spec: DataFrame | None = None, rounds: int = 1000, by: Sequence[str] = ()) -> DataFrame:
+    """by, geo, year_idx, draw, p year by year: proximity of a year comes from the mean draws of the year before, the first year's from start.
 
-    start: geo, y_proximity_exp100. With a bin spec of that column its bins enter the
-    design, else its value. The state carried from year to year is one row for each region.
+    by names columns of panel, such as a scenario: each of their values is a course of its
+    own, and all go through binning, scoring and one solve a year together. start: geo,
+    y_proximity_exp100, and columns of by where courses start apart. With a bin spec of that
+    column its bins enter the design, else its value. The state carried from year to year is
+    one row for each course and region.
     """
-    name, out, state = "y_proximity_exp100", None, start.select("geo", "y_proximity_exp100")
+    name, out, keys = "y_proximity_exp100", None, (*by, "geo", "year_idx")
+    state = start.select(*(c for c in by if c in start.columns), "geo", name)
     for y in years:
-        rows = panel.filter(F.col("year_idx") == y).join(state, "geo", "left")
+        rows = panel.filter(F.col("year_idx") == y).join(state, [c for c in state.columns if c != name], "left")
         if spec is not None:
             rows = binning.apply_bin_spec(rows, spec, [name])
-        design = model_design(rows, [*fixed, *([] if spec is not None else [name])], [f"{name}_bin"] if spec is not None else [], ("geo", "year_idx"))
-        p = cut(score_draws(design, coefficient_draws, ("geo", "year_idx")))
+        design = model_design(rows, [*fixed, *([] if spec is not None else [name])], [f"{name}_bin"] if spec is not None else [], keys)
+        p = cut(score_draws(design, coefficient_draws, keys))
+        if out is not None:
+            drop(state)
         out = p if out is None else out.unionByName(p)
-        mean = p.groupBy("geo").agg(F.avg("p").alias("m"))
-        known = mean.select(F.lit(y).alias("key"), F.col("geo").alias("node"), (F.col("m") >= 0.5).cast("int").alias("presence"))
-        state = cut(graph.harmonic_fill(q, known, 1, rounds=rounds).select(F.col("node").alias("geo"), F.col("x").alias(name)))
+        mean = p.groupBy(*by, "geo").agg(F.avg("p").alias("m"))
+        known = mean.select(F.struct(F.lit(y).alias("year_idx"), *by).alias("key"), F.col("geo").alias("node"), (F.col("m") >= 0.5).cast("int").alias("presence"))
+        fill = graph.harmonic_fill(q, known, 1, rounds=rounds)
+        state = cut(fill.select(*(F.col(f"key.{c}").alias(c) for c in by), F.col("node").alias("geo"), F.col("x").alias(name)))
     return out
 
 

@@ -34,6 +34,11 @@ def _years(v: Views):
     return sorted(r.year_idx for r in v.panel.select("year_idx").distinct().collect())
 
 
+def _scenario_panel(v: Views):
+    """The panel under two scenarios, one of them two degrees warmer."""
+    return v.panel.select("*", F.explode(F.array(F.lit("SSP126"), F.lit("SSP370"))).alias("scenario")).withColumn("temperature", F.col("temperature") + F.when(F.col("scenario") == "SSP370", 2.0).otherwise(0.0))
+
+
 def _effects(v: Views):
     return m.fixed_effect_contribution(m.model_design(v.panel, FIXED, ()), _coefficients(v))
 
@@ -62,7 +67,7 @@ query("inverse_logit", "SELECT geo, year, 1 / (1 + exp(-temperature / 10)) AS p
 query("fitted_table", f"SELECT geo, year, presence, CASE WHEN year <= 1999 THEN {_LIN} END AS log_odds, CASE WHEN year <= 1999 THEN 1 / (1 + exp(-({_LIN}))) END AS p FROM fx_panel", "log_odds p")(lambda v: m.fitted_table(v.panel.select("geo", "year", "presence"), m.sum_effects_to_probability(_effects(v).filter("year <= 1999"))))
 query("draws_to_long", " UNION ALL ".join(f"SELECT geo, year_idx, CAST({k} AS INT) AS draw, 1 / (1 + exp(-(temperature / 10 + {k} * 1e-2))) AS p FROM fx_panel" for k in (1, 2, 12)), "p")(lambda v: m.draws_to_long(v.panel.select("geo", "year_idx", *((F.col("temperature") / 10 + k * 0.01).alias(f"draw_{k}") for k in (1, 2, 12))), ["geo", "year_idx"]))
 query("score_draws", f"SELECT geo, year, CAST(range AS INT) AS draw, 1 / (1 + exp(-({_LIN}) * (1 + range * 1e-2))) AS p FROM fx_panel CROSS JOIN range(1, 9)", "p")(lambda v: m.score_draws(m.model_design(v.panel, FIXED, ()), _draws(v)))
-query("recurrent_prediction")(lambda v: m.recurrent_prediction(v.panel, graph.laplacian_edges(v.region, v.edges, 0.9), v.region.select("geo", (F.col("region_id") % 10 / 10).alias("y_proximity_exp100")), _draws(v, 3).unionByName(v.spark.createDataFrame([("y_proximity_exp100", d, 2.0) for d in (1, 2, 3)], "term string, draw int, coefficient double").select("term", "coefficient", "draw")), FIXED, _years(v)))
+query("recurrent_prediction")(lambda v: m.recurrent_prediction(_scenario_panel(v), graph.laplacian_edges(v.region, v.edges, 0.9), v.region.select("geo", (F.col("region_id") % 10 / 10).alias("y_proximity_exp100")), _draws(v, 3).unionByName(v.spark.createDataFrame([("y_proximity_exp100", d, 2.0) for d in (1, 2, 3)], "term string, draw int, coefficient double").select("term", "coefficient", "draw")), FIXED, _years(v), by=["scenario"]))
 _KEYS = "ky AS (SELECT CAST(CAST(population AS BIGINT) % 5 + 1 AS INT) AS bin, avg(temperature) AS bin_mean FROM fx_panel GROUP BY 1)"
 query("posterior_effect_curve", _KEYS + "---SELECT 'temperature' AS \"column\", CAST(range AS INT) AS bin, bin_mean, range * 1.1e-1 AS mean, range * 1.1e-1 - 5e-2 AS lwr, range * 1.1e-1 + 5e-2 AS upr FROM range(1, 5) LEFT JOIN ky ON bin = range", "bin_mean mean lwr upr")(lambda v: m.posterior_effect_curve(_bin_effects(v).withColumn("column", F.lit("temperature")), binning.bin_keys(_bins(v), "temperature").select(F.lit("temperature").alias("column"), "bin", "bin_mean")))
 query("fixed_effect_table", "SELECT 'Total Flux In' AS label, avg(temperature) AS mean, min(temperature) AS lwr, max(temperature) AS upr FROM fx_panel", "mean lwr upr")(lambda v: m.fixed_effect_table(v.panel.agg(F.avg("temperature").alias("mean"), F.min("temperature").alias("lwr"), F.max("temperature").alias("upr")).withColumn("term", F.explode(F.array(F.lit("intercept"), F.lit("total_flux_in"))))))

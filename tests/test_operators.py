@@ -256,6 +256,44 @@ def test_quantiles_are_exact(spark):
     assert mobility.quantiles(df.filter("false"), "x", [0.5]) == [None]
 
 
+def test_coverage_of_holes_and_islands(spark):
+    p = lambda *v: [{"lon": float(x), "lat": float(y)} for x, y in v]
+    square = lambda w, s, e, n: p((w, s), (e, s), (e, n), (w, n))
+    shapes = [("hole", [square(0, 0, 4, 4), square(1, 1, 3, 3)[::-1]]), ("parts", [square(0, 0, 1, 1), square(2.5, 2.5, 3.5, 3.5)]), ("slant", [p((0, 0), (4, 1), (4, 3), (0, 4))]), ("back", [p((0.5, 0.5), (0.5, 3.5), (3.5, 0.5))])]
+    regions = spark.createDataFrame(shapes, "geo string, geometry array<array<struct<lon: double, lat: double>>>")
+    cells = spark.createDataFrame([(r, c, c + 0.5, r + 0.5) for r in range(4) for c in range(4)], "cell_row int, cell_col int, lon double, lat double")
+    df = grid.cell_region_coverage(cells, regions, 1.0)
+    got = {(r.geo, r.cell_row, r.cell_col): r.frac for r in df.collect()}
+    assert "Python" not in df._jdf.queryExecution().toString()
+
+    def inside(rings, x, y):
+        return sum((a["lat"] > y) != (b["lat"] > y) and x < a["lon"] + (y - a["lat"]) / (b["lat"] - a["lat"]) * (b["lon"] - a["lon"]) for r in rings for a, b in zip(r, r[1:] + r[:1], strict=True)) % 2 == 1
+
+    for name, rings in shapes:
+        for r in range(4):
+            for c in range(4):
+                near = sum(inside(rings, c + (i + 0.5) / 40, r + (j + 0.49) / 40) for i in range(40) for j in range(40)) / 1600
+                assert abs(got.get((name, r, c), 0.0) - near) < 0.02, (name, r, c)
+    assert got["hole", 0, 0] == 1.0 and ("hole", 1, 1) not in got and got["parts", 2, 2] == 0.25
+
+
+def test_courses_of_scenarios_run_together(spark):
+    nodes, edges = lattice(spark, 3)
+    q = graph.laplacian_edges(nodes, edges, 0.9)
+    names = [r.geo for r in nodes.collect()]
+    rng = random.Random(8)
+    rows = [(s, g, y, rng.gauss(0, 2)) for s in ("a", "b", "c", "d") for g in names for y in (1, 2, 3)]
+    panel = spark.createDataFrame(rows, "scenario string, geo string, year_idx int, t double")
+    start = nodes.withColumn("y_proximity_exp100", F.lit(0.25))
+    draws = spark.createDataFrame([(t, d, c + d / 10) for d in (1, 2) for t, c in (("intercept", -0.5), ("t", 1.0), ("y_proximity_exp100", 2.0))], "term string, draw int, coefficient double")
+    together = model.recurrent_prediction(panel, q, start, draws, ["t"], [1, 2, 3], by=["scenario"])
+    got = {(r.scenario, r.geo, r.year_idx, r.draw): r.p for r in together.collect()}
+    assert len(got) == 4 * 9 * 3 * 2
+    for s in ("a", "d"):
+        alone = model.recurrent_prediction(panel.filter(F.col("scenario") == s).drop("scenario"), q, start, draws, ["t"], [1, 2, 3]).collect()
+        assert all(abs(got[s, r.geo, r.year_idx, r.draw] - r.p) < 1e-9 for r in alone)
+
+
 def test_prune_keeps_protected(spark):
     rows = [(float(i), float(i), float(i * 7 % 5)) for i in range(20)]
     df = spark.createDataFrame(rows, "a double, b double, c double")
