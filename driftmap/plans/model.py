@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from driftmap.operators import binning, graph
+from driftmap.operators import binning, graph, region_effect
 from driftmap.operators import model as m
 from driftmap.operators.lineage import shared_folder
 from driftmap.plans.fixtures import Views
@@ -57,6 +57,7 @@ def _folder(v: Views) -> str:
 
 query("model_design", "SELECT geo, year, 'intercept' AS term, 1e0 AS value FROM fx_panel UNION ALL SELECT geo, year, 'temperature', temperature FROM fx_panel UNION ALL SELECT geo, year, 'precipitation', precipitation FROM fx_panel UNION ALL SELECT geo, year, 'land=' || CASE WHEN urban_land > 5e-1 THEN 2 ELSE 1 END, 1e0 FROM fx_panel", "value")(lambda v: m.model_design(_panel(v), FIXED, ("land",)))
 query("fit_presence_model")(lambda v: m.fit_presence_model(_panel(v), FIXED, ("land",)))
+query("fit_region_effect")(lambda v: region_effect.fit_region_effect(_panel(v), graph.laplacian_edges(v.region, v.edges, 0.9), FIXED, ("land",))[1])
 query("fixed_effect_contribution", "SELECT geo, year, 'intercept' AS term, 1e0 AS value, -1.5e0 AS coefficient, -1.5e0 AS effect FROM fx_panel UNION ALL SELECT geo, year, 'temperature', temperature, 5e-2, 5e-2 * temperature FROM fx_panel UNION ALL SELECT geo, year, 'precipitation', precipitation, 2e-1, 2e-1 * precipitation FROM fx_panel", "value coefficient effect")(_effects)
 query("random_effect_lookup", "SELECT geo, year, CAST(population % 5 + 1 AS INT) AS temperature_bin, CASE WHEN population % 5 < 4 THEN (population % 5 + 1) * 1.1e-1 END AS temperature_effect_mean, CASE WHEN population % 5 < 4 THEN (population % 5 + 1) * 1.1e-1 - 5e-2 END AS temperature_effect_lwr, CASE WHEN population % 5 < 4 THEN (population % 5 + 1) * 1.1e-1 + 5e-2 END AS temperature_effect_upr FROM (SELECT geo, year, CAST(population AS BIGINT) AS population FROM fx_panel) q", "temperature_effect_mean temperature_effect_lwr temperature_effect_upr")(lambda v: m.random_effect_lookup(_bins(v).select("geo", "year", "temperature_bin"), _bin_effects(v), "temperature"))
 query("spatial_effect_join", "SELECT p.geo, p.year, population, s.precipitation AS spatial FROM fx_panel p LEFT JOIN (SELECT * FROM fx_climate_year WHERE year < 2000) s ON p.geo = s.geo AND p.year = s.year", "population spatial")(lambda v: m.spatial_effect_join(v.panel.select("geo", "year", "population"), v.climate_year.filter("year < 2000").select("geo", "year", F.col("precipitation").alias("spatial"))))

@@ -65,18 +65,19 @@ def test_proximity_queries_are_direct_solutions(spark):
 def test_recurrent_prediction_goes_through_all_years(spark):
     got = defaultdict(dict)
     for r in registry.QUERIES["recurrent_prediction"](spark, SMALL).collect():
-        got[r.year_idx].setdefault(r.geo, {})[r.draw] = r.p
+        got[r.scenario, r.year_idx].setdefault(r.geo, {})[r.draw] = r.p
     v = Views(spark, SMALL)
     panel = {(r.year_idx, r.geo): r for r in v.panel.collect()}
-    assert {(y, n) for y in got for n in got[y]} == set(panel)
-    years = sorted(got)
-    for before, y in zip(years, years[1:], strict=False):
-        x = solved(v, [(0, n, int(np.mean(list(p.values())) >= 0.5)) for n, p in got[before].items()])
-        for n in got[y].keys() & got[before].keys():
-            r = panel[y, n]
-            for d, p in got[y][n].items():
-                z = (-1.5 + 0.05 * r.temperature + 0.2 * r.precipitation) * (1 + 0.01 * d) + 2 * x[0, n]
-                assert abs(p - 1 / (1 + np.exp(-z))) < 1e-4
+    for scenario, warmer in (("SSP126", 0.0), ("SSP370", 2.0)):
+        years = sorted(y for s, y in got if s == scenario)
+        assert {(y, n) for y in years for n in got[scenario, y]} == set(panel)
+        for before, y in zip(years, years[1:], strict=False):
+            x = solved(v, [(0, n, int(np.mean(list(p.values())) >= 0.5)) for n, p in got[scenario, before].items()])
+            for n in got[scenario, y].keys() & got[scenario, before].keys():
+                r = panel[y, n]
+                for d, p in got[scenario, y][n].items():
+                    z = (-1.5 + 0.05 * (r.temperature + warmer) + 0.2 * r.precipitation) * (1 + 0.01 * d) + 2 * x[0, n]
+                    assert abs(p - 1 / (1 + np.exp(-z))) < 1e-4
 
 
 def test_an_unfinished_fill_raises(spark):
