@@ -329,11 +329,12 @@ def ranked_search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFram
             continue
         ids, run = found
         high = index.select("doc_ids", "a", "b", "n", "rows", "bits").mapInArrow(partial(_highest, run=run), f"item bigint, {_DOC}, bound bigint")
-        high = _first(high, FIRST, "item", order=[F.desc("bound"), "a", "b"]).select("item", "a", "b")
-        best = _first(_exact(texts, F.broadcast(settle(high, "highest")), run).filter("score > 0"), top, "item", order=[F.desc("score")])
+        high = settle(_first(high, FIRST, "item", order=[F.desc("bound"), "a", "b"]).select("item", "a", "b"), "highest")
+        best = _first(_exact(texts, F.broadcast(high), run).filter("score > 0"), top, "item", order=[F.desc("score")])
         floor = np.zeros(len(ids), np.int64)
         for r in best.groupBy("item").agg(F.min("score").alias("floor"), F.count("*").alias("m")).filter(F.col("m") >= top).collect():
             floor[r["item"]] = r["floor"]
+        discard(high)
         hits = index.select("doc_ids", "a", "b", "n", "rows", "bits").mapInArrow(partial(_reaching, run=run, floor=floor), f"item bigint, {_DOC}, bound bigint")
         least = [F.asc_nulls_last("doc_id")]
         hits = _first(hits.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))), top, "item", "a", "b", "_salt", order=least)

@@ -141,6 +141,7 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOT
     blocks = F.ceil(F.col("source_size") / block).cast("long")
     expected = F.when(F.col("source_size") > 0, F.col("target") * blocks / F.col("source_size")).otherwise(0.0)
     sources = settle(targets.withColumn("blocks", blocks).withColumn("slots", expected), "sources")
+    discard(targets)
     drawn = settle(draw_shards(sources, shard_slots, seed), "draws")
     dealt = sums_before(drawn, "n", "shard", ("no",)).withColumn("j", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)))
     dealt = dealt.join(sources.select("no", "blocks"), "no").filter(F.col("j") < MOST_PASSES * F.col("blocks")).select("shard", "no", "j", "blocks")

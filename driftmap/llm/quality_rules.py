@@ -21,7 +21,7 @@ from driftmap.llm.tables import row_key, settle
 
 MIN_DOCUMENTS = 4
 HOST_PERCENT = 5
-LEFT_PERCENT = 50
+LEFT_PERCENT = 60
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 REPEAT_WINDOW = 5

@@ -312,7 +312,7 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
     joined = _keyed(docs, *more).join(spans, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k")), "left").drop("_id", "_k", "_key")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
     if rest:
-        schema = T._parse_datatype_string(schema).add("_rest", joined.schema["_rest"].dataType)
+        schema = T.StructType.fromDDL(schema).add("_rest", joined.schema["_rest"].dataType)
     cut = joined.mapInArrow(lambda it: _cut(it, True), schema).filter("n_removed = 0 or n_removed < n_words")
     return cut.select(*(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id") if c == "doc_id" else F.col("kept_text").alias("text") if c == "text" else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns))
 
