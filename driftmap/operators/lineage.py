@@ -1,4 +1,4 @@
-"""Cut the lineage of iterative jobs with files that outlive an executor, and number rows without one task for all."""
+"""Cut the lineage of iterative jobs with files that outlive an executor, number rows and sum along them without one task for all."""
 
 from __future__ import annotations
 
@@ -13,9 +13,11 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; one temporary folder where none is set, as in tests."""
+    """The cluster's spark.checkpoint.dir; where none is set, one temporary folder in local mode, as in tests, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="driftmap-"))
         base = _own[0]
