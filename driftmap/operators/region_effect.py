@@ -38,12 +38,14 @@ def solve_graph(q: DataFrame, b: DataFrame, rounds: int = 1000, tolerance: float
         done += 1
         ap = q.join(state.select("key", F.col("node").alias("j"), "p"), "j").groupBy("key", F.col("i").alias("node")).agg(F.sum(F.col("value") * F.col("p")).alias("ap"))
         s = state.join(ap, ["key", "node"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
-        sums = s.groupBy("key").agg(F.sum(F.col("r") * F.col("d") * F.col("r")).alias("rz"), F.sum(F.col("p") * F.col("ap")).alias("pap"))
+        product = lambda a, b, c: F.sum(F.col(a) * F.col(b) * F.col(c))
+        sums = s.groupBy("key").agg(product("r", "d", "r").alias("rz"), F.sum(F.col("p") * F.col("ap")).alias("pap"), product("r", "d", "ap").alias("rap"), product("ap", "d", "ap").alias("aap"))
         step = F.when(F.col("pap") > 0, F.col("rz") / F.col("pap")).otherwise(0.0)
-        s = s.join(sums, "key").select("key", "node", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("ap")).alias("r"), "p", "d", "rz")
-        new = s.groupBy("key").agg(F.sum(F.col("r") * F.col("d") * F.col("r")).alias("zn"))
-        turn = F.when(F.col("rz") > 0, F.col("zn") / F.col("rz")).otherwise(0.0)
-        old, state = state, cut(s.join(new, "key").select("key", "node", "x", "r", (F.col("r") * F.col("d") + turn * F.col("p")).alias("p"), "d"))
+        after = F.greatest(F.col("rz") - 2 * step * F.col("rap") + step * step * F.col("aap"), F.lit(0.0))  # of the residual to come
+        turn = F.when(F.col("rz") > 0, after / F.col("rz")).otherwise(0.0)
+        r = F.col("r") - step * F.col("ap")
+        moved = s.join(sums, "key").select("key", "node", (F.col("x") + step * F.col("p")).alias("x"), r.alias("r"), (r * F.col("d") + turn * F.col("p")).alias("p"), "d")
+        old, state = state, cut(moved)
         drop(old)
         left = state.groupBy("key").agg(F.sum(F.col("r") * F.col("r")).alias("rr")).join(size, "key").agg(F.max(F.col("rr") / F.col("bb"))).first()[0] or 0.0
     drop(size)
@@ -122,7 +124,7 @@ def fit_region_effect(df: DataFrame, q: DataFrame, fixed: Sequence[str], binned:
         at = lambda i: F.coalesce(F.get("v", F.lit(i)), F.lit(0.0))
         sides = own.select(F.col("geo").alias("node"), F.posexplode(F.array(at(1) - F.coalesce("qu", F.lit(0.0)), *(at(2 + i) for i in range(k)))).alias("key", "v"))
         matrix = cut(q.select("i", "j", (tau * F.col("value")).alias("value")).unionByName(sums.select(F.col("geo").alias("i"), F.col("geo").alias("j"), F.get("v", F.lit(0)).alias("value"))).groupBy("i", "j").agg(F.sum("value").alias("value")))
-        x = solve_graph(matrix, sides, tolerance=1e-10)
+        x = solve_graph(matrix, sides, tolerance=1e-6)  # steps needn't be exact: the next one mends what is left
         cross = np.zeros((k, k + 1))
         for key, i, value in x.join(sums.select(F.col("geo").alias("node"), F.posexplode(F.slice("v", 3, k)).alias("i", "c")), "node").groupBy("key", "i").agg(F.sum(F.col("x") * F.col("c"))).collect():
             cross[i, key] = value
