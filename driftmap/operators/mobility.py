@@ -103,15 +103,16 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float
     if order != list(range(len(shares))):
         by_share = quantiles(df, column, [shares[i] for i in order])
         return [by_share[order.index(i)] for i in range(len(shares))]
-    around = [b for q in shares for b in (max(0.0, q - 0.01), min(1.0, q + 0.01))]
-    found = x.approxQuantile("x", around, 0.002)
-    if not found:
+    n = x.count()
+    if not n:
         return [None] * len(shares)
+    pad = 0.01 + 2 / n  # more than the pass may be off, and two ranks
+    found = x.approxQuantile("x", [b for q in shares for b in (max(0.0, q - pad), min(1.0, q + pad))], 0.002)
     lows, highs = (F.array(*map(F.lit, ends)) for ends in (found[::2], found[1::2]))
     k = len(shares)
     # lows grow with the shares, so those above a value are the last ones
     above = {r["c"]: r["m"] for r in x.groupBy(F.size(F.filter(lows, lambda low: F.col("x") < low)).alias("c")).agg(F.count("*").alias("m")).collect()}
-    n, below = sum(above.values()), [sum(m for c, m in above.items() if c >= k - i) for i in range(k)]
+    below = [sum(m for c, m in above.items() if c >= k - i) for i in range(k)]
     of = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.col("x") >= F.get(lows, i)) & (F.col("x") <= F.get(highs, i)))
     counts = x.select("x", F.explode(of).alias("band")).groupBy("band", "x").agg(F.count("*").alias("m"))
     ranks = [((n - 1) * q, int((n - 1) * q), min(int((n - 1) * q) + 1, n - 1)) for q in shares]

@@ -54,10 +54,10 @@ query("bernoulli_deviance", _S + f"---SELECT geo, year, {_DEV} AS deviance FROM
 query("binomial_deviance", _S + f"---SELECT geo, year, -2 * (ln(factorial(7)::DOUBLE) - ln(factorial(presence * 3)::DOUBLE) - ln(factorial(7 - presence * 3)::DOUBLE) + presence * 3 * ln({_Q}) + (7 - presence * 3) * ln(1 - {_Q})) AS deviance FROM sc", "deviance")(lambda v: scores(v).select("geo", "year", o.binomial_deviance(F.col("p"), F.col("presence") * 3, F.lit(7)).alias("deviance")))
 query("residual_summary", _S + f", e AS (SELECT *, abs(presence - {_Q}) AS e, {_DEV} AS d FROM sc)---SELECT sum(e) AS total_error, avg(e) AS mean_error, sum(d) AS total_deviance, avg(d) AS mean_deviance, sum(CASE WHEN test THEN e END) AS test_error, avg(CASE WHEN test THEN e END) AS test_mean_error, avg(CASE WHEN test THEN d END) AS test_mean_deviance FROM e", "total_error mean_error total_deviance mean_deviance test_error test_mean_error test_mean_deviance")(lambda v: o.residual_summary(scores(v)))
 query("cpo_logscore", _S + "---SELECT round(-avg(ln(p)), 4) AS logscore FROM sc WHERE p > 0", "logscore")(lambda v: o.cpo_logscore(scores(v).filter("p > 0").withColumnRenamed("p", "cpo")))
-_W = _S + ", w AS (SELECT l AS level, CAST(k AS INT) AS step, greatest(0e0, l - 1e-2 * pow(1.05e0, k)) AS p_lower, least(1e0, l + 1e-2 * pow(1.05e0, k)) AS p_upper FROM (SELECT unnest([2e-1, 3.5e-1, 5e-1, 6.5e-1, 8e-1]) AS l) a CROSS JOIN (SELECT range AS k FROM range(0, 60)) b), h AS (SELECT level, step, p_lower, p_upper, count(*) AS n, avg(presence) AS empirical FROM sc JOIN w ON p BETWEEN p_lower AND p_upper WHERE presence IS NOT NULL GROUP BY ALL HAVING count(*) >= 30), cc AS (SELECT level, p_lower, p_upper, n, empirical FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY step) AS r FROM h) q WHERE r = 1)"
+_W = _S + ", w AS (SELECT l AS level, CAST(k AS INT) AS step, greatest(0e0, l - 1e-2 * pow(1.05e0, k)) AS p_lower, least(1e0, l + 1e-2 * pow(1.05e0, k)) AS p_upper FROM (SELECT unnest([2e-1, 3.5e-1, 5e-1, 6.5e-1, 8e-1]) AS l) a CROSS JOIN (SELECT range AS k FROM range(0, 100)) b), h AS (SELECT level, step, p_lower, p_upper, count(*) AS n, avg(presence) AS empirical FROM sc JOIN w ON p BETWEEN p_lower AND p_upper WHERE presence IS NOT NULL GROUP BY ALL HAVING count(*) >= 30), cc AS (SELECT level, p_lower, p_upper, n, empirical FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY step) AS r FROM h) q WHERE r = 1)"
 query("calibration_curve", _W + "---SELECT * FROM cc", "level p_lower p_upper empirical")(lambda v: o.calibration_curve(scores(v), LEVELS, 0.01, 30))
 _CALIBRATED = """
-ws AS (SELECT q_lower, q_upper, k, greatest(0e0, l / pow(1.05e0, k)) AS lo, least(1e0, h * pow(1.05e0, k)) AS hi FROM st CROSS JOIN (SELECT range AS k FROM range(0, 80)) s),
+ws AS (SELECT q_lower, q_upper, k, greatest(0e0, l / pow(1.05e0, k)) AS lo, least(1e0, h * pow(1.05e0, k)) AS hi FROM st CROSS JOIN (SELECT range AS k FROM range(0, 200)) s),
 ct AS (SELECT q_lower, q_upper, k, lo, hi, count(*) AS n, avg(p) AS p_mean, avg(presence) AS empirical FROM ws JOIN sc ON p BETWEEN lo AND hi GROUP BY ALL),
 f1 AS (SELECT q_lower, min(k) AS k1 FROM ct WHERE n >= {n_min} GROUP BY 1),
 f2 AS (SELECT q_lower, min(k) AS k2 FROM ct JOIN f1 USING (q_lower) WHERE k >= k1 AND hi - lo >= {least} GROUP BY 1),

@@ -254,6 +254,9 @@ def test_quantiles_are_exact(spark):
     shares = [0.0, 0.01, 0.2, 0.333, 0.5, 0.59, 0.6, 0.61, 0.99, 1.0]
     assert np.allclose(mobility.quantiles(df, "x", shares), np.quantile(values, shares), atol=1e-12)
     assert mobility.quantiles(df.filter("false"), "x", [0.5]) == [None]
+    for n in (1, 2, 7, 70):
+        few, many = [float(k * k) for k in range(n)], [k / 20 for k in range(21)]
+        assert np.allclose(mobility.quantiles(spark.createDataFrame([(v,) for v in few], "x double"), "x", many), np.quantile(few, many), atol=1e-9)
 
 
 def test_coverage_of_holes_and_islands(spark):
