@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmap.operators.lineage import cut, drop, numbered
+from driftmap.operators.spectrum import noise_shift
 
 
 def _vertices(regions: DataFrame, snap: float) -> DataFrame:
@@ -139,19 +140,20 @@ def _times(q: DataFrame, x: DataFrame, exponent: int, shift: float) -> DataFrame
     return y.unionByName(x.select("key", "node", (F.col("v") * shift).alias("v"))).groupBy("key", "node").agg(F.sum("v").alias("v"))
 
 
-def _root_terms(low: float, high: float, accuracy: float) -> tuple[list[tuple[int, float, float]], float, float]:
-    """sqrt(v) as c0 + c1 v + sum of w v / (v + t) over (k, w, t), for v from low to high: the trapezoidal rule on the logarithm of Balakrishnan's integral."""
+def _root_terms(low: float, high: float, accuracy: float, e: float) -> tuple[list[tuple[int, float, float]], float, float]:
+    """v ** e, for e in (0, 1), as c0 + c1 v + sum of w v / (v + t) over (k, w, t), for v from low to high: the trapezoidal rule on the logarithm of Balakrishnan's integral."""
     spread = -math.log(accuracy)
     step = math.pi**2 / spread
-    begin, end = math.log(low) / 2 - spread / 3, math.log(high) / 2 + spread / 3
+    begin, end = math.log(low) / 2 - spread / (2 + 2 * e), math.log(high) / 2 + spread / (4 - 2 * e)
     n = math.ceil((end - begin) / step)
     at = [begin + step * (k + 0.5) for k in range(n)]
-    terms = [(k, 2 / math.pi * step * math.exp(u), math.exp(2 * u)) for k, u in enumerate(at, 1)]
-    return terms, 2 / math.pi * math.exp(begin), 2 / math.pi * math.exp(-begin - n * step)
+    front = 2 * math.sin(math.pi * e) / math.pi
+    terms = [(k, front * step * math.exp(2 * e * u), math.exp(2 * u)) for k, u in enumerate(at, 1)]
+    return terms, front / (2 * e) * math.exp(2 * e * begin), front / (2 - 2 * e) * math.exp((2 * e - 2) * (begin + n * step))
 
 
-def _root_graph(q: DataFrame, known: DataFrame, accuracy: float) -> tuple[DataFrame, DataFrame]:
-    """A larger graph in which the fill by Q is the fill by the root of Q.
+def _root_graph(q: DataFrame, known: DataFrame, accuracy: float, e: float) -> tuple[DataFrame, DataFrame]:
+    """A larger graph in which the fill by Q is the fill by Q ** e, for e in (0, 1).
 
     x' w Q (Q + t)^-1 x is the least value over z of (w / t) z' Q z + w |x - z|^2, so each
     term of the root adds a copy of the graph whose nodes are tied to those of x. Nodes are
@@ -160,7 +162,7 @@ def _root_graph(q: DataFrame, known: DataFrame, accuracy: float) -> tuple[DataFr
     """
     rows = q.groupBy("i").agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("value"))).alias("d"), F.sum(F.when(F.col("i") != F.col("j"), F.abs("value"))).alias("o"))
     low, high = rows.select(F.min(F.col("d") - F.coalesce("o", F.lit(0.0))), F.max(F.col("d") + F.coalesce("o", F.lit(0.0)))).first()
-    terms, c0, c1 = _root_terms(low if low > high * 1e-4 else high * 1e-4, high, accuracy)
+    terms, c0, c1 = _root_terms(low if low > high * 1e-4 else high * 1e-4, high, accuracy, e)
     term = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w).alias("w"), F.lit(t).alias("t")) for k, w, t in terms))).alias("c")
     node = lambda c, k: F.struct(F.col(c).alias("node"), (F.lit(k) if isinstance(k, int) else k).alias("copy"))
     edge = lambda df, i, j, value: df.select(i.alias("i"), j.alias("j"), value.alias("value"))
@@ -175,22 +177,24 @@ def _root_graph(q: DataFrame, known: DataFrame, accuracy: float) -> tuple[DataFr
     return cut(larger), known.select("key", node("node", 0).alias("node"), F.col("presence").cast("int").alias("presence")).unionByName(free)
 
 
-def harmonic_fill(q: DataFrame, known: DataFrame, exponent: float = 1, shift: float = 0.0, rounds: int = 1000, tolerance: float = 1e-14, accuracy: float = 1e-6) -> DataFrame:
+def harmonic_fill(q: DataFrame, known: DataFrame, exponent: float = 1, shift: float | None = 0.0, rounds: int = 1000, tolerance: float = 1e-14, accuracy: float = 1e-6) -> DataFrame:
     """key, node, x: x is 1 where known is 1; elsewhere M_AA x_A = -M_AB 1 with M = Q ** exponent + shift I.
 
-    exponent: one half or a whole number; accuracy is that of the root of Q. known: key,
-    node, presence (0 or 1). A key without a 1 is 0 everywhere. All keys are solved together
+    exponent: between 0 and 1, or a whole number; accuracy is that of the root of Q. shift:
+    None takes a fifth of Q's median eigenvalue (noise_shift). known: key, node, presence (0 or 1). A key without a 1 is 0 everywhere. All keys are solved together
     by conjugate gradients, one exponent of joins and two aggregates a round, until each
     key's squared residual is under the tolerance times that of the right-hand side. A
     ValueError is raised if that takes more than the given rounds.
     """
-    if exponent == 0.5:
-        larger, all_known = _root_graph(q, known, accuracy)
+    if shift is None:
+        shift = noise_shift(q)
+    if 0 < exponent < 1:
+        larger, all_known = _root_graph(q, known, accuracy, exponent)
         if shift:
             larger = larger.unionByName(larger.select("i").filter("i.copy = 0").distinct().select("i", F.col("i").alias("j"), F.lit(float(shift)).alias("value")))
         return harmonic_fill(larger, all_known, 1, 0.0, rounds, tolerance).filter("node.copy = 0").select("key", F.col("node.node").alias("node"), "x")
     if exponent < 1 or exponent != int(exponent):
-        raise ValueError("exponent must be one half or a positive integer")
+        raise ValueError("exponent must lie between 0 and 1 or be a positive integer")
     ones = known.filter("presence = 1").select("key", "node", F.lit(1.0).alias("v"))
     free = known.filter("presence <> 1").select("key", "node").join(ones.select("key").distinct(), "key", "left_semi")
     b = _times(q, ones, int(exponent), 0.0).join(free, ["key", "node"], "right").select("key", "node", F.coalesce(-F.col("v"), F.lit(0.0)).alias("r"))
@@ -228,8 +232,13 @@ def presence_or_zero(presence: DataFrame) -> DataFrame:
     return presence.withColumn("presence", F.coalesce(F.when(F.col("presence") == 1, 1), F.lit(0)))
 
 
-def proximity_by_year(q: DataFrame, presence: DataFrame, exponents: Sequence[float], shift: float = 0.0, rounds: int = 1000) -> DataFrame:
-    """geo, year_idx, y_proximity_exp<e>, in hundredths (050 for one half): each year's fill stands in the next year; zeros in the first."""
+def proximity_by_year(q: DataFrame, presence: DataFrame, exponents: Sequence[float], shift: float | None = 0.0, rounds: int = 1000) -> DataFrame:
+    """geo, year_idx, y_proximity_exp<e>, in hundredths (050 for one half): each year's fill stands in the next year; zeros in the first.
+
+    shift None: a fifth of Q's median eigenvalue, found once for all exponents.
+    """
+    if shift is None:
+        shift = noise_shift(q)
     known = presence_or_zero(presence).select(F.col("year_idx").alias("key"), F.col("geo").alias("node"), "presence")
     out = None
     for e in exponents:
@@ -257,7 +266,7 @@ def inherit_outer_proximity(proximity: DataFrame, presence: DataFrame, pairs: Da
     return j.withColumn(column, F.when(take, F.col("_o")).otherwise(F.col(column))).select(*proximity.columns)
 
 
-def proximity_from_draws(draws: DataFrame, q: DataFrame, pairs: DataFrame, exponent: float = 1, shift: float = 0.0, rounds: int = 1000) -> DataFrame:
+def proximity_from_draws(draws: DataFrame, q: DataFrame, pairs: DataFrame, exponent: float = 1, shift: float | None = 0.0, rounds: int = 1000) -> DataFrame:
     """Next year's proximity from draws: presence where the mean probability is at least one half."""
     mean = draws.groupBy("geo", "year_idx").agg(F.avg("p").alias("m")).withColumn("presence", (F.col("m") >= 0.5).cast("int"))
     name = f"y_proximity_exp{round(100 * exponent):03d}"

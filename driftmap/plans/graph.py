@@ -49,6 +49,7 @@ query("laplacian_centroid_weights", _CEN + "---SELECT src AS i, dst AS j, -exp(-
 query("links_to_laplacian", "k AS (SELECT a.geo AS i, b.geo AS j, CAST((a.region_id + b.region_id) % 7 + 1 AS DOUBLE) AS w FROM fx_edges JOIN fx_region a ON a.geo = src JOIN fx_region b ON b.geo = dst WHERE src < dst), b2 AS (SELECT i, j, w FROM k UNION ALL SELECT j, i, w FROM k)---SELECT i, j, -w AS value FROM b2 UNION ALL SELECT i, i, sum(w) FROM b2 GROUP BY i", "value")(lambda v: g.links_to_laplacian(v.sql("SELECT a.geo AS i, b.geo AS j, CAST((a.region_id + b.region_id) % 7 + 1 AS DOUBLE) AS weight FROM fx_edges JOIN fx_region a ON a.geo = src JOIN fx_region b ON b.geo = dst WHERE src < dst")))
 query("presence_or_zero", "SELECT geo, year, year_idx, CAST(coalesce(presence, 0) AS INT) AS presence FROM fx_presence")(lambda v: g.presence_or_zero(v.presence))
 query("harmonic_fill")(lambda v: g.harmonic_fill(_q(v), g.presence_or_zero(v.presence).select(F.col("year_idx").alias("key"), F.col("geo").alias("node"), "presence"), 1))
+query("harmonic_fill_with_noise")(lambda v: g.harmonic_fill(_q(v), g.presence_or_zero(v.presence).select(F.col("year_idx").alias("key"), F.col("geo").alias("node"), "presence"), 1, None))
 query("proximity_by_year")(_proximity)
 query("surrounded_regions", "SELECT a.geo AS \"inner\", b.geo AS \"outer\" FROM fx_region a JOIN fx_region b ON (a.geo = 'G1' AND b.geo = 'G2') OR (a.geo = 'G7' AND b.geo = 'G8')")(lambda v: g.surrounded_regions(v.region, [("G1", "G2"), ("G7", "G8"), ("G1", "G2")]))
 _INH = "px AS (SELECT geo, year_idx, population % 97 / 9.7e1 AS x FROM fx_panel_year), bf AS (SELECT geo, year_idx + 1 AS year_idx, coalesce(presence, 0) AS was FROM fx_presence), pw AS (SELECT px.*, coalesce(was, 0) AS was FROM px LEFT JOIN bf ON px.geo = bf.geo AND px.year_idx = bf.year_idx)"
