@@ -14,7 +14,6 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmap.llm import words as w
-from driftmap.llm.tables import settle
+from driftmap.llm.tables import discard, settle
 
 HEADER = 44
 UNIT = 64
@@ -34,6 +33,8 @@ MASK_BITS = 8
 COPY_ROWS, MAX_HOT = 256, 10_000
 #: Parts in which chunks are written and files rebuilt, one after the other, so that a job's shuffle files are those of a part.
 WRITES, BUCKETS = 4, 12
+#: Digests that a task keeps of those it has given, and bytes of payload in a batch that it gives.
+SEEN, SLICE = 200_000, 1_000_000
 _GEAR = (w.BYTE_VALUE >> np.uint64(32)).astype(np.uint32)
 _RESULT = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 _FIELDS = [x.split()[0] for x in _RESULT.split(", ")]
@@ -98,33 +99,44 @@ def read_back(media: bytes, n_bytes: int, expected: bytes) -> tuple:
     return n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), expected.hex(), feature
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sizes, wholes, lists = [], [], []
-        for t in b.column("text"):
-            text = (t.as_py() or "").encode()
-            payload = payload_of(text)
-            sizes.append(len(text))
-            wholes.append(hashlib.sha256(to_wav(payload)).digest())
-            lists.append([digest(c) for c in chunks_of(payload)])
-        cols = [pa.array(sizes, pa.int64()), pa.array(wholes, pa.binary()), pa.array(lists, pa.list_(pa.binary()))]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), b.column("bucket"), *cols], ["doc_id", "row", "bucket", "n_bytes", "whole", "digests"])
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
-    """Chunks of a part of the digests, each once for each bucket of its files in a partition."""
-    seen = set()
+_CUT = pa.schema([
+    ("doc_id", pa.int64()), ("row", pa.int64()), ("bucket", pa.int32()), ("n_bytes", pa.int64()), ("whole", pa.binary()),
+    ("digests", pa.list_(pa.binary())), ("fresh", pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())]))),
+])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each file's list of digests, and its chunks that the task hasn't given for its bucket; data goes with the first of them only.
+
+    What was given is forgotten at SEEN digests: chunks are made distinct by their digests later on.
+    """
+    seen: dict[bytes, int] = {}
     for b in batches:
-        digests, buckets, data = [], [], []
-        for t, bucket in zip(b.column("text"), b.column("bucket").to_pylist(), strict=True):
-            for c in chunks_of(payload_of((t.as_py() or "").encode())):
+        rows, held = [], 0
+        for doc_id, text, row, bucket in zip(*(b.column(c) for c in ("doc_id", "text", "row", "bucket")), strict=True):
+            whole = (text.as_py() or "").encode()
+            payload = payload_of(whole)
+            bit, digests, fresh = 1 << bucket.as_py(), [], []
+            for c in chunks_of(payload):
                 d = digest(c)
-                if d[0] % WRITES == part and (d, bucket) not in seen:
-                    seen.add((d, bucket))
-                    digests.append(d)
-                    buckets.append(1 << bucket)
-                    data.append(c)
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(buckets, pa.int32()), pa.array(data, pa.binary())], ["digest", "buckets", "data"])
+                digests.append(d)
+                given = seen.get(d, 0)
+                if not given & bit:
+                    fresh.append({"digest": d, "data": None if given else c})
+                    seen[d] = given | bit
+            if len(seen) > SEEN:
+                seen.clear()
+            rows.append((doc_id.as_py(), row.as_py(), bucket.as_py(), len(whole), hashlib.sha256(to_wav(payload)).digest(), digests, fresh))
+            held += len(payload)
+            if held > SLICE:
+                yield _batch(rows)
+                rows, held = [], 0
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [()] * len(_CUT)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _CUT, strict=True)], schema=_CUT)
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,17 +156,21 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     files: doc_id, row, bucket, n_bytes, whole (the file's digest), one for each row of docs.
     lists: row, bucket, ord, digest, the chunks of each file in order. chunks: digest, buckets
     (a bit for each bucket whose files have it), data, each distinct chunk once. Files are
-    kept as their samples; the header follows from their number.
+    kept as their samples; the header follows from their number. Documents are read and cut
+    once, into a table that is deleted when the chunks are written.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(BUCKETS)).cast("int"))
-    entries = base.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_entries, "doc_id bigint, row bigint, bucket int, n_bytes bigint, whole binary, digests array<binary>")
-    entries = settle(entries, "entries")
+    base = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(BUCKETS)).cast("int")).withColumn("row", F.monotonically_increasing_id())
+    schema = "doc_id bigint, row bigint, bucket int, n_bytes bigint, whole binary, digests array<binary>, fresh array<struct<digest: binary, data: binary>>"
+    cut = settle(base.mapInArrow(_cut, schema), "cut")
+    given = cut.select("bucket", F.explode("fresh").alias("f")).select("f.digest", "f.data", F.expr("shiftleft(1, bucket)").alias("buckets"))
     chunks = None
     for k in range(WRITES):
-        found = base.select("text", "bucket").mapInArrow(partial(_chunks, part=k), "digest binary, buckets int, data binary")
-        one = settle(found.groupBy("digest").agg(F.bit_or("buckets").alias("buckets"), F.first("data").alias("data")), "chunks")
+        part = given.filter(F.pmod(F.xxhash64("digest"), F.lit(WRITES)) == k)
+        one = settle(part.groupBy("digest").agg(F.bit_or("buckets").alias("buckets"), F.first("data", ignorenulls=True).alias("data")), "chunks")
         chunks = one if chunks is None else chunks.unionByName(one)
+    entries = settle(cut.drop("fresh"), "entries")
+    discard(cut)
     lists = entries.select("row", "bucket", F.posexplode("digests").alias("ord", "digest"))
     return entries.drop("digests"), lists, chunks
 
@@ -180,6 +196,7 @@ def rebuild_media(files: DataFrame, lists: DataFrame, chunks: DataFrame) -> Data
         there = files.filter(F.col("bucket") == k).join(parts.hint("merge"), "row", "left").select("doc_id", "n_bytes", "whole", "parts")
         one = settle(there.mapInArrow(_rebuild, f"doc_id bigint, {_RESULT}"), "media")
         out = one if out is None else out.unionByName(one)
+    discard(hot)
     return out
 
 
@@ -187,9 +204,13 @@ def stored_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature for each row of docs.
 
     Every file is stored by store_media and computed on as rebuild_media reads it back. A
-    null text counts as empty. Repeated rows stay. Other columns are ignored.
+    null text counts as empty. Repeated rows stay. Other columns are ignored. Of the tables
+    that this makes, only the result stays in the shared folder.
     """
-    return rebuild_media(*store_media(docs))
+    files, lists, chunks = store_media(docs)
+    out = rebuild_media(files, lists, chunks)
+    discard(files, chunks)
+    return out
 
 
 def op10_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
