@@ -29,19 +29,6 @@ def test_files_of_a_very_common_chunk_come_back(spark, monkeypatch):
     assert len(got) == 40 and len({r.media_sha256 for r in got}) == 1
 
 
-def test_chunks_that_a_task_forgets_are_stored_once(spark, monkeypatch):
-    """Equal texts of many buckets in one task, whose memory of digests and batch are of the least size."""
-    monkeypatch.setattr(media_chunks, "SEEN", 1)
-    monkeypatch.setattr(media_chunks, "SLICE", 1)
-    rows = [(i, "repeated words " * (40 + i % 3)) for i in range(60)]
-    table = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
-    _, lists, chunks = media_chunks.store_media(table)
-    held = chunks.collect()
-    assert len(held) == len({bytes(r.digest) for r in held}) and all(r.data for r in held)
-    asked = {(bytes(r.digest), r.bucket) for r in lists.collect()}
-    assert asked == {(bytes(r.digest), k) for r in held for k in range(media_chunks.BUCKETS) if r.buckets >> k & 1}
-
-
 def test_only_the_result_stays_in_the_shared_folder(spark):
     folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "driftmap"
     before = set(folder.glob("*"))
