@@ -58,9 +58,15 @@ query("proximity_from_draws")(lambda v: g.proximity_from_draws(v.draws.select("g
 query("proximity_map_table", _INH + "---SELECT geo, year_idx, CASE WHEN was <> 1 THEN x END AS x FROM pw WHERE year_idx = 3", "x")(lambda v: g.proximity_map_table(v.sql("SELECT geo, year_idx, population % 97 / 9.7e1 AS x FROM fx_panel_year"), v.presence, "x", 3))
 
 
+def _plane(v: Views):
+    """The lattice in kilometres, 100 for a side: it is longer than there are degrees of latitude."""
+    side = lambda p: F.struct((p["lon"] * 100).alias("lon"), (p["lat"] * 100).alias("lat"))
+    return squares(v).withColumn("geometry", F.transform("geometry", lambda ring: F.transform(ring, side)))
+
+
 def _folds(v: Views):
     return v.region.filter("grid_col < 3").select("geo", F.when(F.col("grid_row") < 4, 1).otherwise(2).alias("fold"))
 
 
-query("buffer_regions", "f AS (SELECT geo, grid_row, grid_col, CAST(CASE WHEN grid_row < 4 THEN 1 ELSE 2 END AS INT) AS fold FROM fx_region WHERE grid_col < 3)---SELECT DISTINCT f.fold, b.geo FROM f JOIN fx_region b ON abs(f.grid_row - b.grid_row) <= 1 AND abs(f.grid_col - b.grid_col) <= 1 WHERE NOT EXISTS (SELECT 1 FROM f x WHERE x.geo = b.geo AND x.fold = f.fold)")(lambda v: validation.buffer_regions(squares(v), _folds(v), 35.0))
+query("buffer_regions", "f AS (SELECT geo, grid_row, grid_col, CAST(CASE WHEN grid_row < 4 THEN 1 ELSE 2 END AS INT) AS fold FROM fx_region WHERE grid_col < 3)---SELECT DISTINCT f.fold, b.geo FROM f JOIN fx_region b ON abs(f.grid_row - b.grid_row) <= 1 AND abs(f.grid_col - b.grid_col) <= 1 WHERE NOT EXISTS (SELECT 1 FROM f x WHERE x.geo = b.geo AND x.fold = f.fold)")(lambda v: validation.buffer_regions(_plane(v), _folds(v), 35.0, None))
 query("contiguous_folds")(lambda v: validation.contiguous_folds(squares(v).withColumn("longitude", F.col("grid_col").cast("double")).withColumn("latitude", F.col("grid_row").cast("double")), v.edges, v.spark.createDataFrame([(1, "G0"), (2, "G9"), (3, "G55")], "seed int, geo string")))
