@@ -195,6 +195,7 @@ def harmonic_fill(q: DataFrame, known: DataFrame, exponent: float = 1, shift: fl
         return harmonic_fill(larger, all_known, 1, 0.0, rounds, tolerance).filter("node.copy = 0").select("key", F.col("node.node").alias("node"), "x")
     if exponent < 1 or exponent != int(exponent):
         raise ValueError("exponent must lie between 0 and 1 or be a positive integer")
+    q, known = cut(q.select("i", "j", "value")), cut(known.select("key", "node", "presence"))  # every round reads them
     ones = known.filter("presence = 1").select("key", "node", F.lit(1.0).alias("v"))
     free = known.filter("presence <> 1").select("key", "node").join(ones.select("key").distinct(), "key", "left_semi")
     b = _times(q, ones, int(exponent), 0.0).join(free, ["key", "node"], "right").select("key", "node", F.coalesce(-F.col("v"), F.lit(0.0)).alias("r"))
@@ -223,7 +224,7 @@ def harmonic_fill(q: DataFrame, known: DataFrame, exponent: float = 1, shift: fl
         drop(old)
         left = state.groupBy("key").agg(F.max("rn").alias("rn")).join(size, "key").agg(F.max(F.when(F.col("bb") > 0, F.col("rn") / F.col("bb")).otherwise(0.0))).first()[0] or 0.0
         state = state.drop("rn")
-    drop(size)
+    drop(size, q)
     solved = state.select("key", "node", "x")
     return known.select("key", "node", "presence").join(solved, ["key", "node"], "left").select("key", "node", F.when(F.col("presence") == 1, 1.0).otherwise(F.coalesce("x", F.lit(0.0))).alias("x"))
 

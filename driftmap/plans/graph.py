@@ -45,7 +45,7 @@ query("grid_and_chain_graph", "c AS (SELECT s_suppkey AS dst, lag(s_suppkey) OVE
 _LAP = "q AS (SELECT src AS i, dst AS j, -1e0 AS value FROM fx_edges UNION ALL SELECT geo, geo, CAST(count(dst) AS DOUBLE) FROM fx_region LEFT JOIN fx_edges ON geo = src GROUP BY geo)"
 query("laplacian_edges", _LAP + "---SELECT i, j, value * 0.9e0 + CASE WHEN i = j THEN 0.1e0 ELSE 0e0 END AS value FROM q", "value")(_q)
 _CEN = DISTANCES + ", d AS (SELECT src, dst, dist FROM fx_edges JOIN di ON i = src AND j = dst), e AS (SELECT src, dst, dist / (SELECT max(dist) FROM d) AS l FROM d)"
-query("laplacian_centroid_weights", _CEN + "---SELECT src AS i, dst AS j, -exp(-l) / (1 - exp(-2 * l)) AS value FROM e UNION ALL SELECT src, src, sum(5e-1 + exp(-2 * l) / (1 - exp(-2 * l))) + CASE WHEN count(*) = 1 THEN 5e-1 ELSE 0e0 END FROM e GROUP BY src", "value")(lambda v: g.laplacian_centroid_weights(v.region, v.edges.join(m.pairwise_distance(v.region), (F.col("src") == F.col("i")) & (F.col("dst") == F.col("j"))).select("src", "dst", "dist")))
+query("laplacian_centroid_weights", _CEN + "---SELECT src AS i, dst AS j, -exp(-l) / (1 - exp(-2 * l)) AS value FROM e UNION ALL SELECT src, src, sum(5e-1 + exp(-2 * l) / (1 - exp(-2 * l))) + CASE WHEN count(*) = 1 THEN 5e-1 ELSE 0e0 END FROM e GROUP BY src", "value")(lambda v: g.laplacian_centroid_weights(v.region, m.edge_distance(v.region, v.edges)))
 query("links_to_laplacian", "k AS (SELECT a.geo AS i, b.geo AS j, CAST((a.region_id + b.region_id) % 7 + 1 AS DOUBLE) AS w FROM fx_edges JOIN fx_region a ON a.geo = src JOIN fx_region b ON b.geo = dst WHERE src < dst), b2 AS (SELECT i, j, w FROM k UNION ALL SELECT j, i, w FROM k)---SELECT i, j, -w AS value FROM b2 UNION ALL SELECT i, i, sum(w) FROM b2 GROUP BY i", "value")(lambda v: g.links_to_laplacian(v.sql("SELECT a.geo AS i, b.geo AS j, CAST((a.region_id + b.region_id) % 7 + 1 AS DOUBLE) AS weight FROM fx_edges JOIN fx_region a ON a.geo = src JOIN fx_region b ON b.geo = dst WHERE src < dst")))
 query("presence_or_zero", "SELECT geo, year, year_idx, CAST(coalesce(presence, 0) AS INT) AS presence FROM fx_presence")(lambda v: g.presence_or_zero(v.presence))
 query("harmonic_fill")(lambda v: g.harmonic_fill(_q(v), g.presence_or_zero(v.presence).select(F.col("year_idx").alias("key"), F.col("geo").alias("node"), "presence"), 1))
