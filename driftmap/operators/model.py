@@ -33,6 +33,7 @@ def fit_presence_model(df: DataFrame, fixed: Sequence[str], binned: Sequence[str
     from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 
     data = df.filter("presence is not null").select(F.col("presence").cast("double").alias("label"), *(F.col(c).cast("double").alias(c) for c in (*fixed, *binned))).dropna()
+    data = rows = cut(data)  # the encoder and the solver both read them
     encoder = OneHotEncoder(inputCols=list(binned), outputCols=[f"{c}_v" for c in binned], dropLast=False, handleInvalid="keep").fit(data) if binned else None
     data = encoder.transform(data) if encoder else data
     data = VectorAssembler(inputCols=[*fixed, *(f"{c}_v" for c in binned)], outputCol="features").transform(data)
@@ -40,8 +41,9 @@ def fit_presence_model(df: DataFrame, fixed: Sequence[str], binned: Sequence[str
     names = list(fixed)
     for c, n in zip(binned, encoder.categorySizes if encoder else [], strict=True):
         names += [f"{c}={k}" for k in range(n + 1)]
-    rows = [("intercept", float(fitted.intercept)), *((t, float(w)) for t, w in zip(names, fitted.coefficients, strict=False))]
-    return df.sparkSession.createDataFrame(rows, "term string, coefficient double")
+    drop(rows)
+    found = [("intercept", float(fitted.intercept)), *((t, float(w)) for t, w in zip(names, fitted.coefficients, strict=False))]
+    return df.sparkSession.createDataFrame(found, "term string, coefficient double")
 
 
 def fixed_effect_contribution(design: DataFrame, coefficients: DataFrame) -> DataFrame:
@@ -100,6 +102,7 @@ def recurrent_prediction(panel: DataFrame, q: DataFrame, start: DataFrame, coeff
     """
     name, out, keys = "y_proximity_exp100", None, (*by, "geo", "year_idx")
     state = start.select(*(c for c in by if c in start.columns), "geo", name)
+    panel, q = cut(panel), cut(q.select("i", "j", "value"))  # every year reads them
     for y in years:
         rows = panel.filter(F.col("year_idx") == y).join(state, [c for c in state.columns if c != name], "left")
         if spec is not None:
