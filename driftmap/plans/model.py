@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from driftmap.operators import binning, graph, region_effect
 from driftmap.operators import model as m
-from driftmap.operators.lineage import shared_folder
+from driftmap.operators.lineage import cut, drop, shared_folder
 from driftmap.plans.fixtures import Views
 from driftmap.plans.registry import query
 from driftmap.sources import tables as s
@@ -75,20 +75,20 @@ query("fixed_effect_table", "SELECT 'Total Flux In' AS label, avg(temperature) A
 query("stdev_of_effect", "SELECT stddev_samp(temperature) AS stdev FROM fx_panel", "stdev")(lambda v: m.stdev_of_effect(v.panel.withColumnRenamed("temperature", "effect")))
 
 
-def _years_of_days(v: Views):
+def _years_of_days(daily):
     """Each year with its days, as text."""
-    return [(r.year, r.d) for r in v.daily.groupBy("year").agg(F.sort_array(F.collect_set(F.col("date").cast("string"))).alias("d")).orderBy("year").collect()]
+    return [(r.year, r.d) for r in daily.groupBy("year").agg(F.sort_array(F.collect_set(F.col("date").cast("string"))).alias("d")).orderBy("year").collect()]
 
 
-def _wide(v: Views, year: int, days: list[str]):
-    return v.daily.filter(F.col("year") == year).groupBy("geo").pivot("date", days).agg(F.first("temperature")).withColumnRenamed("geo", "Location")
+def _wide(daily, year: int, days: list[str]):
+    return daily.filter(F.col("year") == year).groupBy("geo").pivot("date", days).agg(F.first("temperature")).withColumnRenamed("geo", "Location")
 
 
 def _by_year(v: Views, one):
     """The union of what one gives for each year: its wide table of all days, the days, and a file of that year."""
-    out = None
-    for year, days in _years_of_days(v):
-        found = one(_wide(v, year, days), days, f"{_folder(v)}/tas_mean_{year}.csv")
+    out, daily = None, cut(v.daily)  # every year reads it
+    for year, days in _years_of_days(daily):
+        found = one(_wide(daily, year, days), days, f"{_folder(v)}/tas_mean_{year}.csv")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -101,9 +101,10 @@ SELECT * FROM lo"""
 
 def _read_csv(v: Views):
     """A wide file for each year, every other one with its days in falling order, in one read."""
-    folder = _folder(v)
-    for year, days in _years_of_days(v):
-        s.write_csv(_wide(v, year, days[::-1] if year % 2 else days), f"{folder}/tas_mean_{year}.csv")
+    folder, daily = _folder(v), cut(v.daily)
+    for year, days in _years_of_days(daily):
+        s.write_csv(_wide(daily, year, days[::-1] if year % 2 else days), f"{folder}/tas_mean_{year}.csv")
+    drop(daily)
     return s.read_daily_csv(v.spark, f"{folder}/tas_mean_*.csv").select("location", "date", "value")
 
 
