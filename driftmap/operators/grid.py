@@ -11,6 +11,8 @@ from driftmap.operators.polygons import segments
 
 EARTH_KM = 6371.0088
 
+#: Cells that a tile of the zonal join is wide and high.
+TILE = 4
 
 #: Of a column p of points: the bounding box.
 _BOX = [f"{f}(transform(p, q -> q.{k})) as {name}" for f, k, name in (("array_min", "lon", "w"), ("array_max", "lon", "e"), ("array_min", "lat", "s"), ("array_max", "lat", "n"))]
@@ -84,11 +86,24 @@ def cell_region_coverage(cells: DataFrame, regions: DataFrame, size: float) -> D
     return areas.filter("frac > 1e-12").select("cell_row", "cell_col", "lat", "geo", "frac")
 
 
+def _by_region(cells: DataFrame, weights: DataFrame, by: Sequence[str]) -> DataFrame:
+    """geo, by, value, _w of each cell in each region; weights: cell_row, cell_col, geo, _w.
+
+    Both meet by square tiles of cells, so that a region's cells of one day lie in few tasks and
+    are summed there before they are dealt out. A tile's weights are one row of a hash table, a
+    list for each of its cells; the cells, which are many more, are neither sorted nor gathered.
+    """
+    tile = lambda df: df.withColumns({"_tr": F.floor(F.col("cell_row") / TILE), "_tc": F.floor(F.col("cell_col") / TILE), "_at": (F.pmod("cell_row", F.lit(TILE)) * TILE + F.pmod("cell_col", F.lit(TILE))).cast("int")})
+    own = tile(weights).groupBy("_tr", "_tc").agg(F.collect_list(F.struct("_at", "geo", "_w")).alias("all"))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(TILE * TILE - 1)), lambda k: F.filter("all", lambda x: x["_at"] == k))
+    j = tile(cells.select("cell_row", "cell_col", *by, "value")).join(own.select("_tr", "_tc", slots.alias("slots")).hint("shuffle_hash"), ["_tr", "_tc"])
+    return j.select(*by, "value", F.explode(F.col("slots")[F.col("_at")]).alias("x")).select("x.geo", *by, "value", "x._w")
+
+
 def zonal_weighted_mean(cells: DataFrame, coverage: DataFrame, size: float, by: Sequence[str] = ("date",)) -> DataFrame:
     """Mean of cell values by covered area for each region and day; null values don't weigh."""
-    w = coverage.withColumn("_w", F.col("frac") * cell_area(F.col("lat"), size)).select("cell_row", "cell_col", "geo", "_w")
-    j = cells.filter("value is not null").select("cell_row", "cell_col", *by, "value").join(w, ["cell_row", "cell_col"])
-    return j.groupBy("geo", *by).agg((F.sum(F.col("value") * F.col("_w")) / F.sum("_w")).alias("value"))
+    w = coverage.select("cell_row", "cell_col", "geo", (F.col("frac") * cell_area(F.col("lat"), size)).alias("_w"))
+    return _by_region(cells.filter("value is not null"), w, by).groupBy("geo", *by).agg((F.sum(F.col("value") * F.col("_w")) / F.sum("_w")).alias("value"))
 
 
 def zonal_sum(cells: DataFrame, coverage: DataFrame, by: Sequence[str] = ("date",)) -> DataFrame:
