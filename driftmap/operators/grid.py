@@ -108,8 +108,8 @@ def zonal_weighted_mean(cells: DataFrame, coverage: DataFrame, size: float, by:
 
 def zonal_sum(cells: DataFrame, coverage: DataFrame, by: Sequence[str] = ("date",)) -> DataFrame:
     """Sum of cell values by covered share: head counts."""
-    j = cells.join(coverage.select("cell_row", "cell_col", "geo", "frac"), ["cell_row", "cell_col"])
-    return j.groupBy("geo", *by).agg(F.sum(F.col("value") * F.col("frac")).alias("value"))
+    w = coverage.select("cell_row", "cell_col", "geo", F.col("frac").alias("_w"))
+    return _by_region(cells, w, by).groupBy("geo", *by).agg(F.sum(F.col("value") * F.col("_w")).alias("value"))
 
 
 def split_by_year(df: DataFrame, years: Sequence[int]) -> DataFrame:

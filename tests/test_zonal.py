@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from driftmap.operators import grid
 
 SIZE = 0.5
-JOBS = {"mean": lambda c, w, by: grid.zonal_weighted_mean(c, w, SIZE, by)}
+JOBS = {"mean": lambda c, w, by: grid.zonal_weighted_mean(c, w, SIZE, by), "sum": lambda c, w, by: grid.zonal_sum(c, w, by)}
 
 
 @pytest.fixture(scope="module")
