@@ -1,9 +1,12 @@
-"""The radiation model from a region map, by origins instead of a table of pairs.
-
-A task takes a block of origins, meets the map in chunks, and sorts one origin's
-destinations once for all years. Its memory is a few numbers for each region and year; pairs
-leave it one origin and year at a time, and sums leave without the pairs. The work is still
-one step for each ordered pair of regions and year.
+"""The radiation model from a region map, by places instead of a table of pairs.
+
+A task takes a block of origins and meets the map in chunks. Regions at one place see all
+others in one order, so destinations are sorted once for a place and all years; with the
+origin itself counted, the population up to a farther destination is the same for all
+origins of a place. Memory is a few numbers for each region and year. Pairs leave a task one
+origin and year at a time, sums leave without the pairs, and a link of two regions is made
+where both its ways are known, so that no pair is shuffled. The work is one sort of the map for
+each place, and for sums one step for each place, region and year.
 """
 
 from __future__ import annotations
@@ -18,8 +21,10 @@ from pyspark.sql import functions as F
 from driftmap.operators.lineage import cut, numbered
 from driftmap.operators.mobility import WGS84_FLATTENING, WGS84_KM
 
-#: Regions in a row of the packed map, and origins in a block.
-CHUNK, BLOCK = 1024, 256
+#: Regions in a row of the packed map, and least number of origins in a block.
+CHUNK, BLOCK = 1024, 128
+#: Tasks that the map is copied to, unless the session has more shuffle partitions.
+TASKS = 64
 
 
 class _Map:
@@ -31,72 +36,107 @@ class _Map:
         self.geo, self.years, self.listed = whole("geo"), years, whole("listed").to_numpy(zero_copy_only=False)
         table = lambda name: np.ascontiguousarray(number(pa.concat_arrays([c.field(name).flatten() for c in chunks])).reshape(len(self.geo), len(years)).T)
         self.population, self.there = table("p"), table("there") > 0
-        self.x, lat = np.radians(number(whole("longitude"))), np.radians(number(whole("latitude")))
-        self.y = np.arctan((1 - WGS84_FLATTENING) * np.tan(lat))
+        self.counted = np.nan_to_num(self.population)
+        at = number(whole("longitude")) + 0.0 + 1j * (number(whole("latitude")) + 0.0)
+        lost = np.isnan(at)  # in one place, whatever is known of them
+        at[lost] = 1e9
+        spots, self.place = np.unique(at, return_inverse=True)
+        x, lat = np.radians(spots.real), np.radians(np.where(spots == 1e9, np.nan, spots.imag))
+        self.x, self.y = x, np.arctan((1 - WGS84_FLATTENING) * np.tan(lat))
         self.cos = np.cos(self.y)
-
-    def distances(self, o: int) -> np.ndarray:
-        """Of one region from all, as mobility.geodesic_km has them."""
-        p, q = (self.y + self.y[o]) / 2, (self.y - self.y[o]) / 2
-        sin_q, half = np.sin(q), np.sin((self.x - self.x[o]) / 2)
-        s = 2 * np.arcsin(np.sqrt(np.minimum(sin_q * sin_q + self.cos[o] * self.cos * (half * half), 1.0)))
+        self.by_place = np.argsort(self.place, kind="stable")
+        self.bits = len(self.place).bit_length()
+
+    def distances(self, a: int) -> np.ndarray:
+        """Of one place from all, as mobility.geodesic_km has them."""
+        p, q = (self.y + self.y[a]) / 2, (self.y - self.y[a]) / 2
+        sin_q, half = np.sin(q), np.sin((self.x - self.x[a]) / 2)
+        s = 2 * np.arcsin(np.sqrt(np.minimum(sin_q * sin_q + self.cos[a] * self.cos * (half * half), 1.0)))
         along, across, near, far = np.sin(p) * np.cos(q), np.cos(p) * sin_q, np.sin(s / 2), np.cos(s / 2)
         sine = np.sin(s)
         with np.errstate(invalid="ignore", divide="ignore"):
             bend = (s - sine) * (along * along) / (far * far) + (s + sine) * (across * across) / (near * near)
         return np.where(s == 0, 0.0, WGS84_KM * (s - WGS84_FLATTENING / 2 * bend))
 
-    def nearest_first(self, o: int, d: np.ndarray) -> np.ndarray:
-        """The other regions by distance in units of 1e-9 km, then by name; unknown distances first, as Spark sorts nulls."""
-        n, unit = len(d), np.where(np.isnan(d), -1.0, np.rint(d * 1e9)).astype(np.int64)
-        bits = n.bit_length()
-        if bits <= 17:  # half the equator in those units takes 45 bits
-            order = np.sort((unit << bits) | np.arange(n)) & ((1 << bits) - 1)
-        else:
-            order = np.argsort(unit, kind="stable")
-        return order[order != o]
-
-    def fluxes(self, o: int, order: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
-        """year's place, destinations, prob, population of the origin, for each year that it has."""
-        for t in np.flatnonzero(self.there[:, o]):
-            to = order[self.there[t, order]] if not self.there[t].all() else order
-            m, n = self.population[t, o], self.population[t, to]
-            s = np.cumsum(np.nan_to_num(n))
-            s = np.concatenate(([0.0], s[:-1])) if len(s) else s
-            under = (m + s) * (m + n + s)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                prob = np.where(under == 0, 0.0, m * n / under)
-            yield t, to, prob, m
-
-
-def _by_blocks(regions: DataFrame, years: Sequence[int], schema: str, work: Callable[[_Map, range], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """What work gives for each block of origins. regions: geo, longitude, latitude, p, there (arrays by year), listed."""
-    ranked = cut(numbered(regions, ("geo",), "_n").withColumn("_n", F.col("_n").cast("long") - 1))
-    size, chunk = BLOCK, CHUNK
-    blocks = -(-ranked.count() // size)
+    def nearest_first(self, a: int, d: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+        """All regions by distance from a place in units of 1e-9 km, then by name, unknown distances first, as Spark sorts nulls; how many are no farther than the place's own; which places are nearer than it (-1), as near (0) and farther."""
+        unit = np.where(np.isnan(d), -1.0, np.rint(d * 1e9)).astype(np.int64)
+        if self.bits > 17:  # half the equator in those units takes 45 bits
+            unit = np.unique(unit, return_inverse=True)[1]
+        key = (unit[self.place] << self.bits) | np.arange(len(self.place))
+        key.sort()
+        return key & ((1 << self.bits) - 1), int(np.searchsorted(key, (unit[a] + 1) << self.bits)), np.sign(unit - unit[a])
+
+    def groups(self, origins: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Place and origins there, of origins in the order of their places."""
+        at = self.place[origins]
+        for part in np.split(origins, np.flatnonzero(np.diff(at)) + 1) if len(origins) else []:
+            yield int(self.place[part[0]]), part
+
+    def dealt(self, block: int, blocks: int, sums: bool = False) -> np.ndarray:
+        """A block's origins in the order of their places. For sums, the first origin of a place counts most, and each of the others by the regions at its place."""
+        n = len(self.by_place)
+        if not sums:
+            return self.by_place[block * n // blocks : (block + 1) * n // blocks]
+        at = self.place[self.by_place]
+        cost = np.cumsum(np.where(np.diff(at, prepend=-1) > 0, 1.0, 0.0) + 0.01 + np.bincount(self.place)[at] / n)
+        return self.by_place[np.minimum((cost / cost[-1] * blocks).astype(int), blocks - 1) == block]
+
+    def fluxes(self, origins: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, Callable, np.ndarray, float]]:
+        """origin, year's place, destinations, names of them, prob, population of the origin, for each year that it has; and the distances from it."""
+        for a, here in self.groups(origins):
+            d = self.distances(a)
+            order, head, _ = self.nearest_first(a, d)
+            for t in np.flatnonzero(self.there[:, here].any(axis=1)):
+                to = order if self.there[t].all() else order[self.there[t, order]]
+                first = head if to is order else int(self.there[t, order[:head]].sum())
+                n, upto = self.population[t, to], np.cumsum(self.counted[t, to])
+                least = np.concatenate(([0.0], upto[:-1]))
+                names = self.geo.take(pa.array(to))
+                for o in here[self.there[t, here]]:
+                    m, p = self.population[t, o], int(np.flatnonzero(to[:first] == o)[0])
+                    under = least * (least + n)
+                    under[:p] = (least[:p] + m) * (least[:p] + m + n[:p])
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        prob = np.where(under == 0, 0.0 * m, m * n / under)
+                    yield o, t, np.delete(to, p), pa.concat_arrays([names[:p], names[p + 1 :]]), np.delete(prob, p), m, d
+
+
+def _by_blocks(ranked: DataFrame, blocks: int, years: Sequence[int], schema: str, work: Callable[[_Map, int], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """What work gives for each block. ranked: what _ranked gives."""
+    chunk = CHUNK
     chunks = ranked.groupBy(F.floor(F.col("_n") / chunk).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("_n", "geo", "longitude", "latitude", "p", "there", "listed"))).alias("rows"))
-    parts = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1))))).repartition(max(1, blocks), "block").sortWithinPartitions("block", "chunk")
+    parts = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1))))).repartitionById(max(1, blocks), F.col("block")).sortWithinPartitions("block", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(block: int, held: list[pa.StructArray]) -> Iterator[pa.RecordBatch]:
-            whole = _Map(held, years)
-            yield from work(whole, range(block * size, min((block + 1) * size, len(whole.geo))))
-
         block, held = None, []
         for batch in batches:
             rows = batch.column("rows")
             for k, b in enumerate(batch.column("block").to_pylist()):
                 if held and b != block:
-                    yield from solved(block, held)
+                    yield from work(_Map(held, years), block)
                     held = []
                 block = b
                 held.append(rows[k].values)
         if held:
-            yield from solved(block, held)
+            yield from work(_Map(held, years), block)
 
     return parts.select("block", "rows").mapInArrow(run, schema)
 
 
+def _ranked(regions: DataFrame) -> DataFrame:
+    """The map, numbered by name. regions: geo, longitude, latitude, p, there (arrays by year), listed."""
+    return cut(numbered(regions, ("geo",), "_n").withColumn("_n", F.col("_n").cast("long") - 1))
+
+
+def _most(ranked: DataFrame) -> int:
+    return max(TASKS, int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _blocks(ranked: DataFrame) -> int:
+    return min(-(-ranked.count() // BLOCK), _most(ranked))
+
+
 def _with_years(regions: DataFrame, population: DataFrame, ends: DataFrame | None = None) -> tuple[DataFrame, list[int], list[float]]:
     """The map with populations by year, the years and all populations of each."""
     pop = cut(population.filter("year is not null").select("geo", F.col("year").cast("int").alias("year"), F.col("population").cast("double").alias("p")))
@@ -109,8 +149,8 @@ def _with_years(regions: DataFrame, population: DataFrame, ends: DataFrame | Non
     if ends is not None:
         mapped = mapped.join(ends.select("geo", F.lit(True).alias("_listed")).distinct(), "geo", "left")
         listed = F.coalesce("_listed", F.lit(False))
-    mapped = mapped.select("geo", "longitude", "latitude", F.transform(at, lambda y: F.try_element_at("_p", y)).alias("p"), F.transform(at, lambda y: F.map_contains_key("_p", y).cast("int")).alias("there"), listed.alias("listed"))
-    return mapped, years, [r["total"] for r in found]
+    mapped = mapped.select("geo", "longitude", "latitude", F.transform(at, lambda y: F.try_element_at("_p", y)).alias("p"), F.transform(at, lambda y: F.map_contains_key("_p", y).cast("tinyint")).alias("there"), listed.alias("listed"))
+    return _ranked(mapped), years, [r["total"] for r in found]
 
 
 def _batch(schema: pa.Schema, **columns) -> pa.RecordBatch:  # noqa: ANN003
@@ -125,15 +165,16 @@ def region_distances(regions: DataFrame) -> DataFrame:
     """i, j, dist of all ordered pairs of regions, as mobility.pairwise_distance has them. regions: geo (one row of each), longitude, latitude."""
     schema = pa.schema([("i", pa.string()), ("j", pa.string()), ("dist", pa.float64())])
 
-    def work(whole: _Map, origins: range) -> Iterator[pa.RecordBatch]:
-        places = np.arange(len(whole.geo))
-        for o in origins:
-            others = places[places != o]
-            yield _batch(schema, i=_same(whole.geo[o].as_py(), pa.string(), len(others)), j=whole.geo.take(pa.array(others)), dist=whole.distances(o)[others])
+    def work(whole: _Map, block: int) -> Iterator[pa.RecordBatch]:
+        for a, here in whole.groups(whole.dealt(block, blocks)):
+            dist = whole.distances(a)[whole.place]
+            for o in here:
+                yield _batch(schema, i=_same(whole.geo[o].as_py(), pa.string(), len(dist) - 1), j=pa.concat_arrays([whole.geo[:o], whole.geo[o + 1 :]]), dist=np.delete(dist, o))
 
     none = F.array().cast("array<double>")
-    spots = regions.filter("geo is not null").select("geo", "longitude", "latitude", none.alias("p"), none.alias("there"), F.lit(True).alias("listed"))
-    return _by_blocks(spots, [], "i string, j string, dist double", work)
+    ranked = _ranked(regions.filter("geo is not null").select("geo", "longitude", "latitude", none.alias("p"), none.alias("there"), F.lit(True).alias("listed")))
+    blocks = _blocks(ranked)
+    return _by_blocks(ranked, blocks, [], "i string, j string, dist double", work)
 
 
 def region_flux(regions: DataFrame, population: DataFrame, columns: Sequence[str] = ("dist", "prob", "prob_rescaled", "flux"), ends: DataFrame | None = None) -> DataFrame:
@@ -143,48 +184,67 @@ def region_flux(regions: DataFrame, population: DataFrame, columns: Sequence[str
     region, and for each region and year. ends (geo): only pairs of two of these are given;
     all regions still count as nearer ones.
     """
-    mapped, years, totals = _with_years(regions, population, ends)
+    ranked, years, totals = _with_years(regions, population, ends)
     limited = ends is not None
+    blocks = _blocks(ranked)
     schema = pa.schema([("year", pa.int32()), ("i", pa.string()), ("j", pa.string()), *((c, pa.float64()) for c in columns)])
 
-    def work(whole: _Map, origins: range) -> Iterator[pa.RecordBatch]:
-        for o in origins:
-            if not whole.listed[o]:
-                continue
-            d = whole.distances(o)
-            name = whole.geo[o].as_py()
-            for t, to, prob, m in whole.fluxes(o, whole.nearest_first(o, d)):
-                if limited:
-                    to, prob = to[whole.listed[to]], prob[whole.listed[to]]
-                values = {"dist": lambda: d[to], "prob": lambda: prob, "flux": lambda: 0.9 * m * prob, "prob_rescaled": lambda: np.where(prob == 0, 0.0, prob / (1 - m / totals[t] if m != totals[t] else 1.0))}
-                yield _batch(schema, year=_same(years[t], pa.int32(), len(to)), i=_same(name, pa.string(), len(to)), j=whole.geo.take(pa.array(to)), **{c: values[c]() for c in columns})
+    def work(whole: _Map, block: int) -> Iterator[pa.RecordBatch]:
+        origins = whole.dealt(block, blocks)
+        for o, t, to, names, prob, m, d in whole.fluxes(origins[whole.listed[origins]]):
+            if limited:
+                at = np.flatnonzero(whole.listed[to])
+                to, prob, names = to[at], prob[at], names.take(pa.array(at))
+            values = {"dist": lambda: d[whole.place[to]], "prob": lambda: prob, "flux": lambda: 0.9 * m * prob, "prob_rescaled": lambda: np.where(prob == 0, 0.0, prob / (1 - m / totals[t] if m != totals[t] else 1.0))}
+            yield _batch(schema, year=_same(years[t], pa.int32(), len(to)), i=_same(whole.geo[o].as_py(), pa.string(), len(to)), j=names, **{c: values[c]() for c in columns})
 
-    return _by_blocks(mapped, years, "year int, i string, j string, " + ", ".join(f"{c} double" for c in columns), work)
+    return _by_blocks(ranked, blocks, years, "year int, i string, j string, " + ", ".join(f"{c} double" for c in columns), work)
 
 
 def region_flux_totals(regions: DataFrame, population: DataFrame) -> DataFrame:
-    """mobility.flux_totals of region_flux: a block sums its origins' fluxes by destination, so that no pair leaves its task."""
-    mapped, years, _ = _with_years(regions, population)
-    schema = pa.schema([("year", pa.int32()), ("geo", pa.string()), ("out", pa.float64()), ("into", pa.float64())])
-
-    def work(whole: _Map, origins: range) -> Iterator[pa.RecordBatch]:
-        shape = whole.there.shape
-        out, into = np.full(shape, np.nan), np.zeros(shape)
-        met, known = np.zeros(shape, bool), np.zeros(shape, bool)
-        for o in origins:
-            for t, to, prob, m in whole.fluxes(o, whole.nearest_first(o, whole.distances(o))):
-                flux = 0.9 * m * prob
-                good = ~np.isnan(flux)
-                if len(to):
-                    met[t, o] = met[t, to] = True
-                if good.any():
-                    out[t, o] = flux[good].sum()
-                    into[t, to[good]] += flux[good]
-                    known[t, to[good]] = True
-        into[~known] = np.nan
-        for t, year in enumerate(years):
-            at = np.flatnonzero(met[t])
-            yield _batch(schema, year=_same(year, pa.int32(), len(at)), geo=whole.geo.take(pa.array(at)), out=out[t, at], into=into[t, at])
-
-    sums = _by_blocks(mapped, years, "year int, geo string, out double, into double", work).groupBy("year", "geo").agg(F.sum("out").alias("total_flux_out"), F.sum("into").alias("total_flux_in"))
-    return sums.withColumn("net_flux_out", F.col("total_flux_out") - F.col("total_flux_in"))
+    """mobility.flux_totals of region_flux: a block sums its origins' fluxes by destination, so that no pair leaves its task.
+
+    Beyond its own place, an origin's flux is 0.9 m m n / (upto before * upto after), where
+    upto is the same for all origins of the place: their m m are added up before.
+    """
+    ranked, years, _ = _with_years(regions, population)
+    blocks = _blocks(ranked)
+    met = ranked.agg(*(F.sum(F.get("there", F.lit(t))) for t in range(len(years)))).first() if years else ()
+    sums = [f"{way}_{t}" for way in ("out", "into") for t in range(len(years))]
+    schema = pa.schema([("geo", pa.string()), *((c, pa.float64()) for c in sums)])
+
+    def work(whole: _Map, block: int) -> Iterator[pa.RecordBatch]:
+        out, into, n = np.zeros(whole.there.shape), np.zeros(whole.there.shape), whole.counted
+        for a, here in whole.groups(whole.dealt(block, blocks, sums=True)):
+            order, head, _ = whole.nearest_first(a, whole.distances(a))
+            near, far = order[:head], order[head:]
+            ahead = np.zeros((len(years), head))
+            weight = 0.9 * (n[:, here] * n[:, here]).sum(axis=1)
+            for t in np.flatnonzero(weight):
+                upto = np.cumsum(n[t, order])
+                ahead[t, 1:] = upto[: head - 1]
+                under = upto[head - 1 : -1] * upto[head:]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    share = np.where(under == 0, 0.0, n[t, far] / under)
+                into[t, far] += weight[t] * share
+                out[t, here] += 0.9 * n[t, here] * n[t, here] * share.sum()
+            for o in here if head > 1 else []:
+                m, p = n[:, o, None], int(np.flatnonzero(near == o)[0])
+                least = ahead.copy()
+                least[:, :p] += m
+                under = least * (least + n[:, near])
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    flux = 0.9 * m * np.where(under == 0, 0.0, m * n[:, near] / under)
+                flux[:, p] = 0.0
+                into[:, near] += flux
+                out[:, o] += flux.sum(axis=1)
+        known = ~np.isnan(whole.population)
+        alone = known.sum(axis=1, keepdims=True) < 2  # a sum without any known flux is null
+        out[~known | alone], into[~known | alone] = np.nan, np.nan
+        yield _batch(schema, geo=whole.geo, **dict(zip(sums, (*out, *into), strict=True)))
+
+    each = _by_blocks(ranked, blocks, years, "geo string" + "".join(f", {c} double" for c in sums), work).groupBy("geo").agg(F.count("*").alias("_blocks"), *(F.sum(c).alias(c) for c in sums))
+    of_year = lambda t: F.struct(F.lit(years[t]).alias("year"), F.get("there", F.lit(t)).alias("there"), F.col(f"out_{t}").alias("out"), F.col(f"into_{t}").alias("into"))
+    by_year = F.array(*(of_year(t) for t, n in enumerate(met) if n and n > 1)).cast("array<struct<year: int, there: tinyint, out: double, into: double>>")
+    rows = each.join(ranked.select("geo", "there"), "geo").select("geo", F.explode(by_year).alias("e")).filter("e.there = 1")
+    return rows.select("e.year", "geo", F.col("e.out").alias("total_flux_out"), F.col("e.into").alias("total_flux_in"), (F.col("e.out") - F.col("e.into")).alias("net_flux_out"))

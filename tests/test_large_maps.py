@@ -71,3 +71,25 @@ def test_no_query_meets_all_pairs_row_by_row(spark, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     joins = [x for x in plan.splitlines() if "Join " in x and " = " not in x and " <=> " not in x and "IS NULL" not in x.upper()]
     assert not [x for x in joins if "Cross" not in x], plan
+
+
+def test_unknown_places_and_years_of_one_region(spark, world):
+    regions, pop = world
+    lost = spark.createDataFrame([("a", None, 40.0), ("z", 3.0, None), ("r99", None, None)], "geo string, longitude double, latitude double")
+    more = spark.createDataFrame([(g, y, 11) for g in ("a", "z", "r99") for y in (2000, 2002)], "geo string, year int, population long")
+    regions, pop = regions.unionByName(lost), pop.unionByName(more)
+    want = mobility.radiation_flux(mobility.pairwise_distance(regions).withColumn("dist", F.round("dist", 9)), pop).cache()
+    assert rows(radiation.region_flux(regions, pop)) == rows(want)
+    got = radiation.region_flux_totals(regions, pop)
+    assert rows(got) == rows(mobility.flux_totals(want).select(got.columns))
+
+
+def test_a_place_is_sorted_once(monkeypatch, world):
+    regions, pop = world
+    chunks = regions.join(pop.groupBy("geo").agg(F.count("*")), "geo").count()
+    places = regions.join(pop, "geo").select("longitude", "latitude").distinct().count()
+    table = radiation._with_years(regions, pop)[0].orderBy("geo").toArrow().combine_chunks().to_struct_array()
+    whole = radiation._Map([table if not hasattr(table, "combine_chunks") else table.combine_chunks()], [2000, 2001, 2002, 2009])
+    assert len(whole.geo) == chunks and len(list(whole.groups(whole.dealt(0, 1, sums=True)))) == places == len(whole.x) < chunks
+    dealt = [whole.dealt(b, 5, sums=True) for b in range(5)]
+    assert sorted(o for d in dealt for o in d) == list(range(chunks)) and all(len(d) for d in dealt)
