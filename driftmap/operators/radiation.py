@@ -11,6 +11,7 @@ each place, and for sums one step for each place, region and year.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -18,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmap.operators.lineage import cut, numbered
+from driftmap.operators.lineage import cut, numbered, running
 from driftmap.operators.mobility import WGS84_FLATTENING, WGS84_KM
 
 #: Regions in a row of the packed map, and least number of origins in a block.
 CHUNK, BLOCK = 1024, 128
 #: Tasks that the map is copied to, unless the session has more shuffle partitions.
 TASKS = 64
+#: Bytes that a tile's table of populations may take, and blocks of a map that is small enough for one.
+TILE_BYTES, TILE_BLOCKS = 1 << 28, 10
 
 
 class _Map:
@@ -43,19 +46,19 @@ class _Map:
         spots, self.place = np.unique(at, return_inverse=True)
         x, lat = np.radians(spots.real), np.radians(np.where(spots == 1e9, np.nan, spots.imag))
         self.x, self.y = x, np.arctan((1 - WGS84_FLATTENING) * np.tan(lat))
-        self.cos = np.cos(self.y)
+        self.sin, self.cos = np.sin(self.y), np.cos(self.y)
         self.by_place = np.argsort(self.place, kind="stable")
         self.bits = len(self.place).bit_length()
 
     def distances(self, a: int) -> np.ndarray:
         """Of one place from all, as mobility.geodesic_km has them."""
-        p, q = (self.y + self.y[a]) / 2, (self.y - self.y[a]) / 2
-        sin_q, half = np.sin(q), np.sin((self.x - self.x[a]) / 2)
-        s = 2 * np.arcsin(np.sqrt(np.minimum(sin_q * sin_q + self.cos[a] * self.cos * (half * half), 1.0)))
-        along, across, near, far = np.sin(p) * np.cos(q), np.cos(p) * sin_q, np.sin(s / 2), np.cos(s / 2)
-        sine = np.sin(s)
+        sin_q, half = np.sin((self.y - self.y[a]) / 2), np.sin((self.x - self.x[a]) / 2)
+        square = np.minimum(sin_q * sin_q + self.cos[a] * self.cos * (half * half), 1.0)
+        near, far = np.sqrt(square), np.sqrt(1 - square)  # sine and cosine of half the angle
+        s, sine = 2 * np.arcsin(near), 2 * near * far
+        along, across = (self.sin + self.sin[a]) / 2, (self.sin - self.sin[a]) / 2
         with np.errstate(invalid="ignore", divide="ignore"):
-            bend = (s - sine) * (along * along) / (far * far) + (s + sine) * (across * across) / (near * near)
+            bend = (s - sine) * (along * along) / (1 - square) + (s + sine) * (across * across) / square
         return np.where(s == 0, 0.0, WGS84_KM * (s - WGS84_FLATTENING / 2 * bend))
 
     def nearest_first(self, a: int, d: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
@@ -215,26 +218,31 @@ def region_flux_totals(regions: DataFrame, population: DataFrame) -> DataFrame:
 
     def work(whole: _Map, block: int) -> Iterator[pa.RecordBatch]:
         out, into, n = np.zeros(whole.there.shape), np.zeros(whole.there.shape), whole.counted
+        there, upto, under = np.empty((3, len(whole.place)))  # written over for each place
         for a, here in whole.groups(whole.dealt(block, blocks, sums=True)):
             order, head, _ = whole.nearest_first(a, whole.distances(a))
             near, far = order[:head], order[head:]
             ahead = np.zeros((len(years), head))
             weight = 0.9 * (n[:, here] * n[:, here]).sum(axis=1)
             for t in np.flatnonzero(weight):
-                upto = np.cumsum(n[t, order])
+                np.take(n[t], order, out=there, mode="clip")
+                np.cumsum(there, out=upto)
                 ahead[t, 1:] = upto[: head - 1]
-                under = upto[head - 1 : -1] * upto[head:]
+                share = np.multiply(upto[head - 1 : -1], upto[head:], out=under[head:])
                 with np.errstate(invalid="ignore", divide="ignore"):
-                    share = np.where(under == 0, 0.0, n[t, far] / under)
-                into[t, far] += weight[t] * share
+                    np.divide(there[head:], share, out=share)
+                if not upto[head - 1] > 0:  # a factor may be 0
+                    share[(upto[head - 1 : -1] == 0) | (upto[head:] == 0)] = 0.0
                 out[t, here] += 0.9 * n[t, here] * n[t, here] * share.sum()
+                share *= weight[t]
+                into[t, far] += share
             for o in here if head > 1 else []:
                 m, p = n[:, o, None], int(np.flatnonzero(near == o)[0])
                 least = ahead.copy()
                 least[:, :p] += m
-                under = least * (least + n[:, near])
+                product = least * (least + n[:, near])
                 with np.errstate(invalid="ignore", divide="ignore"):
-                    flux = 0.9 * m * np.where(under == 0, 0.0, m * n[:, near] / under)
+                    flux = 0.9 * m * np.where(product == 0, 0.0, m * n[:, near] / product)
                 flux[:, p] = 0.0
                 into[:, near] += flux
                 out[:, o] += flux.sum(axis=1)
@@ -248,3 +256,157 @@ def region_flux_totals(regions: DataFrame, population: DataFrame) -> DataFrame:
     by_year = F.array(*(of_year(t) for t, n in enumerate(met) if n and n > 1)).cast("array<struct<year: int, there: tinyint, out: double, into: double>>")
     rows = each.join(ranked.select("geo", "there"), "geo").select("geo", F.explode(by_year).alias("e")).filter("e.there = 1")
     return rows.select("e.year", "geo", F.col("e.out").alias("total_flux_out"), F.col("e.into").alias("total_flux_in"), (F.col("e.out") - F.col("e.into")).alias("net_flux_out"))
+
+
+class _Tile:
+    """Links between two slices of regions in the order of their places: one for each pair and year, with the larger flux of both ways."""
+
+    def __init__(self, whole: _Map, a: np.ndarray, b: np.ndarray):
+        self.whole, self.a, self.b = whole, a, b
+        n = len(whole.place)  # written over for each place
+        self.places, self.at, self.n, self.sums = np.arange(n), np.empty(n, np.int64), np.empty(n), np.zeros(n + 1)
+
+    def upto(self, place: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Populations before each of ends in the order of a place, by year, and whether ends lie nearer (-1), as near (0) or farther."""
+        order, _, side = self.whole.nearest_first(place, self.whole.distances(place))
+        self.at[order] = self.places
+        before = self.at[ends]
+        found = np.empty((len(self.whole.there), len(ends)))
+        for t, n in enumerate(self.whole.counted):
+            np.take(n, order, out=self.n, mode="clip")
+            np.cumsum(self.n, out=self.sums[1:])
+            np.take(self.sums, before, out=found[t], mode="clip")
+        return found, side[self.whole.place[ends]].astype(np.int8)
+
+    @staticmethod
+    def flux(m: np.ndarray, n: np.ndarray, before: np.ndarray, first: np.ndarray | None) -> np.ndarray:
+        """first: where the destination comes before the origin in the origin's order, so that the origin isn't among those before it."""
+        least = before if first is None else np.where(first, before + m, before)
+        under = least * (least + n)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return 0.9 * m * np.where(under == 0, 0.0 * m, m * n / under)
+
+    def links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Year's places, ends, other ends and fluxes, for one end of b after the other."""
+        w, a, b = self.whole, self.a, self.b
+        places, of = np.unique(w.place[a], return_inverse=True)
+        before, side = np.empty((len(b), len(w.there), len(places))), np.empty((len(b), len(places)), np.int8)
+        for k, place in enumerate(places):
+            sums, side[:, k] = self.upto(place, b)
+            before[:, :, k] = sums.T
+        close = (side <= 0).any(axis=1)
+        k = 0
+        for place, here in w.groups(b):
+            back, back_side = self.upto(place, a)
+            back_close = bool((back_side <= 0).any())
+            for j in here:
+                to = slice(0, k if a is b else len(a))
+                i, m, n = a[to], w.population[:, a[to]], w.population[:, j, None]
+                first = lambda s, less: (s < 0) | ((s == 0) & less)
+                out = self.flux(m, n, before[k][:, of[to]], first(side[k, of[to]], j < i) if close[k] else None)
+                back_flux = self.flux(n, m, back[:, to], first(back_side[to], i < j) if back_close else None)
+                t, at = np.nonzero(w.there[:, i] & w.there[:, j, None])
+                yield t, i[at], np.full(len(at), j), np.fmax(out, back_flux)[t, at]
+                k += 1
+
+
+def _tiled(regions: DataFrame, population: DataFrame, ends: DataFrame | None, schema: str, work: Callable[[list[int], Iterator, _Map], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """What work gives for years, links (of some 100,000 at a time) and the map of each task's tiles."""
+    ranked, years, _ = _with_years(regions, population, ends)
+    listed, places = ranked.filter("listed").agg(F.count("*"), F.count_distinct(F.struct("longitude", "latitude"))).first()
+    pieces = max(1, math.ceil(math.sqrt(listed * places * 8 * max(1, len(years)) / TILE_BYTES)), min(-(-listed // BLOCK), TILE_BLOCKS))
+    tiles = [(x, y) for x in range(pieces) for y in range(x, pieces)]
+    tasks = min(len(tiles), _most(ranked))
+
+    def each(whole: _Map, task: int) -> Iterator[pa.RecordBatch]:
+        cuts = np.array_split(whole.by_place[whole.listed[whole.by_place]], pieces)
+
+        def some() -> Iterator[list[np.ndarray]]:
+            held, n = [], 0
+            for x, y in tiles[task::tasks]:
+                for links in _Tile(whole, cuts[x], cuts[y]).links():
+                    held.append(links)
+                    n += len(links[0])
+                    if n >= 100_000:
+                        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                        held, n = [], 0
+            if n:
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+        yield from work(years, some(), whole)
+
+    return _by_blocks(ranked, tasks, years, schema, each)
+
+
+def region_links(regions: DataFrame, population: DataFrame, ends: DataFrame | None = None, above: float | None = None, strict: bool = True) -> DataFrame:
+    """year, i, j, flux: mobility.flux_matrix_to_edges of region_flux, undirected, made without shuffling a pair.
+
+    ends (geo): only links between two of these are given; all regions still count as nearer
+    ones. above: only links with more flux than this (or not less).
+    """
+    schema = pa.schema([("year", pa.int32()), ("i", pa.string()), ("j", pa.string()), ("flux", pa.float64())])
+
+    def work(years: list[int], links: Iterator, whole: _Map) -> Iterator[pa.RecordBatch]:
+        for t, i, j, flux in links:
+            if above is not None:
+                kept = flux > above if strict else flux >= above
+                t, i, j, flux = t[kept], i[kept], j[kept], flux[kept]
+            yield _batch(schema, year=np.array(years, np.int32)[t], i=whole.geo.take(pa.array(np.minimum(i, j))), j=whole.geo.take(pa.array(np.maximum(i, j))), flux=flux)
+
+    return _tiled(regions, population, ends, "year int, i string, j string, flux double", work)
+
+
+def _bins(x: np.ndarray) -> np.ndarray:
+    """A whole number of 24 bits that rises with x: its sign, exponent and 12 binary digits."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ 0x7FFFFFFFFFFFFFFF, bits) >> 40
+
+
+def _counted(x: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values, at = np.unique(x, return_inverse=True)
+    return values, np.bincount(at, m, len(values)).astype(np.int64)
+
+
+def link_quantiles(regions: DataFrame, population: DataFrame, shares: Sequence[float], ends: DataFrame | None = None) -> list[float | None]:
+    """Interpolated quantiles of region_links' fluxes, exactly: links are counted in their tasks by leading bits, then by value in the few bins that hold the ranks asked for."""
+
+    def counts(of: Callable[[np.ndarray], np.ndarray], kind: str) -> DataFrame:
+        schema = pa.schema([("x", pa.int64() if kind == "long" else pa.float64()), ("m", pa.int64())])
+
+        def work(years: list[int], links: Iterator, whole: _Map) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for *_, flux in links:
+                values, m = np.unique(of(flux[~np.isnan(flux)] + 0.0), return_counts=True)
+                held.append((values, m))
+                n += len(values)
+                if n > 4_000_000:
+                    held = [_counted(*map(np.concatenate, zip(*held, strict=True)))]
+                    n = 0
+            if held:
+                values, m = _counted(*map(np.concatenate, zip(*held, strict=True)))
+                for k in range(0, len(values), 100_000):
+                    yield _batch(schema, x=values[k : k + 100_000], m=m[k : k + 100_000])
+
+        found = _tiled(regions, population, ends, f"x {kind}, m long", work).groupBy("x").agg(F.sum("m").alias("m"))
+        return cut(running(found, [], F.col("x"), upto="m"))
+
+    bins = counts(_bins, "long")
+    n = bins.agg(F.max("upto")).first()[0]
+    if not n:
+        return [None] * len(shares)
+    ranks = [((n - 1) * q, int((n - 1) * q), min(int((n - 1) * q) + 1, n - 1)) for q in shares]
+    wanted = sorted({r for _, *lo_hi in ranks for r in lo_hi})
+    holds = lambda start: F.exists(F.array(*map(F.lit, wanted)), lambda r: (r >= start) & (r < start + F.col("m")))
+    ahead = {r["x"]: r["upto"] - r["m"] for r in bins.filter(holds(F.col("upto") - F.col("m"))).collect()}
+    some = np.array(sorted(ahead))
+    values = counts(lambda x: x[np.isin(_bins(x), some)], "double")
+    # ranks among the values of the bins alone
+    sizes = {r["x"]: r["m"] for r in bins.filter(F.col("x").isin([int(x) for x in some])).collect()}
+    left, place = 0, {}
+    for x in map(int, some):
+        place |= {r: r - ahead[x] + left for r in wanted if ahead[x] <= r < ahead[x] + sizes[x]}
+        left += sizes[x]
+    inside = F.exists(F.array(*(F.lit(place[r]) for r in wanted)), lambda r: (r >= F.col("upto") - F.col("m")) & (r < F.col("upto")))
+    rows = values.filter(inside).collect()
+    at = {r: next(row["x"] for row in rows if row["upto"] - row["m"] <= place[r] < row["upto"]) for r in wanted}
+    return [at[lo] + (q - lo) * (at[hi] - at[lo]) for q, lo, hi in ranks]

@@ -73,6 +73,22 @@ def test_no_query_meets_all_pairs_row_by_row(spark, name):
     assert not [x for x in joins if "Cross" not in x], plan
 
 
+@pytest.mark.parametrize("rooms", [1, 1 << 27])
+def test_links_without_a_shuffle_of_pairs(monkeypatch, world, rooms):
+    monkeypatch.setattr(radiation, "BLOCK", 7)
+    monkeypatch.setattr(radiation, "TILE_BYTES", 3000 * rooms)
+    regions, pop = world
+    dist = mobility.pairwise_distance(regions).withColumn("dist", F.round("dist", 9))
+    want = mobility.flux_matrix_to_edges(mobility.radiation_flux(dist, pop), directed=False).cache()
+    assert rows(radiation.region_links(regions, pop)) == rows(want.select("year", "i", "j", "flux"))
+    ends = regions.filter("latitude > 41")
+    assert rows(radiation.region_links(regions, pop, ends)) == rows(mobility.subset_links_by_map(want.select("year", "i", "j", "flux"), ends))
+    shares = [0.2, 0.99, 0.5, 0.0, 1.0]
+    assert radiation.link_quantiles(regions, pop, shares) == pytest.approx(mobility.quantiles(want, "flux", shares), rel=1e-12)
+    assert not radiation.region_links(regions, pop, regions.limit(0)).collect()
+    assert radiation.link_quantiles(regions, pop.limit(0), shares) == [None] * 5
+
+
 def test_unknown_places_and_years_of_one_region(spark, world):
     regions, pop = world
     lost = spark.createDataFrame([("a", None, 40.0), ("z", 3.0, None), ("r99", None, None)], "geo string, longitude double, latitude double")
@@ -82,6 +98,7 @@ def test_unknown_places_and_years_of_one_region(spark, world):
     assert rows(radiation.region_flux(regions, pop)) == rows(want)
     got = radiation.region_flux_totals(regions, pop)
     assert rows(got) == rows(mobility.flux_totals(want).select(got.columns))
+    assert rows(radiation.region_links(regions, pop)) == rows(mobility.flux_matrix_to_edges(want, directed=False).select("year", "i", "j", "flux"))
 
 
 def test_a_place_is_sorted_once(monkeypatch, world):
@@ -93,3 +110,10 @@ def test_a_place_is_sorted_once(monkeypatch, world):
     assert len(whole.geo) == chunks and len(list(whole.groups(whole.dealt(0, 1, sums=True)))) == places == len(whole.x) < chunks
     dealt = [whole.dealt(b, 5, sums=True) for b in range(5)]
     assert sorted(o for d in dealt for o in d) == list(range(chunks)) and all(len(d) for d in dealt)
+
+
+@pytest.mark.parametrize("name", ["flux_matrix_to_edges", "subset_links_by_map"])
+def test_links_of_a_query_are_not_shuffled(spark, name):
+    plan = registry.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    last = next(k for k, x in enumerate(plan) if "MapInArrow" in x)
+    assert not [x for x in plan[:last] if any(w in x for w in ("Aggregate", "Join", "Sort", "Repartition"))], plan
