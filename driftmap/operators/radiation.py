@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmap.operators.lineage import cut, numbered, running
@@ -26,6 +26,8 @@ from driftmap.operators.mobility import WGS84_FLATTENING, WGS84_KM
 CHUNK, BLOCK = 1024, 128
 #: Tasks that the map is copied to, unless the session has more shuffle partitions.
 TASKS = 64
+#: Links that are ranked together, at least, and most ranges of them.
+RANGE, RANGES = 1_000_000, 4096
 #: Bytes that a tile's table of populations may take, and blocks of a map that is small enough for one.
 TILE_BYTES, TILE_BLOCKS = 1 << 28, 10
 
@@ -410,3 +412,57 @@ def link_quantiles(regions: DataFrame, population: DataFrame, shares: Sequence[f
     rows = values.filter(inside).collect()
     at = {r: next(row["x"] for row in rows if row["upto"] - row["m"] <= place[r] < row["upto"]) for r in wanted}
     return [at[lo] + (q - lo) * (at[hi] - at[lo]) for q, lo, hi in ranks]
+
+
+def _by_year_and_bin(key: np.ndarray, m: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[starts], np.add.reduceat(m[order], starts), np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
+
+
+def region_link_strength(regions: DataFrame, population: DataFrame, digits: int = 6) -> DataFrame:
+    """year, i, j, flux, strength: mobility.link_strength_percentile of region_links by year, fluxes compared to some digits.
+
+    Links are counted in their tasks by year and leading bits. Bins make ranges of about RANGE
+    links, whose links meet in one exchange and are counted along; what lies below a range is
+    known. A flux that fills a range by itself needs no counting along, and its links are spread.
+    """
+    size = lambda flux: np.where(np.isnan(flux), -np.inf, np.rint(np.abs(flux) * 10.0**digits) / 10.0**digits)
+    key = lambda t, x: (np.asarray(t, np.int64) << 24) + _bins(x) + (1 << 23)
+    schema = pa.schema([("key", pa.int64()), ("m", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
+
+    def counts(years: list[int], links: Iterator, whole: _Map) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for t, _, _, flux in links:
+            x = size(flux)
+            held.append(_by_year_and_bin(key(t, x), np.ones(len(x), np.int64), x, x))
+            n += len(held[-1][0])
+            if n > 4_000_000:
+                held, n = [_by_year_and_bin(*map(np.concatenate, zip(*held, strict=True)))], 0
+        if held:
+            found = _by_year_and_bin(*map(np.concatenate, zip(*held, strict=True)))
+            for k in range(0, len(found[0]), 100_000):
+                yield _batch(schema, **{c: v[k : k + 100_000] for c, v in zip(schema.names, found, strict=True)})
+
+    bins = _tiled(regions, population, None, "key long, m long, low double, high double", counts).groupBy("key").agg(F.sum("m").alias("m"), F.min("low").alias("low"), F.max("high").alias("high"))
+    upto = cut(running(bins.withColumn("t", F.shiftright("key", 24).cast("int")), ["t"], F.col("key"), upto="m").withColumn("start", F.col("upto") - F.col("m")))
+    most = max(RANGE, (upto.agg(F.sum("m")).first()[0] or 0) // RANGES)
+    alone = F.when((F.col("low") == F.col("high")) & (F.col("m") > most), F.col("key"))
+    ranges = sorted(upto.groupBy("t", F.floor(F.col("start") / most).alias("r"), alone.alias("alone")).agg(F.min("key").alias("key"), F.sum("m").alias("m"), F.min("start").alias("ahead")).collect(), key=lambda r: r["key"])
+    whole_years = {r["t"]: r["n"] for r in upto.groupBy("t").agg(F.sum("m").alias("n")).collect()}
+    firsts, single = np.array([r["key"] for r in ranges], np.int64), np.array([r["alone"] is not None for r in ranges], bool)
+    link = pa.schema([("part", pa.int64()), ("i", pa.string()), ("j", pa.string()), ("flux", pa.float64()), ("size", pa.float64())])
+
+    def work(years: list[int], links: Iterator, whole: _Map) -> Iterator[pa.RecordBatch]:
+        for t, i, j, flux in links:
+            x = size(flux)
+            part = np.searchsorted(firsts, key(t, x), side="right") - 1
+            spread = np.where(single[part], (i + j) % 64, 0)
+            yield _batch(link, part=part * 64 + spread, i=whole.geo.take(pa.array(np.minimum(i, j))), j=whole.geo.take(pa.array(np.maximum(i, j))), flux=flux, size=x)
+
+    links = _tiled(regions, population, None, "part long, i string, j string, flux double, size double", work)
+    along = links.withColumn("along", F.count("*").over(Window.partitionBy("part").orderBy("size"))).withColumn("k", F.shiftright("part", 6))
+    years = sorted(r["year"] for r in population.filter("year is not null").select(F.col("year").cast("int").alias("year")).distinct().collect())
+    known = regions.sparkSession.createDataFrame([(k, years[r["t"]], r["ahead"], r["m"] if r["alone"] is not None else None, whole_years[r["t"]]) for k, r in enumerate(ranges)], "k long, year int, ahead long, all long, n long")
+    return along.join(F.broadcast(known), "k").select("year", "i", "j", "flux", ((F.col("ahead") + F.coalesce("all", "along")) / F.col("n")).alias("strength"))

@@ -117,3 +117,22 @@ def test_links_of_a_query_are_not_shuffled(spark, name):
     plan = registry.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     last = next(k for k, x in enumerate(plan) if "MapInArrow" in x)
     assert not [x for x in plan[:last] if any(w in x for w in ("Aggregate", "Join", "Sort", "Repartition"))], plan
+
+
+@pytest.mark.parametrize("most", [3, 1_000_000])
+def test_link_strength_by_ranges(monkeypatch, world, most):
+    monkeypatch.setattr(radiation, "BLOCK", 7)
+    monkeypatch.setattr(radiation, "RANGE", most)
+    regions, pop = world
+    dist = mobility.pairwise_distance(regions).withColumn("dist", F.round("dist", 9))
+    want = mobility.flux_matrix_to_edges(mobility.radiation_flux(dist, pop), directed=False).withColumn("w", F.round("flux", 3)).cache()
+    by_pairs = mobility.link_strength_percentile(want, "w").select("year", "i", "j", "flux", "strength")
+    assert rows(radiation.region_link_strength(regions, pop, 3)) == rows(by_pairs)
+    assert not radiation.region_link_strength(regions, pop.limit(0)).collect()
+
+
+def test_link_strength_joins_no_links(spark):
+    """Only the ranges, told to be broadcast, meet the links: the planner takes links for as small as their map."""
+    plan = registry.QUERIES["link_strength_percentile"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    (join,) = [x for x in plan if "Join " in x]
+    assert "rightHint=(strategy=broadcast)" in join
